@@ -109,23 +109,32 @@ cal AS (
 )"""
 
 
-PERIOD_CTES = """
-pid AS (SELECT project_id FROM bd GROUP BY project_id),
-cm AS (SELECT final_cost AS cost, project_id FROM bd WHERE month = (SELECT cur_month FROM cal)),
-pm AS (SELECT final_cost AS cost, project_id FROM bd WHERE month = (SELECT prev_month FROM cal)),
+def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "bd") -> str:
+    """The reference's id list, seven period CTEs and LEFT-JOIN assembly, keyed by ``keys``."""
+    k = ", ".join(keys)
+
+    def on(other: str) -> str:
+        return " AND ".join(f"pid.{x} = {other}.{x}" for x in keys)
+
+    def total(name: str, where: str) -> str:
+        return f"{name} AS (SELECT SUM(final_cost) AS cost, {k} FROM {cube} WHERE {where} GROUP BY {k})"
+
+    sel = ", ".join(f"pid.{x}" for x in keys)
+    return f"""
+pid AS (SELECT {k} FROM {cube} GROUP BY {k}),
+cm AS (SELECT final_cost AS cost, {k} FROM {cube} WHERE month = (SELECT cur_month FROM cal)),
+pm AS (SELECT final_cost AS cost, {k} FROM {cube} WHERE month = (SELECT prev_month FROM cal)),
 lsm_rows AS (
-  SELECT project_id, month, final_cost AS cost FROM bd
+  SELECT {k}, month, final_cost AS cost FROM {cube}
   WHERE month >= (SELECT six_start FROM cal) AND month < (SELECT cur_month FROM cal)
 ),
-lsm AS (SELECT project_id, list(CAST(cost AS DOUBLE) ORDER BY month DESC) AS lsm_cost FROM lsm_rows GROUP BY project_id),
-ccy AS (SELECT SUM(final_cost) AS cost, project_id FROM bd WHERE year = (SELECT cur_year FROM cal) GROUP BY project_id),
-pcy AS (SELECT SUM(final_cost) AS cost, project_id FROM bd WHERE year = (SELECT prev_year FROM cal) GROUP BY project_id),
-cfy AS (SELECT SUM(final_cost) AS cost, project_id FROM bd
-        WHERE month >= (SELECT cur_fy_start FROM cal) AND month <= (SELECT cur_fy_end FROM cal) GROUP BY project_id),
-pfy AS (SELECT SUM(final_cost) AS cost, project_id FROM bd
-        WHERE month >= (SELECT prev_fy_start FROM cal) AND month <= (SELECT prev_fy_end FROM cal) GROUP BY project_id),
+lsm AS (SELECT {k}, list(CAST(cost AS DOUBLE) ORDER BY month DESC) AS lsm_cost FROM lsm_rows GROUP BY {k}),
+{total("ccy", "year = (SELECT cur_year FROM cal)")},
+{total("pcy", "year = (SELECT prev_year FROM cal)")},
+{total("cfy", "month >= (SELECT cur_fy_start FROM cal) AND month <= (SELECT cur_fy_end FROM cal)")},
+{total("pfy", "month >= (SELECT prev_fy_start FROM cal) AND month <= (SELECT prev_fy_end FROM cal)")},
 report AS (
-  SELECT pid.project_id,
+  SELECT {sel},
          CAST(cm.cost AS DOUBLE) AS currentMonthToDate,
          CAST(pm.cost AS DOUBLE) AS previousMonth,
          (CAST(cm.cost AS DOUBLE) - CAST(pm.cost AS DOUBLE)) / NULLIF(CAST(pm.cost AS DOUBLE), 0) * 100
@@ -138,15 +147,18 @@ report AS (
              AS currentFiscalYearDeltaPercentage,
          lsm.lsm_cost AS lastSixMonths
   FROM pid
-  LEFT JOIN cm ON pid.project_id = cm.project_id
-  LEFT JOIN pm ON pid.project_id = pm.project_id
-  LEFT JOIN pcy ON pid.project_id = pcy.project_id
-  LEFT JOIN ccy ON pid.project_id = ccy.project_id
-  LEFT JOIN cfy ON pid.project_id = cfy.project_id
-  LEFT JOIN pfy ON pid.project_id = pfy.project_id
-  LEFT JOIN lsm ON pid.project_id = lsm.project_id
+  LEFT JOIN cm ON {on("cm")}
+  LEFT JOIN pm ON {on("pm")}
+  LEFT JOIN pcy ON {on("pcy")}
+  LEFT JOIN ccy ON {on("ccy")}
+  LEFT JOIN cfy ON {on("cfy")}
+  LEFT JOIN pfy ON {on("pfy")}
+  LEFT JOIN lsm ON {on("lsm")}
 )"""
 
+
+PERIOD_CTES = period_ctes()
+
 METRICS = (
     "currentMonthToDate",
     "previousMonth",
@@ -179,3 +191,37 @@ def report_sql(as_of: dt.date, ids: Sequence[str] | None = None, flavour: str =
                metrics: Sequence[str] = METRICS, source: str = "billing") -> str:
     cols = api_columns(metrics) if flavour == "api" else raw_columns(metrics)
     return f"{with_report(as_of, ids, source)}\nSELECT {cols} FROM report"
+
+
+LEVELS = (
+    ("department", "department", "department_acronym"),
+    ("branch", "branch", "branch_acronym"),
+    ("directorate", "directorate", "directorate_acronym"),
+)
+
+
+def unit_rows_cte(cube: str = "bd", value: str = "final_cost", name: str = "unit_rows",
+                  with_month: bool = True) -> str:
+    """Project-level cube rows copied once per organisational level (UNION ALL)."""
+    month = "c.month, " if with_month else ""
+    parts = [
+        f"SELECT '{lvl}' AS level, d.{n} AS name, d.{a} AS acronym, c.project_id, {month}c.{value} AS {value} "
+        f"FROM {cube} c JOIN project_dim d ON c.project_id = d.project_id"
+        for lvl, n, a in LEVELS
+    ]
+    return f"\n{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
+
+
+UNIT_CUBE_CTE = """
+ubd AS (
+  SELECT level, name, acronym, month, CAST(EXTRACT(year FROM month) AS INTEGER) AS year, SUM(final_cost) AS final_cost
+  FROM unit_rows GROUP BY level, name, acronym, month
+)"""
+
+
+def with_unit_report(as_of: dt.date) -> str:
+    """``WITH`` clause ending in a unit-keyed ``report`` plus ``unit_rows``."""
+    return "WITH " + ",".join([
+        BILLING_CTE, DIM_CTE, calendar_ctes(as_of), cube_cte(None), unit_rows_cte(), UNIT_CUBE_CTE,
+        period_ctes(("level", "name", "acronym"), "ubd"),
+    ])

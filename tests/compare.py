@@ -31,7 +31,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, np.ma.MaskedArray):
         return tuple(None if m else norm(x) for x, m in zip(v.data.tolist(), np.ma.getmaskarray(v).tolist()))
