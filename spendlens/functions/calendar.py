@@ -90,6 +90,21 @@ class ReportCalendar:
         hi = max(dt.date(self.year + 1, 1, 1), self.fy_end + dt.timedelta(days=1))
         return lo, hi
 
+    def period_window(self, period: str) -> tuple[dt.date, dt.date]:
+        """[first day, day after the last day] of one named period."""
+        windows = {
+            "current_month": (self.month_start, _add_months(self.month_start, 1)),
+            "previous_month": (self.prev_month_start, self.month_start),
+            "last_six_months": (self.six_months_start, self.month_start),
+            "current_calendar_year": (dt.date(self.year, 1, 1), dt.date(self.year + 1, 1, 1)),
+            "previous_calendar_year": (dt.date(self.prev_year, 1, 1), dt.date(self.year, 1, 1)),
+            "current_fiscal_year": (self.fy_start, self.fy_end + dt.timedelta(days=1)),
+            "previous_fiscal_year": (self.prev_fy_start, self.fy_start),
+        }
+        if period not in windows:
+            raise ValueError(f"unknown period {period!r}; expected one of {sorted(windows)}")
+        return windows[period]
+
     def days_elapsed(self, start: dt.date) -> int:
         return (self.as_of - start).days + 1
 

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from spendlens import schema as S
 from spendlens.functions.measures import as_double
 from spendlens.operators.monthly import monthly_carbon, monthly_costs, project_ids
-from spendlens.operators.periods import period_report
+from spendlens.functions.calendar import ReportCalendar
+from spendlens.operators.periods import period_report, report_over_history
 from spendlens.operators.report import project_cost_report
+from spendlens.sources.billing import load_billing, usage_between
 
 UNIT_KEYS = ("level", "name", "acronym")
 _LEVEL_COLUMNS = [c for pair in S.ORG_LEVELS.values() for c in pair]
@@ -73,34 +75,41 @@ def unit_monthly(cube: DataFrame, dim: DataFrame, value: str = S.FINAL_COST,
     return rows.groupBy(*UNIT_KEYS, S.MONTH).agg(F.sum(value).alias(value))
 
 
-def unit_totals(cube: DataFrame, dim: DataFrame, value: str = S.FINAL_COST, total_name: str = "totalCloudSpend",
-                levels: Sequence[str] | None = None) -> DataFrame:
-    """Per unit: ``projectCount`` (projects with rows) and the all-history total."""
-    rows = explode_units(cube.select(S.PROJECT_ID, value), dim, levels)
-    return rows.groupBy(*UNIT_KEYS).agg(
-        F.countDistinct(S.PROJECT_ID).alias("projectCount"),
-        as_double(F.sum(value)).alias(total_name),
-    )
-
-
 def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Sequence[str] | None = None,
-                   with_last_six: bool = True) -> DataFrame:
-    """The cost report per organisational unit (same metrics as a project report)."""
-    units = unit_monthly(monthly_costs(billing), dim, levels=levels)
-    return period_report(units, as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
+                   with_last_six: bool = True, prune_history: bool = True) -> DataFrame:
+    """The cost report per organisational unit (same metrics as a project report).
+
+    With ``prune_history`` the money columns are read only for the report's
+    months; the list of units still comes from every project ever billed.
+    """
+    if not prune_history:
+        units = unit_monthly(monthly_costs(billing), dim, levels=levels)
+        return period_report(units, as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
+    cal = ReportCalendar.for_date(as_of)
+    lo, hi = cal.scan_window()
+    units = unit_monthly(monthly_costs(usage_between(load_billing(billing), lo, hi)), dim, levels=levels)
+    ids = explode_units(project_ids(billing), dim, levels).select(*UNIT_KEYS).distinct()
+    return report_over_history(ids, units, cal.as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
 
 
 def org_units(billing: DataFrame, dim: DataFrame, as_of=None, carbon: DataFrame | None = None,
               levels: Sequence[str] | None = None, with_last_six: bool = True) -> DataFrame:
     """One record per unit: report metrics, ``projectCount``, ``totalCloudSpend``
-    and, when a carbon table is given, the all-history ``carbonFootprint`` (kg)."""
+    and, when a carbon table is given, the all-history ``carbonFootprint`` (kg).
+
+    The report and the all-history total come from one aggregation over the
+    unit-month cube; the project count from an id-only scan.
+    """
     cube = monthly_costs(billing).select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)
+    total = {"totalCloudSpend": as_double(F.sum(S.FINAL_COST))}
     report = period_report(unit_monthly(cube, dim, levels=levels), as_of, keys=UNIT_KEYS,
-                           with_last_six=with_last_six)
-    out = report.join(unit_totals(cube, dim, levels=levels), on=list(UNIT_KEYS), how="left")
+                           with_last_six=with_last_six, extra_aggs=total)
+    out = report.join(org_project_count(billing, dim, levels), on=list(UNIT_KEYS), how="left")
     if carbon is not None:
         out = out.join(org_carbon_total(carbon, dim, levels), on=list(UNIT_KEYS), how="left")
-    return out
+    cols = [c for c in out.columns if c not in ("projectCount", "totalCloudSpend", "carbonFootprint")]
+    tail = [c for c in ("projectCount", "totalCloudSpend", "carbonFootprint") if c in out.columns]
+    return out.select(*cols, *tail)
 
 
 def _one_unit(df: DataFrame, level: str, name: str) -> DataFrame:

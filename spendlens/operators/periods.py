@@ -90,11 +90,12 @@ def last_six_months_array(value: Column, month: Column, in_range: Column) -> Col
 
 
 def period_report(cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,), value: str = S.FINAL_COST,
-                  with_last_six: bool = True) -> DataFrame:
+                  with_last_six: bool = True, extra_aggs: dict[str, Column] | None = None) -> DataFrame:
     """All report metrics per key in one aggregation over the cube.
 
     ``cube`` needs the key columns, ``month`` (DATE, first of month) and
-    ``value``; it must hold one row per (key, month).
+    ``value``; it must hold one row per (key, month).  ``extra_aggs`` are
+    further aggregates computed in the same pass (e.g. an all-history total).
     """
     cal = ReportCalendar.for_date(as_of)
     keys = list(keys)
@@ -104,11 +105,13 @@ def period_report(cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,),
     aggs = [F.sum(F.when(valid & preds[p], v)).alias(col) for col, p in _PERIOD_COLUMNS.items()]
     if with_last_six:
         aggs.append(last_six_months_array(v, month, valid & preds["last_six_months"]).alias(S.LAST_SIX_MONTHS))
+    extra = dict(extra_aggs or {})
+    aggs += [c.alias(n) for n, c in extra.items()]
     agg = cube.groupBy(*keys).agg(*aggs)
-    return _finish(agg, keys, with_last_six)
+    return _finish(agg, keys, with_last_six, list(extra))
 
 
-def _finish(agg: DataFrame, keys: Sequence[str], with_last_six: bool) -> DataFrame:
+def _finish(agg: DataFrame, keys: Sequence[str], with_last_six: bool, extra: Sequence[str] = ()) -> DataFrame:
     d = {c: as_double(F.col(c)) for c in _PERIOD_COLUMNS}
     cols = [F.col(k) for k in keys] + [
         d[S.CURRENT_MONTH].alias(S.CURRENT_MONTH),
@@ -122,7 +125,7 @@ def _finish(agg: DataFrame, keys: Sequence[str], with_last_six: bool) -> DataFra
     ]
     if with_last_six:
         cols.append(F.col(S.LAST_SIX_MONTHS))
-    return agg.select(*cols)
+    return agg.select(*cols, *extra)
 
 
 def report_over_history(ids: DataFrame, windowed_cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.monthly import monthly_costs, project_ids
-from spendlens.operators.periods import period_report, report_over_history
+from spendlens.operators.periods import period_report, period_total, report_over_history
 from spendlens.sources.billing import filter_projects, load_billing, usage_between
 
 
@@ -46,6 +46,18 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     return report_over_history(project_ids(billing), cube, cal.as_of, with_last_six=with_last_six)
 
 
+def billing_period_total(billing: DataFrame, as_of, period: str, name: str | None = None) -> DataFrame:
+    """One period's total per project, reading only that period's usage rows.
+
+    Projects without rows in the period are absent; the null project is its
+    own group.  The period's date range is a pushed-down scan filter.
+    """
+    cal = ReportCalendar.for_date(as_of)
+    lo, hi = cal.period_window(period)
+    cube = monthly_costs(usage_between(load_billing(billing), lo, hi))
+    return period_total(cube, cal.as_of, period, name=name)
+
+
 def api_flavour(report: DataFrame, key: str = S.PROJECT_ID) -> DataFrame:
     """Null numbers become 0.0 and a null id becomes "", like the API layer does."""
     cols = []

@@ -22,10 +22,10 @@ from spendlens.functions.measures import as_double, credit_amount_type, first_cr
 from spendlens.operators import carbon as carbon_ops
 from spendlens.operators import estimates, org
 from spendlens.operators.monthly import monthly_costs, project_ids
-from spendlens.operators.periods import period_total
 from spendlens.operators.report import (
     all_projects,
     api_flavour,
+    billing_period_total,
     project,
     project_cost_report,
     project_records,
@@ -149,7 +149,7 @@ FROM y"""
 
 def _period(period: str, name: str):
     def build(spark, sf):
-        return period_total(monthly_costs(_billing(spark, sf)), AS_OF, period, name=name)
+        return billing_period_total(_billing(spark, sf), AS_OF, period, name=name)
     return build
 
 

@@ -1,0 +1,83 @@
+"""Cross-checks between operators on the driver tables."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from spendlens import schema as S
+from spendlens.operators import org
+from spendlens.operators.monthly import monthly_costs
+from spendlens.operators.report import all_projects, project_cost_report, projects
+from spendlens.sources import fixtures
+
+DATES = [dt.date(2000, 9, 17), dt.date(2000, 3, 31), dt.date(2000, 1, 15), dt.date(2000, 4, 1),
+         dt.date(2001, 12, 30), dt.date(1995, 5, 31)]
+
+
+@pytest.fixture(scope="module")
+def billing(spark):
+    return fixtures.billing(spark, SF_SMALL)
+
+
+@pytest.fixture(scope="module")
+def dim(spark):
+    return fixtures.project_dim(spark, SF_SMALL)
+
+
+def _rows(df):
+    return sorted(df.collect(), key=lambda r: (r[0] is None, r[0] or ""))
+
+
+@pytest.mark.parametrize("as_of", DATES)
+def test_pruned_equals_single_pass(billing, as_of):
+    a = project_cost_report(billing, as_of, prune_history=True)
+    b = project_cost_report(billing, as_of, prune_history=False)
+    assert _rows(a) == _rows(b)
+
+
+def test_fiscal_year_is_sum_of_its_months(billing):
+    as_of = dt.date(2000, 9, 17)
+    cube = monthly_costs(billing)
+    fy = cube.where(F.col(S.MONTH).between(dt.date(2000, 4, 1), dt.date(2001, 3, 1))) \
+        .groupBy(S.PROJECT_ID).agg(F.sum(S.FINAL_COST).cast("double").alias("fy"))
+    rep = project_cost_report(billing, as_of).where(F.col(S.PROJECT_ID).isNotNull())
+    joined = rep.join(fy, S.PROJECT_ID, "left").where(
+        ~F.col(S.CURRENT_FISCAL_YEAR).eqNullSafe(F.col("fy")))
+    assert joined.count() == 0
+
+
+def test_all_credits_equal_export_credit_sum(billing):
+    cube = monthly_costs(billing)
+    total = cube.agg(F.sum(S.ALL_CREDITS_TOTAL), F.sum(S.FINAL_COST) - F.sum(S.FINAL_COST_NO_CREDITS)).first()
+    assert total[0] == total[1]
+
+
+def test_reports_by_id_chunks_union_to_all(billing):
+    everything = all_projects(billing, dt.date(2000, 9, 17), with_last_six=False).where(F.col(S.PROJECT_ID) != "")
+    ids = [r[0] for r in everything.select(S.PROJECT_ID).collect()]
+    parts = None
+    for i in range(0, len(ids), 4):
+        part = projects(billing, ids[i:i + 4], dt.date(2000, 9, 17), with_last_six=False)
+        parts = part if parts is None else parts.unionByName(part)
+    assert _rows(parts) == _rows(everything)
+
+
+def test_rollup_levels_add_up(billing, dim):
+    roll = org.org_spend_rollup(billing, dim)
+    grand = roll.where("grouping_level = 7").first()["totalCloudSpend"]
+    depts = roll.where("grouping_level = 3").agg(F.sum("totalCloudSpend")).first()[0]
+    leaf = roll.where("grouping_level = 0").agg(F.sum("totalCloudSpend")).first()[0]
+    assert grand == pytest.approx(depts) and grand == pytest.approx(leaf)
+    assert roll.where("grouping_level = 7").first()["projectCount"] == \
+        billing.where(F.col("project.id").isNotNull()).select("project.id").distinct().count()
+
+
+def test_unit_report_sums_project_reports(billing, dim):
+    as_of = dt.date(2000, 9, 17)
+    units = org.org_unit_costs(billing, dim, as_of, levels=["department"], with_last_six=False)
+    per_project = org.org_projects(billing, dim, as_of, with_last_six=False) \
+        .groupBy("department").agg(F.sum(S.CURRENT_CALENDAR_YEAR).alias("s"))
+    for r in units.join(per_project, units.name == per_project.department).collect():
+        assert r[S.CURRENT_CALENDAR_YEAR] == pytest.approx(r["s"])
