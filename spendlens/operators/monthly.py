@@ -36,40 +36,60 @@ def monthly_sums(df: DataFrame, sums: dict[str, Column], key: Column | None = No
     return out.select(S.MONTH, F.year(S.MONTH).alias(S.YEAR), S.PROJECT_ID, *sums.keys())
 
 
-def monthly_costs(billing: DataFrame) -> DataFrame:
-    """The reference's monthly cube (month, year, project_id + five measures).
+# Additive partial sums of the cost cube: summing them again over any split of
+# the usage lines (files, micro-batches) gives the same cube, nulls included.
+PARTIAL_SUMS = (S.FINAL_COST_NO_CREDITS, S.FIRST_CREDIT_TOTAL, S.ALL_CREDITS_TOTAL, _NEXT_LEVEL)
 
-    * ``final_cost_no_credits``   SUM(cost)
-    * ``total_credits_computed1`` SUM(first credit, 0 when none)
-    * ``total_credits_computed2`` SUM(all credits of the row, 0 when none)
-    * ``final_cost_0``            SUM(cost) + total_credits_computed1
-    * ``final_cost``              SUM(cost) + SUM(credits_sum_amount)
 
-    Unused measures cost nothing: Catalyst drops them from the aggregate.
-    """
+def monthly_cost_partials(billing: DataFrame) -> DataFrame:
+    """(month, project_id) + the four additive sums behind every cost measure."""
     billing = load_billing(billing)
     sums = {S.FINAL_COST_NO_CREDITS: F.col(S.COST)}
     if S.CREDITS in billing.columns:
         amount_type = credit_amount_type(billing)
         sums[S.FIRST_CREDIT_TOTAL] = first_credit_amount(amount_type)
         sums[S.ALL_CREDITS_TOTAL] = credit_total(amount_type)
+    else:
+        sums[S.FIRST_CREDIT_TOTAL] = F.lit(None).cast(billing.schema[S.COST].dataType)
+        sums[S.ALL_CREDITS_TOTAL] = F.lit(None).cast(billing.schema[S.COST].dataType)
     sums[_NEXT_LEVEL] = F.col(S.CREDITS_SUM_AMOUNT)
-    cube = monthly_sums(billing, sums)
-    no_credits = F.col(S.FINAL_COST_NO_CREDITS)
-    first = F.col(S.FIRST_CREDIT_TOTAL) if S.CREDITS in billing.columns else F.lit(None)
-    every = F.col(S.ALL_CREDITS_TOTAL) if S.CREDITS in billing.columns else F.lit(None)
-    return cube.select(
+    return monthly_sums(billing, sums).drop(S.YEAR)
+
+
+def combine_cost_partials(partials: DataFrame) -> DataFrame:
+    """Sum partial rows that share (month, project_id) (e.g. from several batches)."""
+    return partials.groupBy(S.MONTH, S.PROJECT_ID).agg(*[F.sum(c).alias(c) for c in PARTIAL_SUMS])
+
+
+def finish_costs(partials: DataFrame) -> DataFrame:
+    """Partial sums (one row per month and project) -> the five cube measures."""
+    no_credits, first = F.col(S.FINAL_COST_NO_CREDITS), F.col(S.FIRST_CREDIT_TOTAL)
+    return partials.select(
         S.MONTH,
-        S.YEAR,
+        F.year(S.MONTH).alias(S.YEAR),
         S.PROJECT_ID,
         no_credits,
-        first.alias(S.FIRST_CREDIT_TOTAL),
-        every.alias(S.ALL_CREDITS_TOTAL),
+        first,
+        F.col(S.ALL_CREDITS_TOTAL),
         (no_credits + first).alias(S.FINAL_COST_FIRST_CREDIT),
         (no_credits + F.col(_NEXT_LEVEL)).alias(S.FINAL_COST),
     )
 
 
+def monthly_costs(billing: DataFrame) -> DataFrame:
+    """The reference's monthly cube (month, year, project_id + five measures).
+
+    * ``final_cost_no_credits``   SUM(cost)
+    * ``total_credits_computed1`` SUM(first credit, 0 when none)
+    * ``total_credits_computed2`` SUM(all credits of the row, 0 when none)
+    * ``final_cost_0``            SUM(cost) + total_credits_computed1
+    * ``final_cost``              SUM(cost) + SUM(credits_sum_amount)
+
+    Unused measures cost nothing: Catalyst drops them from the aggregate.
+    """
+    return finish_costs(monthly_cost_partials(billing))
+
+
 def monthly_carbon(carbon: DataFrame) -> DataFrame:
     """Carbon cube: (month, year, project_id, carbon_kg) with kilograms summed."""
     return monthly_sums(carbon, {S.CARBON_KG: F.col(S.CARBON_KG)})

@@ -46,6 +46,20 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     return report_over_history(project_ids(billing), cube, cal.as_of, with_last_six=with_last_six)
 
 
+def cube_cost_report(cube: DataFrame, as_of=None, with_last_six: bool = True) -> DataFrame:
+    """Raw report from an already aggregated cube (e.g. a stored one).
+
+    The id list comes from every month of the cube; the metrics only from the
+    report's months, a filter that prunes month partitions of a stored cube.
+    """
+    cal = ReportCalendar.for_date(as_of)
+    lo, hi = cal.scan_window()
+    month = F.col(S.MONTH)
+    window = cube.where((month >= F.lit(lo)) & (month < F.lit(hi)))
+    ids = cube.select(S.PROJECT_ID).distinct()
+    return report_over_history(ids, window, cal.as_of, with_last_six=with_last_six)
+
+
 def billing_period_total(billing: DataFrame, as_of, period: str, name: str | None = None) -> DataFrame:
     """One period's total per project, reading only that period's usage rows.
 

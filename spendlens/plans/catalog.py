@@ -10,6 +10,8 @@ on both sides.
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +28,7 @@ from spendlens.operators.report import (
     all_projects,
     api_flavour,
     billing_period_total,
+    cube_cost_report,
     project,
     project_cost_report,
     project_records,
@@ -33,7 +36,10 @@ from spendlens.operators.report import (
     select_fields,
 )
 from spendlens.plans import oracle as Q
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources import fixtures
+from spendlens.sources.cube_store import materialize_costs, read_cube
+from spendlens.streaming.cube_refresh import billing_stream, refresh_paths, start_cube_refresh
 from spendlens.sources.billing import filter_projects, load_billing, usage_date
 
 # Fixed parameters of the registered queries.
@@ -368,6 +374,32 @@ SELECT project_id, currentFiscalToDate, currentFiscalToDate * {fy_days} / {fy_el
 FROM report"""
 
 
+# --- stored cube and its streaming refresh ------------------------------------
+
+def _scratch_root(spark) -> str:
+    """Fresh folder under the session's shared checkpoint folder (a scratch one
+    is created only when the session names none, as in local runs)."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+
+
+def monthly_costs_incremental(spark, sf):
+    """The lineitem file read as a stream; each micro-batch appends partial sums."""
+    root = _scratch_root(spark)
+    store, checkpoint = refresh_paths(root)
+    lineitem_schema = fixtures.read_table(spark, sf, "lineitem").schema
+    stream = billing_stream(spark, os.path.join(sf, "lineitem*.parquet"), lineitem_schema, max_files_per_trigger=1)
+    query = start_cube_refresh(fixtures.billing_from_lineitem(stream), store, checkpoint)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(f"cube refresh failed: {query.exception()}")
+    return read_cube(spark, store).select(*_CUBE_KEYS, as_double(F.col(S.FINAL_COST)).alias(S.FINAL_COST))
+
+
+def report_from_store(spark, sf):
+    cube = materialize_costs(_billing(spark, sf), os.path.join(_scratch_root(spark), "cube"))
+    return api_flavour(cube_cost_report(cube, AS_OF, with_last_six=False))
+
+
 # --- registry ----------------------------------------------------------------
 
 REGISTRY: dict[str, Query] = {
@@ -436,6 +468,9 @@ REGISTRY: dict[str, Query] = {
     "carbon_report": Query(carbon_report, Q.report_sql(AS_OF, flavour="raw", source="carbon"), "D11"),
     "org_carbon_total": Query(org_carbon_total, _ORG_CARBON_SQL, "D12"),
     "cost_estimates": Query(cost_estimates, _estimates_sql(), "D13"),
+    "monthly_costs_incremental": Query(
+        monthly_costs_incremental, _cube_sql("CAST(final_cost AS DOUBLE) AS final_cost"), "M0 streaming"),
+    "all_projects_from_store": Query(report_from_store, Q.report_sql(AS_OF), "E1 stored cube"),
 }
 
 for _name, _day in OTHER_DATES.items():
