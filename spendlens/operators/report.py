@@ -23,7 +23,8 @@ from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.monthly import monthly_costs, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
-from spendlens.sources.billing import filter_projects, load_billing, usage_between
+from spendlens.sources import billing as billing_source
+from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_between
 
 
 def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = True,
@@ -119,13 +120,28 @@ def all_projects(billing: DataFrame, as_of=None, flavour: str = "api", prune_his
 
 def projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None, as_of=None, flavour: str = "api",
              prune_history: bool = True, with_last_six: bool = True) -> DataFrame:
-    """Report for the listed projects; the id filter runs before aggregation.
+    """Report for the listed projects.
 
     Unknown ids give no row, duplicates give one row, an empty list gives no
     rows, a null element raises ``ValueError``.
+
+    A short list is applied before aggregation as ``project.id IN (...)``,
+    which reaches the parquet reader.  An id DataFrame (or a list longer than
+    ``sources.billing.ISIN_MAX_IDS``) is applied to the per-project report instead, a left-semi
+    join between two per-project tables: the raw export is never shuffled to
+    meet the id list, whatever its size.  Both give the same rows, since a
+    project's report depends only on its own usage lines.
     """
-    billing = filter_projects(load_billing(billing), ids)
-    return _finish(project_cost_report(billing, as_of, prune_history, with_last_six), flavour)
+    billing = load_billing(billing)
+    if isinstance(ids, DataFrame) or (not isinstance(ids, str) and ids is not None
+                                      and len(normalize_ids(ids)) > billing_source.ISIN_MAX_IDS):
+        if not isinstance(ids, DataFrame):
+            spark = billing.sparkSession
+            ids = spark.createDataFrame([(i,) for i in normalize_ids(ids)], f"{S.PROJECT_ID} string")
+        keys = ids.select(S.PROJECT_ID).where(F.col(S.PROJECT_ID).isNotNull()).distinct()
+        report = project_cost_report(billing, as_of, prune_history, with_last_six)
+        return _finish(report.join(keys, on=S.PROJECT_ID, how="left_semi"), flavour)
+    return _finish(project_cost_report(filter_projects(billing, ids), as_of, prune_history, with_last_six), flavour)
 
 
 def project(billing: DataFrame, project_id: str, as_of=None, flavour: str = "api", prune_history: bool = True,

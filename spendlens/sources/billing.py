@@ -132,7 +132,9 @@ def filter_projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | N
       a nested ``In`` filter;
     * a long list, or a DataFrame with a ``project_id`` column, becomes a
       left-semi join; the optimizer decides between broadcast and shuffle from
-      the measured size (AQE), so no size is assumed here.
+      the measured size (AQE), so no size is assumed here.  To report on an id
+      table of unknown size, prefer ``operators.report.projects``, which joins
+      the per-project report instead of the raw usage lines.
     """
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(S.PROJECT_ID).alias("_pid")).where(F.col("_pid").isNotNull())

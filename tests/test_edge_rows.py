@@ -103,3 +103,13 @@ def test_derived_credit_sum_matches(billing):
     # A null credits array derives a credit sum of 0, so e's August total is 3.
     assert got["e"][-1] == [3.0, 2.0]
     assert got["a"] == tuple(EXPECTED["a"])
+
+
+def test_id_table_and_long_list_paths(spark, billing, monkeypatch):
+    ids = spark.createDataFrame([("a",), ("c",), ("c",), (None,), ("zzz",)], "project_id string")
+    got = _as_dict(projects(billing, ids, AS_OF, flavour="raw"))
+    assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
+    from spendlens.sources import billing as B
+    monkeypatch.setattr(B, "ISIN_MAX_IDS", 1)
+    got = _as_dict(projects(billing, ["a", "c", "zzz"], AS_OF, flavour="raw"))
+    assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
