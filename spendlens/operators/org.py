@@ -107,11 +107,37 @@ def org_units(billing: DataFrame, dim: DataFrame, as_of=None, carbon: DataFrame
     out = report.join(org_project_count(billing, dim, levels), on=list(UNIT_KEYS), how="left")
     if carbon is not None:
         out = out.join(org_carbon_total(carbon, dim, levels), on=list(UNIT_KEYS), how="left")
-    cols = [c for c in out.columns if c not in ("projectCount", "totalCloudSpend", "carbonFootprint")]
-    tail = [c for c in ("projectCount", "totalCloudSpend", "carbonFootprint") if c in out.columns]
+    out = out.join(unit_parents(dim, levels), on=list(UNIT_KEYS), how="left")
+    tail_names = ("projectCount", "totalCloudSpend", "carbonFootprint", "parent_department", "parent_branch")
+    cols = [c for c in out.columns if c not in tail_names]
+    tail = [c for c in tail_names if c in out.columns]
     return out.select(*cols, *tail)
 
 
+def unit_parents(dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+    """(level, name, acronym) -> its department and branch (null above the unit).
+
+    One row per unit even if the dimension disagrees with itself (smallest
+    name wins), so joining it never duplicates unit rows.
+    """
+    validate_dim(dim)
+    dept = F.col("department")
+    parts = {
+        "department": (F.lit(None).cast("string"), F.lit(None).cast("string")),
+        "branch": (dept, F.lit(None).cast("string")),
+        "directorate": (dept, F.col("branch")),
+    }
+    structs = []
+    for lv in _levels(levels):
+        name, acronym = S.ORG_LEVELS[lv]
+        pd_, pb = parts[lv]
+        structs.append(F.struct(F.lit(lv).alias("level"), F.col(name).alias("name"), F.col(acronym).alias("acronym"),
+                                pd_.alias("parent_department"), pb.alias("parent_branch")))
+    rows = dim.select(F.explode(F.array(*structs)).alias("u")).select("u.*")
+    return rows.groupBy(*UNIT_KEYS).agg(F.min("parent_department").alias("parent_department"),
+                                        F.min("parent_branch").alias("parent_branch"))
+
+
 def _one_unit(df: DataFrame, level: str, name: str) -> DataFrame:
     if name is None:
         raise ValueError("unit name must not be null")

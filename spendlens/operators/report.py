@@ -14,6 +14,7 @@ never ``current_date()`` inside the plan, so a report is reproducible.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -24,13 +25,18 @@ from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.monthly import monthly_costs, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
 from spendlens.sources import billing as billing_source
-from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_between
+from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_before, usage_between
 
 
 def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = True,
-                        with_last_six: bool = True) -> DataFrame:
+                        with_last_six: bool = True, through_as_of: bool = False) -> DataFrame:
     """Raw report, one row per project id ever seen (null id included).
 
+    Periods are whole months / years: usage dated after ``as_of`` inside the
+    current month, year or fiscal year is counted, as the original query does.
+    ``through_as_of=True`` drops usage after ``as_of`` first (for back-dated
+    reports that should not see the future).
+
     ``prune_history=True`` (default) reads all history only for the id column
     and reads money columns only for the months the report covers (the window
     is a pushed-down range filter on ``usage_start_time``, which skips row
@@ -40,6 +46,8 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     """
     billing = load_billing(billing)
     cal = ReportCalendar.for_date(as_of)
+    if through_as_of:
+        billing = usage_before(billing, cal.as_of + dt.timedelta(days=1))
     if not prune_history:
         return period_report(monthly_costs(billing), cal.as_of, with_last_six=with_last_six)
     lo, hi = cal.scan_window()
@@ -113,9 +121,9 @@ def _finish(report: DataFrame, flavour: str) -> DataFrame:
 
 
 def all_projects(billing: DataFrame, as_of=None, flavour: str = "api", prune_history: bool = True,
-                 with_last_six: bool = True) -> DataFrame:
+                 with_last_six: bool = True, through_as_of: bool = False) -> DataFrame:
     """Report for every project in the export."""
-    return _finish(project_cost_report(billing, as_of, prune_history, with_last_six), flavour)
+    return _finish(project_cost_report(billing, as_of, prune_history, with_last_six, through_as_of), flavour)
 
 
 def projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None, as_of=None, flavour: str = "api",

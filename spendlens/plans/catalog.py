@@ -23,6 +23,7 @@ from spendlens.functions.calendar import fiscal_calendar_columns
 from spendlens.functions.measures import as_double, credit_amount_type, first_credit_amount
 from spendlens.operators import carbon as carbon_ops
 from spendlens.operators import estimates, org
+from spendlens.operators.project_details import project_details
 from spendlens.operators.monthly import monthly_costs, project_ids
 from spendlens.operators.report import (
     all_projects,
@@ -265,12 +266,13 @@ cbd AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY proj
 totals AS (SELECT level, name, acronym, COUNT(DISTINCT project_id) AS projectCount,
                   CAST(SUM(final_cost) AS DOUBLE) AS totalCloudSpend FROM unit_rows GROUP BY level, name, acronym),
 ctotals AS (SELECT level, name, acronym, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
-            FROM carbon_rows GROUP BY level, name, acronym)
+            FROM carbon_rows GROUP BY level, name, acronym), {Q.UNIT_PARENTS_CTE}
 SELECT r.level, r.name, r.acronym, {', '.join('r.' + m for m in Q.METRICS)},
-       t.projectCount, t.totalCloudSpend, c.carbonFootprint
+       t.projectCount, t.totalCloudSpend, c.carbonFootprint, p.parent_department, p.parent_branch
 FROM report r
 LEFT JOIN totals t ON r.level = t.level AND r.name = t.name AND r.acronym = t.acronym
 LEFT JOIN ctotals c ON r.level = c.level AND r.name = c.name AND r.acronym = c.acronym
+LEFT JOIN uparents p ON r.level = p.level AND r.name = p.name AND r.acronym = p.acronym
 WHERE r.level = '{level}' AND r.name = '{name}'"""
 
 
@@ -374,6 +376,26 @@ SELECT project_id, currentFiscalToDate, currentFiscalToDate * {fy_days} / {fy_el
 FROM report"""
 
 
+def all_projects_through_as_of(spark, sf):
+    return all_projects(_billing(spark, sf), AS_OF, with_last_six=False, through_as_of=True)
+
+
+def project_details_query(spark, sf):
+    return project_details(_billing(spark, sf), AS_OF, dim=_dim(spark, sf), carbon=_carbon(spark, sf),
+                           nested=False, with_last_six=False)
+
+
+def _project_details_sql() -> str:
+    carbon_parts = [Q.CARBON_CTE, Q.cube_cte(None, "carbon", name="cbd"), Q.period_ctes(cube="cbd", prefix="c_")]
+    carbon_cols = ", ".join(f"COALESCE(c.{m}, 0.0) AS carbon_{m}" for m in Q.METRICS)
+    return f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE}, {', '.join(p.strip() for p in carbon_parts)}
+SELECT {Q.api_columns()}, d.classification, d.department AS owner, d.department_acronym AS owner_acronym,
+       {carbon_cols}
+FROM report
+LEFT JOIN c_report c ON report.project_id = c.project_id
+LEFT JOIN project_dim d ON report.project_id = d.project_id"""
+
+
 # --- stored cube and its streaming refresh ------------------------------------
 
 def _scratch_root(spark) -> str:
@@ -471,6 +493,9 @@ REGISTRY: dict[str, Query] = {
     "monthly_costs_incremental": Query(
         monthly_costs_incremental, _cube_sql("CAST(final_cost AS DOUBLE) AS final_cost"), "M0 streaming"),
     "all_projects_from_store": Query(report_from_store, Q.report_sql(AS_OF), "E1 stored cube"),
+    "all_projects_through_as_of": Query(all_projects_through_as_of, Q.report_sql(AS_OF, through_as_of=True),
+                                        "E1 G9"),
+    "project_details": Query(project_details_query, _project_details_sql(), "S4 D9 D10 D11"),
 }
 
 for _name, _day in OTHER_DATES.items():

@@ -65,8 +65,11 @@ def _ids_where(ids: Sequence[str] | None) -> str:
     return f"WHERE project_id IN ({quoted})" if ids else "WHERE FALSE"
 
 
-def cube_cte(ids: Sequence[str] | None = None, source: str = "billing") -> str:
-    """Monthly cube in the reference's shape: GROUP BY month, year, project."""
+def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: str = "bd",
+             before: dt.date | None = None) -> str:
+    """Monthly cube in the reference's shape: GROUP BY month, year, project.
+
+    ``before`` keeps only usage dated before that day."""
     if source == "carbon":
         measures = "SUM(carbon_kg) AS final_cost"
     else:
@@ -75,13 +78,17 @@ def cube_cte(ids: Sequence[str] | None = None, source: str = "billing") -> str:
          SUM(COALESCE(credits_sum_amount, 0)) AS total_credits_computed2,
          SUM(cost) + SUM(first_credit) AS final_cost_0,
          SUM(cost) + SUM(credits_sum_amount) AS final_cost"""
+    where = _ids_where(ids)
+    if before is not None:
+        cond = f"usage_start_time < TIMESTAMP '{before.isoformat()} 00:00:00'"
+        where = f"{where} AND {cond}" if where else f"WHERE {cond}"
     return f"""
-bd AS (
+{name} AS (
   SELECT CAST(date_trunc('month', usage_start_time) AS DATE) AS month,
          CAST(EXTRACT(year FROM usage_start_time) AS INTEGER) AS year,
          project_id,
          {measures}
-  FROM {source} {_ids_where(ids)}
+  FROM {source} {where}
   GROUP BY 1, 2, 3
 )"""
 
@@ -109,8 +116,19 @@ cal AS (
 )"""
 
 
-def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "bd") -> str:
-    """The reference's id list, seven period CTEs and LEFT-JOIN assembly, keyed by ``keys``."""
+def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "bd", prefix: str = "") -> str:
+    """The reference's id list, seven period CTEs and LEFT-JOIN assembly, keyed by ``keys``.
+
+    Every CTE name gets ``prefix`` so that two reports can share one query."""
+    body = _period_ctes(keys, cube)
+    if not prefix:
+        return body
+    import re
+    names = ["pid", "cm", "pm", "lsm_rows", "lsm", "ccy", "pcy", "cfy", "pfy", "report"]
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: prefix + m.group(1), body)
+
+
+def _period_ctes(keys: Sequence[str], cube: str) -> str:
     k = ", ".join(keys)
 
     def on(other: str) -> str:
@@ -171,10 +189,12 @@ METRICS = (
 )
 
 
-def with_report(as_of: dt.date, ids: Sequence[str] | None = None, source: str = "billing") -> str:
+def with_report(as_of: dt.date, ids: Sequence[str] | None = None, source: str = "billing",
+                through_as_of: bool = False) -> str:
     """``WITH`` clause ending in the ``report`` CTE (raw flavour)."""
     src = CARBON_CTE if source == "carbon" else BILLING_CTE
-    return "WITH " + ",".join([src, calendar_ctes(as_of), cube_cte(ids, source), PERIOD_CTES])
+    before = as_of + dt.timedelta(days=1) if through_as_of else None
+    return "WITH " + ",".join([src, calendar_ctes(as_of), cube_cte(ids, source, before=before), PERIOD_CTES])
 
 
 def api_columns(metrics: Sequence[str] = METRICS, alias: str = "report") -> str:
@@ -188,9 +208,9 @@ def raw_columns(metrics: Sequence[str] = METRICS, alias: str = "report") -> str:
 
 
 def report_sql(as_of: dt.date, ids: Sequence[str] | None = None, flavour: str = "api",
-               metrics: Sequence[str] = METRICS, source: str = "billing") -> str:
+               metrics: Sequence[str] = METRICS, source: str = "billing", through_as_of: bool = False) -> str:
     cols = api_columns(metrics) if flavour == "api" else raw_columns(metrics)
-    return f"{with_report(as_of, ids, source)}\nSELECT {cols} FROM report"
+    return f"{with_report(as_of, ids, source, through_as_of)}\nSELECT {cols} FROM report"
 
 
 LEVELS = (
@@ -219,6 +239,19 @@ ubd AS (
 )"""
 
 
+UNIT_PARENTS_CTE = """
+parents AS (
+  SELECT 'department' AS level, department AS name, department_acronym AS acronym,
+         CAST(NULL AS VARCHAR) AS parent_department, CAST(NULL AS VARCHAR) AS parent_branch FROM project_dim
+  UNION ALL SELECT 'branch', branch, branch_acronym, department, CAST(NULL AS VARCHAR) FROM project_dim
+  UNION ALL SELECT 'directorate', directorate, directorate_acronym, department, branch FROM project_dim
+),
+uparents AS (
+  SELECT level, name, acronym, min(parent_department) AS parent_department, min(parent_branch) AS parent_branch
+  FROM parents GROUP BY level, name, acronym
+)"""
+
+
 def with_unit_report(as_of: dt.date) -> str:
     """``WITH`` clause ending in a unit-keyed ``report`` plus ``unit_rows``."""
     return "WITH " + ",".join([

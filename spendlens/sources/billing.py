@@ -107,6 +107,11 @@ def usage_between(df: DataFrame, start: dt.date, end_exclusive: dt.date) -> Data
     return df.where((ts >= _bound(df, start)) & (ts < _bound(df, end_exclusive)))
 
 
+def usage_before(df: DataFrame, end_exclusive: dt.date) -> DataFrame:
+    """Rows with a usage day before ``end_exclusive`` (scan-pushable)."""
+    return df.where(F.col(S.USAGE_START_TIME) < _bound(df, end_exclusive))
+
+
 def normalize_ids(ids: str | Iterable[str] | None) -> list[str]:
     """Validate a project id list: a bare string is a one-element list, duplicates
     collapse, ``None`` or an empty list select nothing, a null element is an error."""

@@ -113,3 +113,26 @@ def test_id_table_and_long_list_paths(spark, billing, monkeypatch):
     monkeypatch.setattr(B, "ISIN_MAX_IDS", 1)
     got = _as_dict(projects(billing, ["a", "c", "zzz"], AS_OF, flavour="raw"))
     assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
+
+
+def test_through_as_of_drops_later_days(billing):
+    got = _as_dict(project_cost_report(billing, AS_OF, through_as_of=True))
+    assert got["a"][:8] == (90.0, 50.0, 80.0, 152.0, None, 148.0, 4.0, 3600.0)
+    assert got["b"] == tuple(EXPECTED["b"])
+
+
+def test_project_details_nested_record(spark, billing):
+    from spendlens.operators.project_details import project_details
+
+    dim = spark.createDataFrame(
+        [("a", "PROTECTED_A", "D1", "DD1", "B1", "BB1", "R1", "RR1")],
+        "project_id string, classification string, department string, department_acronym string, "
+        "branch string, branch_acronym string, directorate string, directorate_acronym string")
+    carbon = billing.select(S.USAGE_START_TIME, S.PROJECT, billing[S.COST].alias(S.CARBON_KG))
+    rows = {r["id"]: r for r in project_details(billing, AS_OF, dim=dim, carbon=carbon).collect()}
+    a = rows["a"]
+    assert a["costs"][S.CURRENT_MONTH] == 91.0 and a["costs"][S.LAST_SIX_MONTHS] == [50.0, 8.0, 4.0]
+    assert a["classification"] == "PROTECTED_A" and a["owner"]["name"] == "D1" and a["owner"]["acronym"] == "DD1"
+    assert a["carbonFootprint"][S.CURRENT_MONTH] == 101.0      # kilograms = cost here, no credits
+    assert rows["b"]["owner"] is None and rows["b"]["classification"] is None
+    assert rows[""]["costs"][S.CURRENT_MONTH] == 0.0           # null project, API flavour
