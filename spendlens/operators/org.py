@@ -10,7 +10,8 @@ here are this project's own:
   summed totals (never averaged percentages);
 * ``projectCount`` counts the unit's projects that have billing rows;
 * ``totalCloudSpend`` sums the whole history;
-* the null project and projects missing from the dimension belong to no unit.
+* the null project and projects missing from the dimension belong to no unit;
+* the dimension holds one row per project (check with ``duplicate_projects``).
 
 All joins are on the monthly cube, never on raw usage lines, so their size is
 projects x months.  No broadcast is forced: the optimizer and AQE pick the
@@ -165,6 +166,17 @@ def directorate(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbo
                                ["directorate"], with_last_six), "directorate", name)
 
 
+def project_totals(billing: DataFrame) -> DataFrame:
+    """All-history spend per project (one row per billed project, null id dropped).
+
+    Reducing to one row per project before any dimension join makes every
+    count below a plain ``count`` instead of a distinct count.
+    """
+    cube = monthly_costs(billing).select(S.PROJECT_ID, S.FINAL_COST)
+    return cube.where(F.col(S.PROJECT_ID).isNotNull()).groupBy(S.PROJECT_ID) \
+        .agg(F.sum(S.FINAL_COST).alias(S.FINAL_COST))
+
+
 def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """All-history spend at every level in one ``ROLLUP`` (grand total included).
 
@@ -172,11 +184,11 @@ def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
     1 branch subtotals, 3 department subtotals, 7 the grand total.
     """
     validate_dim(dim)
-    cube = monthly_costs(billing).select(S.PROJECT_ID, S.FINAL_COST)
-    rows = cube.join(dim.select(S.PROJECT_ID, "department", "branch", "directorate"), on=S.PROJECT_ID)
+    rows = project_totals(billing).join(dim.select(S.PROJECT_ID, "department", "branch", "directorate"),
+                                        on=S.PROJECT_ID)
     return rows.rollup("department", "branch", "directorate").agg(
         F.grouping_id().cast("int").alias("grouping_level"),
-        F.countDistinct(S.PROJECT_ID).alias("projectCount"),
+        F.count(S.PROJECT_ID).alias("projectCount"),
         as_double(F.sum(S.FINAL_COST)).alias("totalCloudSpend"),
     )
 
@@ -215,14 +227,23 @@ def children(dim: DataFrame, level: str, name: str) -> DataFrame:
 def classification_spend(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """Project count and all-history spend per classification."""
     validate_dim(dim)
-    cube = monthly_costs(billing).select(S.PROJECT_ID, S.FINAL_COST)
-    rows = cube.join(dim.select(S.PROJECT_ID, "classification"), on=S.PROJECT_ID)
+    rows = project_totals(billing).join(dim.select(S.PROJECT_ID, "classification"), on=S.PROJECT_ID)
     return rows.groupBy("classification").agg(
-        F.countDistinct(S.PROJECT_ID).alias("projectCount"),
+        F.count(S.PROJECT_ID).alias("projectCount"),
         as_double(F.sum(S.FINAL_COST)).alias("totalCloudSpend"),
     )
 
 
+def duplicate_projects(dim: DataFrame) -> DataFrame:
+    """Project ids listed more than once in the dimension, with their row count.
+
+    The dimension must hold one row per project: a duplicated project would
+    count its spend once per row in every unit total.  Run this as a check.
+    """
+    validate_dim(dim)
+    return dim.groupBy(S.PROJECT_ID).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+
+
 def invalid_classification(dim: DataFrame) -> DataFrame:
     """Dimension rows whose classification is null or outside the declared domain."""
     validate_dim(dim)

@@ -56,3 +56,16 @@ def test_unit_record_has_all_fields(spark, billing, dim):
     assert rec["level"] == "branch" and rec["name"] == name
     assert rec["projectCount"] > 0 and rec["totalCloudSpend"] is not None and rec["carbonFootprint"] > 0
     assert rec["lastSixMonths"] is None or len(rec["lastSixMonths"]) <= 6
+
+
+def test_duplicate_projects_flags_repeats(spark):
+    cols = ("department", "department_acronym", "branch", "branch_acronym", "directorate", "directorate_acronym")
+    dim = spark.createDataFrame([("1", "UNCLASSIFIED"), ("2", "UNCLASSIFIED"), ("2", "PROTECTED_A")],
+                                "project_id string, classification string")
+    for c in cols:
+        dim = dim.withColumn(c, dim.project_id)
+    assert [(r[0], r[1]) for r in org.duplicate_projects(dim).collect()] == [("2", 2)]
+
+
+def test_fixture_dimension_has_no_duplicates(dim):
+    assert org.duplicate_projects(dim).count() == 0
