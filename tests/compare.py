@@ -35,12 +35,12 @@ def norm(v):
         return None
     if isinstance(v, np.ma.MaskedArray):
         return tuple(None if m else norm(x) for x, m in zip(v.data.tolist(), np.ma.getmaskarray(v).tolist()))
-    if isinstance(v, (list, tuple, np.ndarray)):
-        return tuple(norm(x) for x in (v.tolist() if isinstance(v, np.ndarray) else v))
+    if hasattr(v, "asDict"):  # a Row is also a tuple: keep its field names
+        return norm(v.asDict())
     if isinstance(v, dict):
         return tuple((k, norm(x)) for k, x in sorted(v.items()))
-    if hasattr(v, "asDict"):
-        return norm(v.asDict())
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return tuple(norm(x) for x in (v.tolist() if isinstance(v, np.ndarray) else v))
     if isinstance(v, (pd.Timestamp, dt.datetime)):
         if pd.isna(v):
             return None
