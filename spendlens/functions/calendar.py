@@ -43,7 +43,11 @@ def to_date(value: dt.date | dt.datetime | str | None) -> dt.date:
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value))
+    text = str(value).strip()
+    try:
+        return dt.date.fromisoformat(text)
+    except ValueError:
+        return dt.datetime.fromisoformat(text).date()
 
 
 @dataclass(frozen=True)

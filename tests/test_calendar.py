@@ -46,3 +46,10 @@ def test_column_calendar_matches_case_every_day(spark):
         expected = _reference_case(r[0])
         assert tuple(r[1:5]) == expected
         assert r[5] == expected[2].year
+
+
+def test_as_of_accepts_dates_datetimes_and_strings():
+    expected = ReportCalendar.for_date(dt.date(2000, 9, 17))
+    assert ReportCalendar.for_date("2000-09-17") == expected
+    assert ReportCalendar.for_date("2000-09-17T23:59:59") == expected
+    assert ReportCalendar.for_date(dt.datetime(2000, 9, 17, 8)) == expected
