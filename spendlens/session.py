@@ -39,20 +39,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _configured_dir(spark: SparkSession) -> str | None:
+    current = spark.conf.get(CHECKPOINT_CONF, None)
+    if current:
+        return current
+    try:  # classic sessions may have it set on the SparkContext instead
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only if unset."""
-    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    current = _configured_dir(spark)
     if current:
         return current
     path = tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:
+        pass
     return path
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; error when unset."""
-    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    current = _configured_dir(spark)
     if not current:
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set; point it at a folder every executor can reach")
     return current
