@@ -111,13 +111,16 @@ _IDS_SQL = ", ".join(f"'{i}'" for i in SAMPLE_IDS)
 
 # --- M0-M7: monthly cube -----------------------------------------------------
 
-_CUBE_KEYS = [S.MONTH, S.YEAR, S.PROJECT_ID]
+# The registered cube keys show the month as the first instant of the month
+# (a zone-less timestamp), the type the original cube's month column has.
+def _cube_keys():
+    return [F.col(S.MONTH).cast("timestamp_ntz").alias(S.MONTH), S.YEAR, S.PROJECT_ID]
 
 
 def _cube_measure(measure: str):
     def build(spark, sf):
         cube = monthly_costs(_billing(spark, sf))
-        return cube.select(*_CUBE_KEYS, as_double(F.col(measure)).alias(measure))
+        return cube.select(*_cube_keys(), as_double(F.col(measure)).alias(measure))
     return build
 
 
@@ -125,11 +128,12 @@ def monthly_cube(spark, sf):
     cube = monthly_costs(_billing(spark, sf))
     measures = [S.FINAL_COST_NO_CREDITS, S.FIRST_CREDIT_TOTAL, S.ALL_CREDITS_TOTAL, S.FINAL_COST_FIRST_CREDIT,
                 S.FINAL_COST]
-    return cube.select(*_CUBE_KEYS, *[as_double(F.col(m)).alias(m) for m in measures])
+    return cube.select(*_cube_keys(), *[as_double(F.col(m)).alias(m) for m in measures])
 
 
 def _cube_sql(cols: str) -> str:
-    return f"WITH {Q.BILLING_CTE},{Q.cube_cte()}\nSELECT month, year, project_id, {cols} FROM bd"
+    return (f"WITH {Q.BILLING_CTE},{Q.cube_cte()}\n"
+            f"SELECT CAST(month AS TIMESTAMP) AS month, year, project_id, {cols} FROM bd")
 
 
 def project_ids_query(spark, sf):
@@ -414,7 +418,7 @@ def monthly_costs_incremental(spark, sf):
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"cube refresh failed: {query.exception()}")
-    return read_cube(spark, store).select(*_CUBE_KEYS, as_double(F.col(S.FINAL_COST)).alias(S.FINAL_COST))
+    return read_cube(spark, store).select(*_cube_keys(), as_double(F.col(S.FINAL_COST)).alias(S.FINAL_COST))
 
 
 def report_from_store(spark, sf):
