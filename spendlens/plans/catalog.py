@@ -133,7 +133,7 @@ def monthly_cube(spark, sf):
 
 def _cube_sql(cols: str) -> str:
     return (f"WITH {Q.BILLING_CTE},{Q.cube_cte()}\n"
-            f"SELECT CAST(month AS TIMESTAMP) AS month, year, project_id, {cols} FROM bd")
+            f"SELECT CAST(month AS TIMESTAMP) AS month, year, project_id, {cols} FROM monthly")
 
 
 def project_ids_query(spark, sf):
@@ -165,7 +165,7 @@ def _period(period: str, name: str):
 
 
 def _period_sql(cte: str, name: str, month_pick: bool = False) -> str:
-    return f"{Q.with_report(AS_OF)}\nSELECT project_id, CAST(cost AS DOUBLE) AS {name} FROM {cte}"
+    return f"{Q.with_report(AS_OF)}\nSELECT project_id, CAST(amount AS DOUBLE) AS {name} FROM {cte}"
 
 
 def last_six_months(spark, sf):
@@ -174,10 +174,10 @@ def last_six_months(spark, sf):
 
 
 _LSM_EXPLODED_SQL = f"""{Q.with_report(AS_OF)}
-SELECT pid.project_id,
-       CAST(row_number() OVER (PARTITION BY pid.project_id ORDER BY r.month DESC) - 1 AS INTEGER) AS pos,
-       CAST(r.cost AS DOUBLE) AS cost
-FROM pid JOIN lsm_rows r ON pid.project_id = r.project_id"""
+SELECT ids.project_id,
+       CAST(row_number() OVER (PARTITION BY ids.project_id ORDER BY r.month DESC) - 1 AS INTEGER) AS pos,
+       CAST(r.amount AS DOUBLE) AS cost
+FROM ids JOIN six_rows r ON ids.project_id = r.project_id"""
 
 
 def last_six_months_array(spark, sf):
@@ -264,9 +264,9 @@ def _unit_query(fn, name):
 
 
 def _unit_sql(level: str, name: str) -> str:
-    carbon_rows = Q.unit_rows_cte("cbd", "carbon_kg", "carbon_rows", with_month=False)
+    carbon_rows = Q.unit_rows_cte("carbon_by_project", "carbon_kg", "carbon_rows", with_month=False)
     return f"""{Q.with_unit_report(AS_OF)}, {Q.CARBON_CTE},
-cbd AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id), {carbon_rows},
+carbon_by_project AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id), {carbon_rows},
 totals AS (SELECT level, name, acronym, COUNT(DISTINCT project_id) AS projectCount,
                   CAST(SUM(final_cost) AS DOUBLE) AS totalCloudSpend FROM unit_rows GROUP BY level, name, acronym),
 ctotals AS (SELECT level, name, acronym, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
@@ -285,8 +285,8 @@ def org_project_count(spark, sf):
 
 
 _UNIT_COUNT_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()},
-ids AS (SELECT project_id, NULL AS month, NULL AS final_cost FROM bd GROUP BY project_id),
-{Q.unit_rows_cte('ids')[1:]}
+billed AS (SELECT project_id, NULL AS month, NULL AS final_cost FROM monthly GROUP BY project_id),
+{Q.unit_rows_cte('billed')[1:]}
 SELECT level, name, acronym, COUNT(DISTINCT project_id) AS projectCount FROM unit_rows GROUP BY level, name, acronym"""
 
 
@@ -297,9 +297,9 @@ def org_spend_rollup(spark, sf):
 _ROLLUP_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()}
 SELECT d.department, d.branch, d.directorate,
        CAST(GROUPING(d.department, d.branch, d.directorate) AS INTEGER) AS grouping_level,
-       COUNT(DISTINCT bd.project_id) AS projectCount,
-       CAST(SUM(bd.final_cost) AS DOUBLE) AS totalCloudSpend
-FROM bd JOIN project_dim d ON bd.project_id = d.project_id
+       COUNT(DISTINCT m.project_id) AS projectCount,
+       CAST(SUM(m.final_cost) AS DOUBLE) AS totalCloudSpend
+FROM monthly m JOIN project_dim d ON m.project_id = d.project_id
 GROUP BY ROLLUP (d.department, d.branch, d.directorate)"""
 
 
@@ -327,9 +327,9 @@ def classification_spend(spark, sf):
 
 
 _CLASSIFICATION_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()}
-SELECT d.classification, COUNT(DISTINCT bd.project_id) AS projectCount,
-       CAST(SUM(bd.final_cost) AS DOUBLE) AS totalCloudSpend
-FROM bd JOIN project_dim d ON bd.project_id = d.project_id GROUP BY d.classification"""
+SELECT d.classification, COUNT(DISTINCT m.project_id) AS projectCount,
+       CAST(SUM(m.final_cost) AS DOUBLE) AS totalCloudSpend
+FROM monthly m JOIN project_dim d ON m.project_id = d.project_id GROUP BY d.classification"""
 
 
 def invalid_classification(spark, sf):
@@ -346,9 +346,9 @@ def project_owner(spark, sf):
 
 
 _OWNER_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()},
-pid AS (SELECT project_id FROM bd GROUP BY project_id)
-SELECT pid.project_id, d.department AS owner, d.department_acronym AS owner_acronym
-FROM pid LEFT JOIN project_dim d ON pid.project_id = d.project_id"""
+billed AS (SELECT project_id FROM monthly GROUP BY project_id)
+SELECT b.project_id, d.department AS owner, d.department_acronym AS owner_acronym
+FROM billed b LEFT JOIN project_dim d ON b.project_id = d.project_id"""
 
 
 def carbon_report(spark, sf):
@@ -360,8 +360,8 @@ def org_carbon_total(spark, sf):
 
 
 _ORG_CARBON_SQL = f"""WITH {Q.CARBON_CTE}, {Q.DIM_CTE},
-cbd AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id),
-{Q.unit_rows_cte('cbd', 'carbon_kg', 'carbon_rows', with_month=False)[1:]}
+carbon_by_project AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id),
+{Q.unit_rows_cte('carbon_by_project', 'carbon_kg', 'carbon_rows', with_month=False)[1:]}
 SELECT level, name, acronym, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
 FROM carbon_rows GROUP BY level, name, acronym"""
 
@@ -390,7 +390,7 @@ def project_details_query(spark, sf):
 
 
 def _project_details_sql() -> str:
-    carbon_parts = [Q.CARBON_CTE, Q.cube_cte(None, "carbon", name="cbd"), Q.period_ctes(cube="cbd", prefix="c_")]
+    carbon_parts = [Q.CARBON_CTE, Q.cube_cte(None, "carbon", name="c_monthly"), Q.period_ctes(cube="c_monthly", prefix="c_")]
     carbon_cols = ", ".join(f"COALESCE(c.{m}, 0.0) AS carbon_{m}" for m in Q.METRICS)
     return f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE}, {', '.join(p.strip() for p in carbon_parts)}
 SELECT {Q.api_columns()}, d.classification, d.department AS owner, d.department_acronym AS owner_acronym,
@@ -432,7 +432,7 @@ REGISTRY: dict[str, Query] = {
     "billing_scan": Query(billing_scan, f"WITH {Q.BILLING_CTE}\n{_BILLING_ROWS_SQL}", "S1 M6"),
     "billing_for_projects": Query(
         billing_for_projects, f"WITH {Q.BILLING_CTE}\n{_BILLING_ROWS_SQL} WHERE project_id IN ({_IDS_SQL})", "S2 S3"),
-    "project_ids": Query(project_ids_query, f"WITH {Q.BILLING_CTE},{Q.cube_cte()}\nSELECT project_id FROM bd "
+    "project_ids": Query(project_ids_query, f"WITH {Q.BILLING_CTE},{Q.cube_cte()}\nSELECT project_id FROM monthly "
                                             "GROUP BY project_id", "M7"),
     "monthly_cube": Query(monthly_cube, _cube_sql(
         "CAST(final_cost_no_credits AS DOUBLE) AS final_cost_no_credits, "
@@ -453,19 +453,19 @@ REGISTRY: dict[str, Query] = {
     "monthly_final_cost_first_credit": Query(
         _cube_measure(S.FINAL_COST_FIRST_CREDIT), _cube_sql("CAST(final_cost_0 AS DOUBLE) AS final_cost_0"), "M4"),
     "fiscal_calendar": Query(fiscal_calendar, _FISCAL_SQL, "C0 C1"),
-    "current_month": Query(_period("current_month", S.CURRENT_MONTH), _period_sql("cm", S.CURRENT_MONTH), "P1"),
-    "previous_month": Query(_period("previous_month", S.PREVIOUS_MONTH), _period_sql("pm", S.PREVIOUS_MONTH), "P2"),
+    "current_month": Query(_period("current_month", S.CURRENT_MONTH), _period_sql("m_cur", S.CURRENT_MONTH), "P1"),
+    "previous_month": Query(_period("previous_month", S.PREVIOUS_MONTH), _period_sql("m_prev", S.PREVIOUS_MONTH), "P2"),
     "last_six_months": Query(last_six_months, _LSM_EXPLODED_SQL, "P3"),
     "last_six_months_array": Query(
         last_six_months_array, f"{Q.with_report(AS_OF)}\nSELECT project_id, lastSixMonths FROM report", "P3"),
     "current_calendar_year": Query(_period("current_calendar_year", S.CURRENT_CALENDAR_YEAR),
-                                   _period_sql("ccy", S.CURRENT_CALENDAR_YEAR), "P4"),
+                                   _period_sql("y_cur", S.CURRENT_CALENDAR_YEAR), "P4"),
     "previous_calendar_year": Query(_period("previous_calendar_year", S.PREVIOUS_CALENDAR_YEAR),
-                                    _period_sql("pcy", S.PREVIOUS_CALENDAR_YEAR), "P5"),
+                                    _period_sql("y_prev", S.PREVIOUS_CALENDAR_YEAR), "P5"),
     "current_fiscal_year": Query(_period("current_fiscal_year", S.CURRENT_FISCAL_YEAR),
-                                 _period_sql("cfy", S.CURRENT_FISCAL_YEAR), "P6"),
+                                 _period_sql("fy_cur", S.CURRENT_FISCAL_YEAR), "P6"),
     "previous_fiscal_year": Query(_period("previous_fiscal_year", S.PREVIOUS_FISCAL_YEAR),
-                                  _period_sql("pfy", S.PREVIOUS_FISCAL_YEAR), "P7"),
+                                  _period_sql("fy_prev", S.PREVIOUS_FISCAL_YEAR), "P7"),
     "month_delta_pct": Query(_report_cols(S.CURRENT_MONTH, S.PREVIOUS_MONTH, S.MONTH_DELTA),
                              _report_cols_sql(S.CURRENT_MONTH, S.PREVIOUS_MONTH, S.MONTH_DELTA), "P8"),
     "fiscal_delta_pct": Query(_report_cols(S.CURRENT_FISCAL_YEAR, S.PREVIOUS_FISCAL_YEAR, S.FISCAL_DELTA),

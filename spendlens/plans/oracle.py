@@ -1,8 +1,8 @@
 """DuckDB SQL oracles for the registered queries.
 
 The report oracles are written in the *join* shape: calendar CTEs computed in
-SQL from the reference date, a monthly CTE, one CTE per period, and LEFT JOINs
-from the id list.  The Spark side computes the same numbers with a single
+SQL from the report date, a monthly CTE, one CTE per period, and LEFT JOINs
+from the key list.  The Spark side computes the same numbers with a single
 conditional aggregation and Python-side calendar literals, so the two are
 independent implementations.  Both sum exact DECIMALs and cast to DOUBLE last.
 """
@@ -65,9 +65,9 @@ def _ids_where(ids: Sequence[str] | None) -> str:
     return f"WHERE project_id IN ({quoted})" if ids else "WHERE FALSE"
 
 
-def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: str = "bd",
+def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: str = "monthly",
              before: dt.date | None = None) -> str:
-    """Monthly cube in the reference's shape: GROUP BY month, year, project.
+    """Monthly cube: one row per (month, year, project) with every cost measure.
 
     ``before`` keeps only usage dated before that day."""
     if source == "carbon":
@@ -89,89 +89,101 @@ def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: st
          project_id,
          {measures}
   FROM {source} {where}
-  GROUP BY 1, 2, 3
+  GROUP BY month, year, project_id
 )"""
 
 
 def calendar_ctes(as_of: dt.date) -> str:
-    """Reference date and fiscal bounds, computed in SQL (April-to-March years)."""
+    """Reference date and period bounds, computed in SQL.
+
+    ``fy`` is the calendar year in which the current April-to-March fiscal year
+    starts; every fiscal bound is a ``make_date`` from it."""
     return f"""
 today AS (SELECT DATE '{as_of.isoformat()}' AS d),
+fy AS (
+  SELECT d, CAST(EXTRACT(year FROM d) AS INTEGER) - (CASE WHEN EXTRACT(month FROM d) >= 4 THEN 0 ELSE 1 END) AS fy
+  FROM today
+),
 cal AS (
   SELECT d,
          CAST(date_trunc('month', d) AS DATE) AS cur_month,
          CAST(date_trunc('month', d - INTERVAL 1 MONTH) AS DATE) AS prev_month,
          CAST(date_trunc('month', d - INTERVAL 6 MONTH) AS DATE) AS six_start,
          EXTRACT(year FROM d) AS cur_year,
-         EXTRACT(year FROM d - INTERVAL 1 YEAR) AS prev_year,
-         CASE WHEN EXTRACT(month FROM d) > 3 THEN make_date(CAST(EXTRACT(year FROM d) AS INTEGER) - 1, 4, 1)
-              ELSE make_date(CAST(EXTRACT(year FROM d) AS INTEGER) - 2, 4, 1) END AS prev_fy_start,
-         CASE WHEN EXTRACT(month FROM d) > 3 THEN make_date(CAST(EXTRACT(year FROM d) AS INTEGER), 3, 31)
-              ELSE make_date(CAST(EXTRACT(year FROM d) AS INTEGER) - 1, 3, 31) END AS prev_fy_end,
-         CASE WHEN EXTRACT(month FROM d) > 3 THEN make_date(CAST(EXTRACT(year FROM d) AS INTEGER), 4, 1)
-              ELSE make_date(CAST(EXTRACT(year FROM d) AS INTEGER) - 1, 4, 1) END AS cur_fy_start,
-         CASE WHEN EXTRACT(month FROM d) > 3 THEN make_date(CAST(EXTRACT(year FROM d) AS INTEGER) + 1, 3, 31)
-              ELSE make_date(CAST(EXTRACT(year FROM d) AS INTEGER), 3, 31) END AS cur_fy_end
-  FROM today
+         EXTRACT(year FROM d) - 1 AS prev_year,
+         make_date(fy, 4, 1) AS cur_fy_start,
+         make_date(fy + 1, 3, 31) AS cur_fy_end,
+         make_date(fy - 1, 4, 1) AS prev_fy_start,
+         make_date(fy, 3, 31) AS prev_fy_end
+  FROM fy
 )"""
 
 
-def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "bd", prefix: str = "") -> str:
-    """The reference's id list, seven period CTEs and LEFT-JOIN assembly, keyed by ``keys``.
+PERIOD_NAMES = ["ids", "m_cur", "m_prev", "six_rows", "six", "y_cur", "y_prev", "fy_cur", "fy_prev", "report"]
+
+
+def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "monthly", prefix: str = "") -> str:
+    """Key list, one CTE per period, and the LEFT-JOIN assembly, keyed by ``keys``.
 
     Every CTE name gets ``prefix`` so that two reports can share one query."""
     body = _period_ctes(keys, cube)
     if not prefix:
         return body
     import re
-    names = ["pid", "cm", "pm", "lsm_rows", "lsm", "ccy", "pcy", "cfy", "pfy", "report"]
-    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: prefix + m.group(1), body)
+    return re.sub(r"\b(" + "|".join(PERIOD_NAMES) + r")\b", lambda m: prefix + m.group(1), body)
 
 
 def _period_ctes(keys: Sequence[str], cube: str) -> str:
     k = ", ".join(keys)
 
     def on(other: str) -> str:
-        return " AND ".join(f"pid.{x} = {other}.{x}" for x in keys)
+        return " AND ".join(f"ids.{x} = {other}.{x}" for x in keys)
+
+    def one_month(name: str, bound: str) -> str:
+        return f"{name} AS (SELECT {k}, final_cost AS amount FROM {cube} WHERE month = (SELECT {bound} FROM cal))"
+
+    def summed(name: str, where: str) -> str:
+        return f"{name} AS (SELECT {k}, SUM(final_cost) AS amount FROM {cube} WHERE {where} GROUP BY {k})"
+
+    def as_double(alias: str) -> str:
+        return f"CAST({alias}.amount AS DOUBLE)"
 
-    def total(name: str, where: str) -> str:
-        return f"{name} AS (SELECT SUM(final_cost) AS cost, {k} FROM {cube} WHERE {where} GROUP BY {k})"
+    def change(cur: str, prev: str) -> str:
+        return f"({as_double(cur)} - {as_double(prev)}) / NULLIF({as_double(prev)}, 0) * 100"
 
-    sel = ", ".join(f"pid.{x}" for x in keys)
+    sel = ", ".join(f"ids.{x}" for x in keys)
     return f"""
-pid AS (SELECT {k} FROM {cube} GROUP BY {k}),
-cm AS (SELECT final_cost AS cost, {k} FROM {cube} WHERE month = (SELECT cur_month FROM cal)),
-pm AS (SELECT final_cost AS cost, {k} FROM {cube} WHERE month = (SELECT prev_month FROM cal)),
-lsm_rows AS (
-  SELECT {k}, month, final_cost AS cost FROM {cube}
+ids AS (SELECT DISTINCT {k} FROM {cube}),
+{one_month("m_cur", "cur_month")},
+{one_month("m_prev", "prev_month")},
+{summed("y_cur", "year = (SELECT cur_year FROM cal)")},
+{summed("y_prev", "year = (SELECT prev_year FROM cal)")},
+{summed("fy_cur", "month BETWEEN (SELECT cur_fy_start FROM cal) AND (SELECT cur_fy_end FROM cal)")},
+{summed("fy_prev", "month BETWEEN (SELECT prev_fy_start FROM cal) AND (SELECT prev_fy_end FROM cal)")},
+six_rows AS (
+  SELECT {k}, month, final_cost AS amount FROM {cube}
   WHERE month >= (SELECT six_start FROM cal) AND month < (SELECT cur_month FROM cal)
 ),
-lsm AS (SELECT {k}, list(CAST(cost AS DOUBLE) ORDER BY month DESC) AS lsm_cost FROM lsm_rows GROUP BY {k}),
-{total("ccy", "year = (SELECT cur_year FROM cal)")},
-{total("pcy", "year = (SELECT prev_year FROM cal)")},
-{total("cfy", "month >= (SELECT cur_fy_start FROM cal) AND month <= (SELECT cur_fy_end FROM cal)")},
-{total("pfy", "month >= (SELECT prev_fy_start FROM cal) AND month <= (SELECT prev_fy_end FROM cal)")},
+six AS (SELECT {k}, list(CAST(amount AS DOUBLE) ORDER BY month DESC) AS series FROM six_rows GROUP BY {k}),
 report AS (
   SELECT {sel},
-         CAST(cm.cost AS DOUBLE) AS currentMonthToDate,
-         CAST(pm.cost AS DOUBLE) AS previousMonth,
-         (CAST(cm.cost AS DOUBLE) - CAST(pm.cost AS DOUBLE)) / NULLIF(CAST(pm.cost AS DOUBLE), 0) * 100
-             AS currentMonthDeltaPercentage,
-         CAST(ccy.cost AS DOUBLE) AS currentCalendarYearToDate,
-         CAST(pcy.cost AS DOUBLE) AS previousCalendarYear,
-         CAST(cfy.cost AS DOUBLE) AS currentFiscalToDate,
-         CAST(pfy.cost AS DOUBLE) AS previousFiscalYear,
-         (CAST(cfy.cost AS DOUBLE) - CAST(pfy.cost AS DOUBLE)) / NULLIF(CAST(pfy.cost AS DOUBLE), 0) * 100
-             AS currentFiscalYearDeltaPercentage,
-         lsm.lsm_cost AS lastSixMonths
-  FROM pid
-  LEFT JOIN cm ON {on("cm")}
-  LEFT JOIN pm ON {on("pm")}
-  LEFT JOIN pcy ON {on("pcy")}
-  LEFT JOIN ccy ON {on("ccy")}
-  LEFT JOIN cfy ON {on("cfy")}
-  LEFT JOIN pfy ON {on("pfy")}
-  LEFT JOIN lsm ON {on("lsm")}
+         {as_double("m_cur")} AS currentMonthToDate,
+         {as_double("m_prev")} AS previousMonth,
+         {change("m_cur", "m_prev")} AS currentMonthDeltaPercentage,
+         {as_double("y_cur")} AS currentCalendarYearToDate,
+         {as_double("y_prev")} AS previousCalendarYear,
+         {as_double("fy_cur")} AS currentFiscalToDate,
+         {as_double("fy_prev")} AS previousFiscalYear,
+         {change("fy_cur", "fy_prev")} AS currentFiscalYearDeltaPercentage,
+         six.series AS lastSixMonths
+  FROM ids
+  LEFT JOIN m_cur ON {on("m_cur")}
+  LEFT JOIN m_prev ON {on("m_prev")}
+  LEFT JOIN y_cur ON {on("y_cur")}
+  LEFT JOIN y_prev ON {on("y_prev")}
+  LEFT JOIN fy_cur ON {on("fy_cur")}
+  LEFT JOIN fy_prev ON {on("fy_prev")}
+  LEFT JOIN six ON {on("six")}
 )"""
 
 
@@ -220,7 +232,7 @@ LEVELS = (
 )
 
 
-def unit_rows_cte(cube: str = "bd", value: str = "final_cost", name: str = "unit_rows",
+def unit_rows_cte(cube: str = "monthly", value: str = "final_cost", name: str = "unit_rows",
                   with_month: bool = True) -> str:
     """Project-level cube rows copied once per organisational level (UNION ALL)."""
     month = "c.month, " if with_month else ""
@@ -233,7 +245,7 @@ def unit_rows_cte(cube: str = "bd", value: str = "final_cost", name: str = "unit
 
 
 UNIT_CUBE_CTE = """
-ubd AS (
+unit_monthly AS (
   SELECT level, name, acronym, month, CAST(EXTRACT(year FROM month) AS INTEGER) AS year, SUM(final_cost) AS final_cost
   FROM unit_rows GROUP BY level, name, acronym, month
 )"""
@@ -256,5 +268,5 @@ def with_unit_report(as_of: dt.date) -> str:
     """``WITH`` clause ending in a unit-keyed ``report`` plus ``unit_rows``."""
     return "WITH " + ",".join([
         BILLING_CTE, DIM_CTE, calendar_ctes(as_of), cube_cte(None), unit_rows_cte(), UNIT_CUBE_CTE,
-        period_ctes(("level", "name", "acronym"), "ubd"),
+        period_ctes(("level", "name", "acronym"), "unit_monthly"),
     ])
