@@ -1,6 +1,6 @@
-"""Report calendar: the reference date and the periods derived from it.
+"""Report calendar: the report date and the periods derived from it.
 
-Every period boundary of a report is a constant once the reference date
+Every period boundary of a report is a constant once the report date
 (``as_of``) is known, so the boundaries are computed here on the driver and
 enter the plan as literals; Catalyst folds the comparisons and can push the
 scan window down to the parquet reader.  ``fiscal_year_start`` and friends are

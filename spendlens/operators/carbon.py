@@ -1,6 +1,6 @@
 """Carbon footprint report: the cost report's periods over kilograms.
 
-Declared by the reference API (per project, with the same eleven fields as
+Declared by the original API (per project, with the same eleven fields as
 costs) but never computed there; here it is the very same period report run
 over a carbon cube, so every rule (null project, newest-first six months,
 fiscal years) is shared with the cost report.

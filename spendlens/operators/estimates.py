@@ -1,6 +1,6 @@
 """Year-end estimates (``currentFiscalEstimated``, ``currentCalendarYearEstimated``).
 
-Declared by the reference API and never computed there; this project defines
+Declared by the original API and never computed there; this project defines
 them as a linear run rate: the period's spend so far divided by the days
 elapsed up to and including ``as_of``, times the days in the period.  The day
 counts are driver-side constants, so the whole operator is two multiplications

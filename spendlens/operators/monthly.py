@@ -77,7 +77,7 @@ def finish_costs(partials: DataFrame) -> DataFrame:
 
 
 def monthly_costs(billing: DataFrame) -> DataFrame:
-    """The reference's monthly cube (month, year, project_id + five measures).
+    """The original query's monthly cube (month, year, project_id + five measures).
 
     * ``final_cost_no_credits``   SUM(cost)
     * ``total_credits_computed1`` SUM(first credit, 0 when none)

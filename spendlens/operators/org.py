@@ -1,6 +1,6 @@
 """Organisational roll-ups: department > branch > directorate.
 
-The reference API declares these (department / branch / directorate queries,
+The original API declares these (department / branch / directorate queries,
 ``projectCount``, ``totalCloudSpend``, unit ``costs`` and ``projects``,
 ``classification``, ``owner``) but never computes them, so the definitions
 here are this project's own:

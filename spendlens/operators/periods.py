@@ -1,6 +1,6 @@
 """Period-over-period report over a monthly cube.
 
-The reference expresses the report as seven period sub-queries over the cube,
+The original query expresses the report as seven period sub-queries over the cube,
 each LEFT JOINed to the list of project ids.  Here the same numbers come from
 **one** ``groupBy(key)`` with conditional sums (``sum(when(in_period, v))``):
 one pass over the cube, one shuffle, no joins.  Two details keep the results

@@ -94,7 +94,7 @@ def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: st
 
 
 def calendar_ctes(as_of: dt.date) -> str:
-    """Reference date and period bounds, computed in SQL.
+    """Report date and period bounds, computed in SQL.
 
     ``fy`` is the calendar year in which the current April-to-March fiscal year
     starts; every fiscal bound is a ``make_date`` from it."""

@@ -1,6 +1,6 @@
 """Column names and schemas shared by every operator.
 
-Fixed values: the report column names below must equal the reference API's
+Fixed values: the report column names below must equal the original API's
 field names so that a user can switch without renaming anything.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Fixed values (report field names of the reference API, in its output order).
+# Fixed values (report field names of the original API, in its output order).
 PROJECT_ID = "project_id"
 CURRENT_MONTH = "currentMonthToDate"
 PREVIOUS_MONTH = "previousMonth"
@@ -19,7 +19,7 @@ CURRENT_FISCAL_YEAR = "currentFiscalToDate"
 PREVIOUS_FISCAL_YEAR = "previousFiscalYear"
 FISCAL_DELTA = "currentFiscalYearDeltaPercentage"
 LAST_SIX_MONTHS = "lastSixMonths"
-# Declared by the reference API, never computed there (see operators.estimates).
+# Declared by the original API, never computed there (see operators.estimates).
 CURRENT_FISCAL_ESTIMATED = "currentFiscalEstimated"
 CURRENT_CALENDAR_ESTIMATED = "currentCalendarYearEstimated"
 
@@ -55,7 +55,7 @@ FINAL_COST = "final_cost"
 # Carbon input.
 CARBON_KG = "carbon_kg"
 
-# The classification domain declared by the reference API.
+# The classification domain declared by the original API.
 CLASSIFICATIONS = ("PROTECTED_B", "PROTECTED_A", "UNCLASSIFIED")
 
 # Organisational levels: level name -> (name column, acronym column), top down.

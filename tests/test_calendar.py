@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.calendar import ReportCalendar, fiscal_calendar_columns
 
 
-def _reference_case(d: dt.date):
+def _case_rule(d: dt.date):
     """The April-start rule spelled as the original CASE on month > 3."""
     y = d.year
     if d.month > 3:
@@ -19,7 +19,7 @@ def _reference_case(d: dt.date):
                                dt.date(2000, 2, 29)])
 def test_scalar_calendar(d):
     cal = ReportCalendar.for_date(d)
-    assert (cal.prev_fy_start, cal.prev_fy_end, cal.fy_start, cal.fy_end) == _reference_case(d)
+    assert (cal.prev_fy_start, cal.prev_fy_end, cal.fy_start, cal.fy_end) == _case_rule(d)
     assert cal.month_start == d.replace(day=1)
     assert cal.prev_month_start < cal.month_start and cal.prev_month_start.day == 1
     assert (cal.month_start.year * 12 + cal.month_start.month) - (cal.six_months_start.year * 12
@@ -43,7 +43,7 @@ def test_column_calendar_matches_case_every_day(spark):
                        cols["current_fy_end"], cols["fiscal_year"]).collect()
     assert len(rows) == 366 * 3
     for r in rows:
-        expected = _reference_case(r[0])
+        expected = _case_rule(r[0])
         assert tuple(r[1:5]) == expected
         assert r[5] == expected[2].year
 
