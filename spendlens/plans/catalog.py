@@ -37,6 +37,7 @@ from spendlens.operators.report import (
     select_fields,
 )
 from spendlens.plans import oracle as Q
+from spendlens.plans.views import projects_sql
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources import fixtures
 from spendlens.sources.cube_store import materialize_costs, read_cube
@@ -218,6 +219,11 @@ def projects_by_ids(spark, sf):
     return projects(_billing(spark, sf), SAMPLE_IDS, AS_OF, with_last_six=False)
 
 
+def projects_by_ids_sql(spark, sf):
+    report = projects_sql(_billing(spark, sf), SAMPLE_IDS, AS_OF)
+    return report.drop(S.LAST_SIX_MONTHS)
+
+
 def project_by_id(spark, sf):
     return project(_billing(spark, sf), ONE_ID, AS_OF, with_last_six=False)
 
@@ -474,6 +480,7 @@ REGISTRY: dict[str, Query] = {
     "project_cost_report_single_pass": Query(report_single_pass, Q.report_sql(AS_OF, flavour="raw"), "R1"),
     "all_projects": Query(all_projects_query, Q.report_sql(AS_OF), "E1 S5"),
     "projects_by_ids": Query(projects_by_ids, Q.report_sql(AS_OF, ids=SAMPLE_IDS), "E2 S2"),
+    "projects_by_ids_sql": Query(projects_by_ids_sql, Q.report_sql(AS_OF, ids=SAMPLE_IDS), "E2 S3 SQL"),
     "project_by_id": Query(project_by_id, Q.report_sql(AS_OF, ids=[ONE_ID]), "E3"),
     "all_projects_api": Query(all_projects_api, _API_ARRAY_SQL, "S5"),
     "project_records": Query(project_records_query, _RECORDS_SQL, "S4"),
