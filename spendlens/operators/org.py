@@ -44,11 +44,6 @@ def validate_dim(dim: DataFrame) -> None:
         raise ValueError(f"project dimension lacks columns {missing}")
 
 
-def _unit_struct(level: str) -> Column:
-    name, acronym = S.ORG_LEVELS[level]
-    return F.struct(F.lit(level).alias("level"), F.col(name).alias("name"), F.col(acronym).alias("acronym"))
-
-
 def _levels(levels: Sequence[str] | None) -> list[str]:
     levels = list(S.ORG_LEVELS) if levels is None else list(levels)
     unknown = [lv for lv in levels if lv not in S.ORG_LEVELS]
@@ -57,22 +52,48 @@ def _levels(levels: Sequence[str] | None) -> list[str]:
     return levels
 
 
-def explode_units(project_rows: DataFrame, dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+def _no_parent() -> Column:
+    return F.lit(None).cast("string")
+
+
+_PARENTS = {
+    "department": (_no_parent, _no_parent),
+    "branch": (lambda: F.col("department"), _no_parent),
+    "directorate": (lambda: F.col("department"), lambda: F.col("branch")),
+}
+
+
+def unit_memberships(dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+    """(project_id, level, name, acronym, parent_department, parent_branch): one row
+    per project and level.  Built once and reused by every unit join of a query,
+    so the dimension is read and shipped once."""
+    validate_dim(dim)
+    structs = []
+    for lv in _levels(levels):
+        name, acronym = S.ORG_LEVELS[lv]
+        parent_dept, parent_branch = _PARENTS[lv]
+        structs.append(F.struct(F.lit(lv).alias("level"), F.col(name).alias("name"), F.col(acronym).alias("acronym"),
+                                parent_dept().alias("parent_department"), parent_branch().alias("parent_branch")))
+    return dim.select(S.PROJECT_ID, F.explode(F.array(*structs)).alias("_u")).select(S.PROJECT_ID, "_u.*")
+
+
+def explode_units(project_rows: DataFrame, dim: DataFrame | None = None, levels: Sequence[str] | None = None,
+                  memberships: DataFrame | None = None) -> DataFrame:
     """Attach (level, name, acronym) to project-level rows, one row per unit level.
 
     Inner join: rows whose project is null or unknown to the dimension drop out.
     """
-    validate_dim(dim)
-    units = F.explode(F.array(*[_unit_struct(lv) for lv in _levels(levels)])).alias("_unit")
-    joined = project_rows.join(dim.select(S.PROJECT_ID, *_LEVEL_COLUMNS), on=S.PROJECT_ID, how="inner")
-    rest = [c for c in project_rows.columns]
-    return joined.select(units, *rest).select("_unit.*", *rest)
+    if memberships is None:
+        memberships = unit_memberships(dim, levels)
+    rest = [c for c in project_rows.columns if c != S.PROJECT_ID]
+    joined = project_rows.join(memberships.select(S.PROJECT_ID, *UNIT_KEYS), on=S.PROJECT_ID, how="inner")
+    return joined.select(*UNIT_KEYS, S.PROJECT_ID, *rest)
 
 
-def unit_monthly(cube: DataFrame, dim: DataFrame, value: str = S.FINAL_COST,
-                 levels: Sequence[str] | None = None) -> DataFrame:
+def unit_monthly(cube: DataFrame, dim: DataFrame | None, value: str = S.FINAL_COST,
+                 levels: Sequence[str] | None = None, memberships: DataFrame | None = None) -> DataFrame:
     """Unit-month totals (level, name, acronym, month, value) for all levels."""
-    rows = explode_units(cube.select(S.PROJECT_ID, S.MONTH, value), dim, levels)
+    rows = explode_units(cube.select(S.PROJECT_ID, S.MONTH, value), dim, levels, memberships)
     return rows.groupBy(*UNIT_KEYS, S.MONTH).agg(F.sum(value).alias(value))
 
 
@@ -83,13 +104,14 @@ def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Seque
     With ``prune_history`` the money columns are read only for the report's
     months; the list of units still comes from every project ever billed.
     """
+    members = unit_memberships(dim, levels)
     if not prune_history:
-        units = unit_monthly(monthly_costs(billing), dim, levels=levels)
+        units = unit_monthly(monthly_costs(billing), None, memberships=members)
         return period_report(units, as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.scan_window()
-    units = unit_monthly(monthly_costs(usage_between(load_billing(billing), lo, hi)), dim, levels=levels)
-    ids = explode_units(project_ids(billing), dim, levels).select(*UNIT_KEYS).distinct()
+    units = unit_monthly(monthly_costs(usage_between(load_billing(billing), lo, hi)), None, memberships=members)
+    ids = explode_units(project_ids(billing), memberships=members).select(*UNIT_KEYS).distinct()
     return report_over_history(ids, units, cal.as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
 
 
@@ -101,42 +123,32 @@ def org_units(billing: DataFrame, dim: DataFrame, as_of=None, carbon: DataFrame
     The report and the all-history total come from one aggregation over the
     unit-month cube; the project count from an id-only scan.
     """
+    members = unit_memberships(dim, levels)
     cube = monthly_costs(billing).select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)
     total = {"totalCloudSpend": as_double(F.sum(S.FINAL_COST))}
-    report = period_report(unit_monthly(cube, dim, levels=levels), as_of, keys=UNIT_KEYS,
+    report = period_report(unit_monthly(cube, None, memberships=members), as_of, keys=UNIT_KEYS,
                            with_last_six=with_last_six, extra_aggs=total)
-    out = report.join(org_project_count(billing, dim, levels), on=list(UNIT_KEYS), how="left")
+    out = report.join(org_project_count(billing, None, memberships=members), on=list(UNIT_KEYS), how="left")
     if carbon is not None:
-        out = out.join(org_carbon_total(carbon, dim, levels), on=list(UNIT_KEYS), how="left")
-    out = out.join(unit_parents(dim, levels), on=list(UNIT_KEYS), how="left")
+        out = out.join(org_carbon_total(carbon, None, memberships=members), on=list(UNIT_KEYS), how="left")
+    out = out.join(unit_parents(None, memberships=members), on=list(UNIT_KEYS), how="left")
     tail_names = ("projectCount", "totalCloudSpend", "carbonFootprint", "parent_department", "parent_branch")
     cols = [c for c in out.columns if c not in tail_names]
     tail = [c for c in tail_names if c in out.columns]
     return out.select(*cols, *tail)
 
 
-def unit_parents(dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+def unit_parents(dim: DataFrame | None, levels: Sequence[str] | None = None,
+                 memberships: DataFrame | None = None) -> DataFrame:
     """(level, name, acronym) -> its department and branch (null above the unit).
 
     One row per unit even if the dimension disagrees with itself (smallest
     name wins), so joining it never duplicates unit rows.
     """
-    validate_dim(dim)
-    dept = F.col("department")
-    parts = {
-        "department": (F.lit(None).cast("string"), F.lit(None).cast("string")),
-        "branch": (dept, F.lit(None).cast("string")),
-        "directorate": (dept, F.col("branch")),
-    }
-    structs = []
-    for lv in _levels(levels):
-        name, acronym = S.ORG_LEVELS[lv]
-        pd_, pb = parts[lv]
-        structs.append(F.struct(F.lit(lv).alias("level"), F.col(name).alias("name"), F.col(acronym).alias("acronym"),
-                                pd_.alias("parent_department"), pb.alias("parent_branch")))
-    rows = dim.select(F.explode(F.array(*structs)).alias("u")).select("u.*")
-    return rows.groupBy(*UNIT_KEYS).agg(F.min("parent_department").alias("parent_department"),
-                                        F.min("parent_branch").alias("parent_branch"))
+    if memberships is None:
+        memberships = unit_memberships(dim, levels)
+    return memberships.groupBy(*UNIT_KEYS).agg(F.min("parent_department").alias("parent_department"),
+                                               F.min("parent_branch").alias("parent_branch"))
 
 
 def _one_unit(df: DataFrame, level: str, name: str) -> DataFrame:
@@ -193,9 +205,10 @@ def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def org_project_count(billing: DataFrame, dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+def org_project_count(billing: DataFrame, dim: DataFrame | None, levels: Sequence[str] | None = None,
+                      memberships: DataFrame | None = None) -> DataFrame:
     """(level, name, acronym, projectCount) for every unit with billed projects."""
-    rows = explode_units(project_ids(billing), dim, levels)
+    rows = explode_units(project_ids(billing), dim, levels, memberships)
     return rows.groupBy(*UNIT_KEYS).agg(F.countDistinct(S.PROJECT_ID).alias("projectCount"))
 
 
@@ -261,8 +274,9 @@ def project_owner(billing: DataFrame, dim: DataFrame) -> DataFrame:
     return ids.join(owners, on=S.PROJECT_ID, how="left")
 
 
-def org_carbon_total(carbon: DataFrame, dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+def org_carbon_total(carbon: DataFrame, dim: DataFrame | None, levels: Sequence[str] | None = None,
+                     memberships: DataFrame | None = None) -> DataFrame:
     """Per unit: all-history kilograms (the unit-level ``carbonFootprint`` scalar)."""
     cube = monthly_carbon(carbon).select(S.PROJECT_ID, S.CARBON_KG)
-    rows = explode_units(cube, dim, levels)
+    rows = explode_units(cube, dim, levels, memberships)
     return rows.groupBy(*UNIT_KEYS).agg(as_double(F.sum(S.CARBON_KG)).alias("carbonFootprint"))
