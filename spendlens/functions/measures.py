@@ -32,10 +32,12 @@ def first_credit_amount(amount_type: T.DataType) -> Column:
     """Amount of the first credit, 0 when there is none, null for a null array.
 
     ``get`` returns null instead of failing on an out-of-range index (ANSI mode).
+    The length is taken from ``credits.amount`` (same length, null for a null
+    array) so that only the ``amount`` leaf is read from parquet.
     """
     amounts = F.col(f"{S.CREDITS}.amount")
     zero = F.lit(0).cast(amount_type)
-    return F.when(F.size(F.col(S.CREDITS)) == 0, zero).otherwise(F.get(amounts, 0))
+    return F.when(F.size(amounts) == 0, zero).otherwise(F.get(amounts, 0))
 
 
 def credit_total(amount_type: T.DataType) -> Column:

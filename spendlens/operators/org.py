@@ -15,8 +15,10 @@ here are this project's own:
 
 All joins are on the monthly cube, never on raw usage lines, so their size is
 projects x months.  No broadcast is forced: the optimizer and AQE pick the
-join from measured sizes.  All three levels are produced in one pass by
-exploding each project-month row into its three units.
+join from measured sizes.  The dimension is exploded once into unit
+memberships (one row per project and level), and joining the cube to it gives
+all three levels in one pass; a query reuses the same memberships for every
+unit join, so AQE reads and ships the dimension once.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import schema as S
+from spendlens.functions.calendar import ReportCalendar
 from spendlens.functions.measures import as_double
 from spendlens.operators.monthly import monthly_carbon, monthly_costs, project_ids
-from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.periods import period_report, report_over_history
 from spendlens.operators.report import project_cost_report
 from spendlens.sources.billing import load_billing, usage_between

@@ -89,7 +89,7 @@ def _billing_rows(b: DataFrame) -> DataFrame:
         F.col("project.id").alias(S.PROJECT_ID),
         as_double(F.col(S.COST)).alias(S.COST),
         as_double(F.col(S.CREDITS_SUM_AMOUNT)).alias(S.CREDITS_SUM_AMOUNT),
-        F.size(S.CREDITS).alias("n_credits"),
+        F.size(f"{S.CREDITS}.amount").alias("n_credits"),
         as_double(first_credit_amount(amount_type)).alias("first_credit"),
     )
 

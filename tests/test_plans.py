@@ -64,3 +64,12 @@ def test_no_python_in_the_plan(billing):
     text = inspect.plan_text(all_projects(billing, AS_OF), "formatted")
     for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
         assert node not in text
+
+
+def test_credit_measures_read_only_the_amount_leaf(billing_parquet):
+    from spendlens.operators.monthly import monthly_costs
+
+    cube = monthly_costs(billing_parquet).select(S.MONTH, S.PROJECT_ID, S.ALL_CREDITS_TOTAL, S.FIRST_CREDIT_TOTAL)
+    schemas = inspect.read_schemas(cube)
+    assert any("credits:array<struct<amount:decimal(18,4)>>" in s for s in schemas), schemas
+    assert not any("name:" in s for s in schemas)
