@@ -69,8 +69,17 @@ def load_billing(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_billing(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    return load_billing(spark.read.format(fmt).options(**options).load(path))
+def read_billing(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None,
+                 **options) -> DataFrame:
+    """Read an export.  Self-describing formats (parquet, orc, delta-style
+    tables) keep their own schema; text formats (json, csv) get
+    ``schema.BILLING_SCHEMA`` unless one is given, so nothing is inferred."""
+    reader = spark.read.format(fmt).options(**options)
+    if schema is None and fmt.lower() in ("json", "csv", "text"):
+        schema = S.BILLING_SCHEMA
+    if schema is not None:
+        reader = reader.schema(schema)
+    return load_billing(reader.load(path))
 
 
 def project_id_col() -> Column:

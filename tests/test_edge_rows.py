@@ -136,3 +136,24 @@ def test_project_details_nested_record(spark, billing):
     assert a["carbonFootprint"][S.CURRENT_MONTH] == 101.0      # kilograms = cost here, no credits
     assert rows["b"]["owner"] is None and rows["b"]["classification"] is None
     assert rows[""]["costs"][S.CURRENT_MONTH] == 0.0           # null project, API flavour
+
+
+def test_json_export_reads_with_the_declared_schema(spark, billing):
+    import os
+    import tempfile
+
+    from spendlens.sources.billing import read_billing
+
+    path = os.path.join(tempfile.mkdtemp(prefix="spendlens-json-"), "export")
+    billing.write.json(path)
+    loaded = read_billing(spark, path, fmt="json")
+    assert loaded.schema[S.COST].dataType == S.BILLING_SCHEMA[S.COST].dataType
+    assert _as_dict(project_cost_report(loaded, AS_OF)) == {k: tuple(v) for k, v in EXPECTED.items()}
+
+
+def test_report_schema_is_stable(billing):
+    def shape(schema):
+        return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+    assert shape(all_projects(billing, AS_OF).schema) == shape(S.REPORT_SCHEMA)
+    assert shape(project_cost_report(billing, AS_OF, prune_history=False).schema) == shape(S.REPORT_SCHEMA)
