@@ -102,3 +102,21 @@ def project_ids(billing: DataFrame) -> DataFrame:
     row per id per task.
     """
     return billing.select(project_id_col().alias(S.PROJECT_ID)).distinct()
+
+
+def is_cost_cube(df: DataFrame) -> bool:
+    """True for an already aggregated cost cube (e.g. ``cube_store.read_cube``)."""
+    cols = set(df.columns)
+    return {S.MONTH, S.PROJECT_ID, S.FINAL_COST} <= cols and S.USAGE_START_TIME not in cols
+
+
+def cost_cube(billing_or_cube: DataFrame) -> DataFrame:
+    """The monthly cost cube of an export, or the input itself when it already is one."""
+    return billing_or_cube if is_cost_cube(billing_or_cube) else monthly_costs(billing_or_cube)
+
+
+def billed_project_ids(billing_or_cube: DataFrame) -> DataFrame:
+    """Project ids of an export (id-only scan) or of a cube."""
+    if is_cost_cube(billing_or_cube):
+        return billing_or_cube.select(S.PROJECT_ID).distinct()
+    return project_ids(billing_or_cube)

@@ -13,7 +13,9 @@ here are this project's own:
 * the null project and projects missing from the dimension belong to no unit;
 * the dimension holds one row per project (check with ``duplicate_projects``).
 
-All joins are on the monthly cube, never on raw usage lines, so their size is
+Every ``billing`` argument may also be an already aggregated monthly cost cube
+(``cube_store.read_cube``), so one pass over a large export can feed every
+report.  All joins are on the monthly cube, never on raw usage lines, so their size is
 projects x months.  No broadcast is forced: the optimizer and AQE pick the
 join from measured sizes.  The dimension is exploded once into unit
 memberships (one row per project and level), and joining the cube to it gives
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.functions.measures import as_double
-from spendlens.operators.monthly import monthly_carbon, monthly_costs, project_ids
+from spendlens.operators.monthly import billed_project_ids, cost_cube, is_cost_cube, monthly_carbon
 from spendlens.operators.periods import period_report, report_over_history
 from spendlens.operators.report import project_cost_report
 from spendlens.sources.billing import load_billing, usage_between
@@ -108,12 +110,17 @@ def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Seque
     """
     members = unit_memberships(dim, levels)
     if not prune_history:
-        units = unit_monthly(monthly_costs(billing), None, memberships=members)
+        units = unit_monthly(cost_cube(billing), None, memberships=members)
         return period_report(units, as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.scan_window()
-    units = unit_monthly(monthly_costs(usage_between(load_billing(billing), lo, hi)), None, memberships=members)
-    ids = explode_units(project_ids(billing), memberships=members).select(*UNIT_KEYS).distinct()
+    if is_cost_cube(billing):
+        month = F.col(S.MONTH)
+        window = billing.where((month >= F.lit(lo)) & (month < F.lit(hi)))
+    else:
+        window = cost_cube(usage_between(load_billing(billing), lo, hi))
+    units = unit_monthly(window, None, memberships=members)
+    ids = explode_units(billed_project_ids(billing), memberships=members).select(*UNIT_KEYS).distinct()
     return report_over_history(ids, units, cal.as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
 
 
@@ -126,7 +133,7 @@ def org_units(billing: DataFrame, dim: DataFrame, as_of=None, carbon: DataFrame
     unit-month cube; the project count from an id-only scan.
     """
     members = unit_memberships(dim, levels)
-    cube = monthly_costs(billing).select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)
+    cube = cost_cube(billing).select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)
     total = {"totalCloudSpend": as_double(F.sum(S.FINAL_COST))}
     report = period_report(unit_monthly(cube, None, memberships=members), as_of, keys=UNIT_KEYS,
                            with_last_six=with_last_six, extra_aggs=total)
@@ -186,7 +193,7 @@ def project_totals(billing: DataFrame) -> DataFrame:
     Reducing to one row per project before any dimension join makes every
     count below a plain ``count`` instead of a distinct count.
     """
-    cube = monthly_costs(billing).select(S.PROJECT_ID, S.FINAL_COST)
+    cube = cost_cube(billing).select(S.PROJECT_ID, S.FINAL_COST)
     return cube.where(F.col(S.PROJECT_ID).isNotNull()).groupBy(S.PROJECT_ID) \
         .agg(F.sum(S.FINAL_COST).alias(S.FINAL_COST))
 
@@ -210,7 +217,7 @@ def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
 def org_project_count(billing: DataFrame, dim: DataFrame | None, levels: Sequence[str] | None = None,
                       memberships: DataFrame | None = None) -> DataFrame:
     """(level, name, acronym, projectCount) for every unit with billed projects."""
-    rows = explode_units(project_ids(billing), dim, levels, memberships)
+    rows = explode_units(billed_project_ids(billing), dim, levels, memberships)
     return rows.groupBy(*UNIT_KEYS).agg(F.countDistinct(S.PROJECT_ID).alias("projectCount"))
 
 
@@ -269,7 +276,7 @@ def invalid_classification(dim: DataFrame) -> DataFrame:
 def project_owner(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """Owner department of every billed project (null when not in the dimension)."""
     validate_dim(dim)
-    ids = project_ids(billing)
+    ids = billed_project_ids(billing)
     owners = dim.select(
         S.PROJECT_ID, F.col("department").alias("owner"), F.col("department_acronym").alias("owner_acronym")
     )

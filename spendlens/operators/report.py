@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
-from spendlens.operators.monthly import monthly_costs, project_ids
+from spendlens.operators.monthly import is_cost_cube, monthly_costs, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
 from spendlens.sources import billing as billing_source
 from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_before, usage_between
@@ -32,6 +32,8 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
                         with_last_six: bool = True, through_as_of: bool = False) -> DataFrame:
     """Raw report, one row per project id ever seen (null id included).
 
+    ``billing`` is an export or an already aggregated monthly cost cube.
+
     Periods are whole months / years: usage dated after ``as_of`` inside the
     current month, year or fiscal year is counted, as the original query does.
     ``through_as_of=True`` drops usage after ``as_of`` first (for back-dated
@@ -44,6 +46,11 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     and conditionally aggregates: one scan, two shuffles.  Both give the same
     rows.
     """
+    if is_cost_cube(billing):
+        if through_as_of:
+            raise ValueError("through_as_of needs usage lines, not an aggregated cube")
+        return cube_cost_report(billing, as_of, with_last_six) if prune_history else \
+            period_report(billing, as_of, with_last_six=with_last_six)
     billing = load_billing(billing)
     cal = ReportCalendar.for_date(as_of)
     if through_as_of:
@@ -140,6 +147,13 @@ def projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None, as
     meet the id list, whatever its size.  Both give the same rows, since a
     project's report depends only on its own usage lines.
     """
+    if is_cost_cube(billing):
+        if isinstance(ids, DataFrame):
+            keys = ids.select(S.PROJECT_ID).where(F.col(S.PROJECT_ID).isNotNull()).distinct()
+            cube = billing.join(keys, on=S.PROJECT_ID, how="left_semi")
+        else:
+            cube = billing.where(F.col(S.PROJECT_ID).isin(normalize_ids(ids)))
+        return _finish(project_cost_report(cube, as_of, prune_history, with_last_six), flavour)
     billing = load_billing(billing)
     if isinstance(ids, DataFrame) or (not isinstance(ids, str) and ids is not None
                                       and len(normalize_ids(ids)) > billing_source.ISIN_MAX_IDS):

@@ -24,6 +24,7 @@ from spendlens.functions.measures import as_double, credit_amount_type, first_cr
 from spendlens.operators import carbon as carbon_ops
 from spendlens.operators import estimates, org
 from spendlens.operators.project_details import project_details
+from spendlens.operators.suite import spend_reports
 from spendlens.operators.monthly import monthly_costs, project_ids
 from spendlens.operators.report import (
     all_projects,
@@ -432,6 +433,12 @@ def report_from_store(spark, sf):
     return api_flavour(cube_cost_report(cube, AS_OF, with_last_six=False))
 
 
+def org_unit_costs_from_store(spark, sf):
+    reports = spend_reports(_billing(spark, sf), AS_OF, dim=_dim(spark, sf),
+                            store_path=os.path.join(_scratch_root(spark), "cube"), with_last_six=False)
+    return reports["org_units"].select(*org.UNIT_KEYS, *Q.METRICS)
+
+
 # --- registry ----------------------------------------------------------------
 
 REGISTRY: dict[str, Query] = {
@@ -507,6 +514,7 @@ REGISTRY: dict[str, Query] = {
     "all_projects_through_as_of": Query(all_projects_through_as_of, Q.report_sql(AS_OF, through_as_of=True),
                                         "E1 G9"),
     "project_details": Query(project_details_query, _project_details_sql(), "S4 D9 D10 D11"),
+    "org_unit_costs_from_store": Query(org_unit_costs_from_store, _UNIT_REPORT_SQL, "D4 stored cube"),
 }
 
 for _name, _day in OTHER_DATES.items():

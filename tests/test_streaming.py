@@ -85,3 +85,24 @@ def test_compact_keeps_the_cube(spark, billing):
 def test_refresh_rejects_batch_input(spark, billing):
     with pytest.raises(ValueError):
         cube_refresh.start_cube_refresh(billing, "/nonexistent", "/nonexistent")
+
+
+def test_every_report_from_one_stored_cube(spark, billing):
+    from spendlens.operators import org
+    from spendlens.operators.report import all_projects, projects
+    from spendlens.operators.suite import spend_reports
+
+    dim = fixtures.project_dim(spark, SF_SMALL)
+    as_of = dt.date(2000, 9, 17)
+    reports = spend_reports(billing, as_of, dim=dim, carbon=fixtures.carbon(spark, SF_SMALL))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(reports["projects"].collect(), key=key) == sorted(all_projects(billing, as_of).collect(), key=key)
+    assert sorted(reports["org_spend_rollup"].collect(), key=key) == \
+        sorted(org.org_spend_rollup(billing, dim).collect(), key=key)
+    assert sorted(reports["org_units"].collect(), key=key) == \
+        sorted(org.org_units(billing, dim, as_of, carbon=fixtures.carbon(spark, SF_SMALL)).collect(), key=key)
+    cube = cube_store.materialize_costs(billing)
+    ids = ["1", "2", "nope"]
+    assert sorted(projects(cube, ids, as_of).collect(), key=key) == sorted(projects(billing, ids, as_of).collect(),
+                                                                          key=key)
+    assert "carbon_report" in reports and "classification_spend" in reports
