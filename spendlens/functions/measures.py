@@ -61,4 +61,4 @@ def pct_change(current: Column, previous: Column) -> Column:
 
 
 def as_double(c: Column) -> Column:
-    return c.cast(T.DoubleType())
+    return c.cast("double")

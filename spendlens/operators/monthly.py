@@ -76,6 +76,18 @@ def finish_costs(partials: DataFrame) -> DataFrame:
     )
 
 
+def final_cost_cube(billing: DataFrame) -> DataFrame:
+    """(month, project_id, final_cost) only: the one measure every report reads.
+
+    Same numbers as ``monthly_costs(...).final_cost`` (two sums, then added),
+    with a smaller plan to build and analyse.
+    """
+    billing = load_billing(billing)
+    month = month_of(usage_date(billing)).alias(S.MONTH)
+    return billing.groupBy(month, project_id_col().alias(S.PROJECT_ID)).agg(
+        (F.sum(S.COST) + F.sum(S.CREDITS_SUM_AMOUNT)).alias(S.FINAL_COST))
+
+
 def monthly_costs(billing: DataFrame) -> DataFrame:
     """The original query's monthly cube (month, year, project_id + five measures).
 
@@ -111,8 +123,9 @@ def is_cost_cube(df: DataFrame) -> bool:
 
 
 def cost_cube(billing_or_cube: DataFrame) -> DataFrame:
-    """The monthly cost cube of an export, or the input itself when it already is one."""
-    return billing_or_cube if is_cost_cube(billing_or_cube) else monthly_costs(billing_or_cube)
+    """The (month, project_id, final_cost) cube of an export, or the input itself
+    when it already is a cube."""
+    return billing_or_cube if is_cost_cube(billing_or_cube) else final_cost_cube(billing_or_cube)
 
 
 def billed_project_ids(billing_or_cube: DataFrame) -> DataFrame:

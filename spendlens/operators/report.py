@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
-from spendlens.operators.monthly import is_cost_cube, monthly_costs, project_ids
+from spendlens.operators.monthly import final_cost_cube, is_cost_cube, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
 from spendlens.sources import billing as billing_source
 from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_before, usage_between
@@ -56,9 +56,9 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     if through_as_of:
         billing = usage_before(billing, cal.as_of + dt.timedelta(days=1))
     if not prune_history:
-        return period_report(monthly_costs(billing), cal.as_of, with_last_six=with_last_six)
+        return period_report(final_cost_cube(billing), cal.as_of, with_last_six=with_last_six)
     lo, hi = cal.scan_window()
-    cube = monthly_costs(usage_between(billing, lo, hi))
+    cube = final_cost_cube(usage_between(billing, lo, hi))
     return report_over_history(project_ids(billing), cube, cal.as_of, with_last_six=with_last_six)
 
 
@@ -84,7 +84,7 @@ def billing_period_total(billing: DataFrame, as_of, period: str, name: str | Non
     """
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.period_window(period)
-    cube = monthly_costs(usage_between(load_billing(billing), lo, hi))
+    cube = final_cost_cube(usage_between(load_billing(billing), lo, hi))
     return period_total(cube, cal.as_of, period, name=name)
 
 
