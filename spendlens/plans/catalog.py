@@ -23,9 +23,8 @@ from spendlens.functions.calendar import fiscal_calendar_columns
 from spendlens.functions.measures import as_double, credit_amount_type, first_credit_amount
 from spendlens.operators import carbon as carbon_ops
 from spendlens.operators import estimates, org
-from spendlens.operators.project_details import project_details
-from spendlens.operators.suite import spend_reports
 from spendlens.operators.monthly import monthly_costs, project_ids
+from spendlens.operators.project_details import project_details
 from spendlens.operators.report import (
     all_projects,
     api_flavour,
@@ -38,12 +37,13 @@ from spendlens.operators.report import (
     select_fields,
 )
 from spendlens.plans import oracle as Q
+from spendlens.operators.suite import spend_reports
 from spendlens.plans.views import projects_sql
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources import fixtures
+from spendlens.sources.billing import filter_projects, load_billing, usage_date
 from spendlens.sources.cube_store import materialize_costs, read_cube
 from spendlens.streaming.cube_refresh import billing_stream, refresh_paths, start_cube_refresh
-from spendlens.sources.billing import filter_projects, load_billing, usage_date
 
 # Fixed parameters of the registered queries.
 AS_OF = dt.date(2000, 9, 17)
@@ -166,7 +166,7 @@ def _period(period: str, name: str):
     return build
 
 
-def _period_sql(cte: str, name: str, month_pick: bool = False) -> str:
+def _period_sql(cte: str, name: str) -> str:
     return f"{Q.with_report(AS_OF)}\nSELECT project_id, CAST(amount AS DOUBLE) AS {name} FROM {cte}"
 
 
