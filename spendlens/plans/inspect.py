@@ -60,3 +60,21 @@ def summary(df: DataFrame) -> dict:
         "pushed_filters": pushed_filters(df),
         "read_schemas": read_schemas(df),
     }
+
+
+def shuffle_inputs(df: DataFrame) -> list[str]:
+    """Name of the operator feeding each shuffle ``Exchange`` of the plan.
+
+    A shuffle fed by a (partial) aggregate moves pre-aggregated rows; one fed
+    by a scan, filter or projection moves raw input rows.
+    """
+    lines = _tree(df).splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if not line.lstrip(" :+-").startswith("Exchange ("):
+            continue
+        depth = line.index("Exchange")
+        child = next((nxt for nxt in lines[i + 1:] if nxt.find("+- ") >= depth - 3), None)
+        if child is not None:
+            out.append(re.sub(r"\s*\(\d+\)\s*$", "", child[child.find("+- ") + 3:]).strip())
+    return out

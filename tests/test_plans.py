@@ -73,3 +73,16 @@ def test_credit_measures_read_only_the_amount_leaf(billing_parquet):
     schemas = inspect.read_schemas(cube)
     assert any("credits:array<struct<amount:decimal(18,4)>>" in s for s in schemas), schemas
     assert not any("name:" in s for s in schemas)
+
+
+@pytest.mark.parametrize("name", ["all_projects", "project_cost_report_single_pass", "projects_by_ids",
+                                  "org_unit_costs", "department_report", "org_spend_rollup", "carbon_report",
+                                  "monthly_cube", "last_six_months", "cost_estimates"])
+def test_no_shuffle_moves_raw_usage_lines(spark, name):
+    """Every shuffle is fed by a (partial) aggregate: a hot project or month adds at
+    most one row per task to its partition, whatever its share of the data."""
+    from spendlens.plans.catalog import REGISTRY
+
+    inputs = inspect.shuffle_inputs(REGISTRY[name].build(spark, SF_SMALL))
+    assert inputs, name
+    assert all(op in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") for op in inputs), inputs
