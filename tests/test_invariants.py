@@ -81,3 +81,26 @@ def test_unit_report_sums_project_reports(billing, dim):
         .groupBy("department").agg(F.sum(S.CURRENT_CALENDAR_YEAR).alias("s"))
     for r in units.join(per_project, units.name == per_project.department).collect():
         assert r[S.CURRENT_CALENDAR_YEAR] == pytest.approx(r["s"])
+
+
+PERIOD_COLUMNS = {
+    "current_month": S.CURRENT_MONTH,
+    "previous_month": S.PREVIOUS_MONTH,
+    "current_calendar_year": S.CURRENT_CALENDAR_YEAR,
+    "previous_calendar_year": S.PREVIOUS_CALENDAR_YEAR,
+    "current_fiscal_year": S.CURRENT_FISCAL_YEAR,
+    "previous_fiscal_year": S.PREVIOUS_FISCAL_YEAR,
+}
+
+
+@pytest.mark.parametrize("as_of", DATES)
+def test_single_period_windows_agree_with_report(billing, as_of):
+    from spendlens.operators.report import billing_period_total
+
+    report = {r[S.PROJECT_ID]: r for r in project_cost_report(billing, as_of, with_last_six=False).collect()}
+    for period, column in PERIOD_COLUMNS.items():
+        totals = {r[0]: r[1] for r in billing_period_total(billing, as_of, period, name="v").collect()}
+        for pid, row in report.items():
+            if pid is not None:
+                assert totals.get(pid) == row[column], (as_of, period, pid)
+        assert set(totals) - set(report) == set()
