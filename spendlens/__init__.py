@@ -19,13 +19,14 @@ from spendlens.operators.report import (
 )
 from spendlens.operators.suite import spend_reports
 from spendlens.plans.views import projects_sql, register_views
-from spendlens.sources.billing import filter_projects, load_billing, read_billing
+from spendlens.sources.billing import declare_date_partition, filter_projects, load_billing, read_billing
 
 __all__ = [
     "ReportCalendar",
     "all_projects",
     "api_flavour",
     "cube_cost_report",
+    "declare_date_partition",
     "filter_projects",
     "final_cost_cube",
     "load_billing",

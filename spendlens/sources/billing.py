@@ -110,15 +110,59 @@ def _bound(df: DataFrame, day: dt.date) -> Column:
     return F.lit(f"{day.isoformat()} 00:00:00Z").cast(T.TimestampType())
 
 
+# Column-metadata keys on usage_start_time naming a date partition column.
+PARTITION_COLUMN_META = "spendlens.partition_date_column"
+PARTITION_KIND_META = "spendlens.partition_date_kind"
+
+
+def declare_date_partition(billing: DataFrame, column: str, kind: str = "usage") -> DataFrame:
+    """Declare the export's date partition column so report windows prune partitions.
+
+    * ``kind="usage"``: ``column`` is the UTC date of ``usage_start_time``;
+      both ends of a window also filter the partition column.
+    * ``kind="export"``: ``column`` is the date a line was exported, never
+      before its usage day; only the lower end of a window can use it.
+
+    The declaration travels as metadata on ``usage_start_time``.
+    """
+    if kind not in ("usage", "export"):
+        raise ValueError("kind must be 'usage' or 'export'")
+    if column not in billing.columns or not isinstance(billing.schema[column].dataType, T.DateType):
+        raise ValueError(f"partition column {column!r} must be a DATE column of the export")
+    meta = dict(billing.schema[S.USAGE_START_TIME].metadata)
+    meta.update({PARTITION_COLUMN_META: column, PARTITION_KIND_META: kind})
+    return billing.withMetadata(S.USAGE_START_TIME, meta)
+
+
+def _partition_bounds(df: DataFrame, start: dt.date | None, end_exclusive: dt.date | None) -> Column | None:
+    meta = df.schema[S.USAGE_START_TIME].metadata
+    column = meta.get(PARTITION_COLUMN_META)
+    if not column or column not in df.columns:
+        return None
+    p = F.col(column)
+    cond = None
+    if start is not None:
+        cond = p >= F.lit(start)
+    if end_exclusive is not None and meta.get(PARTITION_KIND_META) == "usage":
+        upper = p < F.lit(end_exclusive)
+        cond = upper if cond is None else cond & upper
+    return cond
+
+
 def usage_between(df: DataFrame, start: dt.date, end_exclusive: dt.date) -> DataFrame:
-    """Rows with a usage day in [start, end_exclusive), as a scan-pushable filter."""
+    """Rows with a usage day in [start, end_exclusive), as a scan-pushable filter
+    (plus a partition filter when a date partition was declared)."""
     ts = F.col(S.USAGE_START_TIME)
-    return df.where((ts >= _bound(df, start)) & (ts < _bound(df, end_exclusive)))
+    cond = (ts >= _bound(df, start)) & (ts < _bound(df, end_exclusive))
+    extra = _partition_bounds(df, start, end_exclusive)
+    return df.where(cond if extra is None else cond & extra)
 
 
 def usage_before(df: DataFrame, end_exclusive: dt.date) -> DataFrame:
     """Rows with a usage day before ``end_exclusive`` (scan-pushable)."""
-    return df.where(F.col(S.USAGE_START_TIME) < _bound(df, end_exclusive))
+    cond = F.col(S.USAGE_START_TIME) < _bound(df, end_exclusive)
+    extra = _partition_bounds(df, None, end_exclusive)
+    return df.where(cond if extra is None else cond & extra)
 
 
 def normalize_ids(ids: str | Iterable[str] | None) -> list[str]:

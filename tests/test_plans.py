@@ -86,3 +86,28 @@ def test_no_shuffle_moves_raw_usage_lines(spark, name):
     inputs = inspect.shuffle_inputs(REGISTRY[name].build(spark, SF_SMALL))
     assert inputs, name
     assert all(op in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") for op in inputs), inputs
+
+
+@pytest.mark.parametrize("kind", ["usage", "export"])
+def test_declared_date_partition_prunes_and_keeps_results(spark, kind):
+    from pyspark.sql import functions as F
+
+    from spendlens.sources.billing import declare_date_partition
+    from test_edge_rows import ROWS, SCHEMA
+
+    edge = spark.createDataFrame(ROWS, SCHEMA)
+    day = F.to_date(S.USAGE_START_TIME)
+    part = day if kind == "usage" else F.date_add(day, 3)        # exports land a few days after usage
+    path = os.path.join(tempfile.mkdtemp(prefix="spendlens-part-"), "billing")
+    edge.withColumn("pdate", part).write.partitionBy("pdate").parquet(path)
+    stored = spark.read.parquet(path)
+    declared = declare_date_partition(stored, "pdate", kind)
+    text = inspect.plan_text(project_cost_report(declared, AS_OF))
+    assert "PartitionFilters: [isnotnull(pdate" in text and ">= 1999-01-01)" in text
+    assert ("< 2001-04-01)" in text) == (kind == "usage")
+    key = lambda r: (r[0] is None, r[0] or "")
+    for through in (False, True):
+        assert sorted(project_cost_report(declared, AS_OF, through_as_of=through).collect(), key=key) == \
+            sorted(project_cost_report(stored, AS_OF, through_as_of=through).collect(), key=key)
+    with pytest.raises(ValueError):
+        declare_date_partition(stored, S.USAGE_START_TIME)
