@@ -24,7 +24,8 @@ def project_details(billing: DataFrame, as_of=None, dim: DataFrame | None = None
     """One row per billed project with every field of the API's Project type.
 
     ``nested=True`` gives ``id, costs struct, classification, owner struct
-    (name, acronym), carbonFootprint struct``; ``nested=False`` the same
+    (name, acronym), carbonFootprint struct``; both structs carry the API's
+    eleven fields, the two year-end estimates null as the original leaves them; ``nested=False`` the same
     values as flat columns (carbon metrics prefixed ``carbon_``).  Fields whose
     input is not given are null.
     """
@@ -51,11 +52,13 @@ def project_details(billing: DataFrame, as_of=None, dim: DataFrame | None = None
                                 for c in ("classification", "owner", "owner_acronym")])
     if not nested:
         return out.select(S.PROJECT_ID, *metrics, "classification", "owner", "owner_acronym", *carbon_cols)
-    carbon_struct = (F.struct(*[F.col(c).alias(c[len(_CARBON_PREFIX):]) for c in carbon_cols])
+    estimates = [F.lit(None).cast("double").alias(n)
+                 for n in (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED)]
+    carbon_struct = (F.struct(*[F.col(c).alias(c[len(_CARBON_PREFIX):]) for c in carbon_cols], *estimates)
                      if carbon_cols else F.lit(None))
     return out.select(
         F.col(S.PROJECT_ID).alias("id"),
-        F.struct(*metrics).alias("costs"),
+        F.struct(*[F.col(m) for m in metrics], *estimates).alias("costs"),
         "classification",
         F.when(F.col("owner").isNotNull(),
                F.struct(F.col("owner").alias("name"), F.col("owner_acronym").alias("acronym"))).alias("owner"),

@@ -105,8 +105,15 @@ def api_flavour(report: DataFrame, key: str = S.PROJECT_ID) -> DataFrame:
 
 
 def project_records(report: DataFrame) -> DataFrame:
-    """Nested records ``id`` + ``costs`` struct (one per project)."""
-    fields = [f for f in S.REPORT_FIELDS if f in report.columns]
+    """Nested records ``id`` + ``costs`` struct (one per project).
+
+    ``costs`` has the API's eleven fields: the report's, plus the two year-end
+    estimates, which are null unless computed (``estimates.with_estimates``),
+    as the original API leaves them unset.
+    """
+    fields = [F.col(f) for f in S.REPORT_FIELDS if f in report.columns]
+    for name in (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED):
+        fields.append(F.col(name) if name in report.columns else F.lit(None).cast("double").alias(name))
     return report.select(F.col(S.PROJECT_ID).alias("id"), F.struct(*fields).alias("costs"))
 
 

@@ -246,7 +246,9 @@ def project_records_query(spark, sf):
 _RECORDS_SQL = f"""{Q.with_report(AS_OF)}
 SELECT COALESCE(project_id, '') AS id,
        struct_pack({', '.join(f'{m} := COALESCE({m}, 0.0)' for m in Q.METRICS)},
-                   lastSixMonths := list_transform(lastSixMonths, lambda x: COALESCE(x, 0.0))) AS costs
+                   lastSixMonths := list_transform(lastSixMonths, lambda x: COALESCE(x, 0.0)),
+                   currentFiscalEstimated := CAST(NULL AS DOUBLE),
+                   currentCalendarYearEstimated := CAST(NULL AS DOUBLE)) AS costs
 FROM report"""
 
 
