@@ -10,9 +10,9 @@ sum over batches (``cube_store.read_cube``).  Consequences:
 * exactly-once effect: a replayed batch id rewrites the same
   ``(month, batch_id)`` partitions (dynamic partition overwrite), never
   duplicating them;
-* the stream's checkpoint and the store live on shared storage
-  (``spark.checkpoint.dir``), so the job survives lost executors and driver
-  restarts.
+* with the stream's checkpoint and the store on shared storage (for example
+  under ``spark.checkpoint.dir``, see ``cube_store.new_store_path``) the job
+  survives lost executors and driver restarts.
 """
 
 from __future__ import annotations
