@@ -69,16 +69,31 @@ class Query:
     survey_id: str
 
 
+# Inputs are built once per session and data folder and reused by every query,
+# as an application loads its billing table once and runs many reports on it.
+# (DataFrames are immutable and the driver tables are read-only.)
+_INPUTS: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
+
+
+def _input(kind: str, build, spark, sf) -> DataFrame:
+    hit = _INPUTS.get((kind, sf))
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = build(spark, sf)
+    _INPUTS[(kind, sf)] = (spark, df)
+    return df
+
+
 def _billing(spark, sf):
-    return fixtures.billing(spark, sf)
+    return _input("billing", fixtures.billing, spark, sf)
 
 
 def _dim(spark, sf):
-    return fixtures.project_dim(spark, sf)
+    return _input("dim", fixtures.project_dim, spark, sf)
 
 
 def _carbon(spark, sf):
-    return fixtures.carbon(spark, sf)
+    return _input("carbon", fixtures.carbon, spark, sf)
 
 
 # --- S1 / S2: billing rows -------------------------------------------------
