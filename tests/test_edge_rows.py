@@ -157,3 +157,12 @@ def test_report_schema_is_stable(billing):
 
     assert shape(all_projects(billing, AS_OF).schema) == shape(S.REPORT_SCHEMA)
     assert shape(project_cost_report(billing, AS_OF, prune_history=False).schema) == shape(S.REPORT_SCHEMA)
+
+
+def test_same_report_with_ansi_mode_off(spark):
+    legacy = spark.newSession()
+    legacy.conf.set("spark.sql.ansi.enabled", "false")
+    df = legacy.createDataFrame(ROWS, SCHEMA)
+    for prune in (True, False):
+        got = _as_dict(project_cost_report(df, AS_OF, prune_history=prune))
+        assert got == {k: tuple(v) for k, v in EXPECTED.items()}
