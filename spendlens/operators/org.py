@@ -29,6 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
@@ -43,9 +44,16 @@ _LEVEL_COLUMNS = [c for pair in S.ORG_LEVELS.values() for c in pair]
 
 
 def validate_dim(dim: DataFrame) -> None:
+    """The dimension needs the id, classification and level columns, with a
+    string ``project_id`` (export ids are strings; a numeric key would make the
+    join coerce every export id to a number)."""
     missing = [c for c in (S.PROJECT_ID, "classification", *_LEVEL_COLUMNS) if c not in dim.columns]
     if missing:
         raise ValueError(f"project dimension lacks columns {missing}")
+    id_type = dim.schema[S.PROJECT_ID].dataType
+    if not isinstance(id_type, T.StringType):
+        raise ValueError(f"project dimension's {S.PROJECT_ID} must be a string, got {id_type.simpleString()}; "
+                         f"cast it, e.g. dim.withColumn('{S.PROJECT_ID}', F.col('{S.PROJECT_ID}').cast('string'))")
 
 
 def _levels(levels: Sequence[str] | None) -> list[str]:

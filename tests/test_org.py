@@ -69,3 +69,11 @@ def test_duplicate_projects_flags_repeats(spark):
 
 def test_fixture_dimension_has_no_duplicates(dim):
     assert org.duplicate_projects(dim).count() == 0
+
+
+def test_numeric_dimension_ids_are_rejected(spark, billing, dim):
+    from pyspark.sql import functions as F
+
+    numeric = dim.withColumn("project_id", F.col("project_id").cast("bigint"))
+    with pytest.raises(ValueError, match="must be a string"):
+        org.org_unit_costs(billing, numeric, AS_OF)
