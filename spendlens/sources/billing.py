@@ -40,7 +40,8 @@ def validate_billing(df: DataFrame, require_credit_sum: bool = False) -> None:
     if not isinstance(ts, _TIME_TYPES):
         problems.append(f"{S.USAGE_START_TIME}: timestamp expected, got {ts and ts.simpleString()}")
     project = fields.get(S.PROJECT)
-    if not (isinstance(project, T.StructType) and "id" in project.fieldNames()):
+    if not (isinstance(project, T.StructType) and "id" in project.fieldNames()
+            and isinstance(project["id"].dataType, T.StringType)):
         problems.append(f"{S.PROJECT}: struct<id: string> expected, got {project and project.simpleString()}")
     cost = fields.get(S.COST)
     if not isinstance(cost, _NUMERIC_TYPES):

@@ -87,3 +87,11 @@ def test_usage_date_is_utc_whatever_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert df.select(B.usage_date(df)).first()[0] == dt.date(2000, 8, 31)
+
+
+def test_numeric_project_ids_are_rejected(spark):
+    df = spark.createDataFrame([(dt.datetime(2000, 1, 1), (1,), 1.0, 0.0)],
+                               "usage_start_time timestamp, project struct<id:bigint>, cost double, "
+                               "credits_sum_amount double")
+    with pytest.raises(ValueError, match="struct<id: string>"):
+        B.validate_billing(df)
