@@ -84,7 +84,11 @@ def billing_period_total(billing: DataFrame, as_of, period: str, name: str | Non
     """
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.period_window(period)
-    cube = final_cost_cube(usage_between(load_billing(billing), lo, hi))
+    if is_cost_cube(billing):
+        month = F.col(S.MONTH)
+        cube = billing.where((month >= F.lit(lo)) & (month < F.lit(hi)))
+    else:
+        cube = final_cost_cube(usage_between(load_billing(billing), lo, hi))
     return period_total(cube, cal.as_of, period, name=name)
 
 

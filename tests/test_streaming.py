@@ -106,3 +106,14 @@ def test_every_report_from_one_stored_cube(spark, billing):
     assert sorted(projects(cube, ids, as_of).collect(), key=key) == sorted(projects(billing, ids, as_of).collect(),
                                                                           key=key)
     assert "carbon_report" in reports and "classification_spend" in reports
+
+
+def test_single_periods_from_a_stored_cube(spark, billing):
+    from spendlens.operators.report import billing_period_total
+
+    cube = cube_store.materialize_costs(billing)
+    as_of = dt.date(2000, 1, 15)
+    for period in ("current_month", "previous_fiscal_year", "current_calendar_year"):
+        a = {r[0]: r[1] for r in billing_period_total(cube, as_of, period).collect()}
+        b = {r[0]: r[1] for r in billing_period_total(billing, as_of, period).collect()}
+        assert a == b, period
