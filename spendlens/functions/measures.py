@@ -40,6 +40,12 @@ def first_credit_amount(amount_type: T.DataType) -> Column:
     return F.when(F.size(amounts) == 0, zero).otherwise(F.get(amounts, 0))
 
 
+# Credit arrays up to this length are summed with plain arithmetic (kept in
+# whole-stage codegen); longer ones use the interpreted higher-order
+# ``aggregate``.  Export lines carry few credits, so the fallback is rare.
+UNROLLED_CREDITS = 3
+
+
 def credit_total(amount_type: T.DataType) -> Column:
     """Sum of all credit amounts of a row; 0 for an empty or null array.
 
@@ -47,12 +53,20 @@ def credit_total(amount_type: T.DataType) -> Column:
     """
     acc_type = _accumulator_type(amount_type)
     zero = F.lit(0).cast(acc_type)
-    total = F.aggregate(
-        F.col(f"{S.CREDITS}.amount"),
-        zero,
-        lambda acc, x: (acc + F.coalesce(x.cast(acc_type), zero)).cast(acc_type),
-    )
-    return F.coalesce(total, zero)
+    amounts = F.col(f"{S.CREDITS}.amount")
+    n = F.size(amounts)  # null (ANSI) or -1 (legacy) for a null array
+
+    def term(i: int) -> Column:
+        return F.coalesce(F.get(amounts, i).cast(acc_type), zero)
+
+    expr = F.when(n.isNull() | (n <= 0), zero)
+    for k in range(1, UNROLLED_CREDITS + 1):
+        total = term(0)
+        for i in range(1, k):
+            total = (total + term(i)).cast(acc_type)
+        expr = expr.when(n == k, total)
+    longer = F.aggregate(amounts, zero, lambda acc, x: (acc + F.coalesce(x.cast(acc_type), zero)).cast(acc_type))
+    return expr.otherwise(F.coalesce(longer, zero))
 
 
 def pct_change(current: Column, previous: Column) -> Column:

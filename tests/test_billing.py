@@ -39,6 +39,8 @@ def _billing(spark):
         (dt.datetime(2000, 1, 2), ("p2",), D("5.00"), []),
         (dt.datetime(2000, 1, 3), ("p3",), D("7.00"), None),
         (dt.datetime(2000, 1, 4), (None,), D("1.00"), [("x", None)]),
+        (dt.datetime(2000, 1, 5), ("p5",), D("2.00"),
+         [("a", D("-1")), ("b", None), ("c", D("-2")), ("d", D("-3")), ("e", D("-0.5"))]),
     ]
     return spark.createDataFrame(rows, schema)
 
@@ -53,6 +55,7 @@ def test_credit_expressions(spark):
     assert got["p2"] == (D("0"), D("0"))             # empty: both 0
     assert got["p3"][0] is None and got["p3"][1] == D("0")  # null array: first null, total 0
     assert got[None] == (None, D("0"))               # only a null amount
+    assert got["p5"] == (D("-1"), D("-6.5"))         # longer than the unrolled sizes
 
 
 def test_load_billing_derives_credit_sum(spark):
