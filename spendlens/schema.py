@@ -43,7 +43,8 @@ COST = "cost"
 CREDITS = "credits"
 CREDITS_SUM_AMOUNT = "credits_sum_amount"
 
-# Monthly cube columns.
+# Monthly cube columns, named as in the original query's monthly
+# CTE (month, year, and its five cost measures).
 MONTH = "month"
 YEAR = "year"
 FINAL_COST_NO_CREDITS = "final_cost_no_credits"
