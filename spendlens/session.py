@@ -57,11 +57,22 @@ def _configured_dir(spark: SparkSession) -> str | None:
         return None
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return str(spark.conf.get("spark.master", "")).startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only if unset."""
+    """Return the session's checkpoint folder.
+
+    When it is unset, a scratch folder is created only for a local-mode session
+    (tests, the benchmark, the driver's checks); a cluster session must name a
+    shared folder, since a machine-local one is not visible to every executor.
+    """
     current = _configured_dir(spark)
     if current:
         return current
+    if not _is_local(spark):
+        raise RuntimeError(f"{CHECKPOINT_CONF} is not set; point it at a folder every executor can reach")
     path = tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
     try:

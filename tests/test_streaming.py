@@ -117,3 +117,14 @@ def test_single_periods_from_a_stored_cube(spark, billing):
         a = {r[0]: r[1] for r in billing_period_total(cube, as_of, period).collect()}
         b = {r[0]: r[1] for r in billing_period_total(billing, as_of, period).collect()}
         assert a == b, period
+
+
+def test_scratch_checkpoint_only_in_local_mode(spark, monkeypatch):
+    from spendlens import session
+
+    monkeypatch.setattr(session, "_configured_dir", lambda s: None)
+    monkeypatch.setattr(session, "_is_local", lambda s: False)
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(spark)
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(spark)
