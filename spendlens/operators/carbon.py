@@ -17,6 +17,18 @@ from spendlens.operators.periods import period_report, report_over_history
 from spendlens.sources.billing import usage_between, validate_billing
 
 
+def read_carbon(spark, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
+    """Read a carbon table; text formats get ``schema.CARBON_SCHEMA`` unless one is given."""
+    reader = spark.read.format(fmt).options(**options)
+    if schema is None and fmt.lower() in ("json", "csv", "text"):
+        schema = S.CARBON_SCHEMA
+    if schema is not None:
+        reader = reader.schema(schema)
+    carbon = reader.load(path)
+    validate_carbon(carbon)
+    return carbon
+
+
 def validate_carbon(carbon: DataFrame) -> None:
     if S.CARBON_KG not in carbon.columns:
         raise ValueError(f"carbon table lacks '{S.CARBON_KG}'")

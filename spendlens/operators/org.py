@@ -47,7 +47,7 @@ def validate_dim(dim: DataFrame) -> None:
     """The dimension needs the id, classification and level columns, with a
     string ``project_id`` (export ids are strings; a numeric key would make the
     join coerce every export id to a number)."""
-    missing = [c for c in (S.PROJECT_ID, "classification", *_LEVEL_COLUMNS) if c not in dim.columns]
+    missing = [c for c in S.PROJECT_DIM_SCHEMA.fieldNames() if c not in dim.columns]
     if missing:
         raise ValueError(f"project dimension lacks columns {missing}")
     id_type = dim.schema[S.PROJECT_ID].dataType

@@ -77,3 +77,24 @@ def test_numeric_dimension_ids_are_rejected(spark, billing, dim):
     numeric = dim.withColumn("project_id", F.col("project_id").cast("bigint"))
     with pytest.raises(ValueError, match="must be a string"):
         org.org_unit_costs(billing, numeric, AS_OF)
+
+
+def test_fixture_tables_follow_the_declared_schemas(spark, tmp_path):
+    from spendlens import schema as S
+    from spendlens.operators.carbon import carbon_report, read_carbon
+
+    dim = fixtures.project_dim(spark, SF_SMALL)
+    assert [(f.name, f.dataType) for f in dim.schema.fields] == \
+        [(f.name, f.dataType) for f in S.PROJECT_DIM_SCHEMA.fields]
+    carbon = fixtures.carbon(spark, SF_SMALL)
+    assert carbon.columns == S.CARBON_SCHEMA.fieldNames()
+    path = str(tmp_path / "carbon")
+    carbon.write.json(path)
+    loaded = read_carbon(spark, path, fmt="json")
+    assert loaded.schema[S.CARBON_KG].dataType == S.CARBON_SCHEMA[S.CARBON_KG].dataType
+    key = lambda r: (r[0] is None, r[0] or "")
+    got = sorted(carbon_report(loaded, AS_OF, with_last_six=False).collect(), key=key)
+    want = sorted(carbon_report(carbon, AS_OF, with_last_six=False).collect(), key=key)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    for a, b in zip(got, want):
+        assert all((x is None and y is None) or abs(x - y) < 1e-6 for x, y in zip(a[1:], b[1:]))
