@@ -8,13 +8,15 @@ fiscal years) is shared with the cost report.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.monthly import monthly_carbon, project_ids
 from spendlens.operators.periods import period_report, report_over_history
-from spendlens.sources.billing import usage_between, validate_billing
+from spendlens.sources.billing import usage_before, usage_between, validate_billing
 
 
 def read_carbon(spark, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
@@ -35,10 +37,15 @@ def validate_carbon(carbon: DataFrame) -> None:
     validate_billing(carbon.withColumn(S.COST, carbon[S.CARBON_KG]).withColumn(S.CREDITS_SUM_AMOUNT, carbon[S.CARBON_KG]))
 
 
-def carbon_report(carbon: DataFrame, as_of=None, prune_history: bool = True, with_last_six: bool = True) -> DataFrame:
-    """Per project: kilograms this month, previous month, years, fiscal years, deltas."""
+def carbon_report(carbon: DataFrame, as_of=None, prune_history: bool = True, with_last_six: bool = True,
+                  through_as_of: bool = False) -> DataFrame:
+    """Per project: kilograms this month, previous month, years, fiscal years, deltas.
+
+    ``through_as_of=True`` drops usage dated after ``as_of`` first."""
     validate_carbon(carbon)
     cal = ReportCalendar.for_date(as_of)
+    if through_as_of:
+        carbon = usage_before(carbon, cal.as_of + dt.timedelta(days=1))
     if not prune_history:
         return period_report(monthly_carbon(carbon), cal.as_of, value=S.CARBON_KG, with_last_six=with_last_six)
     lo, hi = cal.scan_window()

@@ -25,6 +25,7 @@ unit join, so AQE reads and ships the dimension once.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ from spendlens.functions.measures import as_double
 from spendlens.operators.monthly import billed_project_ids, cost_cube, is_cost_cube, monthly_carbon
 from spendlens.operators.periods import period_report, report_over_history
 from spendlens.operators.report import project_cost_report
-from spendlens.sources.billing import load_billing, usage_between
+from spendlens.sources.billing import load_billing, usage_before, usage_between
 
 UNIT_KEYS = ("level", "name", "acronym")
 _LEVEL_COLUMNS = [c for pair in S.ORG_LEVELS.values() for c in pair]
@@ -110,12 +111,17 @@ def unit_monthly(cube: DataFrame, dim: DataFrame | None, value: str = S.FINAL_CO
 
 
 def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Sequence[str] | None = None,
-                   with_last_six: bool = True, prune_history: bool = True) -> DataFrame:
+                   with_last_six: bool = True, prune_history: bool = True, through_as_of: bool = False) -> DataFrame:
     """The cost report per organisational unit (same metrics as a project report).
 
     With ``prune_history`` the money columns are read only for the report's
     months; the list of units still comes from every project ever billed.
+    ``through_as_of=True`` drops usage dated after ``as_of`` first (export only).
     """
+    if through_as_of:
+        if is_cost_cube(billing):
+            raise ValueError("through_as_of needs usage lines, not an aggregated cube")
+        billing = usage_before(load_billing(billing), ReportCalendar.for_date(as_of).as_of + dt.timedelta(days=1))
     members = unit_memberships(dim, levels)
     if not prune_history:
         units = unit_monthly(cost_cube(billing), None, memberships=members)

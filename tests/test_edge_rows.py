@@ -166,3 +166,18 @@ def test_same_report_with_ansi_mode_off(spark):
     for prune in (True, False):
         got = _as_dict(project_cost_report(df, AS_OF, prune_history=prune))
         assert got == {k: tuple(v) for k, v in EXPECTED.items()}
+
+
+def test_through_as_of_for_carbon_and_units(spark, billing):
+    from spendlens.operators import org
+    from spendlens.operators.carbon import carbon_report
+
+    carbon = billing.select(S.USAGE_START_TIME, S.PROJECT, billing[S.COST].alias(S.CARBON_KG))
+    kg = {r[S.PROJECT_ID]: r for r in carbon_report(carbon, AS_OF, through_as_of=True).collect()}
+    assert kg["a"][S.CURRENT_MONTH] == 100.0            # 100 on Sep 1; the Sep 30 line is after as_of
+    dim = spark.createDataFrame(
+        [("a", "PROTECTED_A", "D1", "DD1", "B1", "BB1", "R1", "RR1")],
+        "project_id string, classification string, department string, department_acronym string, "
+        "branch string, branch_acronym string, directorate string, directorate_acronym string")
+    units = {r["level"]: r for r in org.org_unit_costs(billing, dim, AS_OF, through_as_of=True).collect()}
+    assert units["department"][S.CURRENT_MONTH] == 90.0   # project a without its Sep 30 line
