@@ -50,3 +50,31 @@ def test_report_equals_brute_force(spark, lines, as_of):
         got = {r[S.PROJECT_ID]: tuple(r[f] for f in S.REPORT_FIELDS)
                for r in project_cost_report(df, as_of, prune_history=prune).collect()}
         assert got == expected, (prune, as_of)
+
+
+@settings(max_examples=int(os.environ.get("SPENDLENS_PROPERTY_EXAMPLES", "6")), deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(lines=st.lists(st.tuples(moments, st.sampled_from(["p1", "p2", None]), st.one_of(st.none(), money),
+                                credit_lists), min_size=1, max_size=30),
+       cuts=st.lists(st.integers(min_value=0, max_value=30), max_size=3))
+def test_batch_partials_add_up_to_the_cube(spark, lines, cuts):
+    """Any split of the usage lines into batches sums back to the one-pass cube."""
+    import tempfile
+
+    from spendlens.operators.monthly import monthly_costs
+    from spendlens.sources import cube_store
+    from spendlens.streaming import cube_refresh
+
+    rows = _to_rows(lines)
+    bounds = sorted({0, len(rows), *[min(c, len(rows)) for c in cuts]})
+    store = tempfile.mkdtemp(prefix="spendlens-partials-")
+    for batch_id, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        if hi > lo:
+            cube_refresh.write_batch(spark.createDataFrame(rows[lo:hi], SCHEMA), batch_id, store)
+    cols = [S.MONTH, S.PROJECT_ID, S.FINAL_COST_NO_CREDITS, S.FIRST_CREDIT_TOTAL, S.ALL_CREDITS_TOTAL,
+            S.FINAL_COST_FIRST_CREDIT, S.FINAL_COST]
+
+    def rows_of(df):
+        return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+    assert rows_of(cube_store.read_cube(spark, store)) == rows_of(monthly_costs(spark.createDataFrame(rows, SCHEMA)))
