@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendlens.llm.arrow_tokens import op9_arrow_tokens
 from spendlens.llm.hash_ring import op7_hash_ring
+from spendlens.llm.word_bpe import op4_word_bpe
 
-_QUERIES = [op7_hash_ring]
+_QUERIES = [op4_word_bpe, op7_hash_ring, op9_arrow_tokens]
 _SQL: dict[str, str] = {}
 
 
