@@ -10,9 +10,10 @@ from spendlens.llm.arrow_tokens import op9_arrow_tokens
 from spendlens.llm.hash_ring import op7_hash_ring
 from spendlens.llm.hnsw import op1_hnsw
 from spendlens.llm.knn_quality import op5_knn_quality
+from spendlens.llm.signature_tree import op6_signature_tree
 from spendlens.llm.word_bpe import op4_word_bpe
 
-_QUERIES = [op1_hnsw, op4_word_bpe, op5_knn_quality, op7_hash_ring, op9_arrow_tokens]
+_QUERIES = [op1_hnsw, op4_word_bpe, op5_knn_quality, op6_signature_tree, op7_hash_ring, op9_arrow_tokens]
 _SQL: dict[str, str] = {}
 
 
