@@ -2,8 +2,9 @@
 
 Documents in ascending doc_id order are dealt by range into shards; each shard
 is one Arrow IPC file whose record batches hold ``ids`` (fixed-size list of
-``seq_len`` unsigned 32-bit ids) and ``mask`` (fixed-size list of bytes, 1 for
-an id, 0 for the padding at the shard's end).  Sequence ``i`` of a shard is row
+``seq_len`` unsigned ids, 16 bits wide where the vocabulary allows, else 32) and
+``mask`` (fixed-size list of bits, 1 for an id, 0 for the padding at the shard's
+end).  Sequence ``i`` of a shard is row
 ``i``: equal lengths make its place a multiplication, and a memory map of the
 file hands out ids and mask without a copy.  Beside it lies an index file with
 (doc_id, start, n) of each document in the shard.
@@ -14,7 +15,7 @@ is run again after a lost executor leaves one whole file.
 
 from __future__ import annotations
 
-import os
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm import common
-from spendlens.llm.word_bpe import load_tokenizer
+from spendlens.llm.word_bpe import load_model, load_tokenizer
 
 SEQ_LEN = 2048
 BATCH_SEQS = 128
 SHARD_BYTES = 32 << 20
-CACHE_WORDS = 400_000
+#: Words a task remembers; then it starts anew.
+CACHE_WORDS = 800_000
 END_ID = 0
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
@@ -51,24 +53,36 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(tokenizer)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in found]
-
-    def _lookup(self, words: list[str]) -> list[bytes]:
+        self.model = load_model(tokenizer)
+        self.width = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no words but the end id, as word 0."""
+        self.known: dict[str, int] = {}
+        self.flat = np.array([END_ID], self.width)
+        self.start = np.array([0, 1], np.int64)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of newly encoded words."""
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), self.width, int(size.sum()))
+        first = len(self.start) - 1
+        self.flat = np.concatenate([self.flat, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        return np.arange(first, first + len(words))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, known or new."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return [self.known[w] for w in words]
+            self._forget()
+        numbers = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        fresh = [words[i] for i in new.tolist()]
+        numbers[new] = self._learn(fresh)
+        self.known.update(zip(fresh, numbers[new].tolist(), strict=True))
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, the end id behind each, and the number of ids of each."""
@@ -78,20 +92,16 @@ class Encoder:
         offsets = np.asarray(lists.offsets, np.int64)
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        blobs = self._lookup([" " + w for w in coded.dictionary.to_pylist()])
+        index = coded.indices.to_numpy()
+        numbers = self._numbers([" " + w for w in coded.dictionary.to_pylist()])
         # The first word of a text has no space before it; a tangled text is one such word.
         firsts = [t if k else t.partition(" ")[0] for t, k in zip(texts.to_pylist(), tangled.to_pylist(), strict=True)]
-        index[offsets[:-1]] = len(blobs) + np.arange(len(texts))
-        blobs += self._encode(firsts)
-        blobs.append(np.array([END_ID], np.uint32).tobytes())
-        index = np.insert(index, offsets[1:], len(blobs) - 1)
-        size = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        each = size[index]
+        index = numbers[index]
+        index[offsets[:-1]] = self._learn(firsts)
+        index = np.insert(index, offsets[1:], 0)
+        each = np.diff(self.start)[index]
         before = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(start[index] - before[:-1], each) + np.arange(before[-1])]
+        ids = self.flat[np.repeat(self.start[index] - before[:-1], each) + np.arange(before[-1])]
         edges = before[offsets + np.arange(len(offsets))]
         return ids, np.diff(edges)
 
@@ -99,26 +109,29 @@ class Encoder:
 class SequenceWriter:
     """Packs a stream of ids into fixed-size-list batches of an Arrow file."""
 
-    def __init__(self, file, seq_len: int):
-        self.seq_len, self.rows = seq_len, BATCH_SEQS
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    def __init__(self, file, seq_len: int, width: type = np.uint32):
+        if seq_len % 8:
+            raise ValueError("seq_len must be a multiple of 8, so that each mask begins at a byte")
+        self.seq_len, self.rows, self.width = seq_len, BATCH_SEQS, width
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), seq_len)),
+                                 ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = ipc.new_file(file, self.schema)
         self.held: list[np.ndarray] = []
         self.size = self.total = 0
 
     def _flush(self, count: int) -> None:
-        ids = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
+        ids = np.concatenate(self.held) if self.held else np.empty(0, self.width)
         now, rest = ids[:count], ids[count:]
         rows = -(-len(now) // self.seq_len)
-        padded = np.zeros(rows * self.seq_len, np.uint32)
+        padded = np.zeros(rows * self.seq_len, self.width)
         padded[:len(now)] = now
-        mask = (np.arange(len(padded)) < len(now)).astype(np.uint8)
+        mask = np.arange(len(padded)) < len(now)
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (padded, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.held, self.size = [rest], len(rest)
 
     def add(self, ids: np.ndarray) -> None:
-        self.held.append(ids)
+        self.held.append(ids.astype(self.width))
         self.size += len(ids)
         self.total += len(ids)
         whole = self.rows * self.seq_len
@@ -138,12 +151,13 @@ def open_file(path: str) -> ipc.RecordBatchFileReader:
 
 
 def sequence(reader: ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``i`` of a shard, as views of the file."""
+    """Ids and mask bits (eight to a byte, lowest first) of sequence ``i`` of a shard, as views of the file."""
     batch = reader.get_batch(i // BATCH_SEQS)
     row = i % BATCH_SEQS
     size = batch.schema.field("ids").type.list_size
-    return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[row * size:(row + 1) * size]
-                 for c in ("ids", "mask"))
+    ids = batch.column("ids").values.to_numpy(zero_copy_only=True)[row * size:(row + 1) * size]
+    bits = np.frombuffer(batch.column("mask").values.buffers()[1], np.uint8)
+    return ids, bits[row * size // 8:(row + 1) * size // 8]
 
 
 def _writer(tokenizer: str, root: str, seq_len: int):
@@ -157,7 +171,7 @@ def _writer(tokenizer: str, root: str, seq_len: int):
         attempt = f"{folder}/attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         n_docs = 0
         with fs.open_output_stream(f"{attempt}.arrow") as a, fs.open_output_stream(f"{attempt}.docs.arrow") as b:
-            out, index = SequenceWriter(a, seq_len), ipc.new_file(b, index_schema)
+            out, index = SequenceWriter(a, seq_len, encoder.width), ipc.new_file(b, index_schema)
             for batch in common.slices(batches):
                 ids, n = encoder.encode(batch.column("text"))
                 start = out.total + np.cumsum(n) - n
@@ -195,7 +209,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
             reader, index = open_file(f"{path}.arrow"), open_file(f"{path}.docs.arrow")
-            number, view = -1, np.empty(0, np.uint32)
+            number, view = -1, ()
             at = 0  # ids of the shard before ``view``
             for k in range(index.num_record_batches):
                 part = index.get_batch(k)
@@ -206,11 +220,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if start + done >= at + len(view):
                             at, number = at + len(view), number + 1
                             now = reader.get_batch(number)
-                            mask = now.column("mask").values.to_numpy(zero_copy_only=True)
-                            view = now.column("ids").values.to_numpy(zero_copy_only=True)[:int(mask.sum(dtype=np.int64))]
+                            real = now.column("mask").values.true_count
+                            view = now.column("ids").values.to_numpy(zero_copy_only=True)[:real]
                             continue
                         piece = view[start + done - at:start + n - at]
-                        crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                        crc = zlib.crc32(piece.astype("<u4"), crc)
                         done += len(piece)
                     sums.append(crc)
                 yield pa.RecordBatch.from_arrays(
