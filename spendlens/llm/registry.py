@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm.arrow_tokens import op9_arrow_tokens
+from spendlens.llm.bm25_leaks import op8_bm25_leaks
 from spendlens.llm.hash_ring import op7_hash_ring
 from spendlens.llm.hnsw import op1_hnsw
 from spendlens.llm.knn_quality import op5_knn_quality
@@ -14,8 +15,8 @@ from spendlens.llm.signature_tree import op6_signature_tree
 from spendlens.llm.suffix_dedup import op10_suffix_dedup
 from spendlens.llm.word_bpe import op4_word_bpe
 
-_QUERIES = [op1_hnsw, op4_word_bpe, op5_knn_quality, op6_signature_tree, op7_hash_ring, op9_arrow_tokens,
-            op10_suffix_dedup]
+_QUERIES = [op1_hnsw, op4_word_bpe, op5_knn_quality, op6_signature_tree, op7_hash_ring, op8_bm25_leaks,
+            op9_arrow_tokens, op10_suffix_dedup]
 _SQL: dict[str, str] = {}
 
 
