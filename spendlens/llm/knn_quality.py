@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from spendlens.llm import common
 
@@ -175,21 +176,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``score``; a column of that name is replaced.  Null texts are scored as empty."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``column``, which replaces one of that name.
+
+    Null texts are scored as empty ones.
+    """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts in _counts_of(batches):
             values = held.value.score(counts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())],
-                                             names=[*part.schema.names, "score"])
+                                             names=[*part.schema.names, column])
 
-    from pyspark.sql.types import DoubleType, StructType
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(column, DoubleType()))
 
 
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for batch in common.slices(batches):
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
             if text and spans:
                 at = [m.span() for m in word.finditer(text)]
                 kept, last = [], 0
@@ -267,7 +267,7 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = "".join([*kept, text[last:]])
             texts.append(text)
         columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "text": pa.array(texts, pa.string())}
-        del columns["spans"]
+        del columns["_spans"]
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -276,9 +276,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A document that consists of repeated spans keeps its row, with what little is left as text.
     """
-    spans = (repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("span_doc"))
+    spans = (repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("_span_doc"))
              .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))  # spans of one text
-    joined = docs.join(spans, docs["doc_id"] == spans["span_doc"], "left").drop("span_doc")
+    joined = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").drop("_span_doc")
     return joined.mapInArrow(_cut_text, docs.schema)
 
 
