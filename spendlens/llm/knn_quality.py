@@ -7,7 +7,7 @@ the one before it is a term of its own.  Log counts are weighted by inverse
 document frequency over the whole corpus and projected on the leading singular
 vectors of the labelled sample.  Each document meets every labelled vector in
 exact cosine blocks; its ``NEIGHBOURS`` nearest vote for their label with
-their similarity as weight.
+a power of their similarity as weight.
 
 The labelled sample holds ``PER_LABEL`` rows a label at most (smallest hash of
 the id first), so the projection and the labelled vectors, all that is
@@ -35,6 +35,8 @@ DIMS = 64
 #: Labelled rows of each label that the model keeps, at most.
 PER_LABEL = 2000
 NEIGHBOURS = 15
+#: Power of the similarity that weights a neighbour's label.
+SHARPNESS = 8
 BLOCK = 256
 THRESHOLD = 0.3
 
@@ -132,7 +134,7 @@ class Model:
         cosine = self.embed(counts) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
         vote = (weight * self.labels[near]).sum(1)
         return np.where(total > 0, vote / np.where(total > 0, total, 1), self.labels.mean())
