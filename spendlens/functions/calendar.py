@@ -36,18 +36,23 @@ def utc_today() -> dt.date:
     return dt.datetime.now(dt.timezone.utc).date()
 
 
+def _utc_date(value: dt.datetime) -> dt.date:
+    return (value.astimezone(dt.timezone.utc) if value.tzinfo else value).date()
+
+
 def to_date(value: dt.date | dt.datetime | str | None) -> dt.date:
+    """The UTC day of a date, a datetime (zoned ones are shifted to UTC) or an ISO string of either."""
     if value is None:
         return utc_today()
     if isinstance(value, dt.datetime):
-        return value.date()
+        return _utc_date(value)
     if isinstance(value, dt.date):
         return value
     text = str(value).strip()
     try:
         return dt.date.fromisoformat(text)
     except ValueError:
-        return dt.datetime.fromisoformat(text).date()
+        return _utc_date(dt.datetime.fromisoformat(text))
 
 
 @dataclass(frozen=True)
@@ -84,6 +89,11 @@ class ReportCalendar:
             prev_fy_end=fy_start - dt.timedelta(days=1),
         )
 
+    @property
+    def six_months(self) -> list[dt.date]:
+        """The six full months before the current one, newest first."""
+        return [_add_months(self.month_start, -n) for n in range(1, 7)]
+
     def scan_window(self) -> tuple[dt.date, dt.date]:
         """[first day, day after the last day] covering every period of the report.
 

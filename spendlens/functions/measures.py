@@ -1,7 +1,6 @@
 """Row-level money expressions over the billing export.
 
-All of them are built-in Column expressions (whole-stage codegen, no Python
-per row).  Credits are read through ``credits.amount`` first, which turns
+All of them are built-in Column expressions (no Python per row).  Credits are read through ``credits.amount`` first, which turns
 ``array<struct<...>>`` into ``array<amount>`` so that parquet reads only the
 ``amount`` leaf of the nested column.
 """
@@ -23,11 +22,26 @@ def credit_amount_type(df: DataFrame) -> T.DataType:
 
 
 def _accumulator_type(amount_type: T.DataType) -> T.DataType:
+    """Type to add up in: wider than the input, with a digit to spare for one more addition."""
     if isinstance(amount_type, T.DecimalType):
-        return T.DecimalType(min(38, amount_type.precision + 10), amount_type.scale)
+        return T.DecimalType(min(37, amount_type.precision + 10), amount_type.scale)
     return T.DoubleType()
 
 
+def exact_sum(a: Column, b: Column, a_type: T.DataType, b_type: T.DataType) -> Column:
+    """``a + b`` with every decimal place kept.
+
+    Adding two DECIMALs of full precision would round the last place away; both
+    are first brought to one type that leaves room for the carry.
+    """
+    if not (isinstance(a_type, T.DecimalType) and isinstance(b_type, T.DecimalType)):
+        return a + b
+    scale = max(a_type.scale, b_type.scale)
+    whole = max(a_type.precision - a_type.scale, b_type.precision - b_type.scale)
+    wide = T.DecimalType(min(37, whole + scale), scale)
+    return a.cast(wide) + b.cast(wide)
+
+
 def first_credit_amount(amount_type: T.DataType) -> Column:
     """Amount of the first credit, 0 when there is none, null for a null array.
 
@@ -40,33 +54,18 @@ def first_credit_amount(amount_type: T.DataType) -> Column:
     return F.when(F.size(amounts) == 0, zero).otherwise(F.get(amounts, 0))
 
 
-# Credit arrays up to this length are summed with plain arithmetic (kept in
-# whole-stage codegen); longer ones use the interpreted higher-order
-# ``aggregate``.  Export lines carry few credits, so the fallback is rare.
-UNROLLED_CREDITS = 3
-
-
 def credit_total(amount_type: T.DataType) -> Column:
     """Sum of all credit amounts of a row; 0 for an empty or null array.
 
     Null amounts are skipped, as SQL ``SUM`` over the unnested array would.
+    The fold is a row expression: computed in a projection of its own, it leaves
+    the aggregation above it in whole-stage codegen.
     """
     acc_type = _accumulator_type(amount_type)
     zero = F.lit(0).cast(acc_type)
     amounts = F.col(f"{S.CREDITS}.amount")
-    n = F.size(amounts)  # null (ANSI) or -1 (legacy) for a null array
-
-    def term(i: int) -> Column:
-        return F.coalesce(F.get(amounts, i).cast(acc_type), zero)
-
-    expr = F.when(n.isNull() | (n <= 0), zero)
-    for k in range(1, UNROLLED_CREDITS + 1):
-        total = term(0)
-        for i in range(1, k):
-            total = (total + term(i)).cast(acc_type)
-        expr = expr.when(n == k, total)
-    longer = F.aggregate(amounts, zero, lambda acc, x: (acc + F.coalesce(x.cast(acc_type), zero)).cast(acc_type))
-    return expr.otherwise(F.coalesce(longer, zero))
+    total = F.aggregate(amounts, zero, lambda acc, x: (acc + F.coalesce(x.cast(acc_type), zero)).cast(acc_type))
+    return F.coalesce(total, zero)
 
 
 def pct_change(current: Column, previous: Column) -> Column:

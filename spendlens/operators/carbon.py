@@ -37,7 +37,7 @@ def validate_carbon(carbon: DataFrame) -> None:
     validate_billing(carbon.withColumn(S.COST, carbon[S.CARBON_KG]).withColumn(S.CREDITS_SUM_AMOUNT, carbon[S.CARBON_KG]))
 
 
-def carbon_report(carbon: DataFrame, as_of=None, prune_history: bool = True, with_last_six: bool = True,
+def carbon_report(carbon: DataFrame, as_of=None, prune_history: bool = True,
                   through_as_of: bool = False) -> DataFrame:
     """Per project: kilograms this month, previous month, years, fiscal years, deltas.
 
@@ -47,7 +47,7 @@ def carbon_report(carbon: DataFrame, as_of=None, prune_history: bool = True, wit
     if through_as_of:
         carbon = usage_before(carbon, cal.as_of + dt.timedelta(days=1))
     if not prune_history:
-        return period_report(monthly_carbon(carbon), cal.as_of, value=S.CARBON_KG, with_last_six=with_last_six)
+        return period_report(monthly_carbon(carbon), cal.as_of, value=S.CARBON_KG)
     lo, hi = cal.scan_window()
     cube = monthly_carbon(usage_between(carbon, lo, hi))
-    return report_over_history(project_ids(carbon), cube, cal.as_of, value=S.CARBON_KG, with_last_six=with_last_six)
+    return report_over_history(project_ids(carbon), cube, cal.as_of, value=S.CARBON_KG)

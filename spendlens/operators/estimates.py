@@ -4,18 +4,22 @@ Declared by the original API and never computed there; this project defines
 them as a linear run rate: the period's spend so far divided by the days
 elapsed up to and including ``as_of``, times the days in the period.  The day
 counts are driver-side constants, so the whole operator is two multiplications
-on top of the report.
+on top of the report.  They exist for every place the API declares them: project
+costs, unit costs and carbon.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
+from spendlens.operators.carbon import carbon_report
+from spendlens.operators.org import UNIT_COLUMNS, org_unit_costs
 from spendlens.operators.report import project_cost_report
 
 
@@ -34,10 +38,25 @@ def with_estimates(report: DataFrame, as_of=None) -> DataFrame:
     return report.withColumn(S.CURRENT_FISCAL_ESTIMATED, fiscal).withColumn(S.CURRENT_CALENDAR_ESTIMATED, calendar)
 
 
+_ESTIMATES = (S.CURRENT_FISCAL_YEAR, S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_YEAR, S.CURRENT_CALENDAR_ESTIMATED)
+
+
 def cost_estimates(billing: DataFrame, as_of=None) -> DataFrame:
-    """Per project: fiscal and calendar year to date plus their run-rate estimates."""
-    report = project_cost_report(billing, as_of, with_last_six=False)
-    return with_estimates(report, as_of).select(
-        S.PROJECT_ID, S.CURRENT_FISCAL_YEAR, S.CURRENT_FISCAL_ESTIMATED,
-        S.CURRENT_CALENDAR_YEAR, S.CURRENT_CALENDAR_ESTIMATED,
-    )
+    """Per project: fiscal and calendar year to date plus their run-rate estimates.
+
+    Only usage up to and including ``as_of`` counts as spent, so a back-dated
+    report does not scale up its own future.
+    """
+    report = project_cost_report(billing, as_of, through_as_of=True)
+    return with_estimates(report, as_of).select(S.PROJECT_ID, *_ESTIMATES)
+
+
+def carbon_estimates(carbon: DataFrame, as_of=None) -> DataFrame:
+    """Per project: the same estimates over kilograms."""
+    return with_estimates(carbon_report(carbon, as_of, through_as_of=True), as_of).select(S.PROJECT_ID, *_ESTIMATES)
+
+
+def org_estimates(billing: DataFrame, dim: DataFrame, as_of=None, levels: Sequence[str] | None = None) -> DataFrame:
+    """Per organisational unit: the same estimates over the unit's spend."""
+    report = org_unit_costs(billing, dim, as_of, levels, through_as_of=True)
+    return with_estimates(report, as_of).select(*UNIT_COLUMNS, *_ESTIMATES)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import month_of
-from spendlens.functions.measures import credit_amount_type, credit_total, first_credit_amount
+from spendlens.functions.measures import credit_amount_type, credit_total, exact_sum, first_credit_amount
 from spendlens.sources.billing import load_billing, project_id_col, usage_date
 
 _NEXT_LEVEL = "_sum_credits_sum_amount"
@@ -32,7 +32,9 @@ def monthly_sums(df: DataFrame, sums: dict[str, Column], key: Column | None = No
     """
     key = project_id_col() if key is None else key
     month = month_of(usage_date(df)).alias(S.MONTH)
-    out = df.groupBy(month, key.alias(S.PROJECT_ID)).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
+    # Row expressions first: what has no generated code (a fold over credits) then stays out of the aggregates.
+    rows = df.select(month, key.alias(S.PROJECT_ID), *[expr.alias(name) for name, expr in sums.items()])
+    out = rows.groupBy(S.MONTH, S.PROJECT_ID).agg(*[F.sum(name).alias(name) for name in sums])
     return out.select(S.MONTH, F.year(S.MONTH).alias(S.YEAR), S.PROJECT_ID, *sums.keys())
 
 
@@ -64,6 +66,11 @@ def combine_cost_partials(partials: DataFrame) -> DataFrame:
 def finish_costs(partials: DataFrame) -> DataFrame:
     """Partial sums (one row per month and project) -> the five cube measures."""
     no_credits, first = F.col(S.FINAL_COST_NO_CREDITS), F.col(S.FIRST_CREDIT_TOTAL)
+    kind = {f.name: f.dataType for f in partials.schema.fields}
+
+    def plus(name: str) -> Column:
+        return exact_sum(no_credits, F.col(name), kind[S.FINAL_COST_NO_CREDITS], kind[name])
+
     return partials.select(
         S.MONTH,
         F.year(S.MONTH).alias(S.YEAR),
@@ -71,8 +78,8 @@ def finish_costs(partials: DataFrame) -> DataFrame:
         no_credits,
         first,
         F.col(S.ALL_CREDITS_TOTAL),
-        (no_credits + first).alias(S.FINAL_COST_FIRST_CREDIT),
-        (no_credits + F.col(_NEXT_LEVEL)).alias(S.FINAL_COST),
+        plus(S.FIRST_CREDIT_TOTAL).alias(S.FINAL_COST_FIRST_CREDIT),
+        plus(_NEXT_LEVEL).alias(S.FINAL_COST),
     )
 
 
@@ -83,9 +90,10 @@ def final_cost_cube(billing: DataFrame) -> DataFrame:
     with a smaller plan to build and analyse.
     """
     billing = load_billing(billing)
-    month = month_of(usage_date(billing)).alias(S.MONTH)
-    return billing.groupBy(month, project_id_col().alias(S.PROJECT_ID)).agg(
-        (F.sum(S.COST) + F.sum(S.CREDITS_SUM_AMOUNT)).alias(S.FINAL_COST))
+    sums = monthly_sums(billing, {S.COST: F.col(S.COST), S.CREDITS_SUM_AMOUNT: F.col(S.CREDITS_SUM_AMOUNT)})
+    total = exact_sum(F.col(S.COST), F.col(S.CREDITS_SUM_AMOUNT), sums.schema[S.COST].dataType,
+                      sums.schema[S.CREDITS_SUM_AMOUNT].dataType)
+    return sums.select(S.MONTH, S.PROJECT_ID, total.alias(S.FINAL_COST))
 
 
 def monthly_costs(billing: DataFrame) -> DataFrame:

@@ -5,22 +5,27 @@ The original API declares these (department / branch / directorate queries,
 ``classification``, ``owner``) but never computes them, so the definitions
 here are this project's own:
 
-* a unit's spend is the sum of its projects' spend; the unit report runs the
-  same period report as projects, over unit-month totals, so deltas come from
-  summed totals (never averaged percentages);
-* ``projectCount`` counts the unit's projects that have billing rows;
+* a unit is its full path: directorates of one name in two branches are two
+  units, each with its own parents; the acronym is an attribute (the least one
+  where the dimension has several), never a key;
+* a unit's spend is the sum of its projects' spend, and its report adds up the
+  projects' period sums, so deltas come from summed totals (never averaged
+  percentages);
+* ``projectCount`` counts the unit's projects that have billing rows, and only
+  units with one are listed;
 * ``totalCloudSpend`` sums the whole history;
 * the null project and projects missing from the dimension belong to no unit;
-* the dimension holds one row per project (check with ``duplicate_projects``).
+* a project listed more than once in the dimension belongs to its least row
+  (by classification, department, branch and directorate in the schema's
+  order), so its money counts once; ``duplicate_projects`` lists them.
 
 Every ``billing`` argument may also be an already aggregated monthly cost cube
-(``cube_store.read_cube``), so one pass over a large export can feed every
-report.  All joins are on the monthly cube, never on raw usage lines, so their size is
-projects x months.  No broadcast is forced: the optimizer and AQE pick the
-join from measured sizes.  The dimension is exploded once into unit
-memberships (one row per project and level), and joining the cube to it gives
-all three levels in one pass; a query reuses the same memberships for every
-unit join, so AQE reads and ships the dimension once.
+(``cube_store.read_cube``).  The export is reduced to one row per project in
+one scan: period sums, all-history total and the fact that it was billed.  That
+table meets the memberships (one row per project and level) once and is added
+up per unit.  A report on a named unit keeps that unit's projects by a
+semi-join before anything is aggregated.  No broadcast is forced: the optimizer
+and AQE pick the joins from measured sizes.
 """
 
 from __future__ import annotations
@@ -35,12 +40,15 @@ from pyspark.sql import types as T
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.functions.measures import as_double
-from spendlens.operators.monthly import billed_project_ids, cost_cube, is_cost_cube, monthly_carbon
-from spendlens.operators.periods import period_report, report_over_history
+from spendlens.operators.monthly import billed_project_ids, cost_cube, is_cost_cube
+from spendlens.operators.periods import add_up, finish, period_sums
 from spendlens.operators.report import project_cost_report
-from spendlens.sources.billing import load_billing, usage_before, usage_between
+from spendlens.sources.billing import load_billing, project_id_col, usage_before, usage_between
 
-UNIT_KEYS = ("level", "name", "acronym")
+#: What identifies a unit: its level and path (null below its own level).
+UNIT_KEYS = ("level", *S.ORG_LEVELS)
+#: How a unit is shown.
+UNIT_COLUMNS = ("level", "name", "acronym", "parent_department", "parent_branch")
 _LEVEL_COLUMNS = [c for pair in S.ORG_LEVELS.values() for c in pair]
 
 
@@ -57,6 +65,14 @@ def validate_dim(dim: DataFrame) -> None:
                          f"cast it, e.g. dim.withColumn('{S.PROJECT_ID}', F.col('{S.PROJECT_ID}').cast('string'))")
 
 
+def project_dimension(dim: DataFrame) -> DataFrame:
+    """The dimension with one row per project (the least one), rows without an id left out."""
+    validate_dim(dim)
+    rest = [c for c in S.PROJECT_DIM_SCHEMA.fieldNames() if c != S.PROJECT_ID]
+    return (dim.where(F.col(S.PROJECT_ID).isNotNull()).groupBy(S.PROJECT_ID)
+            .agg(F.min(F.struct(*rest)).alias("_row")).select(S.PROJECT_ID, "_row.*"))
+
+
 def _levels(levels: Sequence[str] | None) -> list[str]:
     levels = list(S.ORG_LEVELS) if levels is None else list(levels)
     unknown = [lv for lv in levels if lv not in S.ORG_LEVELS]
@@ -65,140 +81,148 @@ def _levels(levels: Sequence[str] | None) -> list[str]:
     return levels
 
 
-def _no_parent() -> Column:
-    return F.lit(None).cast("string")
-
+def unit_memberships(dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+    """(project_id, level, department, branch, directorate, acronym): one row per project and level."""
+    order = list(S.ORG_LEVELS)
+    units = []
+    for level in _levels(levels):
+        path = [F.col(lv) if order.index(lv) <= order.index(level) else F.lit(None).cast("string") for lv in order]
+        units.append(F.struct(F.lit(level).alias("level"), *[c.alias(lv) for c, lv in zip(path, order)],
+                              F.col(S.ORG_LEVELS[level][1]).alias("acronym")))
+    return (project_dimension(dim).select(S.PROJECT_ID, F.explode(F.array(*units)).alias("_u"))
+            .select(S.PROJECT_ID, "_u.*"))
 
-_PARENTS = {
-    "department": (_no_parent, _no_parent),
-    "branch": (lambda: F.col("department"), _no_parent),
-    "directorate": (lambda: F.col("department"), lambda: F.col("branch")),
-}
 
+def _shown() -> list[Column]:
+    """``UNIT_COLUMNS`` from the key columns and the acronym."""
+    level = F.col("level")
+    name = F.when(level == "department", F.col("department")).when(level == "branch", F.col("branch")).otherwise(
+        F.col("directorate"))
+    return [level, name.alias("name"), F.col("acronym"),
+            F.when(level != "department", F.col("department")).alias("parent_department"),
+            F.when(level == "directorate", F.col("branch")).alias("parent_branch")]
 
-def unit_memberships(dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
-    """(project_id, level, name, acronym, parent_department, parent_branch): one row
-    per project and level.  Built once and reused by every unit join of a query,
-    so the dimension is read and shipped once."""
-    validate_dim(dim)
-    structs = []
-    for lv in _levels(levels):
-        name, acronym = S.ORG_LEVELS[lv]
-        parent_dept, parent_branch = _PARENTS[lv]
-        structs.append(F.struct(F.lit(lv).alias("level"), F.col(name).alias("name"), F.col(acronym).alias("acronym"),
-                                parent_dept().alias("parent_department"), parent_branch().alias("parent_branch")))
-    return dim.select(S.PROJECT_ID, F.explode(F.array(*structs)).alias("_u")).select(S.PROJECT_ID, "_u.*")
 
+def _per_unit(members: DataFrame, project_rows: DataFrame, aggs: Sequence[Column]) -> DataFrame:
+    """Unit rows (keys, acronym, ``aggs``) over the project rows of each unit's members."""
+    return members.join(project_rows, on=S.PROJECT_ID, how="inner").groupBy(*UNIT_KEYS).agg(
+        F.min("acronym").alias("acronym"), *aggs)
 
-def explode_units(project_rows: DataFrame, dim: DataFrame | None = None, levels: Sequence[str] | None = None,
-                  memberships: DataFrame | None = None) -> DataFrame:
-    """Attach (level, name, acronym) to project-level rows, one row per unit level.
 
-    Inner join: rows whose project is null or unknown to the dimension drop out.
-    """
-    if memberships is None:
-        memberships = unit_memberships(dim, levels)
-    rest = [c for c in project_rows.columns if c != S.PROJECT_ID]
-    joined = project_rows.join(memberships.select(S.PROJECT_ID, *UNIT_KEYS), on=S.PROJECT_ID, how="inner")
-    return joined.select(*UNIT_KEYS, S.PROJECT_ID, *rest)
+def _known(cube: DataFrame) -> DataFrame:
+    return cube.where(F.col(S.PROJECT_ID).isNotNull())
 
 
-def unit_monthly(cube: DataFrame, dim: DataFrame | None, value: str = S.FINAL_COST,
-                 levels: Sequence[str] | None = None, memberships: DataFrame | None = None) -> DataFrame:
-    """Unit-month totals (level, name, acronym, month, value) for all levels."""
-    rows = explode_units(cube.select(S.PROJECT_ID, S.MONTH, value), dim, levels, memberships)
-    return rows.groupBy(*UNIT_KEYS, S.MONTH).agg(F.sum(value).alias(value))
+def _until(billing: DataFrame, as_of, through_as_of: bool) -> DataFrame:
+    if not through_as_of:
+        return billing
+    if is_cost_cube(billing):
+        raise ValueError("through_as_of needs usage lines, not an aggregated cube")
+    return usage_before(load_billing(billing), ReportCalendar.for_date(as_of).as_of + dt.timedelta(days=1))
 
 
 def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Sequence[str] | None = None,
-                   with_last_six: bool = True, prune_history: bool = True, through_as_of: bool = False) -> DataFrame:
-    """The cost report per organisational unit (same metrics as a project report).
+                   prune_history: bool = True, through_as_of: bool = False) -> DataFrame:
+    """The cost report per organisational unit (the nine metrics of a project report).
 
     With ``prune_history`` the money columns are read only for the report's
-    months; the list of units still comes from every project ever billed.
+    months; which projects were ever billed comes from an id-only scan.
     ``through_as_of=True`` drops usage dated after ``as_of`` first (export only).
     """
-    if through_as_of:
-        if is_cost_cube(billing):
-            raise ValueError("through_as_of needs usage lines, not an aggregated cube")
-        billing = usage_before(load_billing(billing), ReportCalendar.for_date(as_of).as_of + dt.timedelta(days=1))
-    members = unit_memberships(dim, levels)
-    if not prune_history:
-        units = unit_monthly(cost_cube(billing), None, memberships=members)
-        return period_report(units, as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
+    billing = _until(billing, as_of, through_as_of)
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.scan_window()
-    if is_cost_cube(billing):
-        month = F.col(S.MONTH)
-        window = billing.where((month >= F.lit(lo)) & (month < F.lit(hi)))
+    if not prune_history:
+        window = cost_cube(billing)
+    elif is_cost_cube(billing):
+        window = billing.where((F.col(S.MONTH) >= F.lit(lo)) & (F.col(S.MONTH) < F.lit(hi)))
     else:
         window = cost_cube(usage_between(load_billing(billing), lo, hi))
-    units = unit_monthly(window, None, memberships=members)
-    ids = explode_units(billed_project_ids(billing), memberships=members).select(*UNIT_KEYS).distinct()
-    return report_over_history(ids, units, cal.as_of, keys=UNIT_KEYS, with_last_six=with_last_six)
+    rows = _known(window).groupBy(S.PROJECT_ID).agg(*period_sums(cal.as_of))
+    if prune_history:
+        rows = _known(billed_project_ids(billing)).join(rows, on=S.PROJECT_ID, how="left")
+    return _report(_per_unit(unit_memberships(dim, levels), rows, add_up()))
+
+
+def _report(units: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    done = finish(units, [*UNIT_KEYS, "acronym"], extra)
+    metrics = [c for c in done.columns if c not in (*UNIT_KEYS, "acronym")]
+    return done.select(*_shown(), *metrics)
+
+
+def _units(cube: DataFrame, dim: DataFrame, as_of, kilograms: DataFrame | None,
+           levels: Sequence[str] | None) -> DataFrame:
+    """Unit records from a cost cube and kilograms per project."""
+    members = unit_memberships(dim, levels)
+    rows = (_known(cube.select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)).groupBy(S.PROJECT_ID)
+            .agg(*period_sums(as_of), F.sum(S.FINAL_COST).alias("_total")).withColumn("_billed", F.lit(1)))
+    extra = ["projectCount", "totalCloudSpend"]
+    aggs = [*add_up(), F.count("_billed").alias("projectCount"), as_double(F.sum("_total")).alias("totalCloudSpend")]
+    if kilograms is not None:
+        rows = rows.join(kilograms, on=S.PROJECT_ID, how="full")
+        extra.append("carbonFootprint")
+        aggs.append(as_double(F.sum(S.CARBON_KG)).alias("carbonFootprint"))
+    return _report(_per_unit(members, rows, aggs).where("projectCount > 0"), extra)
 
 
 def org_units(billing: DataFrame, dim: DataFrame, as_of=None, carbon: DataFrame | None = None,
-              levels: Sequence[str] | None = None, with_last_six: bool = True) -> DataFrame:
-    """One record per unit: report metrics, ``projectCount``, ``totalCloudSpend``
+              levels: Sequence[str] | None = None) -> DataFrame:
+    """One record per unit: path, report metrics, ``projectCount``, ``totalCloudSpend``
     and, when a carbon table is given, the all-history ``carbonFootprint`` (kg).
 
-    The report and the all-history total come from one aggregation over the
-    unit-month cube; the project count from an id-only scan.
+    One scan of the export gives metrics, count and total.
     """
-    members = unit_memberships(dim, levels)
-    cube = cost_cube(billing).select(S.PROJECT_ID, S.MONTH, S.FINAL_COST)
-    total = {"totalCloudSpend": as_double(F.sum(S.FINAL_COST))}
-    report = period_report(unit_monthly(cube, None, memberships=members), as_of, keys=UNIT_KEYS,
-                           with_last_six=with_last_six, extra_aggs=total)
-    out = report.join(org_project_count(billing, None, memberships=members), on=list(UNIT_KEYS), how="left")
-    if carbon is not None:
-        out = out.join(org_carbon_total(carbon, None, memberships=members), on=list(UNIT_KEYS), how="left")
-    out = out.join(unit_parents(None, memberships=members), on=list(UNIT_KEYS), how="left")
-    tail_names = ("projectCount", "totalCloudSpend", "carbonFootprint", "parent_department", "parent_branch")
-    cols = [c for c in out.columns if c not in tail_names]
-    tail = [c for c in tail_names if c in out.columns]
-    return out.select(*cols, *tail)
-
-
-def unit_parents(dim: DataFrame | None, levels: Sequence[str] | None = None,
-                 memberships: DataFrame | None = None) -> DataFrame:
-    """(level, name, acronym) -> its department and branch (null above the unit).
-
-    One row per unit even if the dimension disagrees with itself (smallest
-    name wins), so joining it never duplicates unit rows.
+    return _units(cost_cube(billing), dim, as_of, None if carbon is None else _carbon_totals(carbon), levels)
+
+
+def _of_unit(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rows of some projects, from a table already reduced per project (and month).
+
+    Catalyst moves this semi-join below the aggregate, onto the usage lines, if
+    the projects are few enough to broadcast; else only reduced rows are shuffled.
     """
-    if memberships is None:
-        memberships = unit_memberships(dim, levels)
-    return memberships.groupBy(*UNIT_KEYS).agg(F.min("parent_department").alias("parent_department"),
-                                               F.min("parent_branch").alias("parent_branch"))
+    return rows.join(projects.select(S.PROJECT_ID), on=S.PROJECT_ID, how="left_semi")
 
 
-def _one_unit(df: DataFrame, level: str, name: str) -> DataFrame:
+def _named(dim: DataFrame, level: str, name: str) -> DataFrame:
+    """Dimension rows of the units of one name at a level (several, where branches share it)."""
     if name is None:
         raise ValueError("unit name must not be null")
-    return df.where(F.col("name") == F.lit(name))
+    _levels([level])
+    return project_dimension(dim).where(F.col(level) == F.lit(name))
+
 
+def unit(billing: DataFrame, dim: DataFrame, level: str, name: str, as_of=None,
+         carbon: DataFrame | None = None) -> DataFrame:
+    """The record of every unit of that level and name, none when it is unknown.
 
-def department(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbon: DataFrame | None = None,
-               with_last_six: bool = True) -> DataFrame:
+    A semi-join keeps the unit's projects (see ``_of_unit``).
+    """
+    own = _named(dim, level, name)
+    kilograms = None if carbon is None else _of_unit(_carbon_totals(carbon), own)
+    return _units(_of_unit(cost_cube(billing), own), own, as_of, kilograms, [level])
+
+
+def department(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbon: DataFrame | None = None) -> DataFrame:
     """One department's record (no row when the name is unknown)."""
-    return _one_unit(org_units(billing, dim.where(F.col("department") == name), as_of, carbon,
-                               ["department"], with_last_six), "department", name)
+    return unit(billing, dim, "department", name, as_of, carbon)
+
+
+def branch(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbon: DataFrame | None = None) -> DataFrame:
+    """The record of each branch of that name, with its department."""
+    return unit(billing, dim, "branch", name, as_of, carbon)
 
 
-def branch(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbon: DataFrame | None = None,
-           with_last_six: bool = True) -> DataFrame:
-    """One branch's record (no row when the name is unknown)."""
-    return _one_unit(org_units(billing, dim.where(F.col("branch") == name), as_of, carbon,
-                               ["branch"], with_last_six), "branch", name)
+def directorate(billing: DataFrame, dim: DataFrame, name: str, as_of=None,
+                carbon: DataFrame | None = None) -> DataFrame:
+    """The record of each directorate of that name, with its department and branch."""
+    return unit(billing, dim, "directorate", name, as_of, carbon)
 
 
-def directorate(billing: DataFrame, dim: DataFrame, name: str, as_of=None, carbon: DataFrame | None = None,
-                with_last_six: bool = True) -> DataFrame:
-    """One directorate's record (no row when the name is unknown)."""
-    return _one_unit(org_units(billing, dim.where(F.col("directorate") == name), as_of, carbon,
-                               ["directorate"], with_last_six), "directorate", name)
+def unit_projects(billing: DataFrame, dim: DataFrame, level: str, name: str, as_of=None) -> DataFrame:
+    """Report rows of the projects of the units of that level and name (flat, with their path)."""
+    own = _named(dim, level, name)
+    return org_projects(_of_unit(cost_cube(billing), own), own, as_of)
 
 
 def project_totals(billing: DataFrame) -> DataFrame:
@@ -208,8 +232,7 @@ def project_totals(billing: DataFrame) -> DataFrame:
     count below a plain ``count`` instead of a distinct count.
     """
     cube = cost_cube(billing).select(S.PROJECT_ID, S.FINAL_COST)
-    return cube.where(F.col(S.PROJECT_ID).isNotNull()).groupBy(S.PROJECT_ID) \
-        .agg(F.sum(S.FINAL_COST).alias(S.FINAL_COST))
+    return _known(cube).groupBy(S.PROJECT_ID).agg(F.sum(S.FINAL_COST).alias(S.FINAL_COST))
 
 
 def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
@@ -218,8 +241,7 @@ def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
     ``grouping_level`` is Spark's ``grouping_id()``: 0 directorate rows,
     1 branch subtotals, 3 department subtotals, 7 the grand total.
     """
-    validate_dim(dim)
-    rows = project_totals(billing).join(dim.select(S.PROJECT_ID, "department", "branch", "directorate"),
+    rows = project_totals(billing).join(project_dimension(dim).select(S.PROJECT_ID, "department", "branch", "directorate"),
                                         on=S.PROJECT_ID)
     return rows.rollup("department", "branch", "directorate").agg(
         F.grouping_id().cast("int").alias("grouping_level"),
@@ -228,42 +250,40 @@ def org_spend_rollup(billing: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def org_project_count(billing: DataFrame, dim: DataFrame | None, levels: Sequence[str] | None = None,
-                      memberships: DataFrame | None = None) -> DataFrame:
-    """(level, name, acronym, projectCount) for every unit with billed projects."""
-    rows = explode_units(billed_project_ids(billing), dim, levels, memberships)
-    return rows.groupBy(*UNIT_KEYS).agg(F.countDistinct(S.PROJECT_ID).alias("projectCount"))
+def org_project_count(billing: DataFrame, dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
+    """Unit and projectCount for every unit with billed projects."""
+    rows = _known(billed_project_ids(billing))
+    counted = _per_unit(unit_memberships(dim, levels), rows, [F.count(S.PROJECT_ID).alias("projectCount")])
+    return counted.select(*_shown(), "projectCount")
 
 
-def org_projects(billing: DataFrame, dim: DataFrame, as_of=None, with_last_six: bool = True) -> DataFrame:
+def org_projects(billing: DataFrame, dim: DataFrame, as_of=None) -> DataFrame:
     """Project report rows with their department, branch and directorate (flat)."""
-    validate_dim(dim)
-    report = project_cost_report(billing, as_of, with_last_six=with_last_six)
-    return report.join(dim.select(S.PROJECT_ID, "classification", *_LEVEL_COLUMNS), on=S.PROJECT_ID, how="inner")
+    return project_cost_report(billing, as_of).join(
+        project_dimension(dim).select(S.PROJECT_ID, "classification", *_LEVEL_COLUMNS), on=S.PROJECT_ID, how="inner")
 
 
 def org_hierarchy(dim: DataFrame) -> DataFrame:
     """Distinct department > branch > directorate paths with acronyms."""
-    validate_dim(dim)
-    return dim.select(*_LEVEL_COLUMNS).distinct()
+    return project_dimension(dim).select(*_LEVEL_COLUMNS).distinct()
 
 
-def children(dim: DataFrame, level: str, name: str) -> DataFrame:
-    """Units one level below ``level``/``name`` (department -> branches, branch -> directorates)."""
+def children(dim: DataFrame, level: str, name: str, of_level: str | None = None) -> DataFrame:
+    """Units below the units of ``level`` and ``name``: the next level, or ``of_level`` further down
+    (a department's directorates, say), with their parents."""
     order = list(S.ORG_LEVELS)
     if level not in order[:-1]:
         raise ValueError(f"level must be one of {order[:-1]}")
-    child = order[order.index(level) + 1]
-    cname, cacr = S.ORG_LEVELS[child]
-    return org_hierarchy(dim).where(F.col(level) == name).select(
-        F.lit(child).alias("level"), F.col(cname).alias("name"), F.col(cacr).alias("acronym")
-    ).distinct()
+    below = order[order.index(level) + 1] if of_level is None else of_level
+    if below not in order[order.index(level) + 1:]:
+        raise ValueError(f"{below!r} is not below {level!r}")
+    members = unit_memberships(_named(dim, level, name), [below])
+    return members.groupBy(*UNIT_KEYS).agg(F.min("acronym").alias("acronym")).select(*_shown())
 
 
 def classification_spend(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """Project count and all-history spend per classification."""
-    validate_dim(dim)
-    rows = project_totals(billing).join(dim.select(S.PROJECT_ID, "classification"), on=S.PROJECT_ID)
+    rows = project_totals(billing).join(project_dimension(dim).select(S.PROJECT_ID, "classification"), on=S.PROJECT_ID)
     return rows.groupBy("classification").agg(
         F.count(S.PROJECT_ID).alias("projectCount"),
         as_double(F.sum(S.FINAL_COST)).alias("totalCloudSpend"),
@@ -271,11 +291,7 @@ def classification_spend(billing: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def duplicate_projects(dim: DataFrame) -> DataFrame:
-    """Project ids listed more than once in the dimension, with their row count.
-
-    The dimension must hold one row per project: a duplicated project would
-    count its spend once per row in every unit total.  Run this as a check.
-    """
+    """Project ids listed more than once in the dimension, with their row count (a data check)."""
     validate_dim(dim)
     return dim.groupBy(S.PROJECT_ID).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
@@ -289,17 +305,19 @@ def invalid_classification(dim: DataFrame) -> DataFrame:
 
 def project_owner(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """Owner department of every billed project (null when not in the dimension)."""
-    validate_dim(dim)
-    ids = billed_project_ids(billing)
-    owners = dim.select(
+    owners = project_dimension(dim).select(
         S.PROJECT_ID, F.col("department").alias("owner"), F.col("department_acronym").alias("owner_acronym")
     )
-    return ids.join(owners, on=S.PROJECT_ID, how="left")
+    return billed_project_ids(billing).join(owners, on=S.PROJECT_ID, how="left")
+
+
+def _carbon_totals(carbon: DataFrame) -> DataFrame:
+    """All-history kilograms per project, the null project left out."""
+    return (carbon.select(project_id_col().alias(S.PROJECT_ID), S.CARBON_KG).where(F.col(S.PROJECT_ID).isNotNull())
+            .groupBy(S.PROJECT_ID).agg(F.sum(S.CARBON_KG).alias(S.CARBON_KG)))
 
 
-def org_carbon_total(carbon: DataFrame, dim: DataFrame | None, levels: Sequence[str] | None = None,
-                     memberships: DataFrame | None = None) -> DataFrame:
+def org_carbon_total(carbon: DataFrame, dim: DataFrame, levels: Sequence[str] | None = None) -> DataFrame:
     """Per unit: all-history kilograms (the unit-level ``carbonFootprint`` scalar)."""
-    cube = monthly_carbon(carbon).select(S.PROJECT_ID, S.CARBON_KG)
-    rows = explode_units(cube, dim, levels, memberships)
-    return rows.groupBy(*UNIT_KEYS).agg(as_double(F.sum(S.CARBON_KG)).alias("carbonFootprint"))
+    total = as_double(F.sum(S.CARBON_KG)).alias("carbonFootprint")
+    return _per_unit(unit_memberships(dim, levels), _carbon_totals(carbon), [total]).select(*_shown(), "carbonFootprint")

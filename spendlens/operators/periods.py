@@ -1,19 +1,17 @@
 """Period-over-period report over a monthly cube.
 
-The original query expresses the report as seven period sub-queries over the cube,
-each LEFT JOINed to the list of project ids.  Here the same numbers come from
-**one** ``groupBy(key)`` with conditional sums (``sum(when(in_period, v))``):
-one pass over the cube, one shuffle, no joins.  Two details keep the results
-identical to the join form:
-
-* a null key matches nothing in an equality join, so every metric of the null
-  key is forced to null (``valid`` mask);
-* the six-month series is collected as (month, value) structs, so a null
-  monthly total keeps its slot, and sorted newest first; a key with no month
-  in the range gets a null array, not an empty one.
-
-Everything is generic over the key columns and the value column, so the same
-code serves projects, organisational units, money and kilograms.
+Every figure of the report is a sum over some months, so one ``groupBy(key)``
+with conditional sums (``sum(when(in_period, v))``) gives them all: one pass
+over the cube, one shuffle, no joins.  The six-month series is six more
+conditional sums with a flag each for whether the month has a row: the state of
+a key has a fixed size and stays in whole-stage codegen, and a null monthly
+total keeps its slot while a month without rows has none.
+
+The sums are additive over any split of the rows, so sums per project can be
+added up per organisational unit (``add_up``) before ``finish`` turns them into
+the report.  Two details keep the results equal to the original's equality
+joins: every metric of a null key is null (``valid`` mask), and a key without
+a month in the range gets a null series, not an empty one.
 """
 
 from __future__ import annotations
@@ -36,6 +34,9 @@ _PERIOD_COLUMNS = {
     S.CURRENT_FISCAL_YEAR: "current_fiscal_year",
     S.PREVIOUS_FISCAL_YEAR: "previous_fiscal_year",
 }
+#: Sum and presence of each of the six months, newest first.
+_MONTH_SUMS = [f"_month_{i}" for i in range(1, 7)]
+_MONTH_SEEN = [f"_seen_{i}" for i in range(1, 7)]
 
 
 def _lit(d: dt.date) -> Column:
@@ -57,7 +58,7 @@ def period_predicates(cal: ReportCalendar, month: Column) -> dict[str, Column]:
     }
 
 
-def _valid(keys: Sequence[str]) -> Column:
+def valid_key(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
@@ -77,64 +78,65 @@ def period_total(cube: DataFrame, as_of, period: str, keys: Sequence[str] = (S.P
     return cube.where(pred).groupBy(*keys).agg(as_double(F.sum(value)).alias(out_name))
 
 
-def last_six_months_array(value: Column, month: Column, in_range: Column) -> Column:
-    """Newest-first array of monthly values for months in range; null when none.
+def period_sums(as_of, value: str = S.FINAL_COST, valid: Column | None = None) -> list[Column]:
+    """Aggregates over a cube (``month``, ``value``): the raw sums behind one report row."""
+    cal = ReportCalendar.for_date(as_of)
+    month, v = F.col(S.MONTH), F.col(value)
+    valid = F.lit(True) if valid is None else valid
+    inside = period_predicates(cal, month)
+    aggs = [F.sum(F.when(valid & inside[p], v)).alias(c) for c, p in _PERIOD_COLUMNS.items()]
+    for start, total, seen in zip(cal.six_months, _MONTH_SUMS, _MONTH_SEEN):
+        here = valid & (month == _lit(start))
+        aggs += [F.sum(F.when(here, v)).alias(total), F.max(F.when(here, True)).alias(seen)]
+    return aggs
 
-    ``collect_list`` skips nulls, so values are wrapped in a (month, value)
-    struct first: a null total keeps its slot.  State per key is bounded by
-    six structs, whatever the size of the input.
-    """
-    pairs = F.collect_list(F.when(in_range, F.struct(month.alias("m"), as_double(value).alias("v"))))
-    values = F.transform(F.sort_array(pairs, asc=False), lambda p: p["v"])
+
+def add_up() -> list[Column]:
+    """Aggregates that combine rows of ``period_sums`` (of projects, say) into one such row."""
+    return [F.sum(c).alias(c) for c in (*_PERIOD_COLUMNS, *_MONTH_SUMS)] + [F.max(c).alias(c) for c in _MONTH_SEEN]
+
+
+def _series() -> Column:
+    """Newest-first array of the months that have rows; null when none has."""
+    months = F.array(*[F.when(F.col(seen), F.struct(as_double(F.col(total)).alias("v")))
+                       for total, seen in zip(_MONTH_SUMS, _MONTH_SEEN)])
+    values = F.transform(F.filter(months, lambda m: m.isNotNull()), lambda m: m["v"])
     return F.when(F.size(values) > 0, values)
 
 
-def period_report(cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,), value: str = S.FINAL_COST,
-                  with_last_six: bool = True, extra_aggs: dict[str, Column] | None = None) -> DataFrame:
+def finish(sums: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """``period_sums`` columns into the nine report metrics, with ``keys`` before and ``extra`` after them."""
+    d = {c: as_double(F.col(c)) for c in _PERIOD_COLUMNS}
+    metrics = {
+        S.CURRENT_MONTH: d[S.CURRENT_MONTH],
+        S.PREVIOUS_MONTH: d[S.PREVIOUS_MONTH],
+        S.MONTH_DELTA: pct_change(d[S.CURRENT_MONTH], d[S.PREVIOUS_MONTH]),
+        S.CURRENT_CALENDAR_YEAR: d[S.CURRENT_CALENDAR_YEAR],
+        S.PREVIOUS_CALENDAR_YEAR: d[S.PREVIOUS_CALENDAR_YEAR],
+        S.CURRENT_FISCAL_YEAR: d[S.CURRENT_FISCAL_YEAR],
+        S.PREVIOUS_FISCAL_YEAR: d[S.PREVIOUS_FISCAL_YEAR],
+        S.FISCAL_DELTA: pct_change(d[S.CURRENT_FISCAL_YEAR], d[S.PREVIOUS_FISCAL_YEAR]),
+        S.LAST_SIX_MONTHS: _series(),
+    }
+    return sums.select(*keys, *[c.alias(name) for name, c in metrics.items()], *extra)
+
+
+def period_report(cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,),
+                  value: str = S.FINAL_COST) -> DataFrame:
     """All report metrics per key in one aggregation over the cube.
 
-    ``cube`` needs the key columns, ``month`` (DATE, first of month) and
-    ``value``; it must hold one row per (key, month).  ``extra_aggs`` are
-    further aggregates computed in the same pass (e.g. an all-history total).
+    ``cube`` needs the key columns, ``month`` (DATE, first of month) and ``value``.
     """
-    cal = ReportCalendar.for_date(as_of)
-    keys = list(keys)
-    month, v = F.col(S.MONTH), F.col(value)
-    valid = _valid(keys)
-    preds = period_predicates(cal, month)
-    aggs = [F.sum(F.when(valid & preds[p], v)).alias(col) for col, p in _PERIOD_COLUMNS.items()]
-    if with_last_six:
-        aggs.append(last_six_months_array(v, month, valid & preds["last_six_months"]).alias(S.LAST_SIX_MONTHS))
-    extra = dict(extra_aggs or {})
-    aggs += [c.alias(n) for n, c in extra.items()]
-    agg = cube.groupBy(*keys).agg(*aggs)
-    return _finish(agg, keys, with_last_six, list(extra))
-
-
-def _finish(agg: DataFrame, keys: Sequence[str], with_last_six: bool, extra: Sequence[str] = ()) -> DataFrame:
-    d = {c: as_double(F.col(c)) for c in _PERIOD_COLUMNS}
-    cols = [F.col(k) for k in keys] + [
-        d[S.CURRENT_MONTH].alias(S.CURRENT_MONTH),
-        d[S.PREVIOUS_MONTH].alias(S.PREVIOUS_MONTH),
-        pct_change(d[S.CURRENT_MONTH], d[S.PREVIOUS_MONTH]).alias(S.MONTH_DELTA),
-        d[S.CURRENT_CALENDAR_YEAR].alias(S.CURRENT_CALENDAR_YEAR),
-        d[S.PREVIOUS_CALENDAR_YEAR].alias(S.PREVIOUS_CALENDAR_YEAR),
-        d[S.CURRENT_FISCAL_YEAR].alias(S.CURRENT_FISCAL_YEAR),
-        d[S.PREVIOUS_FISCAL_YEAR].alias(S.PREVIOUS_FISCAL_YEAR),
-        pct_change(d[S.CURRENT_FISCAL_YEAR], d[S.PREVIOUS_FISCAL_YEAR]).alias(S.FISCAL_DELTA),
-    ]
-    if with_last_six:
-        cols.append(F.col(S.LAST_SIX_MONTHS))
-    return agg.select(*cols, *extra)
+    return finish(cube.groupBy(*keys).agg(*period_sums(as_of, value, valid_key(keys))), keys)
 
 
 def report_over_history(ids: DataFrame, windowed_cube: DataFrame, as_of, keys: Sequence[str] = (S.PROJECT_ID,),
-                        value: str = S.FINAL_COST, with_last_six: bool = True) -> DataFrame:
+                        value: str = S.FINAL_COST) -> DataFrame:
     """Report for every key in ``ids`` with metrics from a date-windowed cube.
 
     ``ids`` comes from the whole history (cheap: one column), the metrics only
     from the months the report can see.  Keys without rows in the window get
     null metrics, exactly as if the whole history had been aggregated.
     """
-    metrics = period_report(windowed_cube, as_of, keys, value, with_last_six).where(_valid(keys))
+    metrics = period_report(windowed_cube, as_of, keys, value).where(valid_key(keys))
     return ids.join(metrics, on=list(keys), how="left")

@@ -13,52 +13,57 @@ from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.operators.carbon import carbon_report
-from spendlens.operators.org import validate_dim
+from spendlens.operators.estimates import carbon_estimates, cost_estimates
+from spendlens.operators.org import project_dimension
 from spendlens.operators.report import api_flavour, project_cost_report
 
 _CARBON_PREFIX = "carbon_"
+_ESTIMATED = (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED)
 
 
 def project_details(billing: DataFrame, as_of=None, dim: DataFrame | None = None, carbon: DataFrame | None = None,
-                    flavour: str = "api", nested: bool = True, with_last_six: bool = True) -> DataFrame:
+                    flavour: str = "api", nested: bool = True, estimates: bool = False) -> DataFrame:
     """One row per billed project with every field of the API's Project type.
 
     ``nested=True`` gives ``id, costs struct, classification, owner struct
     (name, acronym), carbonFootprint struct``; both structs carry the API's
-    eleven fields, the two year-end estimates null as the original leaves them; ``nested=False`` the same
-    values as flat columns (carbon metrics prefixed ``carbon_``).  Fields whose
-    input is not given are null.
+    eleven fields, the two year-end estimates null as the original leaves them
+    unless ``estimates`` asks for them; ``nested=False`` gives the same values as
+    flat columns (carbon metrics prefixed ``carbon_``).  Fields whose input is
+    not given are null.
     """
-    report = project_cost_report(billing, as_of, with_last_six=with_last_six)
-    if flavour == "api":
-        report = api_flavour(report)
-    metrics = [c for c in report.columns if c != S.PROJECT_ID]
-    out = report
+    def report_of(report: DataFrame, guess) -> DataFrame:
+        if estimates:
+            own = guess.select(F.col(S.PROJECT_ID).alias("_id"), *_ESTIMATED)
+            report = report.join(own, report[S.PROJECT_ID].eqNullSafe(own["_id"]), "left").drop("_id")
+        else:
+            report = report.select("*", *[F.lit(None).cast("double").alias(n) for n in _ESTIMATED])
+        return api_flavour(report) if flavour == "api" and estimates else (
+            api_flavour(report.drop(*_ESTIMATED)).select("*", *[F.lit(None).cast("double").alias(n) for n in _ESTIMATED])
+            if flavour == "api" else report)
+
+    out = report_of(project_cost_report(billing, as_of), cost_estimates(billing, as_of) if estimates else None)
+    metrics = [c for c in out.columns if c != S.PROJECT_ID]
     if carbon is not None:
-        kg = carbon_report(carbon, as_of, with_last_six=with_last_six)
-        if flavour == "api":
-            kg = api_flavour(kg)
+        kg = report_of(carbon_report(carbon, as_of), carbon_estimates(carbon, as_of) if estimates else None)
         kg = kg.where(F.col(S.PROJECT_ID).isNotNull()).select(
-            S.PROJECT_ID, *[F.col(c).alias(_CARBON_PREFIX + c) for c in kg.columns if c != S.PROJECT_ID])
+            S.PROJECT_ID, *[F.col(c).alias(_CARBON_PREFIX + c) for c in metrics])
         out = out.join(kg, on=S.PROJECT_ID, how="left")
     carbon_cols = [c for c in out.columns if c.startswith(_CARBON_PREFIX)]
     if dim is not None:
-        validate_dim(dim)
-        d = dim.select(S.PROJECT_ID, "classification", F.col("department").alias("owner"),
-                       F.col("department_acronym").alias("owner_acronym"))
+        d = project_dimension(dim).select(S.PROJECT_ID, "classification", F.col("department").alias("owner"),
+                                          F.col("department_acronym").alias("owner_acronym"))
         out = out.join(d, on=S.PROJECT_ID, how="left")
     else:
         out = out.select("*", *[F.lit(None).cast("string").alias(c)
                                 for c in ("classification", "owner", "owner_acronym")])
     if not nested:
         return out.select(S.PROJECT_ID, *metrics, "classification", "owner", "owner_acronym", *carbon_cols)
-    estimates = [F.lit(None).cast("double").alias(n)
-                 for n in (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED)]
-    carbon_struct = (F.struct(*[F.col(c).alias(c[len(_CARBON_PREFIX):]) for c in carbon_cols], *estimates)
+    carbon_struct = (F.struct(*[F.col(c).alias(c[len(_CARBON_PREFIX):]) for c in carbon_cols])
                      if carbon_cols else F.lit(None))
     return out.select(
         F.col(S.PROJECT_ID).alias("id"),
-        F.struct(*[F.col(m) for m in metrics], *estimates).alias("costs"),
+        F.struct(*metrics).alias("costs"),
         "classification",
         F.when(F.col("owner").isNotNull(),
                F.struct(F.col("owner").alias("name"), F.col("owner_acronym").alias("acronym"))).alias("owner"),

@@ -24,12 +24,11 @@ from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.operators.monthly import final_cost_cube, is_cost_cube, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
-from spendlens.sources import billing as billing_source
 from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_before, usage_between
 
 
 def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = True,
-                        with_last_six: bool = True, through_as_of: bool = False) -> DataFrame:
+                        through_as_of: bool = False) -> DataFrame:
     """Raw report, one row per project id ever seen (null id included).
 
     ``billing`` is an export or an already aggregated monthly cost cube.
@@ -49,20 +48,19 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     if is_cost_cube(billing):
         if through_as_of:
             raise ValueError("through_as_of needs usage lines, not an aggregated cube")
-        return cube_cost_report(billing, as_of, with_last_six) if prune_history else \
-            period_report(billing, as_of, with_last_six=with_last_six)
+        return cube_cost_report(billing, as_of) if prune_history else period_report(billing, as_of)
     billing = load_billing(billing)
     cal = ReportCalendar.for_date(as_of)
     if through_as_of:
         billing = usage_before(billing, cal.as_of + dt.timedelta(days=1))
     if not prune_history:
-        return period_report(final_cost_cube(billing), cal.as_of, with_last_six=with_last_six)
+        return period_report(final_cost_cube(billing), cal.as_of)
     lo, hi = cal.scan_window()
     cube = final_cost_cube(usage_between(billing, lo, hi))
-    return report_over_history(project_ids(billing), cube, cal.as_of, with_last_six=with_last_six)
+    return report_over_history(project_ids(billing), cube, cal.as_of)
 
 
-def cube_cost_report(cube: DataFrame, as_of=None, with_last_six: bool = True) -> DataFrame:
+def cube_cost_report(cube: DataFrame, as_of=None) -> DataFrame:
     """Raw report from an already aggregated cube (e.g. a stored one).
 
     The id list comes from every month of the cube; the metrics only from the
@@ -73,7 +71,7 @@ def cube_cost_report(cube: DataFrame, as_of=None, with_last_six: bool = True) ->
     month = F.col(S.MONTH)
     window = cube.where((month >= F.lit(lo)) & (month < F.lit(hi)))
     ids = cube.select(S.PROJECT_ID).distinct()
-    return report_over_history(ids, window, cal.as_of, with_last_six=with_last_six)
+    return report_over_history(ids, window, cal.as_of)
 
 
 def billing_period_total(billing: DataFrame, as_of, period: str, name: str | None = None) -> DataFrame:
@@ -139,47 +137,39 @@ def _finish(report: DataFrame, flavour: str) -> DataFrame:
 
 
 def all_projects(billing: DataFrame, as_of=None, flavour: str = "api", prune_history: bool = True,
-                 with_last_six: bool = True, through_as_of: bool = False) -> DataFrame:
+                 through_as_of: bool = False) -> DataFrame:
     """Report for every project in the export."""
-    return _finish(project_cost_report(billing, as_of, prune_history, with_last_six, through_as_of), flavour)
+    return _finish(project_cost_report(billing, as_of, prune_history, through_as_of), flavour)
 
 
 def projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None, as_of=None, flavour: str = "api",
-             prune_history: bool = True, with_last_six: bool = True) -> DataFrame:
+             prune_history: bool = True) -> DataFrame:
     """Report for the listed projects.
 
     Unknown ids give no row, duplicates give one row, an empty list gives no
     rows, a null element raises ``ValueError``.
 
-    A short list is applied before aggregation as ``project.id IN (...)``,
-    which reaches the parquet reader.  An id DataFrame (or a list longer than
-    ``sources.billing.ISIN_MAX_IDS``) is applied to the per-project report instead, a left-semi
-    join between two per-project tables: the raw export is never shuffled to
-    meet the id list, whatever its size.  Both give the same rows, since a
-    project's report depends only on its own usage lines.
+    Python ids (a string, a list, any iterable) are applied before aggregation
+    as ``project.id IN (...)``, which reaches the parquet reader.  An id
+    DataFrame, the way for long lists, is applied to the per-project report
+    instead, a left-semi join between two per-project tables: the raw export is
+    never shuffled to meet the ids.  Both give the same rows, since a project's
+    report depends only on its own usage lines.
     """
-    if is_cost_cube(billing):
-        if isinstance(ids, DataFrame):
-            keys = ids.select(S.PROJECT_ID).where(F.col(S.PROJECT_ID).isNotNull()).distinct()
-            cube = billing.join(keys, on=S.PROJECT_ID, how="left_semi")
-        else:
-            cube = billing.where(F.col(S.PROJECT_ID).isin(normalize_ids(ids)))
-        return _finish(project_cost_report(cube, as_of, prune_history, with_last_six), flavour)
-    billing = load_billing(billing)
-    if isinstance(ids, DataFrame) or (not isinstance(ids, str) and ids is not None
-                                      and len(normalize_ids(ids)) > billing_source.ISIN_MAX_IDS):
-        if not isinstance(ids, DataFrame):
-            spark = billing.sparkSession
-            ids = spark.createDataFrame([(i,) for i in normalize_ids(ids)], f"{S.PROJECT_ID} string")
+    if isinstance(ids, DataFrame):
         keys = ids.select(S.PROJECT_ID).where(F.col(S.PROJECT_ID).isNotNull()).distinct()
-        report = project_cost_report(billing, as_of, prune_history, with_last_six)
+        report = project_cost_report(billing, as_of, prune_history)
         return _finish(report.join(keys, on=S.PROJECT_ID, how="left_semi"), flavour)
-    return _finish(project_cost_report(filter_projects(billing, ids), as_of, prune_history, with_last_six), flavour)
+    if is_cost_cube(billing):
+        chosen = billing.where(F.col(S.PROJECT_ID).isin(normalize_ids(ids)))
+    else:
+        chosen = filter_projects(load_billing(billing), ids)
+    return _finish(project_cost_report(chosen, as_of, prune_history), flavour)
 
 
-def project(billing: DataFrame, project_id: str, as_of=None, flavour: str = "api", prune_history: bool = True,
-            with_last_six: bool = True) -> DataFrame:
+def project(billing: DataFrame, project_id: str, as_of=None, flavour: str = "api",
+            prune_history: bool = True) -> DataFrame:
     """Report for one project: a DataFrame with one row, or none when unknown."""
     if project_id is None:
         raise ValueError("project id must not be null")
-    return projects(billing, [project_id], as_of, flavour, prune_history, with_last_six)
+    return projects(billing, [project_id], as_of, flavour, prune_history)

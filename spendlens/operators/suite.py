@@ -18,17 +18,17 @@ from spendlens.sources.cube_store import materialize_costs
 
 
 def spend_reports(billing: DataFrame, as_of=None, dim: DataFrame | None = None, carbon: DataFrame | None = None,
-                  store_path: str | None = None, with_last_six: bool = True) -> dict[str, DataFrame]:
+                  store_path: str | None = None) -> dict[str, DataFrame]:
     """{name: DataFrame} for the project report and, with a dimension, the unit
     reports, roll-up and classification spend; with a carbon table, the carbon
     report.  All cost reports read the one stored cube."""
     cube = materialize_costs(billing, store_path)
-    out = {"projects": all_projects(cube, as_of, with_last_six=with_last_six)}
+    out = {"projects": all_projects(cube, as_of)}
     if dim is not None:
-        out["org_units"] = org.org_units(cube, dim, as_of, carbon=carbon, with_last_six=with_last_six)
+        out["org_units"] = org.org_units(cube, dim, as_of, carbon=carbon)
         out["org_spend_rollup"] = org.org_spend_rollup(cube, dim)
         out["classification_spend"] = org.classification_spend(cube, dim)
         out["project_owner"] = org.project_owner(cube, dim)
     if carbon is not None:
-        out["carbon_report"] = carbon_report(carbon, as_of, with_last_six=with_last_six)
+        out["carbon_report"] = carbon_report(carbon, as_of)
     return out

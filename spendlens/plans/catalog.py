@@ -9,6 +9,8 @@ on both sides.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime as dt
 import os
 import uuid
@@ -42,7 +44,7 @@ from spendlens.plans.views import projects_sql
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources import fixtures
 from spendlens.sources.billing import filter_projects, load_billing, usage_date
-from spendlens.sources.cube_store import materialize_costs, read_cube
+from spendlens.sources.cube_store import drop_store, materialize_costs, read_cube
 from spendlens.streaming.cube_refresh import billing_stream, refresh_paths, start_cube_refresh
 
 # Fixed parameters of the registered queries.
@@ -69,31 +71,16 @@ class Query:
     survey_id: str
 
 
-# Inputs are built once per session and data folder and reused by every query,
-# as an application loads its billing table once and runs many reports on it.
-# (DataFrames are immutable and the driver tables are read-only.)
-_INPUTS: dict[tuple[str, str], tuple[SparkSession, DataFrame]] = {}
-
-
-def _input(kind: str, build, spark, sf) -> DataFrame:
-    hit = _INPUTS.get((kind, sf))
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = build(spark, sf)
-    _INPUTS[(kind, sf)] = (spark, df)
-    return df
-
-
 def _billing(spark, sf):
-    return _input("billing", fixtures.billing, spark, sf)
+    return fixtures.billing(spark, sf)
 
 
 def _dim(spark, sf):
-    return _input("dim", fixtures.project_dim, spark, sf)
+    return fixtures.project_dim(spark, sf)
 
 
 def _carbon(spark, sf):
-    return _input("carbon", fixtures.carbon, spark, sf)
+    return fixtures.carbon(spark, sf)
 
 
 # --- S1 / S2: billing rows -------------------------------------------------
@@ -153,6 +140,18 @@ def _cube_sql(cols: str) -> str:
             f"SELECT CAST(month AS TIMESTAMP) AS month, year, project_id, {cols} FROM monthly")
 
 
+def monthly_long_credits(spark, sf):
+    cube = monthly_costs(load_billing(fixtures.billing_long_credits(spark, sf)))
+    measures = [S.FIRST_CREDIT_TOTAL, S.ALL_CREDITS_TOTAL, S.FINAL_COST]
+    return cube.select(*_cube_keys(), *[as_double(F.col(m)).alias(m) for m in measures])
+
+
+_LONG_CREDITS_SQL = (f"WITH {Q.LONG_CREDITS_CTE},{Q.cube_cte()}\nSELECT CAST(month AS TIMESTAMP) AS month, year, project_id, "
+                     "CAST(total_credits_computed1 AS DOUBLE) AS total_credits_computed1, "
+                     "CAST(total_credits_computed2 AS DOUBLE) AS total_credits_computed2, "
+                     "CAST(final_cost AS DOUBLE) AS final_cost FROM monthly")
+
+
 def project_ids_query(spark, sf):
     return project_ids(_billing(spark, sf))
 
@@ -165,12 +164,13 @@ def fiscal_calendar(spark, sf):
 
 _FISCAL_SQL = """
 WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
-y AS (SELECT day, CASE WHEN EXTRACT(month FROM day) > 3 THEN CAST(EXTRACT(year FROM day) AS INTEGER)
-                       ELSE CAST(EXTRACT(year FROM day) AS INTEGER) - 1 END AS fy FROM days)
-SELECT day, fy AS fiscal_year,
-       make_date(fy - 1, 4, 1) AS prev_fy_start, make_date(fy, 3, 31) AS prev_fy_end,
-       make_date(fy, 4, 1) AS current_fy_start, make_date(fy + 1, 3, 31) AS current_fy_end
-FROM y"""
+starts AS (SELECT day, max(april) AS f0 FROM days,
+           (SELECT make_date(CAST(y AS INTEGER), 4, 1) AS april FROM range(1980, 2040) AS years(y))
+           WHERE april <= day GROUP BY day)
+SELECT day, CAST(year(f0) AS INTEGER) AS fiscal_year,
+       CAST(f0 - INTERVAL 1 YEAR AS DATE) AS prev_fy_start, CAST(f0 - INTERVAL 1 DAY AS DATE) AS prev_fy_end,
+       f0 AS current_fy_start, CAST(f0 + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS current_fy_end
+FROM starts"""
 
 # --- P1-P9, R1: periods and the report ---------------------------------------
 
@@ -181,29 +181,19 @@ def _period(period: str, name: str):
     return build
 
 
-def _period_sql(cte: str, name: str) -> str:
-    return f"{Q.with_report(AS_OF)}\nSELECT project_id, CAST(amount AS DOUBLE) AS {name} FROM {cte}"
-
-
 def last_six_months(spark, sf):
     report = project_cost_report(_billing(spark, sf), AS_OF)
     return report.select(S.PROJECT_ID, F.posexplode(S.LAST_SIX_MONTHS).alias("pos", "cost"))
 
 
 _LSM_EXPLODED_SQL = f"""{Q.with_report(AS_OF)}
-SELECT ids.project_id,
-       CAST(row_number() OVER (PARTITION BY ids.project_id ORDER BY r.month DESC) - 1 AS INTEGER) AS pos,
-       CAST(r.amount AS DOUBLE) AS cost
-FROM ids JOIN six_rows r ON ids.project_id = r.project_id"""
-
-
-def last_six_months_array(spark, sf):
-    return project_cost_report(_billing(spark, sf), AS_OF).select(S.PROJECT_ID, S.LAST_SIX_MONTHS)
+SELECT project_id, CAST(i - 1 AS INTEGER) AS pos, lastSixMonths[i] AS cost
+FROM report, range(1, 7) AS places(i) WHERE i <= len(lastSixMonths)"""
 
 
 def _report_cols(*cols):
     def build(spark, sf):
-        return project_cost_report(_billing(spark, sf), AS_OF, with_last_six=False).select(S.PROJECT_ID, *cols)
+        return project_cost_report(_billing(spark, sf), AS_OF).select(S.PROJECT_ID, *cols)
     return build
 
 
@@ -212,50 +202,41 @@ def _report_cols_sql(*cols) -> str:
 
 
 def report_raw(spark, sf):
-    return project_cost_report(_billing(spark, sf), AS_OF, with_last_six=False)
+    return project_cost_report(_billing(spark, sf), AS_OF)
 
 
 def report_single_pass(spark, sf):
-    return project_cost_report(_billing(spark, sf), AS_OF, prune_history=False, with_last_six=False)
+    return project_cost_report(_billing(spark, sf), AS_OF, prune_history=False)
 
 
 # --- E1-E3, S4-S6: entry points and result mapping ---------------------------
 
-def all_projects_query(spark, sf, as_of=AS_OF):
-    return all_projects(_billing(spark, sf), as_of, with_last_six=False)
-
-
 def _all_projects_on(as_of: dt.date):
     def build(spark, sf):
-        return all_projects_query(spark, sf, as_of)
+        return all_projects(_billing(spark, sf), as_of)
     return build
 
 
 def projects_by_ids(spark, sf):
-    return projects(_billing(spark, sf), SAMPLE_IDS, AS_OF, with_last_six=False)
+    return projects(_billing(spark, sf), SAMPLE_IDS, AS_OF)
 
 
 def projects_by_ids_sql(spark, sf):
-    report = projects_sql(_billing(spark, sf), SAMPLE_IDS, AS_OF)
-    return report.drop(S.LAST_SIX_MONTHS)
-
-
-def project_by_id(spark, sf):
-    return project(_billing(spark, sf), ONE_ID, AS_OF, with_last_six=False)
+    return projects_sql(_billing(spark, sf), SAMPLE_IDS, AS_OF)
 
 
-def all_projects_api(spark, sf):
-    return all_projects(_billing(spark, sf), AS_OF)
+def projects_by_id_table(spark, sf):
+    ids = fixtures.read_table(spark, sf, "supplier").where("s_suppkey % 3 = 1").select(
+        F.col("s_suppkey").cast("string").alias(S.PROJECT_ID))
+    return projects(_billing(spark, sf), ids, AS_OF)
 
 
-_API_ARRAY_SQL = (
-    f"{Q.with_report(AS_OF)}\nSELECT {Q.api_columns()}, "
-    "list_transform(report.lastSixMonths, lambda x: COALESCE(x, 0.0)) AS lastSixMonths FROM report"
-)
+_ID_TABLE_SQL = (f"{Q.with_report(AS_OF)}\nSELECT {Q.api_columns()} FROM report WHERE project_id IN "
+                 "(SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 3 = 1)")
 
 
-def project_records_query(spark, sf):
-    return project_records(api_flavour(project_cost_report(_billing(spark, sf), AS_OF)))
+def project_by_id(spark, sf):
+    return project(_billing(spark, sf), ONE_ID, AS_OF)
 
 
 _RECORDS_SQL = f"""{Q.with_report(AS_OF)}
@@ -267,6 +248,10 @@ SELECT COALESCE(project_id, '') AS id,
 FROM report"""
 
 
+def project_records_query(spark, sf):
+    return project_records(api_flavour(project_cost_report(_billing(spark, sf), AS_OF)))
+
+
 def report_projection(spark, sf):
     return select_fields(all_projects(_billing(spark, sf), AS_OF), PROJECTION)
 
@@ -274,67 +259,55 @@ def report_projection(spark, sf):
 # --- D1-D13: organisational units, carbon, estimates -------------------------
 
 def org_unit_costs(spark, sf):
-    return org.org_unit_costs(_billing(spark, sf), _dim(spark, sf), AS_OF, with_last_six=False)
+    return org.org_unit_costs(_billing(spark, sf), _dim(spark, sf), AS_OF)
 
 
-_UNIT_REPORT_SQL = f"""{Q.with_unit_report(AS_OF)}
-SELECT level, name, acronym, {', '.join(Q.METRICS)} FROM report"""
+def org_units_shared_names(spark, sf):
+    dim = fixtures.shared_names_dim(_dim(spark, sf))
+    return org.org_units(_billing(spark, sf), dim, AS_OF, carbon=_carbon(spark, sf))
 
 
 def _unit_query(fn, name):
     def build(spark, sf):
-        return fn(_billing(spark, sf), _dim(spark, sf), name, AS_OF, carbon=_carbon(spark, sf), with_last_six=False)
+        return fn(_billing(spark, sf), _dim(spark, sf), name, AS_OF, carbon=_carbon(spark, sf))
     return build
 
 
 def _unit_sql(level: str, name: str) -> str:
-    carbon_rows = Q.unit_rows_cte("carbon_by_project", "carbon_kg", "carbon_rows", with_month=False)
-    return f"""{Q.with_unit_report(AS_OF)}, {Q.CARBON_CTE},
-carbon_by_project AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id), {carbon_rows},
-totals AS (SELECT level, name, acronym, COUNT(DISTINCT project_id) AS projectCount,
-                  CAST(SUM(final_cost) AS DOUBLE) AS totalCloudSpend FROM unit_rows GROUP BY level, name, acronym),
-ctotals AS (SELECT level, name, acronym, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
-            FROM carbon_rows GROUP BY level, name, acronym), {Q.UNIT_PARENTS_CTE}
-SELECT r.level, r.name, r.acronym, {', '.join('r.' + m for m in Q.METRICS)},
-       t.projectCount, t.totalCloudSpend, c.carbonFootprint, p.parent_department, p.parent_branch
-FROM report r
-LEFT JOIN totals t ON r.level = t.level AND r.name = t.name AND r.acronym = t.acronym
-LEFT JOIN ctotals c ON r.level = c.level AND r.name = c.name AND r.acronym = c.acronym
-LEFT JOIN uparents p ON r.level = p.level AND r.name = p.name AND r.acronym = p.acronym
-WHERE r.level = '{level}' AND r.name = '{name}'"""
+    return Q.unit_totals_sql(AS_OF, where=f"report.level = '{level}' AND report.{level} = '{name}'")
 
 
 def org_project_count(spark, sf):
     return org.org_project_count(_billing(spark, sf), _dim(spark, sf))
 
 
-_UNIT_COUNT_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()},
-billed AS (SELECT project_id, NULL AS month, NULL AS final_cost FROM monthly GROUP BY project_id),
-{Q.unit_rows_cte('billed')[1:]}
-SELECT level, name, acronym, COUNT(DISTINCT project_id) AS projectCount FROM unit_rows GROUP BY level, name, acronym"""
-
-
 def org_spend_rollup(spark, sf):
     return org.org_spend_rollup(_billing(spark, sf), _dim(spark, sf))
 
 
-_ROLLUP_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()}
-SELECT d.department, d.branch, d.directorate,
-       CAST(GROUPING(d.department, d.branch, d.directorate) AS INTEGER) AS grouping_level,
-       COUNT(DISTINCT m.project_id) AS projectCount,
-       CAST(SUM(m.final_cost) AS DOUBLE) AS totalCloudSpend
-FROM monthly m JOIN project_dim d ON m.project_id = d.project_id
-GROUP BY ROLLUP (d.department, d.branch, d.directorate)"""
+_SPEND = (f"WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, spent AS (SELECT d.*, b.cost, b.credits_sum_amount AS credit "
+          "FROM billing b JOIN project_dim d ON b.project_id = d.project_id)")
+_ROLLUP_SQL = f"""{_SPEND}
+SELECT department, branch, directorate, CAST(GROUPING(department, branch, directorate) AS INTEGER) AS grouping_level,
+       COUNT(DISTINCT project_id) AS projectCount, CAST(SUM(cost) + SUM(credit) AS DOUBLE) AS totalCloudSpend
+FROM spent GROUP BY ROLLUP (department, branch, directorate)"""
 
 
 def org_projects(spark, sf):
-    return org.org_projects(_billing(spark, sf), _dim(spark, sf), AS_OF, with_last_six=False)
+    return org.org_projects(_billing(spark, sf), _dim(spark, sf), AS_OF)
+
+
+def _unit_projects(level: str, name: str):
+    def build(spark, sf):
+        return org.unit_projects(_billing(spark, sf), _dim(spark, sf), level, name, AS_OF)
+    return build
 
 
-_ORG_PROJECTS_SQL = f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE}
-SELECT r.project_id, {', '.join('r.' + m for m in Q.METRICS)}, d.classification,
+def _org_projects_sql(where: str = "TRUE") -> str:
+    return f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE}
+SELECT {Q.raw_columns()}, d.classification,
        d.department, d.department_acronym, d.branch, d.branch_acronym, d.directorate, d.directorate_acronym
-FROM report r JOIN project_dim d ON r.project_id = d.project_id"""
+FROM report JOIN project_dim d ON report.project_id = d.project_id WHERE {where}"""
 
 
 def org_hierarchy(spark, sf):
@@ -346,21 +319,31 @@ SELECT DISTINCT department, department_acronym, branch, branch_acronym, director
 FROM project_dim"""
 
 
+def _children(level: str, name: str, below: str):
+    def build(spark, sf):
+        return org.children(_dim(spark, sf), level, name, below)
+    return build
+
+
+_BELOW_DEPARTMENT = f"""WITH {Q.DIM_CTE}
+SELECT DISTINCT 'directorate' AS level, directorate AS name, directorate_acronym AS acronym,
+       department AS parent_department, branch AS parent_branch FROM project_dim WHERE """
+
+
 def classification_spend(spark, sf):
     return org.classification_spend(_billing(spark, sf), _dim(spark, sf))
 
 
-_CLASSIFICATION_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()}
-SELECT d.classification, COUNT(DISTINCT m.project_id) AS projectCount,
-       CAST(SUM(m.final_cost) AS DOUBLE) AS totalCloudSpend
-FROM monthly m JOIN project_dim d ON m.project_id = d.project_id GROUP BY d.classification"""
+_CLASSIFICATION_SQL = f"""{_SPEND}
+SELECT classification, COUNT(DISTINCT project_id) AS projectCount,
+       CAST(SUM(cost) + SUM(credit) AS DOUBLE) AS totalCloudSpend FROM spent GROUP BY classification"""
 
 
 def invalid_classification(spark, sf):
-    return org.invalid_classification(_dim(spark, sf))
+    return org.invalid_classification(fixtures.bad_classes_dim(_dim(spark, sf)))
 
 
-_INVALID_SQL = f"""WITH {Q.DIM_CTE}
+_INVALID_SQL = f"""WITH {Q.BAD_CLASSES_CTE}
 SELECT project_id, classification FROM project_dim
 WHERE classification IS NULL OR classification NOT IN ('PROTECTED_B', 'PROTECTED_A', 'UNCLASSIFIED')"""
 
@@ -369,75 +352,120 @@ def project_owner(spark, sf):
     return org.project_owner(_billing(spark, sf), _dim(spark, sf))
 
 
-_OWNER_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}, {Q.cube_cte()},
-billed AS (SELECT project_id FROM monthly GROUP BY project_id)
+_OWNER_SQL = f"""WITH {Q.BILLING_CTE}, {Q.DIM_CTE}
 SELECT b.project_id, d.department AS owner, d.department_acronym AS owner_acronym
-FROM billed b LEFT JOIN project_dim d ON b.project_id = d.project_id"""
+FROM (SELECT DISTINCT project_id FROM billing) b LEFT JOIN project_dim d ON b.project_id = d.project_id"""
 
 
 def carbon_report(spark, sf):
-    return carbon_ops.carbon_report(_carbon(spark, sf), AS_OF, with_last_six=False)
+    return carbon_ops.carbon_report(_carbon(spark, sf), AS_OF)
 
 
 def org_carbon_total(spark, sf):
     return org.org_carbon_total(_carbon(spark, sf), _dim(spark, sf))
 
 
-_ORG_CARBON_SQL = f"""WITH {Q.CARBON_CTE}, {Q.DIM_CTE},
-carbon_by_project AS (SELECT project_id, SUM(carbon_kg) AS carbon_kg FROM carbon GROUP BY project_id),
-{Q.unit_rows_cte('carbon_by_project', 'carbon_kg', 'carbon_rows', with_month=False)[1:]}
-SELECT level, name, acronym, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
-FROM carbon_rows GROUP BY level, name, acronym"""
-
-
 def cost_estimates(spark, sf):
     return estimates.cost_estimates(_billing(spark, sf), AS_OF)
 
 
-def _estimates_sql() -> str:
-    fy_start, fy_end = dt.date(2000, 4, 1), dt.date(2001, 3, 31)
-    fy_days, fy_elapsed = (fy_end - fy_start).days + 1, (AS_OF - fy_start).days + 1
-    cy_days, cy_elapsed = 366, (AS_OF - dt.date(2000, 1, 1)).days + 1
-    return f"""{Q.with_report(AS_OF)}
-SELECT project_id, currentFiscalToDate, currentFiscalToDate * {fy_days} / {fy_elapsed} AS currentFiscalEstimated,
-       currentCalendarYearToDate, currentCalendarYearToDate * {cy_days} / {cy_elapsed} AS currentCalendarYearEstimated
-FROM report"""
+def carbon_estimates(spark, sf):
+    return estimates.carbon_estimates(_carbon(spark, sf), AS_OF)
+
+
+def org_estimates(spark, sf):
+    return estimates.org_estimates(_billing(spark, sf), _dim(spark, sf), AS_OF)
+
+
+def _estimated(metric: str, first: dt.date, last: dt.date, alias: str = "report") -> str:
+    """A to-date figure scaled from the days gone by to the days of its year."""
+    days, gone = (last - first).days + 1, (AS_OF - first).days + 1
+    return f"{alias}.{metric} * {days} / {gone}"
+
+
+_FISCAL_ESTIMATE = _estimated("currentFiscalToDate", dt.date(2000, 4, 1), dt.date(2001, 3, 31))
+_CALENDAR_ESTIMATE = _estimated("currentCalendarYearToDate", dt.date(2000, 1, 1), dt.date(2000, 12, 31))
+_ESTIMATE_COLUMNS = (f"report.currentFiscalToDate, {_FISCAL_ESTIMATE} AS currentFiscalEstimated, "
+                     f"report.currentCalendarYearToDate, {_CALENDAR_ESTIMATE} AS currentCalendarYearEstimated")
+
+
+def _estimates_sql(source: str) -> str:
+    return f"{Q.with_report(AS_OF, source=source, through_as_of=True)}\nSELECT project_id, {_ESTIMATE_COLUMNS} FROM report"
+
+
+_ORG_ESTIMATES_SQL = (f"{Q.with_units(AS_OF, through_as_of=True)}\nSELECT {Q.shown('report')}, {_ESTIMATE_COLUMNS}\n"
+                      f"FROM report {Q.named('report')}")
 
 
 def all_projects_through_as_of(spark, sf):
-    return all_projects(_billing(spark, sf), AS_OF, with_last_six=False, through_as_of=True)
+    return all_projects(_billing(spark, sf), AS_OF, through_as_of=True)
+
+
+def _project_details(nested: bool, with_estimates: bool):
+    def build(spark, sf):
+        return project_details(_billing(spark, sf), AS_OF, dim=_dim(spark, sf), carbon=_carbon(spark, sf),
+                               nested=nested, estimates=with_estimates)
+    return build
+
 
+def _details_sql(nested: bool, with_estimates: bool) -> str:
+    """Money and kilograms of every project, each with its own report."""
+    day_after = AS_OF + dt.timedelta(days=1)
 
-def project_details_query(spark, sf):
-    return project_details(_billing(spark, sf), AS_OF, dim=_dim(spark, sf), carbon=_carbon(spark, sf),
-                           nested=False, with_last_six=False)
+    guess = {"currentFiscalEstimated": _FISCAL_ESTIMATE, "currentCalendarYearEstimated": _CALENDAR_ESTIMATE}
 
+    def estimate(name: str, table: str) -> str:
+        return f"COALESCE({guess[name].replace('report.', table + '.')}, 0.0)" if with_estimates else "CAST(NULL AS DOUBLE)"
 
-def _project_details_sql() -> str:
-    carbon_parts = [Q.CARBON_CTE, Q.cube_cte(None, "carbon", name="c_monthly"), Q.period_ctes(cube="c_monthly", prefix="c_")]
-    carbon_cols = ", ".join(f"COALESCE(c.{m}, 0.0) AS carbon_{m}" for m in Q.METRICS)
-    return f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE}, {', '.join(p.strip() for p in carbon_parts)}
-SELECT {Q.api_columns()}, d.classification, d.department AS owner, d.department_acronym AS owner_acronym,
-       {carbon_cols}
-FROM report
-LEFT JOIN c_report c ON report.project_id = c.project_id
+    parts = [Q.BILLING_CTE, Q.CARBON_CTE, Q.DIM_CTE, Q.periods_cte(AS_OF), Q.lines_cte(), Q.report_cte(),
+             Q.lines_cte("carbon").replace("lines AS", "kg_lines AS"), Q.report_cte(lines="kg_lines", name="kg"),
+             Q.lines_cte(before=day_after).replace("lines AS", "past_lines AS"),
+             Q.report_cte(lines="past_lines", name="past"),
+             Q.lines_cte("carbon", before=day_after).replace("lines AS", "past_kg_lines AS"),
+             Q.report_cte(lines="past_kg_lines", name="past_kg")]
+    join = """FROM report LEFT JOIN kg ON report.project_id = kg.project_id
+LEFT JOIN past ON report.project_id = past.project_id
+LEFT JOIN past_kg ON report.project_id = past_kg.project_id
 LEFT JOIN project_dim d ON report.project_id = d.project_id"""
+    if not nested:
+        extra = [f"{estimate(n, t)} AS {p}{n}" for t, p in (("past", ""), ("past_kg", "carbon_")) for n in guess]
+        return (f"WITH {','.join(parts)}\nSELECT {Q.api_columns()}, {Q.api_columns(alias='kg', prefix='carbon_', key=False)}, "
+                f"{', '.join(extra)}, d.classification, d.department AS owner, d.department_acronym AS owner_acronym\n{join}")
+
+    def struct(table: str, past: str) -> str:
+        fields = [f"{m} := {_value(table, m)}" for m in Q.ALL_METRICS] + [f"{n} := {estimate(n, past)}" for n in guess]
+        return f"struct_pack({', '.join(fields)})"
+
+    return f"""WITH {','.join(parts)}
+SELECT COALESCE(report.project_id, '') AS id, {struct('report', 'past')} AS costs, d.classification,
+       CASE WHEN d.department IS NOT NULL THEN struct_pack(name := d.department, acronym := d.department_acronym) END AS owner,
+       {struct('kg', 'past_kg')} AS carbonFootprint
+{join}"""
+
+
+def _value(table: str, metric: str) -> str:
+    if metric == "lastSixMonths":
+        return f"list_transform({table}.{metric}, lambda x: COALESCE(x, 0.0))"
+    return f"COALESCE({table}.{metric}, 0.0)"
 
 
 # --- stored cube and its streaming refresh ------------------------------------
 
 def _scratch_root(spark) -> str:
-    """Fresh folder under the session's shared checkpoint folder (a scratch one
-    is created only when the session names none, as in local runs)."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+    """Fresh folder under the session's shared folder, deleted when Python ends."""
+    root = os.path.join(ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+    atexit.register(_drop_quietly, spark, root)
+    return root
 
 
-def monthly_costs_incremental(spark, sf):
-    """The lineitem file read as a stream; each micro-batch appends partial sums."""
-    root = _scratch_root(spark)
+def _drop_quietly(spark, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        drop_store(spark, root)
+
+
+def _refreshed(spark, root: str, files: str, schema):
     store, checkpoint = refresh_paths(root)
-    lineitem_schema = fixtures.read_table(spark, sf, "lineitem").schema
-    stream = billing_stream(spark, os.path.join(sf, "lineitem*.parquet"), lineitem_schema, max_files_per_trigger=1)
+    stream = billing_stream(spark, files, schema, max_files_per_trigger=1)
     query = start_cube_refresh(fixtures.billing_from_lineitem(stream), store, checkpoint)
     query.awaitTermination()
     if query.exception() is not None:
@@ -445,15 +473,29 @@ def monthly_costs_incremental(spark, sf):
     return read_cube(spark, store).select(*_cube_keys(), as_double(F.col(S.FINAL_COST)).alias(S.FINAL_COST))
 
 
+def monthly_costs_incremental(spark, sf):
+    """The lineitem file read as a stream; each micro-batch appends partial sums."""
+    lineitem = fixtures.read_table(spark, sf, "lineitem")
+    return _refreshed(spark, _scratch_root(spark), os.path.join(sf, "lineitem*.parquet"), lineitem.schema)
+
+
+def monthly_costs_many_files(spark, sf):
+    """The same lines landing as several files, every month in each: several batches add up."""
+    root = _scratch_root(spark)
+    lineitem = fixtures.read_table(spark, sf, "lineitem")
+    lineitem.repartition(4, "l_orderkey").write.parquet(os.path.join(root, "landing"))
+    return _refreshed(spark, root, os.path.join(root, "landing"), lineitem.schema)
+
+
 def report_from_store(spark, sf):
     cube = materialize_costs(_billing(spark, sf), os.path.join(_scratch_root(spark), "cube"))
-    return api_flavour(cube_cost_report(cube, AS_OF, with_last_six=False))
+    return api_flavour(cube_cost_report(cube, AS_OF))
 
 
-def org_unit_costs_from_store(spark, sf):
-    reports = spend_reports(_billing(spark, sf), AS_OF, dim=_dim(spark, sf),
-                            store_path=os.path.join(_scratch_root(spark), "cube"), with_last_six=False)
-    return reports["org_units"].select(*org.UNIT_KEYS, *Q.METRICS)
+def org_units_from_store(spark, sf):
+    reports = spend_reports(_billing(spark, sf), AS_OF, dim=_dim(spark, sf), carbon=_carbon(spark, sf),
+                            store_path=os.path.join(_scratch_root(spark), "cube"))
+    return reports["org_units"]
 
 
 # --- registry ----------------------------------------------------------------
@@ -482,31 +524,33 @@ REGISTRY: dict[str, Query] = {
         _cube_sql("CAST(total_credits_computed2 AS DOUBLE) AS total_credits_computed2"), "M3"),
     "monthly_final_cost_first_credit": Query(
         _cube_measure(S.FINAL_COST_FIRST_CREDIT), _cube_sql("CAST(final_cost_0 AS DOUBLE) AS final_cost_0"), "M4"),
+    "monthly_long_credits": Query(monthly_long_credits, _LONG_CREDITS_SQL, "M2 M3 M6"),
     "fiscal_calendar": Query(fiscal_calendar, _FISCAL_SQL, "C0 C1"),
-    "current_month": Query(_period("current_month", S.CURRENT_MONTH), _period_sql("m_cur", S.CURRENT_MONTH), "P1"),
-    "previous_month": Query(_period("previous_month", S.PREVIOUS_MONTH), _period_sql("m_prev", S.PREVIOUS_MONTH), "P2"),
+    "current_month": Query(_period("current_month", S.CURRENT_MONTH), Q.period_sql(AS_OF, "month", S.CURRENT_MONTH), "P1"),
+    "previous_month": Query(_period("previous_month", S.PREVIOUS_MONTH),
+                            Q.period_sql(AS_OF, "month before", S.PREVIOUS_MONTH), "P2"),
     "last_six_months": Query(last_six_months, _LSM_EXPLODED_SQL, "P3"),
-    "last_six_months_array": Query(
-        last_six_months_array, f"{Q.with_report(AS_OF)}\nSELECT project_id, lastSixMonths FROM report", "P3"),
+    "last_six_months_array": Query(_report_cols(S.LAST_SIX_MONTHS), _report_cols_sql(S.LAST_SIX_MONTHS), "P3"),
     "current_calendar_year": Query(_period("current_calendar_year", S.CURRENT_CALENDAR_YEAR),
-                                   _period_sql("y_cur", S.CURRENT_CALENDAR_YEAR), "P4"),
+                                   Q.period_sql(AS_OF, "year", S.CURRENT_CALENDAR_YEAR), "P4"),
     "previous_calendar_year": Query(_period("previous_calendar_year", S.PREVIOUS_CALENDAR_YEAR),
-                                    _period_sql("y_prev", S.PREVIOUS_CALENDAR_YEAR), "P5"),
+                                    Q.period_sql(AS_OF, "year before", S.PREVIOUS_CALENDAR_YEAR), "P5"),
     "current_fiscal_year": Query(_period("current_fiscal_year", S.CURRENT_FISCAL_YEAR),
-                                 _period_sql("fy_cur", S.CURRENT_FISCAL_YEAR), "P6"),
+                                 Q.period_sql(AS_OF, "fiscal", S.CURRENT_FISCAL_YEAR), "P6"),
     "previous_fiscal_year": Query(_period("previous_fiscal_year", S.PREVIOUS_FISCAL_YEAR),
-                                  _period_sql("fy_prev", S.PREVIOUS_FISCAL_YEAR), "P7"),
+                                  Q.period_sql(AS_OF, "fiscal before", S.PREVIOUS_FISCAL_YEAR), "P7"),
     "month_delta_pct": Query(_report_cols(S.CURRENT_MONTH, S.PREVIOUS_MONTH, S.MONTH_DELTA),
                              _report_cols_sql(S.CURRENT_MONTH, S.PREVIOUS_MONTH, S.MONTH_DELTA), "P8"),
     "fiscal_delta_pct": Query(_report_cols(S.CURRENT_FISCAL_YEAR, S.PREVIOUS_FISCAL_YEAR, S.FISCAL_DELTA),
                               _report_cols_sql(S.CURRENT_FISCAL_YEAR, S.PREVIOUS_FISCAL_YEAR, S.FISCAL_DELTA), "P9"),
     "project_cost_report": Query(report_raw, Q.report_sql(AS_OF, flavour="raw"), "R1"),
     "project_cost_report_single_pass": Query(report_single_pass, Q.report_sql(AS_OF, flavour="raw"), "R1"),
-    "all_projects": Query(all_projects_query, Q.report_sql(AS_OF), "E1 S5"),
+    "all_projects": Query(_all_projects_on(AS_OF), Q.report_sql(AS_OF), "E1 S5"),
+    "all_projects_api": Query(_all_projects_on(AS_OF), Q.report_sql(AS_OF), "S5"),
     "projects_by_ids": Query(projects_by_ids, Q.report_sql(AS_OF, ids=SAMPLE_IDS), "E2 S2"),
     "projects_by_ids_sql": Query(projects_by_ids_sql, Q.report_sql(AS_OF, ids=SAMPLE_IDS), "E2 S3 SQL"),
+    "projects_by_id_table": Query(projects_by_id_table, _ID_TABLE_SQL, "E2 S2"),
     "project_by_id": Query(project_by_id, Q.report_sql(AS_OF, ids=[ONE_ID]), "E3"),
-    "all_projects_api": Query(all_projects_api, _API_ARRAY_SQL, "S5"),
     "project_records": Query(project_records_query, _RECORDS_SQL, "S4"),
     "report_projection": Query(
         report_projection, f"{Q.with_report(AS_OF)}\nSELECT {Q.api_columns(PROJECTION)} FROM report", "S6"),
@@ -514,24 +558,41 @@ REGISTRY: dict[str, Query] = {
     "branch_report": Query(_unit_query(org.branch, BRANCH), _unit_sql("branch", BRANCH), "D2"),
     "directorate_report": Query(_unit_query(org.directorate, DIRECTORATE),
                                 _unit_sql("directorate", DIRECTORATE), "D3"),
-    "org_unit_costs": Query(org_unit_costs, _UNIT_REPORT_SQL, "D4"),
-    "org_project_count": Query(org_project_count, _UNIT_COUNT_SQL, "D5"),
+    "org_unit_costs": Query(org_unit_costs, Q.unit_report_sql(AS_OF), "D4"),
+    "org_units_shared_names": Query(org_units_shared_names, Q.unit_totals_sql(AS_OF, Q.SHARED_DIM_CTE), "D1-D5 D12"),
+    "org_project_count": Query(
+        org_project_count, Q.unit_sums_sql("COUNT(DISTINCT s.project_id)", "lines", "projectCount"), "D5"),
     "org_spend_rollup": Query(org_spend_rollup, _ROLLUP_SQL, "D6"),
-    "org_projects": Query(org_projects, _ORG_PROJECTS_SQL, "D7"),
+    "org_projects": Query(org_projects, _org_projects_sql(), "D7"),
+    "department_projects": Query(_unit_projects("department", DEPARTMENT),
+                                 _org_projects_sql(f"d.department = '{DEPARTMENT}'"), "D7"),
+    "branch_projects": Query(_unit_projects("branch", BRANCH), _org_projects_sql(f"d.branch = '{BRANCH}'"), "D7"),
+    "directorate_projects": Query(_unit_projects("directorate", DIRECTORATE),
+                                  _org_projects_sql(f"d.directorate = '{DIRECTORATE}'"), "D7"),
     "org_hierarchy": Query(org_hierarchy, _HIERARCHY_SQL, "D8"),
+    "department_directorates": Query(_children("department", DEPARTMENT, "directorate"),
+                                     f"{_BELOW_DEPARTMENT} department = '{DEPARTMENT}'", "D8"),
+    "branch_directorates": Query(_children("branch", BRANCH, "directorate"),
+                                 f"{_BELOW_DEPARTMENT} branch = '{BRANCH}'", "D8"),
     "classification_spend": Query(classification_spend, _CLASSIFICATION_SQL, "D9"),
     "invalid_classification": Query(invalid_classification, _INVALID_SQL, "D9"),
     "project_owner": Query(project_owner, _OWNER_SQL, "D10"),
     "carbon_report": Query(carbon_report, Q.report_sql(AS_OF, flavour="raw", source="carbon"), "D11"),
-    "org_carbon_total": Query(org_carbon_total, _ORG_CARBON_SQL, "D12"),
-    "cost_estimates": Query(cost_estimates, _estimates_sql(), "D13"),
+    "org_carbon_total": Query(
+        org_carbon_total, Q.unit_sums_sql("CAST(SUM(carbon_kg) AS DOUBLE)", "carbon", "carbonFootprint"), "D12"),
+    "cost_estimates": Query(cost_estimates, _estimates_sql("billing"), "D13"),
+    "carbon_estimates": Query(carbon_estimates, _estimates_sql("carbon"), "D13"),
+    "org_estimates": Query(org_estimates, _ORG_ESTIMATES_SQL, "D13"),
     "monthly_costs_incremental": Query(
         monthly_costs_incremental, _cube_sql("CAST(final_cost AS DOUBLE) AS final_cost"), "M0 streaming"),
+    "monthly_costs_many_files": Query(
+        monthly_costs_many_files, _cube_sql("CAST(final_cost AS DOUBLE) AS final_cost"), "M0 streaming"),
     "all_projects_from_store": Query(report_from_store, Q.report_sql(AS_OF), "E1 stored cube"),
     "all_projects_through_as_of": Query(all_projects_through_as_of, Q.report_sql(AS_OF, through_as_of=True),
                                         "E1 G9"),
-    "project_details": Query(project_details_query, _project_details_sql(), "S4 D9 D10 D11"),
-    "org_unit_costs_from_store": Query(org_unit_costs_from_store, _UNIT_REPORT_SQL, "D4 stored cube"),
+    "project_details": Query(_project_details(False, False), _details_sql(False, False), "S4 D9 D10 D11"),
+    "project_details_nested": Query(_project_details(True, True), _details_sql(True, True), "S4 D9 D10 D11 D13"),
+    "org_unit_costs_from_store": Query(org_units_from_store, Q.unit_totals_sql(AS_OF), "D4 stored cube"),
 }
 
 for _name, _day in OTHER_DATES.items():

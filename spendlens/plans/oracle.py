@@ -1,10 +1,12 @@
 """DuckDB SQL oracles for the registered queries.
 
-The report oracles are written in the *join* shape: calendar CTEs computed in
-SQL from the report date, a monthly CTE, one CTE per period, and LEFT JOINs
-from the key list.  The Spark side computes the same numbers with a single
-conditional aggregation and Python-side calendar literals, so the two are
-independent implementations.  Both sum exact DECIMALs and cast to DOUBLE last.
+The report is computed from the usage lines, not from a monthly cube: a table
+``periods(period, lo, hi)`` of half-open time ranges is joined to the lines by
+range, one grouped sum gives each (key, period), and a pivot lays the periods
+out as columns.  The bounds come from SQL date arithmetic on the report date,
+the fiscal year from the last April 1 on or before it.  Lines of the null
+project are left out before the sums and the project is put back, without
+figures, by the key list.
 """
 
 from __future__ import annotations
@@ -12,27 +14,36 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-# Billing rows from lineitem (the fixture mapping), DuckDB spelling.
+# Billing lines from lineitem (the fixture mapping), DuckDB spelling; credits as a list.
 BILLING_CTE = """
 billing_src AS (
   SELECT l_shipdate AS usage_start_time,
          NULLIF(CAST(l_suppkey AS VARCHAR), '0') AS project_id,
          CAST(l_extendedprice AS DECIMAL(12,2)) AS cost,
-         l_returnflag AS flag,
+         l_returnflag AS flag, l_linenumber,
          CAST(-(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS c_discount,
          CAST(-(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS c_promo
   FROM lineitem
 ),
-billing AS (
+billing_credits AS (
   SELECT usage_start_time, project_id, cost,
-         CASE WHEN flag = 'A' THEN 1 WHEN flag = 'R' THEN 2 ELSE 0 END AS n_credits,
-         CASE WHEN flag IN ('A', 'R') THEN c_discount ELSE CAST(0 AS DECIMAL(18,4)) END AS first_credit,
-         CASE WHEN flag = 'A' THEN c_discount
-              WHEN flag = 'R' THEN CAST(c_discount + c_promo AS DECIMAL(18,4))
-              ELSE CAST(0 AS DECIMAL(18,4)) END AS credits_sum_amount
+         CASE WHEN flag = 'A' THEN [c_discount] WHEN flag = 'R' THEN [c_discount, c_promo]
+              ELSE CAST([] AS DECIMAL(18,4)[]) END AS credits
   FROM billing_src
+),
+billing AS (
+  SELECT *, len(credits) AS n_credits,
+         CASE WHEN len(credits) > 0 THEN credits[1] ELSE CAST(0 AS DECIMAL(18,4)) END AS first_credit,
+         COALESCE(list_sum(credits), 0) AS credits_sum_amount
+  FROM billing_credits
 )"""
 
+# The same lines with as many credits as the line number says, growing multiples of the discount.
+LONG_CREDITS_CTE = BILLING_CTE.replace(
+    """CASE WHEN flag = 'A' THEN [c_discount] WHEN flag = 'R' THEN [c_discount, c_promo]
+              ELSE CAST([] AS DECIMAL(18,4)[]) END AS credits""",
+    "list_transform(range(1, l_linenumber + 1), lambda i: CAST(c_discount * i AS DECIMAL(18,4))) AS credits")
+
 CARBON_CTE = """
 carbon AS (
   SELECT l_shipdate AS usage_start_time,
@@ -58,215 +69,207 @@ project_dim AS (
 )"""
 
 
-def _ids_where(ids: Sequence[str] | None) -> str:
-    if ids is None:
-        return ""
-    quoted = ", ".join("'" + i.replace("'", "''") + "'" for i in ids)
-    return f"WHERE project_id IN ({quoted})" if ids else "WHERE FALSE"
+# The dimension with directorate names that several branches share.
+SHARED_DIM_CTE = DIM_CTE.replace("n.n_name || '-' || CAST(s.s_suppkey % 3 AS VARCHAR) AS directorate,",
+                                 "'DIR-' || CAST(s.s_suppkey % 3 AS VARCHAR) AS directorate,")
+# The dimension with classifications outside the domain, and null ones.
+BAD_CLASSES_CTE = DIM_CTE.replace("CASE WHEN s.s_acctbal < 3333",
+                                  "CASE WHEN s.s_suppkey % 10 = 0 THEN 'SECRET' WHEN s.s_suppkey % 10 = 1 THEN NULL "
+                                  "WHEN s.s_acctbal < 3333")
 
+METRICS = (
+    "currentMonthToDate",
+    "previousMonth",
+    "currentMonthDeltaPercentage",
+    "currentCalendarYearToDate",
+    "previousCalendarYear",
+    "currentFiscalToDate",
+    "previousFiscalYear",
+    "currentFiscalYearDeltaPercentage",
+)
+ALL_METRICS = (*METRICS, "lastSixMonths")
 
-def cube_cte(ids: Sequence[str] | None = None, source: str = "billing", name: str = "monthly",
-             before: dt.date | None = None) -> str:
-    """Monthly cube: one row per (month, year, project) with every cost measure.
+# What identifies a unit.
+UNIT = ("level", "department", "branch", "directorate")
 
-    ``before`` keeps only usage dated before that day."""
-    if source == "carbon":
-        measures = "SUM(carbon_kg) AS final_cost"
-    else:
-        measures = """SUM(cost) AS final_cost_no_credits,
-         SUM(first_credit) AS total_credits_computed1,
-         SUM(COALESCE(credits_sum_amount, 0)) AS total_credits_computed2,
-         SUM(cost) + SUM(first_credit) AS final_cost_0,
-         SUM(cost) + SUM(credits_sum_amount) AS final_cost"""
-    where = _ids_where(ids)
-    if before is not None:
-        cond = f"usage_start_time < TIMESTAMP '{before.isoformat()} 00:00:00'"
-        where = f"{where} AND {cond}" if where else f"WHERE {cond}"
-    return f"""
-{name} AS (
-  SELECT CAST(date_trunc('month', usage_start_time) AS DATE) AS month,
-         CAST(EXTRACT(year FROM usage_start_time) AS INTEGER) AS year,
-         project_id,
-         {measures}
-  FROM {source} {where}
-  GROUP BY month, year, project_id
-)"""
 
+def _quoted(ids: Sequence[str]) -> str:
+    return ", ".join("'" + i.replace("'", "''") + "'" for i in ids)
 
-def calendar_ctes(as_of: dt.date) -> str:
-    """Report date and period bounds, computed in SQL.
 
-    ``fy`` is the calendar year in which the current April-to-March fiscal year
-    starts; every fiscal bound is a ``make_date`` from it."""
+def periods_cte(as_of: dt.date) -> str:
+    """The report's periods as half-open ranges of time."""
     return f"""
-today AS (SELECT DATE '{as_of.isoformat()}' AS d),
-fy AS (
-  SELECT d, CAST(EXTRACT(year FROM d) AS INTEGER) - (CASE WHEN EXTRACT(month FROM d) >= 4 THEN 0 ELSE 1 END) AS fy
-  FROM today
+clock AS (
+  SELECT day, date_trunc('month', day) AS m0, date_trunc('year', day) AS y0,
+         (SELECT max(april) FROM (SELECT make_date(CAST(y AS INTEGER), 4, 1) AS april
+                                  FROM range(year(day) - 1, year(day) + 1) AS years(y)) WHERE april <= day) AS f0
+  FROM (SELECT DATE '{as_of.isoformat()}' AS day)
 ),
-cal AS (
-  SELECT d,
-         CAST(date_trunc('month', d) AS DATE) AS cur_month,
-         CAST(date_trunc('month', d - INTERVAL 1 MONTH) AS DATE) AS prev_month,
-         CAST(date_trunc('month', d - INTERVAL 6 MONTH) AS DATE) AS six_start,
-         EXTRACT(year FROM d) AS cur_year,
-         EXTRACT(year FROM d) - 1 AS prev_year,
-         make_date(fy, 4, 1) AS cur_fy_start,
-         make_date(fy + 1, 3, 31) AS cur_fy_end,
-         make_date(fy - 1, 4, 1) AS prev_fy_start,
-         make_date(fy, 3, 31) AS prev_fy_end
-  FROM fy
+periods AS (
+  SELECT 'month' AS period, m0 AS lo, m0 + INTERVAL 1 MONTH AS hi FROM clock
+  UNION ALL SELECT 'month before', m0 - INTERVAL 1 MONTH, m0 FROM clock
+  UNION ALL SELECT 'year', y0, y0 + INTERVAL 1 YEAR FROM clock
+  UNION ALL SELECT 'year before', y0 - INTERVAL 1 YEAR, y0 FROM clock
+  UNION ALL SELECT 'fiscal', f0, f0 + INTERVAL 1 YEAR FROM clock
+  UNION ALL SELECT 'fiscal before', f0 - INTERVAL 1 YEAR, f0 FROM clock
+  UNION ALL SELECT 'back ' || n, m0 - n * INTERVAL 1 MONTH, m0 - (n - 1) * INTERVAL 1 MONTH FROM clock, range(1, 7) AS t(n)
 )"""
 
 
-PERIOD_NAMES = ["ids", "m_cur", "m_prev", "six_rows", "six", "y_cur", "y_prev", "fy_cur", "fy_prev", "report"]
-
-
-def period_ctes(keys: Sequence[str] = ("project_id",), cube: str = "monthly", prefix: str = "") -> str:
-    """Key list, one CTE per period, and the LEFT-JOIN assembly, keyed by ``keys``.
-
-    Every CTE name gets ``prefix`` so that two reports can share one query."""
-    body = _period_ctes(keys, cube)
-    if not prefix:
-        return body
-    import re
-    return re.sub(r"\b(" + "|".join(PERIOD_NAMES) + r")\b", lambda m: prefix + m.group(1), body)
+def lines_cte(source: str = "billing", ids: Sequence[str] | None = None, before: dt.date | None = None) -> str:
+    """Usage lines as (project_id, used, cost, credit); kilograms count as cost without credit."""
+    money = "carbon_kg AS cost, 0 AS credit" if source == "carbon" else "cost, credits_sum_amount AS credit"
+    tests = []
+    if ids is not None:
+        tests.append(f"project_id IN ({_quoted(ids)})" if ids else "FALSE")
+    if before is not None:
+        tests.append(f"usage_start_time < TIMESTAMP '{before.isoformat()} 00:00:00'")
+    where = f" WHERE {' AND '.join(tests)}" if tests else ""
+    return f"\nlines AS (SELECT project_id, usage_start_time AS used, {money} FROM {source}{where})"
+
+
+def units_cte() -> str:
+    """Each project's units: one row per level, with the path down to it."""
+    return """
+units AS (
+  SELECT project_id, 'department' AS level, department, NULL AS branch, NULL AS directorate,
+         department_acronym AS acronym FROM project_dim
+  UNION ALL SELECT project_id, 'branch', department, branch, NULL, branch_acronym FROM project_dim
+  UNION ALL SELECT project_id, 'directorate', department, branch, directorate, directorate_acronym FROM project_dim
+),
+unit_names AS (SELECT level, department, branch, directorate, min(acronym) AS acronym FROM units GROUP BY ALL),
+unit_lines AS (SELECT u.* EXCLUDE (project_id, acronym), l.* FROM lines l JOIN units u ON l.project_id = u.project_id)"""
 
 
-def _period_ctes(keys: Sequence[str], cube: str) -> str:
+def report_cte(keys: Sequence[str] = ("project_id",), lines: str = "lines", name: str = "report") -> str:
+    """The nine figures of every key that has a line at any time."""
     k = ", ".join(keys)
+    same = " AND ".join(f"everyone.{x} IS NOT DISTINCT FROM pivoted.{x}" for x in keys)
 
-    def on(other: str) -> str:
-        return " AND ".join(f"ids.{x} = {other}.{x}" for x in keys)
-
-    def one_month(name: str, bound: str) -> str:
-        return f"{name} AS (SELECT {k}, final_cost AS amount FROM {cube} WHERE month = (SELECT {bound} FROM cal))"
-
-    def summed(name: str, where: str) -> str:
-        return f"{name} AS (SELECT {k}, SUM(final_cost) AS amount FROM {cube} WHERE {where} GROUP BY {k})"
+    def at(period: str) -> str:
+        return f"max(amount) FILTER (WHERE period = '{period}')"
 
-    def as_double(alias: str) -> str:
-        return f"CAST({alias}.amount AS DOUBLE)"
+    def change(now: str, then: str) -> str:
+        return f"(CAST({now} AS DOUBLE) - CAST({then} AS DOUBLE)) / NULLIF(CAST({then} AS DOUBLE), 0) * 100"
 
-    def change(cur: str, prev: str) -> str:
-        return f"({as_double(cur)} - {as_double(prev)}) / NULLIF({as_double(prev)}, 0) * 100"
-
-    sel = ", ".join(f"ids.{x}" for x in keys)
     return f"""
-ids AS (SELECT DISTINCT {k} FROM {cube}),
-{one_month("m_cur", "cur_month")},
-{one_month("m_prev", "prev_month")},
-{summed("y_cur", "year = (SELECT cur_year FROM cal)")},
-{summed("y_prev", "year = (SELECT prev_year FROM cal)")},
-{summed("fy_cur", "month BETWEEN (SELECT cur_fy_start FROM cal) AND (SELECT cur_fy_end FROM cal)")},
-{summed("fy_prev", "month BETWEEN (SELECT prev_fy_start FROM cal) AND (SELECT prev_fy_end FROM cal)")},
-six_rows AS (
-  SELECT {k}, month, final_cost AS amount FROM {cube}
-  WHERE month >= (SELECT six_start FROM cal) AND month < (SELECT cur_month FROM cal)
-),
-six AS (SELECT {k}, list(CAST(amount AS DOUBLE) ORDER BY month DESC) AS series FROM six_rows GROUP BY {k}),
-report AS (
-  SELECT {sel},
-         {as_double("m_cur")} AS currentMonthToDate,
-         {as_double("m_prev")} AS previousMonth,
-         {change("m_cur", "m_prev")} AS currentMonthDeltaPercentage,
-         {as_double("y_cur")} AS currentCalendarYearToDate,
-         {as_double("y_prev")} AS previousCalendarYear,
-         {as_double("fy_cur")} AS currentFiscalToDate,
-         {as_double("fy_prev")} AS previousFiscalYear,
-         {change("fy_cur", "fy_prev")} AS currentFiscalYearDeltaPercentage,
-         six.series AS lastSixMonths
-  FROM ids
-  LEFT JOIN m_cur ON {on("m_cur")}
-  LEFT JOIN m_prev ON {on("m_prev")}
-  LEFT JOIN y_cur ON {on("y_cur")}
-  LEFT JOIN y_prev ON {on("y_prev")}
-  LEFT JOIN fy_cur ON {on("fy_cur")}
-  LEFT JOIN fy_prev ON {on("fy_prev")}
-  LEFT JOIN six ON {on("six")}
+{name} AS (
+  WITH sums AS (
+    SELECT {k}, period, SUM(cost) + SUM(credit) AS amount
+    FROM {lines} JOIN periods ON used >= lo AND used < hi
+    WHERE project_id IS NOT NULL GROUP BY {k}, period
+  ),
+  pivoted AS (
+    SELECT {k}, {at("month")} AS m1, {at("month before")} AS m2, {at("year")} AS y1, {at("year before")} AS y2,
+           {at("fiscal")} AS f1, {at("fiscal before")} AS f2,
+           list(CAST(amount AS DOUBLE) ORDER BY period) FILTER (WHERE starts_with(period, 'back')) AS months
+    FROM sums GROUP BY {k}
+  ),
+  everyone AS (SELECT DISTINCT {k} FROM {lines})
+  SELECT everyone.*, CAST(m1 AS DOUBLE) AS currentMonthToDate, CAST(m2 AS DOUBLE) AS previousMonth,
+         {change("m1", "m2")} AS currentMonthDeltaPercentage,
+         CAST(y1 AS DOUBLE) AS currentCalendarYearToDate, CAST(y2 AS DOUBLE) AS previousCalendarYear,
+         CAST(f1 AS DOUBLE) AS currentFiscalToDate, CAST(f2 AS DOUBLE) AS previousFiscalYear,
+         {change("f1", "f2")} AS currentFiscalYearDeltaPercentage, months AS lastSixMonths
+  FROM everyone LEFT JOIN pivoted ON {same}
 )"""
 
 
-PERIOD_CTES = period_ctes()
+def cube_cte() -> str:
+    """The monthly cube's measures per (month, project)."""
+    return """
+monthly AS (
+  SELECT CAST(date_trunc('month', usage_start_time) AS DATE) AS month,
+         CAST(EXTRACT(year FROM usage_start_time) AS INTEGER) AS year, project_id,
+         SUM(cost) AS final_cost_no_credits,
+         SUM(first_credit) AS total_credits_computed1,
+         SUM(COALESCE(list_sum(credits), 0)) AS total_credits_computed2,
+         SUM(cost) + SUM(first_credit) AS final_cost_0,
+         SUM(cost) + SUM(credits_sum_amount) AS final_cost
+  FROM billing GROUP BY ALL
+)"""
 
-METRICS = (
-    "currentMonthToDate",
-    "previousMonth",
-    "currentMonthDeltaPercentage",
-    "currentCalendarYearToDate",
-    "previousCalendarYear",
-    "currentFiscalToDate",
-    "previousFiscalYear",
-    "currentFiscalYearDeltaPercentage",
-)
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",".join(parts)
 
 
 def with_report(as_of: dt.date, ids: Sequence[str] | None = None, source: str = "billing",
                 through_as_of: bool = False) -> str:
     """``WITH`` clause ending in the ``report`` CTE (raw flavour)."""
-    src = CARBON_CTE if source == "carbon" else BILLING_CTE
     before = as_of + dt.timedelta(days=1) if through_as_of else None
-    return "WITH " + ",".join([src, calendar_ctes(as_of), cube_cte(ids, source, before=before), PERIOD_CTES])
+    return _with(CARBON_CTE if source == "carbon" else BILLING_CTE, periods_cte(as_of), lines_cte(source, ids, before),
+                 report_cte())
 
 
-def api_columns(metrics: Sequence[str] = METRICS, alias: str = "report") -> str:
-    cols = [f"COALESCE({alias}.project_id, '') AS project_id"]
-    cols += [f"COALESCE({alias}.{m}, 0.0) AS {m}" for m in metrics]
+def api_columns(metrics: Sequence[str] = ALL_METRICS, alias: str = "report", prefix: str = "", key: bool = True) -> str:
+    cols = [f"COALESCE({alias}.project_id, '') AS project_id"] if key else []
+    for m in metrics:
+        value = (f"list_transform({alias}.{m}, lambda x: COALESCE(x, 0.0))" if m == "lastSixMonths"
+                 else f"COALESCE({alias}.{m}, 0.0)")
+        cols.append(f"{value} AS {prefix}{m}")
     return ", ".join(cols)
 
 
-def raw_columns(metrics: Sequence[str] = METRICS, alias: str = "report") -> str:
+def raw_columns(metrics: Sequence[str] = ALL_METRICS, alias: str = "report") -> str:
     return ", ".join([f"{alias}.project_id"] + [f"{alias}.{m}" for m in metrics])
 
 
 def report_sql(as_of: dt.date, ids: Sequence[str] | None = None, flavour: str = "api",
-               metrics: Sequence[str] = METRICS, source: str = "billing", through_as_of: bool = False) -> str:
+               metrics: Sequence[str] = ALL_METRICS, source: str = "billing", through_as_of: bool = False) -> str:
     cols = api_columns(metrics) if flavour == "api" else raw_columns(metrics)
     return f"{with_report(as_of, ids, source, through_as_of)}\nSELECT {cols} FROM report"
 
 
-LEVELS = (
-    ("department", "department", "department_acronym"),
-    ("branch", "branch", "branch_acronym"),
-    ("directorate", "directorate", "directorate_acronym"),
-)
+def period_sql(as_of: dt.date, period: str, name: str) -> str:
+    """One period per project, the null project's own total included."""
+    return (f"{_with(BILLING_CTE, periods_cte(as_of), lines_cte())}\n"
+            f"SELECT project_id, CAST(SUM(cost) + SUM(credit) AS DOUBLE) AS {name} FROM lines "
+            f"JOIN periods ON used >= lo AND used < hi WHERE period = '{period}' GROUP BY project_id")
 
 
-def unit_rows_cte(cube: str = "monthly", value: str = "final_cost", name: str = "unit_rows",
-                  with_month: bool = True) -> str:
-    """Project-level cube rows copied once per organisational level (UNION ALL)."""
-    month = "c.month, " if with_month else ""
-    parts = [
-        f"SELECT '{lvl}' AS level, d.{n} AS name, d.{a} AS acronym, c.project_id, {month}c.{value} AS {value} "
-        f"FROM {cube} c JOIN project_dim d ON c.project_id = d.project_id"
-        for lvl, n, a in LEVELS
-    ]
-    return f"\n{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
+def with_units(as_of: dt.date, dim: str = DIM_CTE, through_as_of: bool = False) -> str:
+    """``WITH`` clause ending in the ``report`` of every unit, ``unit_names`` and ``unit_lines``."""
+    before = as_of + dt.timedelta(days=1) if through_as_of else None
+    return _with(BILLING_CTE, dim, periods_cte(as_of), lines_cte(before=before), units_cte(),
+                 report_cte(UNIT, "(SELECT * FROM unit_lines)"))
 
 
-UNIT_CUBE_CTE = """
-unit_monthly AS (
-  SELECT level, name, acronym, month, CAST(EXTRACT(year FROM month) AS INTEGER) AS year, SUM(final_cost) AS final_cost
-  FROM unit_rows GROUP BY level, name, acronym, month
-)"""
+def named(table: str) -> str:
+    same = " AND ".join(f"n.{k} IS NOT DISTINCT FROM {table}.{k}" for k in UNIT)
+    return f"JOIN unit_names n ON {same}"
 
 
-UNIT_PARENTS_CTE = """
-parents AS (
-  SELECT 'department' AS level, department AS name, department_acronym AS acronym,
-         CAST(NULL AS VARCHAR) AS parent_department, CAST(NULL AS VARCHAR) AS parent_branch FROM project_dim
-  UNION ALL SELECT 'branch', branch, branch_acronym, department, CAST(NULL AS VARCHAR) FROM project_dim
-  UNION ALL SELECT 'directorate', directorate, directorate_acronym, department, branch FROM project_dim
-),
-uparents AS (
-  SELECT level, name, acronym, min(parent_department) AS parent_department, min(parent_branch) AS parent_branch
-  FROM parents GROUP BY level, name, acronym
-)"""
+def shown(table: str) -> str:
+    """Unit columns of a table keyed by the path, joined with ``unit_names n``."""
+    return f"""{table}.level, COALESCE({table}.directorate, {table}.branch, {table}.department) AS name, n.acronym,
+       CASE WHEN {table}.level <> 'department' THEN {table}.department END AS parent_department,
+       CASE WHEN {table}.level = 'directorate' THEN {table}.branch END AS parent_branch"""
+
+
+def unit_report_sql(as_of: dt.date, dim: str = DIM_CTE) -> str:
+    return (f"{with_units(as_of, dim)}\nSELECT {shown('report')}, {', '.join('report.' + m for m in ALL_METRICS)}\n"
+            f"FROM report {named('report')}")
+
+
+def unit_totals_sql(as_of: dt.date, dim: str = DIM_CTE, where: str = "TRUE") -> str:
+    """Whole unit records: report, project count, all-history spend and kilograms."""
+    k = ", ".join(UNIT)
+    same = lambda t: " AND ".join(f"report.{x} IS NOT DISTINCT FROM {t}.{x}" for x in UNIT)
+    return f"""{with_units(as_of, dim)}, {CARBON_CTE},
+totals AS (SELECT {k}, COUNT(DISTINCT project_id) AS projectCount,
+                  CAST(SUM(cost) + SUM(credit) AS DOUBLE) AS totalCloudSpend FROM unit_lines GROUP BY {k}),
+kilograms AS (SELECT {k}, CAST(SUM(carbon_kg) AS DOUBLE) AS carbonFootprint
+              FROM carbon c JOIN units u ON c.project_id = u.project_id GROUP BY {k})
+SELECT {shown('report')}, {', '.join('report.' + m for m in ALL_METRICS)}, projectCount, totalCloudSpend, carbonFootprint
+FROM report {named('report')} JOIN totals ON {same('totals')} LEFT JOIN kilograms ON {same('kilograms')}
+WHERE {where}"""
 
 
-def with_unit_report(as_of: dt.date) -> str:
-    """``WITH`` clause ending in a unit-keyed ``report`` plus ``unit_rows``."""
-    return "WITH " + ",".join([
-        BILLING_CTE, DIM_CTE, calendar_ctes(as_of), cube_cte(None), unit_rows_cte(), UNIT_CUBE_CTE,
-        period_ctes(("level", "name", "acronym"), "unit_monthly"),
-    ])
+def unit_sums_sql(figure: str, source: str, name: str) -> str:
+    """One figure per unit over the projects of ``source``."""
+    path = ", ".join("u." + x for x in UNIT)
+    return f"""{_with(BILLING_CTE, CARBON_CTE, DIM_CTE, lines_cte(), units_cte())},
+sums AS (SELECT {path}, {figure} AS {name} FROM {source} s JOIN units u ON s.project_id = u.project_id GROUP BY {path})
+SELECT {shown('sums')}, {name} FROM sums {named('sums')}"""

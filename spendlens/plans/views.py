@@ -1,9 +1,9 @@
 """SQL surface: the reports as temporary views, ids as a named array parameter.
 
 For users who write Spark SQL: ``register_views`` names the billing input, its
-monthly cube and the report so that ``spark.sql`` can query them, and
-``projects_sql`` runs the per-project report with the id list bound as the
-named parameter ``:ids`` (Spark's ``args=``), never spliced into the text.
+monthly cube and the report so that ``spark.sql`` can query them (the caller
+drops them), and ``projects_sql`` runs the per-project report with the ids bound
+as named parameters (Spark's ``args=``), never spliced into the text.
 The views are the same lazy DataFrames as the Python API, so Catalyst plans
 them identically.
 """
@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from spendlens.operators import org
 from spendlens.operators.carbon import carbon_report
@@ -51,22 +50,24 @@ def register_views(billing: DataFrame, as_of=None, dim: DataFrame | None = None,
 
 
 def projects_sql(billing: DataFrame, ids: str | Iterable[str] | None, as_of=None, api: bool = True) -> DataFrame:
-    """The per-project report for ``ids`` written as Spark SQL with ``:ids`` bound."""
+    """The per-project report for ``ids`` written as Spark SQL.
+
+    Each id is bound as a named parameter of an ``IN`` list on the usage lines,
+    so the filter reaches the reader.  No view is left behind.
+    """
     wanted = normalize_ids(ids)
+    billing = load_billing(billing)
     spark = billing.sparkSession
-    views = register_views(billing, as_of)
-    report = views["report"]
-    if api:
-        cols = spark.table(report).columns
-        select = ", ".join(
-            "coalesce(project_id, '') AS project_id" if c == "project_id"
-            else f"transform({c}, x -> coalesce(x, 0D)) AS {c}" if c == "lastSixMonths"
-            else f"coalesce({c}, 0D) AS {c}"
-            for c in cols
-        )
-    else:
-        select = "*"
-    if not wanted:
-        return spark.sql(f"SELECT {select} FROM {report} WHERE FALSE")
-    ids_param = F.array(*[F.lit(i) for i in wanted])
-    return spark.sql(f"SELECT {select} FROM {report} WHERE array_contains(:ids, project_id)", args={"ids": ids_param})
+    params = {f"id{i}": wanted_id for i, wanted_id in enumerate(wanted)}
+    chosen = f"project.id IN ({', '.join(':' + p for p in params)})" if params else "FALSE"
+    lines = spark.sql(f"SELECT * FROM {{lines}} WHERE {chosen}", args=params, lines=billing)
+    report = project_cost_report(lines, as_of)
+    if not api:
+        return report
+    select = ", ".join(
+        "coalesce(project_id, '') AS project_id" if c == "project_id"
+        else f"transform({c}, x -> coalesce(x, 0D)) AS {c}" if c == "lastSixMonths"
+        else f"coalesce({c}, 0D) AS {c}"
+        for c in report.columns
+    )
+    return spark.sql(f"SELECT {select} FROM {{report}}", report=report)

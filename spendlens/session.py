@@ -6,9 +6,6 @@ Library code never creates a session or changes its settings; it only reads
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -21,12 +18,12 @@ LOCAL_JAVA_OPTIONS = "-XX:+UseParallelGC"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spendlens",
-                  driver_memory: str = "8g", java_options: str = LOCAL_JAVA_OPTIONS) -> SparkSession:
+                  driver_memory: str = "8g", java_options: str = LOCAL_JAVA_OPTIONS,
+                  checkpoint: str | None = None) -> SparkSession:
     """A local session configured like the cluster jobs: UTC, AQE on, no UI.
 
-    Sets ``spark.checkpoint.dir`` to a fresh scratch folder only when the
-    session does not name one (cluster sessions name a shared folder).
-    JVM options apply only when this call starts the JVM.
+    ``checkpoint`` is the caller's folder for ``spark.checkpoint.dir``, used when
+    this call starts the session.  JVM options apply only when it starts the JVM.
     """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -41,9 +38,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.extraJavaOptions", java_options)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -58,28 +56,22 @@ def _configured_dir(spark: SparkSession) -> str | None:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return str(spark.conf.get("spark.master", "")).startswith("local")
+    master = str(spark.conf.get("spark.master", ""))
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """The session's checkpoint folder or, in a local-mode session without one, its warehouse folder.
 
-    When it is unset, a scratch folder is created only for a local-mode session
-    (tests, the benchmark, the driver's checks); a cluster session must name a
-    shared folder, since a machine-local one is not visible to every executor.
+    A cluster session must name a shared folder, since a machine-local one is
+    not visible to every executor.
     """
     current = _configured_dir(spark)
     if current:
         return current
     if not _is_local(spark):
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set; point it at a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_CONF, path)
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:
-        pass
-    return path
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -24,10 +24,6 @@ from pyspark.sql import types as T
 from spendlens import schema as S
 from spendlens.functions.measures import credit_amount_type, credit_total
 
-# Above this many ids a Python list is turned into a DataFrame and semi-joined
-# instead of being inlined as one IN predicate.
-ISIN_MAX_IDS = 10_000
-
 _TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 _NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.DecimalType, T.LongType, T.IntegerType)
 
@@ -187,20 +183,13 @@ def normalize_ids(ids: str | Iterable[str] | None) -> list[str]:
 def filter_projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None) -> DataFrame:
     """Keep the billing rows of the given projects (null ids never match).
 
-    * a short Python list becomes ``project.id IN (...)``, pushed to parquet as
-      a nested ``In`` filter;
-    * a long list, or a DataFrame with a ``project_id`` column, becomes a
-      left-semi join; the optimizer decides between broadcast and shuffle from
-      the measured size (AQE), so no size is assumed here.  To report on an id
-      table of unknown size, prefer ``operators.report.projects``, which joins
-      the per-project report instead of the raw usage lines.
+    * Python ids (a string, list or any iterable) become ``project.id IN (...)``,
+      pushed to parquet as a nested ``In`` filter;
+    * a DataFrame with a ``project_id`` column becomes a left-semi join; the
+      optimizer decides between broadcast and shuffle from the measured size
+      (AQE).  It is the way for long id lists, which need not pass the driver.
     """
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(S.PROJECT_ID).alias("_pid")).where(F.col("_pid").isNotNull())
         return billing.join(keys, project_id_col() == F.col("_pid"), "left_semi")
-    wanted = normalize_ids(ids)
-    if len(wanted) <= ISIN_MAX_IDS:
-        return billing.where(project_id_col().isin(wanted))
-    spark = billing.sparkSession
-    keys = spark.createDataFrame([(i,) for i in wanted], f"{S.PROJECT_ID} string")
-    return filter_projects(billing, keys)
+    return billing.where(project_id_col().isin(normalize_ids(ids)))

@@ -6,25 +6,32 @@ cube's partial sums once (``write_cube``) and reporting from them
 projects x months instead, and cuts the lineage: a lost executor recomputes
 from the stored files, not from the raw export.
 
-Layout: parquet partitioned by ``month`` (and ``batch_id`` when written by the
-streaming refresh).  A report's month window becomes a partition filter, so
-only the months it needs are listed and read.  The store lives under the
-shared folder named by ``spark.checkpoint.dir`` unless a path is given.
+Layout: parquet partitioned by ``month``, ``run_id`` and ``batch_id``, with the
+schema beside it, so that an empty store reads as an empty cube.  The cube is
+the sum over all runs and batches.  A report's month window becomes a partition
+filter, so only the months it needs are listed and read.  The store lives under
+the shared folder named by ``spark.checkpoint.dir`` unless a path is given;
+``drop_store`` deletes one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens import schema as S
 from spendlens.operators.monthly import PARTIAL_SUMS, combine_cost_partials, finish_costs, monthly_cost_partials
 from spendlens.session import checkpoint_dir
 
+RUN_ID = "run_id"
 BATCH_ID = "batch_id"
+PARTITIONS = (S.MONTH, RUN_ID, BATCH_ID)
+_SCHEMA = "_schema"  # hidden from parquet readers by its name
 
 
 def new_store_path(spark: SparkSession, name: str = "monthly-cost-cube") -> str:
@@ -32,17 +39,51 @@ def new_store_path(spark: SparkSession, name: str = "monthly-cost-cube") -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_store(spark: SparkSession, path: str) -> None:
+    """Delete a store (or any folder) on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def store_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema kept with a store; None where there is no store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, _SCHEMA))
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return T.StructType.fromJson(json.loads(spark.read.text(os.path.join(path, _SCHEMA)).first()[0]))
+
+
+def write_partials(partials: DataFrame, path: str, run_id: str, batch_id: int, mode: str = "overwrite") -> None:
+    """Write (month, project_id, sums) rows as one batch; a batch written again replaces itself.
+
+    ``rebalance`` lets AQE split a month that holds most of the rows.
+    """
+    spark = partials.sparkSession
+    rows = partials.select(S.MONTH, S.PROJECT_ID, *PARTIAL_SUMS)
+    if store_schema(spark, path) is None:
+        kept = T.StructType([*rows.schema.fields, T.StructField(RUN_ID, T.StringType()),
+                             T.StructField(BATCH_ID, T.LongType())])
+        spark.createDataFrame([(kept.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(
+            os.path.join(path, _SCHEMA))
+    (rows.withColumn(RUN_ID, F.lit(run_id)).withColumn(BATCH_ID, F.lit(batch_id).cast("long"))
+     .hint("rebalance", S.MONTH).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITIONS).parquet(path))
+
+
 def write_cube(billing: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Aggregate the export once and store the partial sums partitioned by month."""
-    # One file per month: a month holds at most one row per project.
-    monthly_cost_partials(billing).repartition(S.MONTH).write.mode(mode).partitionBy(S.MONTH).parquet(path)
+    """Aggregate the export once and store the partial sums; ``overwrite`` replaces what the store held."""
+    if mode == "overwrite":
+        drop_store(billing.sparkSession, path)
+    write_partials(monthly_cost_partials(billing), path, f"export-{uuid.uuid4().hex[:12]}", 0)
     return path
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
     """Raw stored partial rows (several per month and project when written in batches)."""
-    df = spark.read.parquet(path)
-    return df.select(S.MONTH, S.PROJECT_ID, *PARTIAL_SUMS)
+    schema = store_schema(spark, path)
+    if schema is None:
+        raise ValueError(f"no stored cube at {path}")
+    return spark.read.schema(schema).parquet(path).select(S.MONTH, S.PROJECT_ID, *PARTIAL_SUMS)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
@@ -59,10 +100,19 @@ def materialize_costs(billing: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, target: str | None = None) -> str:
-    """Fold a batch-written store into one row per (month, project) in a new folder."""
+    """Fold a store of many batches into one row per (month, project) in a new folder.
+
+    The new store has the same layout, its rows under a run of their own, so a
+    refresh may go on writing to it.  To switch over: stop the refresh, compact,
+    start the refresh again with the same checkpoint on the new folder, and
+    drop the old one.  The sums keep the stored types.
+    """
     target = target or new_store_path(spark, "monthly-cost-cube-compacted")
-    folded = combine_cost_partials(read_partials(spark, path)).repartition(S.MONTH)
-    folded.write.mode("overwrite").partitionBy(S.MONTH).parquet(target)
+    drop_store(spark, target)
+    stored = read_partials(spark, path)
+    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    folded = combine_cost_partials(stored).select(*[F.col(c).cast(kinds[c]).alias(c) for c in stored.columns])
+    write_partials(folded, target, f"compacted-{uuid.uuid4().hex[:12]}", 0)
     return target
 
 

@@ -128,3 +128,27 @@ def project_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_dim_from_suppliers(
         read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
     )
+
+
+def billing_long_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The billing lines with as many credits as the line number says (1 to 7): growing
+    multiples of the discount, without a precomputed sum."""
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice").cast(PRICE_TYPE)
+    discount = (-(price * F.col("l_discount").cast(RATE_TYPE))).cast(CREDIT_TYPE)
+    credits = F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: F.struct(
+        F.concat(F.lit("credit "), i.cast("string")).alias("name"), (discount * i).cast(CREDIT_TYPE).alias("amount")))
+    return lineitem.select(F.col("l_shipdate").alias(S.USAGE_START_TIME), _project_struct(), price.alias(S.COST),
+                           credits.alias(S.CREDITS))
+
+
+def shared_names_dim(dim: DataFrame) -> DataFrame:
+    """The dimension with directorate names that several branches share."""
+    number = (F.col(S.PROJECT_ID).cast("long") % DIRECTORATES_PER_BRANCH).cast("string")
+    return dim.withColumn("directorate", F.concat(F.lit("DIR-"), number))
+
+
+def bad_classes_dim(dim: DataFrame) -> DataFrame:
+    """The dimension with classifications outside the domain, and null ones."""
+    digit = F.col(S.PROJECT_ID).cast("long") % 10
+    return dim.withColumn("classification", F.when(digit == 0, "SECRET").when(digit != 1, F.col("classification")))

@@ -2,13 +2,16 @@
 
 A billing export grows by appended files, and credits for old usage can arrive
 late.  Every micro-batch is aggregated into (month, project) partial sums and
-written as its own ``batch_id`` partition inside its months; the cube is the
-sum over batches (``cube_store.read_cube``).  Consequences:
+written under its own ``run_id`` and ``batch_id`` inside its months; the cube is
+the sum over all of them (``cube_store.read_cube``).  The run id is made once
+for a checkpoint and kept in it, so a stream that starts over with a new
+checkpoint (batch numbers from 0 again) adds to the store and replaces nothing.
+Consequences:
 
 * no streaming state and no watermark: nothing is ever finalised, so a late
   line simply adds a partial row to its month, however late it is;
 * exactly-once effect: a replayed batch id rewrites the same
-  ``(month, batch_id)`` partitions (dynamic partition overwrite), never
+  ``(month, run_id, batch_id)`` partitions (dynamic partition overwrite), never
   duplicating them;
 * with the stream's checkpoint and the store on shared storage (for example
   under ``spark.checkpoint.dir``, see ``cube_store.new_store_path``) the job
@@ -18,24 +21,25 @@ sum over batches (``cube_store.read_cube``).  Consequences:
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spendlens import schema as S
 from spendlens.operators.monthly import monthly_cost_partials
-from spendlens.sources.cube_store import BATCH_ID
+from spendlens.sources.cube_store import write_partials
 
 
-def write_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+def write_batch(batch: DataFrame, batch_id: int, store: str, run_id: str = "manual") -> None:
     """Aggregate one batch of usage lines and (re)write its partitions."""
-    partials = monthly_cost_partials(batch).withColumn(BATCH_ID, F.lit(int(batch_id)))
-    # One file per month and batch: a month holds at most one row per project.
-    (partials.repartition(S.MONTH).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy(S.MONTH, BATCH_ID)
-     .parquet(store))
+    write_partials(monthly_cost_partials(batch), store, run_id, int(batch_id))
+
+
+def run_id_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run id kept in a checkpoint folder; made when the folder has none."""
+    path = os.path.join(checkpoint, "_run_id")
+    spark.createDataFrame([(uuid.uuid4().hex[:12],)], "run_id string").coalesce(1).write.mode("ignore").text(path)
+    return spark.read.text(path).first()[0]
 
 
 def billing_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -57,8 +61,9 @@ def start_cube_refresh(billing: DataFrame, store: str, checkpoint: str, availabl
     """
     if not billing.isStreaming:
         raise ValueError("billing must be a streaming DataFrame (spark.readStream...)")
+    run_id = run_id_of(billing.sparkSession, checkpoint)
     writer = (billing.writeStream
-              .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, store))
+              .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, store, run_id))
               .option("checkpointLocation", checkpoint))
     if query_name:
         writer = writer.queryName(query_name)

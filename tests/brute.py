@@ -1,72 +1,79 @@
-"""Brute-force report in plain Python, following the original query's shape:
-monthly groups, then seven period sub-queries joined to the id list by equality.
-Used only as a test oracle on small generated inputs."""
+"""Brute-force report in plain Python, used as a test oracle on small inputs.
+
+A ledger holds each project's monthly totals.  A period is a set of months,
+found by walking the calendar from the report date; a figure adds up the
+ledger's entries of those months.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections import defaultdict
+
+DAY = dt.timedelta(days=1)
 
 
-def _month(d: dt.date) -> dt.date:
-    return dt.date(d.year, d.month, 1)
+def first_of_month(day: dt.date) -> dt.date:
+    while day.day != 1:
+        day -= DAY
+    return day
 
 
-def _minus_months(d: dt.date, n: int) -> dt.date:
-    idx = d.year * 12 + d.month - 1 - n
-    return dt.date(idx // 12, idx % 12 + 1, 1)
+def last_april_first(day: dt.date) -> dt.date:
+    """The start of the fiscal year: the last April 1 on or before a day."""
+    while (day.month, day.day) != (4, 1):
+        day -= DAY
+    return day
 
 
-def _sum(values):
-    vals = [v for v in values if v is not None]
-    return sum(vals) if vals else None
+def months_on(start: dt.date, n: int) -> list[dt.date]:
+    """``n`` month starts from ``start`` on."""
+    out = [start]
+    while len(out) < n:
+        out.append(first_of_month(out[-1] + 31 * DAY))
+    return out
 
 
-def _pct(cur, prev):
-    if cur is None or prev is None or float(prev) == 0.0:
+def months_before(start: dt.date, n: int) -> list[dt.date]:
+    """``n`` month starts before ``start``, newest first."""
+    out = []
+    for _ in range(n):
+        start = first_of_month(start - DAY)
+        out.append(start)
+    return out
+
+
+def _total(values):
+    known = [v for v in values if v is not None]
+    return sum(known) if known else None
+
+
+def _change(now, then):
+    if now is None or not then:
         return None
-    return (float(cur) - float(prev)) / float(prev) * 100
+    return (now - then) / then * 100
 
 
 def report(rows, as_of: dt.date) -> dict:
     """rows: (timestamp, project id or None, cost, credits_sum_amount); values Decimal or None."""
-    groups: dict = {}
-    for ts, pid, cost, credit_sum in rows:
-        key = (_month(ts.date()), pid)
-        g = groups.setdefault(key, ([], []))
-        g[0].append(cost)
-        g[1].append(credit_sum)
-    final = {}
-    for key, (costs, credits) in groups.items():
-        a, b = _sum(costs), _sum(credits)
-        final[key] = None if a is None or b is None else a + b
-    ids = {pid for (_, pid) in final}
-
-    y = as_of.year
-    if as_of.month > 3:
-        pfs, pfe, cfs, cfe = dt.date(y - 1, 4, 1), dt.date(y, 3, 31), dt.date(y, 4, 1), dt.date(y + 1, 3, 31)
-    else:
-        pfs, pfe, cfs, cfe = dt.date(y - 2, 4, 1), dt.date(y - 1, 3, 31), dt.date(y - 1, 4, 1), dt.date(y, 3, 31)
-    cur, prev, six = _month(as_of), _minus_months(_month(as_of), 1), _minus_months(_month(as_of), 6)
-
-    def pick(pid, month):
-        return final.get((month, pid)) if (month, pid) in final else None
-
-    def total(pid, pred):
-        rows_in = [v for (m, p), v in final.items() if p == pid and pred(m)]
-        return _sum(rows_in) if rows_in else None
-
+    lines = defaultdict(lambda: defaultdict(list))
+    for ts, pid, cost, credit in rows:
+        lines[pid][first_of_month(ts.date())].append((cost, credit))
+    now = first_of_month(as_of)
+    fiscal, january = last_april_first(as_of), dt.date(as_of.year, 1, 1)
+    before = {12: months_before(fiscal, 12), 1: months_before(january, 12)}
+    periods = [[now], months_before(now, 1), months_on(january, 12), before[1], months_on(fiscal, 12), before[12]]
     out = {}
-    for pid in ids:
-        if pid is None:
-            out[None] = (None,) * 8 + (None,)
+    for pid, months in lines.items():
+        ledger = {}
+        for month, entries in months.items():
+            cost, credit = _total(c for c, _ in entries), _total(c for _, c in entries)
+            ledger[month] = None if cost is None or credit is None else cost + credit
+        if pid is None:  # it is listed, without figures
+            out[pid] = (None,) * 9
             continue
-        cm, pm = pick(pid, cur), pick(pid, prev)
-        ccy = total(pid, lambda m: m.year == y)
-        pcy = total(pid, lambda m: m.year == y - 1)
-        cfy = total(pid, lambda m: cfs <= m <= cfe)
-        pfy = total(pid, lambda m: pfs <= m <= pfe)
-        six_rows = sorted(((m, v) for (m, p), v in final.items() if p == pid and six <= m < cur), reverse=True)
-        lsm = [None if v is None else float(v) for _, v in six_rows] or None
-        f = (lambda v: None if v is None else float(v))
-        out[pid] = (f(cm), f(pm), _pct(cm, pm), f(ccy), f(pcy), f(cfy), f(pfy), _pct(cfy, pfy), lsm)
+        sums = [_total(ledger.get(m) for m in p) for p in periods]
+        month, prev, year, last_year, fy, last_fy = [None if v is None else float(v) for v in sums]
+        series = [None if ledger[m] is None else float(ledger[m]) for m in months_before(now, 6) if m in ledger]
+        out[pid] = (month, prev, _change(month, prev), year, last_year, fy, last_fy, _change(fy, last_fy), series or None)
     return out

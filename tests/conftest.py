@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,6 +16,7 @@ SF_GATE = os.environ.get("SPENDLENS_TEST_SF", "/root/testdata/sf0.01")
 def spark():
     from spendlens.session import local_session
 
-    session = local_session("*", shuffle_partitions=8)
-    yield session
-    session.stop()
+    with tempfile.TemporaryDirectory(prefix="spendlens-tests-") as folder:
+        session = local_session("*", shuffle_partitions=8, checkpoint=folder)
+        yield session
+        session.stop()

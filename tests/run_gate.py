@@ -13,6 +13,7 @@ import argparse
 import json
 import os
 import sys
+import tempfile
 import time
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -31,7 +32,7 @@ def main() -> int:
     ap.add_argument("--plans", action="store_true")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
-    spark = local_session("*")
+    spark = local_session("*", checkpoint=tempfile.mkdtemp(prefix="spendlens-gate-"))
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = []
     for key in args.keys or sorted(queries):

@@ -1,10 +1,10 @@
-"""The report in the join shape, as Spark SQL (temp view + CTEs + LEFT JOINs),
-against the single-pass DataFrame plan, for the calendar edge dates."""
+"""The report on the driver's lines, both plan shapes, against the ledger walk of ``brute``, on edge dates."""
 
 import datetime as dt
 
 import pytest
 
+import brute
 from conftest import SF_SMALL
 from spendlens import schema as S
 from spendlens.operators.report import project_cost_report
@@ -13,78 +13,20 @@ from spendlens.sources import fixtures
 DATES = [dt.date(2000, 9, 17), dt.date(2000, 3, 31), dt.date(2000, 1, 15), dt.date(2000, 4, 1),
          dt.date(2001, 12, 30), dt.date(1995, 5, 31)]
 
-JOIN_SHAPE = """
-WITH fy AS (
-  SELECT DATE'{d}' AS d,
-         year(DATE'{d}') - CASE WHEN month(DATE'{d}') >= 4 THEN 0 ELSE 1 END AS fy
-),
-cal AS (
-  SELECT trunc(d, 'MM') AS cur_month, trunc(add_months(d, -1), 'MM') AS prev_month,
-         trunc(add_months(d, -6), 'MM') AS six_start, year(d) AS cur_year, year(d) - 1 AS prev_year,
-         make_date(fy, 4, 1) AS cur_fy_start, make_date(fy + 1, 3, 31) AS cur_fy_end,
-         make_date(fy - 1, 4, 1) AS prev_fy_start, make_date(fy, 3, 31) AS prev_fy_end
-  FROM fy
-),
-monthly AS (
-  SELECT trunc(to_date(usage_start_time), 'MM') AS month, year(usage_start_time) AS year, project.id AS project_id,
-         SUM(cost) + SUM(credits_sum_amount) AS final_cost
-  FROM {billing} GROUP BY 1, 2, 3
-),
-ids AS (SELECT DISTINCT project_id FROM monthly),
-m_cur AS (SELECT m.project_id, m.final_cost AS amount FROM monthly m, cal WHERE m.month = cal.cur_month),
-m_prev AS (SELECT m.project_id, m.final_cost AS amount FROM monthly m, cal WHERE m.month = cal.prev_month),
-y_cur AS (SELECT m.project_id, SUM(m.final_cost) AS amount FROM monthly m, cal WHERE m.year = cal.cur_year
-          GROUP BY m.project_id),
-y_prev AS (SELECT m.project_id, SUM(m.final_cost) AS amount FROM monthly m, cal WHERE m.year = cal.prev_year
-           GROUP BY m.project_id),
-fy_cur AS (SELECT m.project_id, SUM(m.final_cost) AS amount FROM monthly m, cal
-           WHERE m.month BETWEEN cal.cur_fy_start AND cal.cur_fy_end GROUP BY m.project_id),
-fy_prev AS (SELECT m.project_id, SUM(m.final_cost) AS amount FROM monthly m, cal
-            WHERE m.month BETWEEN cal.prev_fy_start AND cal.prev_fy_end GROUP BY m.project_id),
-six AS (
-  SELECT m.project_id,
-         transform(sort_array(collect_list(struct(m.month, CAST(m.final_cost AS DOUBLE) AS v)), false), x -> x.v)
-           AS series
-  FROM monthly m, cal WHERE m.month >= cal.six_start AND m.month < cal.cur_month GROUP BY m.project_id
-)
-SELECT ids.project_id,
-       CAST(m_cur.amount AS DOUBLE) AS currentMonthToDate,
-       CAST(m_prev.amount AS DOUBLE) AS previousMonth,
-       try_divide(CAST(m_cur.amount AS DOUBLE) - CAST(m_prev.amount AS DOUBLE), CAST(m_prev.amount AS DOUBLE)) * 100
-         AS currentMonthDeltaPercentage,
-       CAST(y_cur.amount AS DOUBLE) AS currentCalendarYearToDate,
-       CAST(y_prev.amount AS DOUBLE) AS previousCalendarYear,
-       CAST(fy_cur.amount AS DOUBLE) AS currentFiscalToDate,
-       CAST(fy_prev.amount AS DOUBLE) AS previousFiscalYear,
-       try_divide(CAST(fy_cur.amount AS DOUBLE) - CAST(fy_prev.amount AS DOUBLE), CAST(fy_prev.amount AS DOUBLE)) * 100
-         AS currentFiscalYearDeltaPercentage,
-       six.series AS lastSixMonths
-FROM ids
-LEFT JOIN m_cur ON ids.project_id = m_cur.project_id
-LEFT JOIN m_prev ON ids.project_id = m_prev.project_id
-LEFT JOIN y_cur ON ids.project_id = y_cur.project_id
-LEFT JOIN y_prev ON ids.project_id = y_prev.project_id
-LEFT JOIN fy_cur ON ids.project_id = fy_cur.project_id
-LEFT JOIN fy_prev ON ids.project_id = fy_prev.project_id
-LEFT JOIN six ON ids.project_id = six.project_id
-"""
-
 
 @pytest.fixture(scope="module")
-def billing_view(spark):
-    name = "differential_billing"
-    fixtures.billing(spark, SF_SMALL).createOrReplaceTempView(name)
-    return name
+def billing(spark):
+    return fixtures.billing(spark, SF_SMALL)
 
 
-def _rows(df):
-    return sorted((tuple(r[f] for f in (S.PROJECT_ID,) + S.REPORT_FIELDS) for r in df.collect()),
-                  key=lambda r: (r[0] is None, r[0] or ""))
+@pytest.fixture(scope="module")
+def lines(billing):
+    return [tuple(r) for r in billing.select(S.USAGE_START_TIME, "project.id", S.COST, S.CREDITS_SUM_AMOUNT).collect()]
 
 
 @pytest.mark.parametrize("as_of", DATES)
-def test_join_shape_sql_equals_single_pass(spark, billing_view, as_of):
-    expected = spark.sql(JOIN_SHAPE.format(d=as_of.isoformat(), billing=billing_view))
-    billing = spark.table(billing_view)
+def test_report_equals_ledger(billing, lines, as_of):
+    want = brute.report(lines, as_of)
     for prune in (True, False):
-        assert _rows(project_cost_report(billing, as_of, prune_history=prune)) == _rows(expected)
+        rows = project_cost_report(billing, as_of, prune_history=prune).collect()
+        assert {r[S.PROJECT_ID]: tuple(r[f] for f in S.REPORT_FIELDS) for r in rows} == want

@@ -105,14 +105,15 @@ def test_derived_credit_sum_matches(billing):
     assert got["a"] == tuple(EXPECTED["a"])
 
 
-def test_id_table_and_long_list_paths(spark, billing, monkeypatch):
+def test_id_tables_iterables_and_long_lists(spark, billing):
     ids = spark.createDataFrame([("a",), ("c",), ("c",), (None,), ("zzz",)], "project_id string")
     got = _as_dict(projects(billing, ids, AS_OF, flavour="raw"))
     assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
-    from spendlens.sources import billing as B
-    monkeypatch.setattr(B, "ISIN_MAX_IDS", 1)
-    got = _as_dict(projects(billing, ["a", "c", "zzz"], AS_OF, flavour="raw"))
-    assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
+    many = ["a", "c"] + [f"no-{i}" for i in range(20_000)]
+    table = spark.createDataFrame([(i,) for i in many], "project_id string")
+    for ids in (many, table, (i for i in ["a", "c", "a"])):
+        got = _as_dict(projects(billing, ids, AS_OF, flavour="raw"))
+        assert got == {"a": tuple(EXPECTED["a"]), "c": tuple(EXPECTED["c"])}
 
 
 def test_through_as_of_drops_later_days(billing):
@@ -181,3 +182,38 @@ def test_through_as_of_for_carbon_and_units(spark, billing):
         "branch string, branch_acronym string, directorate string, directorate_acronym string")
     units = {r["level"]: r for r in org.org_unit_costs(billing, dim, AS_OF, through_as_of=True).collect()}
     assert units["department"][S.CURRENT_MONTH] == 90.0   # project a without its Sep 30 line
+
+
+def test_estimates_stop_at_the_report_date(spark, billing):
+    from spendlens.operators.estimates import carbon_estimates, cost_estimates
+    from spendlens.operators.project_details import project_details
+
+    rows = {r[S.PROJECT_ID]: r for r in cost_estimates(billing, AS_OF).collect()}
+    assert rows["a"][S.CURRENT_FISCAL_YEAR] == 148.0          # without the line of Sep 30
+    assert rows["a"][S.CURRENT_FISCAL_ESTIMATED] == 148.0 * 365 / 170
+    assert rows["a"][S.CURRENT_CALENDAR_ESTIMATED] == 152.0 * 366 / 261
+    carbon = billing.select(S.USAGE_START_TIME, S.PROJECT, billing[S.COST].alias(S.CARBON_KG))
+    kg = {r[S.PROJECT_ID]: r for r in carbon_estimates(carbon, AS_OF).collect()}
+    assert kg["b"][S.CURRENT_FISCAL_ESTIMATED] == 5.0 * 365 / 170
+    full = {r["id"]: r for r in project_details(billing, AS_OF, carbon=carbon, estimates=True).collect()}
+    assert full["a"]["costs"][S.CURRENT_FISCAL_ESTIMATED] == rows["a"][S.CURRENT_FISCAL_ESTIMATED]
+    assert full["b"]["carbonFootprint"][S.CURRENT_FISCAL_ESTIMATED] == kg["b"][S.CURRENT_FISCAL_ESTIMATED]
+    assert full[""]["costs"][S.CURRENT_FISCAL_ESTIMATED] == 0.0
+    plain = {r["id"]: r for r in project_details(billing, AS_OF, carbon=carbon).collect()}
+    assert plain["a"]["costs"][S.CURRENT_FISCAL_ESTIMATED] is None
+
+
+def test_full_precision_decimals_keep_every_place(spark):
+    from decimal import Decimal
+
+    from spendlens.operators.monthly import monthly_costs
+    from spendlens.sources.billing import load_billing
+
+    tiny = Decimal("0.000000001")
+    rows = [(dt.datetime(2000, 9, 1), ("p",), tiny, [(tiny,), (2 * tiny,), (None,), (tiny,)])] * 2
+    df = load_billing(spark.createDataFrame(rows, "usage_start_time timestamp, project struct<id:string>, "
+                                                  "cost decimal(38,9), credits array<struct<amount:decimal(38,9)>>"))
+    assert df.select(S.CREDITS_SUM_AMOUNT).first()[0] == 4 * tiny
+    cube = monthly_costs(df).first()
+    assert cube[S.ALL_CREDITS_TOTAL] == 8 * tiny and cube[S.FINAL_COST] == 10 * tiny
+    assert cube[S.FINAL_COST_FIRST_CREDIT] == 4 * tiny

@@ -55,11 +55,11 @@ def test_all_credits_equal_export_credit_sum(billing):
 
 
 def test_reports_by_id_chunks_union_to_all(billing):
-    everything = all_projects(billing, dt.date(2000, 9, 17), with_last_six=False).where(F.col(S.PROJECT_ID) != "")
+    everything = all_projects(billing, dt.date(2000, 9, 17)).where(F.col(S.PROJECT_ID) != "")
     ids = [r[0] for r in everything.select(S.PROJECT_ID).collect()]
     parts = None
     for i in range(0, len(ids), 4):
-        part = projects(billing, ids[i:i + 4], dt.date(2000, 9, 17), with_last_six=False)
+        part = projects(billing, ids[i:i + 4], dt.date(2000, 9, 17))
         parts = part if parts is None else parts.unionByName(part)
     assert _rows(parts) == _rows(everything)
 
@@ -76,8 +76,8 @@ def test_rollup_levels_add_up(billing, dim):
 
 def test_unit_report_sums_project_reports(billing, dim):
     as_of = dt.date(2000, 9, 17)
-    units = org.org_unit_costs(billing, dim, as_of, levels=["department"], with_last_six=False)
-    per_project = org.org_projects(billing, dim, as_of, with_last_six=False) \
+    units = org.org_unit_costs(billing, dim, as_of, levels=["department"])
+    per_project = org.org_projects(billing, dim, as_of) \
         .groupBy("department").agg(F.sum(S.CURRENT_CALENDAR_YEAR).alias("s"))
     for r in units.join(per_project, units.name == per_project.department).collect():
         assert r[S.CURRENT_CALENDAR_YEAR] == pytest.approx(r["s"])
@@ -97,7 +97,7 @@ PERIOD_COLUMNS = {
 def test_single_period_windows_agree_with_report(billing, as_of):
     from spendlens.operators.report import billing_period_total
 
-    report = {r[S.PROJECT_ID]: r for r in project_cost_report(billing, as_of, with_last_six=False).collect()}
+    report = {r[S.PROJECT_ID]: r for r in project_cost_report(billing, as_of).collect()}
     for period, column in PERIOD_COLUMNS.items():
         totals = {r[0]: r[1] for r in billing_period_total(billing, as_of, period, name="v").collect()}
         for pid, row in report.items():

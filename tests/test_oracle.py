@@ -6,12 +6,20 @@ import __spark_entry__ as entry_module
 from compare import compare
 from conftest import SF_GATE, SF_SMALL
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = entry_module.catalog.queries()
+SQL = entry_module.catalog.oracle_sql()
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) and set(QUERIES) <= set(entry_module.queries())
+
+
+def test_a_file_added_later_is_read(spark, tmp_path):
+    part = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(100)
+    part.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert QUERIES["billing_scan"](spark, str(tmp_path)).count() == 100
+    part.write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    assert QUERIES["billing_scan"](spark, str(tmp_path)).count() == 200
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

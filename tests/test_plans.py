@@ -28,6 +28,37 @@ def billing_parquet(spark, billing):
     return spark.read.parquet(path)
 
 
+@pytest.mark.parametrize("name", ["all_projects", "org_unit_costs", "carbon_report", "project_cost_report_single_pass"])
+def test_report_state_has_a_fixed_size(spark, name):
+    from spendlens.plans.catalog import REGISTRY
+
+    text = inspect.plan_text(REGISTRY[name].build(spark, SF_SMALL), "formatted")
+    assert "collect_list" not in text and "ObjectHashAggregate" not in text
+
+
+def test_credit_aggregates_are_generated_code(spark, billing_parquet):
+    """The fold over credits stays in a projection; both aggregates above it are in whole-stage codegen."""
+    from spendlens.operators.monthly import monthly_costs
+
+    cube = monthly_costs(billing_parquet.drop(S.CREDITS_SUM_AMOUNT)).select(S.MONTH, S.PROJECT_ID, S.ALL_CREDITS_TOTAL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = [x for x in inspect.plan_text(cube, "simple").splitlines() if "HashAggregate" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(lines) == 2 and all("*(" in x for x in lines), lines
+
+
+def test_sql_ids_reach_the_reader(billing_parquet):
+    from spendlens.plans.views import projects_sql
+
+    spark = billing_parquet.sparkSession
+    before = {t.name for t in spark.catalog.listTables()}
+    df = projects_sql(billing_parquet, ["1", "2"], AS_OF)
+    assert "In(project.id, [1,2])" in " ".join(inspect.pushed_filters(df))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_single_pass_report_is_one_scan_two_shuffles(billing):
     df = project_cost_report(billing, AS_OF, prune_history=False)
     assert inspect.scan_count(df) == 1

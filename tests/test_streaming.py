@@ -49,10 +49,10 @@ def test_stream_batches_replay_and_late_file(spark, billing):
     run()
     early = billing.where(year <= 1999)
     assert _rows(cube_store.read_cube(spark, store)) == _rows(monthly_costs(early))
-    assert spark.read.parquet(store).select(cube_store.BATCH_ID).distinct().count() == 2
+    assert spark.read.parquet(store).select(cube_store.RUN_ID, cube_store.BATCH_ID).distinct().count() == 2
 
     # Replaying batch 0 rewrites its partitions instead of adding to them.
-    cube_refresh.write_batch(billing.where(year <= 1996), 0, store)
+    cube_refresh.write_batch(billing.where(year <= 1996), 0, store, cube_refresh.run_id_of(spark, ckpt))
     assert _rows(cube_store.read_cube(spark, store)) == _rows(monthly_costs(early))
 
     # A later file, including lines for months already stored, after a restart.
@@ -82,6 +82,44 @@ def test_compact_keeps_the_cube(spark, billing):
     assert _rows(cube_store.read_cube(spark, compacted)) == _rows(cube_store.read_cube(spark, path))
 
 
+def test_lost_checkpoint_adds_and_compaction_goes_on(spark, tmp_path):
+    def land(name, cost):
+        spark.createDataFrame([(dt.datetime(2000, 9, 1), ("p",), cost, 0.0)], schema).write.parquet(str(tmp_path / name / "f"))
+
+    schema = "usage_start_time timestamp, project struct<id:string>, cost double, credits_sum_amount double"
+    store = str(tmp_path / "store")
+
+    def refresh(landing, checkpoint, target):
+        stream = cube_refresh.billing_stream(spark, str(tmp_path / landing / "*"), spark.createDataFrame([], schema).schema)
+        query = cube_refresh.start_cube_refresh(stream, target, str(tmp_path / checkpoint))
+        query.awaitTermination()
+        assert query.exception() is None
+
+    def total(path):
+        return [r[S.FINAL_COST] for r in cube_store.read_cube(spark, path).collect()]
+
+    land("one", 10.0)
+    refresh("one", "first", store)
+    land("two", 5.0)
+    refresh("two", "second", store)                    # a new checkpoint starts at batch 0 again
+    assert total(store) == [15.0]
+    folded = cube_store.compact(spark, store, str(tmp_path / "folded"))
+    assert total(folded) == [15.0]
+    spark.createDataFrame([(dt.datetime(2000, 9, 2), ("p",), 1.0, 0.0)], schema).write.parquet(str(tmp_path / "one" / "g"))
+    refresh("one", "first", folded)                    # the old checkpoint goes on, on the folded store
+    assert total(folded) == [16.0]
+    assert cube_store.read_partials(spark, folded).count() == 2
+    cube_store.drop_store(spark, store)
+    with pytest.raises(ValueError):
+        cube_store.read_cube(spark, store)
+
+
+def test_empty_export_gives_an_empty_store(spark, billing):
+    cube = cube_store.materialize_costs(billing.limit(0))
+    assert cube.count() == 0 and dict(cube.dtypes)[S.MONTH] == "date"
+    assert cube_cost_report(cube, dt.date(2000, 9, 17)).count() == 0
+
+
 def test_refresh_rejects_batch_input(spark, billing):
     with pytest.raises(ValueError):
         cube_refresh.start_cube_refresh(billing, "/nonexistent", "/nonexistent")
@@ -119,10 +157,11 @@ def test_single_periods_from_a_stored_cube(spark, billing):
         assert a == b, period
 
 
-def test_scratch_checkpoint_only_in_local_mode(spark, monkeypatch):
+def test_a_cluster_session_must_name_the_shared_folder(spark, monkeypatch):
     from spendlens import session
 
     monkeypatch.setattr(session, "_configured_dir", lambda s: None)
+    assert session.ensure_checkpoint_dir(spark) == spark.conf.get("spark.sql.warehouse.dir")
     monkeypatch.setattr(session, "_is_local", lambda s: False)
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(spark)
