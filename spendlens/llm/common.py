@@ -61,7 +61,11 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``SLICE_BYTES`` of ``column`` (one row at least)."""
+    """Cut record batches so that each holds about ``SLICE_BYTES`` of ``column`` (one row at least).
+
+    Each is a copy that begins at offset 0: some string kernels of pyarrow go by
+    the wrong offsets in a view of a longer array.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -69,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         group = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            yield batch.slice(lo, hi - lo)
+            yield batch.take(pa.array(np.arange(lo, hi)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,15 +93,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Returns the hashes of all texts on end, and len(texts) + 1 offsets into them.
     A null text has no words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     words = lists.flatten().dictionary_encode()
-    distinct = words.dictionary.to_pylist()
-    table = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+    table = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in distinct), np.uint64, len(distinct))
     index = words.indices.to_numpy()
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
-    if "" in distinct:  # white space at either end of a text
-        keep = index != distinct.index("")
+    if b"" in distinct:  # white space at either end of a text
+        keep = index != distinct.index(b"")
         offsets = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offsets]
         index = index[keep]
     return table[index] if len(distinct) else np.empty(0, np.uint64), offsets
