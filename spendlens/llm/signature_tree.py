@@ -4,21 +4,28 @@ A text's set are its distinct word n-grams.  Two texts are linked when the
 Jaccard similarity of their sets reaches ``num / den``, tested in integers.
 
 1. Equal sets are one entry, found by a digest of the set.
-2. An entry's prefix (in hash order) is long enough that linked entries share a
-   prefix gram; entries that share one form a block's candidates.  The shares
-   are chained by a lag over the gram, then joined into candidate components,
-   so each entry comes into play once however many grams it shares.
-3. A candidate component, cut by size range and hash where it is large, becomes
-   a signature tree: entries are leaves, each node has the OR of its entries'
-   token bitmaps and their size range.  A dual traversal, deepest first, drops
-   node pairs whose largest possible overlap is too small or whose entries are
-   all connected already; what is left is compared exactly.
-4. The links found (a spanning forest of each block) are joined into components.
+2. Grams are put in one order for all texts, rare ones first by a counting sketch
+   of fixed size (any fixed order is exact; a good one keeps frequent passages
+   out of the way).  An entry's prefix in that order is long enough that linked
+   entries share a prefix gram.  Entries that share one are chained by a lag over the gram, and
+   the chains joined into candidate components, so each entry comes into play
+   once however many grams it shares.
+3. A candidate component becomes a signature tree: entries are leaves, each node
+   has the OR of its entries' token bitmaps and their size range.  A dual
+   traversal, deepest first, drops node pairs whose largest possible overlap is
+   too small or whose entries are all connected already.  The pairs left
+   connect entries into narrow families; no linked pair falls between two.
+4. Only the texts of families travel.  The same traversal over a family's sets
+   compares the pairs left exactly, and the links found (a spanning forest) are
+   joined into components.
+
+Components and families too large for one task are cut by size range and hash
+into parts, and every two parts that may hold linked sets meet in one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +37,17 @@ from pyspark.sql import functions as F
 from spendlens.llm import common
 from spendlens.llm.components import connected_components
 
-#: Set members a block may hold; a larger candidate component becomes several blocks.
+#: Set members a block of texts may hold, and how many times as many a block of bitmaps.
 BLOCK_GRAMS = 2_000_000
-FAN = 16
+BITMAP_BLOCK = 8
+FAN = 64
+#: Most bits of a stored bitmap.
+WIDEST = 1 << 17
 
-SETS = "entry long, doc_id long, fp1 long, fp2 long, n long, prefix array<long>"
+#: Cells of the gram counts (a byte each, broadcast) and the parts they are added up in.
+CELLS, CELL_PARTS = 1 << 24, 64
+
+SETS = "entry long, doc_id long, fp1 long, fp2 long, n long, prefix array<long>, bits binary"
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -46,7 +59,63 @@ def set_digest(grams: np.ndarray) -> tuple[int, int]:
     return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sets(n: int, num: int, den: int):
+def bitmap_width(size: int) -> int:
+    """Power of two from 4 bits a member up."""
+    width = 64
+    while width < 4 * size and width < WIDEST:
+        width *= 2
+    return width
+
+
+def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
+    row = np.zeros(width, bool)
+    row[(grams % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").view(np.uint64)
+
+
+def _count_cells(n: int):
+    """A task's gram counts, one row for each part of the cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint16)
+        for batch in common.slices(batches):
+            words, at = common.word_hashes(batch.column("text"))
+            cells = [common.shingle_set(words[a:b], n) % np.uint64(CELLS) for a, b in zip(at, at[1:])]
+            cell, count = np.unique(np.concatenate(cells), return_counts=True)
+            cell = cell.astype(np.int64)
+            counts[cell] = np.minimum(counts[cell] + count, 255)
+        parts = counts.astype(np.uint8).reshape(CELL_PARTS, -1)
+        blobs = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(CELL_PARTS), pa.int64()), "counts": pa.array(blobs, pa.binary())})
+    return run
+
+
+def _add_cells(part: pa.Table) -> pa.Table:
+    total = np.zeros(CELLS // CELL_PARTS, np.int64)
+    for blob in part["counts"].to_pylist():
+        total += np.frombuffer(pa.decompress(blob, decompressed_size=len(total), codec="zstd", asbytes=True), np.uint8)
+    return pa.table({"part": part["part"][:1], "counts": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
+
+
+def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How many texts hold a gram of each cell, up to 255; ``CELLS`` bytes whatever the input."""
+    schema = "part long, counts binary"
+    rows = docs.mapInArrow(_count_cells(n), schema).groupBy("part").applyInArrow(_add_cells, schema).collect()
+    if not rows:
+        return np.zeros(CELLS, np.uint8)
+    return np.frombuffer(b"".join(bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])), np.uint8)
+
+
+def prefix_of(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first grams of a set in the common order: by the count of the cell, then by hash."""
+    if not len(grams):
+        return grams
+    size = prefix_length(len(grams), num, den)
+    rank = (counts[(grams % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+    order = np.lexsort((grams, rank))
+    return grams[order[:size]]
+
+
+def _sets(n: int, num: int, den: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 36
         for batch in common.slices(batches):
@@ -54,16 +123,18 @@ def _sets(n: int, num: int, den: int):
             rows = []
             for i in range(batch.num_rows):
                 grams = common.shingle_set(words[at[i]:at[i + 1]], n)
-                prefix = common.as_signed(grams[:prefix_length(len(grams), num, den)] if len(grams) else grams)
-                rows.append((entry, *set_digest(grams), len(grams), prefix))
+                prefix = common.as_signed(prefix_of(grams, counts.value, num, den))
+                bits = bitmap(grams, bitmap_width(len(grams))).tobytes()
+                rows.append((entry, *set_digest(grams), len(grams), prefix, bits))
                 entry += 1
             sizes = np.cumsum([0, *(len(r[4]) for r in rows)])
             flat = np.concatenate([r[4] for r in rows])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), batch.column("doc_id"),
                  *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)),
-                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["entry", "doc_id", "fp1", "fp2", "n", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64())),
+                 pa.array([r[5] for r in rows], pa.binary())],
+                names=["entry", "doc_id", "fp1", "fp2", "n", "prefix", "bits"])
     return run
 
 
@@ -74,16 +145,7 @@ class SignatureTree:
     common bits of its members can be in another set.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets], np.int64)
-        width = 64
-        while width < 8 * size.mean() and width < 1 << 16:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for i, s in enumerate(sets):
-            row = np.zeros(width, bool)
-            row[(s % np.uint64(width)).astype(np.int64)] = True
-            bits[i] = np.packbits(row).view(np.uint64)
+    def __init__(self, bits: np.ndarray, size: np.ndarray):
         slack = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.levels = [(bits, size, size, slack)]
         while len(self.levels[-1][0]) > 1:
@@ -103,33 +165,32 @@ class SignatureTree:
                 & (den * most[b][None, :] >= num * least[a][:, None]))
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int,
-                   side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets; with ``side``, only between sets of different sides."""
-    if len(sets) < 2:
+def spanning_links(bits: np.ndarray, size: np.ndarray, num: int, den: int, side: np.ndarray | None = None,
+                   linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of row numbers that connect all linked sets, in order of size.
+
+    Without ``linked``, an exact test, a pair counts as linked if its bitmaps
+    allow it.  With ``side``, only rows of different sides are paired.
+    """
+    if len(size) < 2:
         return []
-    order = sorted(range(len(sets)), key=lambda i: (sets[i][:2].tolist(), len(sets[i])))  # alike sets side by side
-    sets, ids = [sets[i] for i in order], [ids[i] for i in order]
+    order = np.argsort(size, kind="stable")
+    tree = SignatureTree(bits[order], size[order])
     side = None if side is None else side[order]
-    tree = SignatureTree(sets)
-    label = np.arange(len(sets))
-    members = {i: [i] for i in range(len(sets))}
+    label = np.arange(len(size))
+    members = {i: [i] for i in range(len(size))}
     links = []
 
-    def compare(i: int, j: int) -> None:
-        inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if den * inter < num * (len(sets[i]) + len(sets[j]) - inter):
-            return
-        links.append((ids[i], ids[j]))
-        a, b = label[i], label[j]
+    def join(i: int, j: int) -> None:
+        links.append((int(order[i]), int(order[j])))
+        a, b = int(label[i]), int(label[j])
         if len(members[a]) < len(members[b]):
             a, b = b, a
         moved = members.pop(b)
         label[moved] = a
         members[a] += moved
 
-    top = len(tree.levels) - 1
-    stack = [(top, 0, 0)]
+    stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
         span = FAN ** level
@@ -140,47 +201,89 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], num: int, den: int,
         pairs = tree.possible(level - 1, a, b, num, den)
         if i == j:
             pairs = np.triu(pairs, 1 if level == 1 else 0)
+        if level == 1:
+            pairs &= mine[:, None] != theirs[None, :]
+            if side is not None:
+                pairs &= side[a][:, None] != side[b][None, :]
         found = np.argwhere(pairs) + [a.start, b.start]
         if level > 1:
             found = found[np.argsort(found[:, 0] == found[:, 1], kind="stable")]  # a node with itself comes first
             stack += [(level - 1, x, y) for x, y in found.tolist()]
         else:
             for x, y in found.tolist():
-                if label[x] != label[y] and (side is None or side[x] != side[y]):
-                    compare(x, y)
+                if label[x] != label[y] and (linked is None or linked(int(order[x]), int(order[y]))):
+                    join(x, y)
     return links
 
 
+def _sides(column: pa.ChunkedArray) -> np.ndarray | None:
+    side = column.to_numpy()
+    return side if len(np.unique(side)) > 1 else None
+
+
+def _families(num: int, den: int):
+    """Pairs of entries whose bitmaps allow a link, as many as connect them."""
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("entry")
+        entry, size, side = block["entry"].to_numpy(), block["n"].to_numpy(), block["side"].to_numpy()
+        bits = [np.frombuffer(b, np.uint64) for b in block["bits"].to_pylist()]
+        width = np.array([len(b) for b in bits])
+        links = []
+        for w in np.unique(width).tolist():
+            # Sets of the next width that are small enough for a link with this one are folded to it.
+            near = (width == w) | ((width == 2 * w) & (num * size <= den * size[width == w].max()))
+            rows = np.flatnonzero(near)
+            folded = np.stack([bits[r] if width[r] == w else bits[r][:w] | bits[r][w:] for r in rows])
+            mine = side[rows] if len(np.unique(side)) > 1 else None
+            links += [(rows[x], rows[y]) for x, y in spanning_links(folded, size[rows], num, den, mine)]
+        return pa.table({"a": pa.array([entry[x] for x, _ in links], pa.int64()),
+                         "b": pa.array([entry[y] for _, y in links], pa.int64())})
+    return run
+
+
+def exact_links(ids: list[int], sets: list[np.ndarray], num: int, den: int,
+                side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links by exact comparison that connect all linked sets."""
+    if not sets:
+        return []
+
+    def linked(i: int, j: int) -> bool:
+        inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return den * inter >= num * (len(sets[i]) + len(sets[j]) - inter)
+
+    size = np.array([len(s) for s in sets], np.int64)
+    width = bitmap_width(int(size.mean()))
+    bits = np.stack([bitmap(s, width) for s in sets])
+    return [(ids[i], ids[j]) for i, j in spanning_links(bits, size, num, den, side, linked)]
+
+
 def _linker(n: int, num: int, den: int):
     def run(block: pa.Table) -> pa.Table:
         table = block.sort_by([("doc_id", "ascending"), ("fp1", "ascending")])
-        ids, sides, wanted = (table[c].to_pylist() for c in ("doc_id", "side", "fp2"))
+        wanted = table["fp2"].to_pylist()
         sets, keep = [], []
         for batch in common.slices(table.select(["text"]).to_batches()):
             words, at = common.word_hashes(batch.column("text"))
             for i in range(batch.num_rows):
                 grams = common.shingle_set(words[at[i]:at[i + 1]], n)
-                if set_digest(grams)[1] == wanted[len(keep)]:  # else another text of a repeated doc_id
+                keep.append(set_digest(grams)[1] == wanted[len(keep)])  # else another text of a repeated doc_id
+                if keep[-1]:
                     sets.append(grams)
-                    keep.append(True)
-                else:
-                    keep.append(False)
-        ids = [x for x, k in zip(ids, keep, strict=True) if k]
-        side = np.array([x for x, k in zip(sides, keep, strict=True) if k])
-        cross = len(set(side.tolist())) > 1
-        links = spanning_links(ids, sets, num, den, side if cross else None)
+        table = table.filter(pa.array(keep, pa.bool_()))
+        links = exact_links(table["doc_id"].to_pylist(), sets, num, den, _sides(table["side"]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
     return run
 
 
 def _blocks(members: DataFrame, num: int, den: int, block_grams: int) -> DataFrame:
-    """members (doc_id, fp1, fp2, n, component) with the blocks each one goes to, and its side there.
+    """``members`` (entry, n, component and more) once for each block they go to, with their side there.
 
     A component within ``block_grams`` is one block.  A larger one is cut by
     size range (linked sets are in the same or in neighbouring ranges), each
     range by hash into parts of half a block, and every two parts that may hold
     linked sets meet in a block of their own.
     """
+    columns = members.columns
     members = members.withColumn("range", F.floor(F.log(F.col("n")) / float(np.log(den / num))).cast("int"))
     ranges = members.groupBy("component", "range").agg(F.sum("n").alias("grams"))
     parts = (ranges.groupBy("component").agg(
@@ -190,7 +293,7 @@ def _blocks(members: DataFrame, num: int, den: int, block_grams: int) -> DataFra
     members = members.join(parts, "component")
     whole = members.where(F.col("total") <= block_grams).withColumn("block", F.lit("")).withColumn("side", F.lit(0))
     large = (members.where(F.col("total") > block_grams)
-             .withColumn("part", F.pmod(F.xxhash64("doc_id", "fp1"), F.col("parts")[F.col("range")]).cast("int")))
+             .withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")[F.col("range")]).cast("int")))
 
     def meet(step: int):
         """Blocks with the parts of the range ``step`` away; side 1 for the later part."""
@@ -205,7 +308,6 @@ def _blocks(members: DataFrame, num: int, den: int, block_grams: int) -> DataFra
                                (own > F.struct(other.alias("r"), q.alias("p"))).cast("int").alias("side")))
 
     large = large.withColumn("to", F.explode(F.concat(meet(-1), meet(0), meet(1))))
-    columns = ["component", "doc_id", "fp1", "fp2"]
     return whole.select(*columns, "block", "side").unionByName(large.select(*columns, "to.block", "to.side"))
 
 
@@ -219,7 +321,8 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     """
     common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = common.cut(docs.mapInArrow(_sets(n, num, den), SETS))
+    counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))  # CELLS bytes
+    sets = common.cut(docs.mapInArrow(_sets(n, num, den, counts), SETS))
     known = sets.where("n > 0 and doc_id is not null")
     classes = (known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "entry")).alias("first"))
                .select("fp1", "fp2", F.col("first.doc_id").alias("rep"), F.col("first.entry").alias("entry")))
@@ -228,10 +331,14 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     chain = (entries.select("entry", F.explode("prefix").alias("gram"))
              .withColumn("before", F.lag("entry").over(shared)).where("before is not null"))
     candidates = connected_components(chain.select(F.col("entry").alias("a"), F.col("before").alias("b")))
-    members = common.cut(known.drop("prefix").join(candidates.withColumnRenamed("node", "entry"), "entry"))
-    placed = _blocks(members, num, den, block_grams)
-    texts = docs.join(placed, "doc_id").select("component", "block", "side", "doc_id", "fp1", "fp2", "text")
-    links = texts.groupBy("component", "block").applyInArrow(_linker(n, num, den), "a long, b long")
+    members = known.select("entry", "n", "bits").join(candidates.withColumnRenamed("node", "entry"), "entry")
+    pairs = (_blocks(members, num, den, BITMAP_BLOCK * block_grams).groupBy("component", "block")
+             .applyInArrow(_families(num, den), "a long, b long"))
+    families = connected_components(pairs).withColumnRenamed("node", "entry")
+    members = common.cut(known.drop("prefix", "bits").join(families, "entry"))
+    placed = _blocks(members, num, den, block_grams).select("component", "block", "side", "doc_id", "fp1", "fp2")
+    links = (docs.join(placed, "doc_id").groupBy("component", "block")
+             .applyInArrow(_linker(n, num, den), "a long, b long"))
     rows = known.join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"])
     twice = (rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most"))
     again = rows.join(twice.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b")

@@ -102,10 +102,28 @@ def test_tree_links_a_large_family_with_few_comparisons(monkeypatch):
     calls = []
     real = np.intersect1d
     monkeypatch.setattr(np, "intersect1d", lambda *a, **k: calls.append(1) or real(*a, **k))
-    links = signature_tree.spanning_links(list(range(600)), sets, 85, 100)
+    links = signature_tree.exact_links(list(range(600)), sets, 85, 100)
     assert len(links) == 599 and len(calls) < 3000
 
 
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(2)
+    sets = []
+    for size in (5, 15, 17, 60, 200, 1000):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, 3 * k).astype(np.uint64)])) for k in range(6)]
+    for num, den in ((85, 100), (1, 2)):
+        for width in (64, 1024):
+            bits = np.stack([signature_tree.bitmap(s, width) for s in sets])
+            size = np.array([len(s) for s in sets])
+            tree = signature_tree.SignatureTree(bits, size)
+            allowed = tree.possible(0, slice(0, len(sets)), slice(0, len(sets)), num, den)
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    inter = len(np.intersect1d(a, b))
+                    assert allowed[i, j] or den * inter < num * (len(a) + len(b) - inter)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 500)] + [(1000, 1001), (1001, 1000), (1002, 1001), (5000, 5000)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()))
