@@ -1,8 +1,8 @@
 """License scan: TF-IDF cosine of lines to license templates, then inheritance from ancestor folders.
 
-DataFrame functions only.  Every line of every text is looked at; a line shares
-a term with a template or its cosine is zero, so lines without a template term
-are left out by a pattern and nothing is lost.  Equal lines are scored once:
+DataFrame functions only.  Every line of every text is looked at.  A line that
+gives a notice shares two different terms with its template at least, so only
+lines with two template terms, found by a pattern and then counted, are scored.  Equal lines are scored once:
 they are counted first, and document frequencies are sums of those counts over
 all texts.  A text's own license is its best line at ``THRESHOLD`` or above.
 
@@ -35,7 +35,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
-STOP_WORDS = ["a", "all", "and", "are", "in", "is", "of", "or", "the", "this", "to", "under", "with"]
+STOP_WORDS = ["a", "all", "and", "are", "by", "in", "is", "of", "or", "the", "this", "to", "under", "with"]
 WORD = "[a-z0-9]+([.+-][a-z0-9]+)*"
 FILE_NAME = "(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 
@@ -50,7 +50,7 @@ def template_terms() -> list[str]:
 
 def line_pattern() -> str:
     words = "|".join(t.replace(".", "[.]").replace("+", "[+]") for t in template_terms())
-    return f"(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])"
+    return f"(?i)(^|[^a-z0-9])({words})[^a-z0-9](.*[^a-z0-9])?({words})($|[^a-z0-9])"
 
 
 def _terms(line: Column) -> Column:
@@ -81,11 +81,11 @@ def line_scores(lines: DataFrame) -> DataFrame:
             .select("line", "term", (F.col("tf") * weight).alias("w")))
     norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (mine.join(F.broadcast(wanted), "term")  # the templates' terms, a constant number
-           .groupBy("line", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
+           .groupBy("line", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"), F.count("*").alias("shared")))
     score = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
     best = F.max(F.struct("score", F.col("license"))).alias("best")
     return (dot.join(norm, "line").join(F.broadcast(wanted_norm), "license").withColumn("score", score)
-            .where(F.col("score") >= THRESHOLD).groupBy("line").agg(best)
+            .where((F.col("score") >= THRESHOLD) & (F.col("shared") >= 2)).groupBy("line").agg(best)
             .select("line", F.col("best.license").alias("license"), F.col("best.score").alias("score")))
 
 
@@ -108,7 +108,8 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = (docs.where(F.col("text").rlike(line_pattern()))
              .select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
                      F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line")))
-    lines = common.cut(lines)
+    vocabulary = F.array(*[F.lit(t) for t in template_terms()])
+    lines = common.cut(lines.where(F.size(F.array_intersect(_terms(F.col("line")), vocabulary)) >= 2))
     own = (lines.join(line_scores(lines.select("line")), "line")
            .groupBy("key").agg(F.max(F.struct("score", "license")).alias("own")))
     rows = docs.select("doc_id", "path", F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
@@ -152,6 +153,7 @@ def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in TEMPLATES)
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     pattern = line_pattern().replace("'", "''")
+    vocabulary = ", ".join(f"'{t}'" for t in template_terms())
     terms = "list_filter(regexp_extract_all(lower({}), '({})', 1), lambda w: w NOT IN ({}))"
     return f"""
 WITH docs AS (
@@ -163,7 +165,8 @@ placed AS (
                             ELSE top || '/' || hundred || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM docs),
 lines AS (
   SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM placed)
-  WHERE regexp_matches(line, '{pattern}')),
+  WHERE regexp_matches(line, '{pattern}')
+    AND len(list_intersect({terms.format('line', WORD, stop)}, [{vocabulary}])) >= 2),
 line_terms AS (
   SELECT doc_id, row_number() OVER () AS seg, line, {terms.format('line', WORD, stop)} AS terms FROM lines),
 tf AS (SELECT seg, term, count(*) AS tf FROM (SELECT seg, unnest(terms) AS term FROM line_terms) GROUP BY seg, term),
@@ -178,7 +181,7 @@ t_vec AS (SELECT license, t_tf.term, tf * (ln((1 + total) / (1 + coalesce(df, 0)
           FROM t_tf LEFT JOIN idf USING (term) CROSS JOIN total),
 t_norm AS (SELECT license, sqrt(sum(t * t)) AS t_norm FROM t_vec GROUP BY license),
 scores AS (SELECT seg, license, round(sum(w * t) / (any_value(norm) * any_value(t_norm)), 6) AS score
-           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (license) GROUP BY seg, license),
+           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (license) GROUP BY seg, license HAVING count(*) >= 2),
 own AS (SELECT doc_id, max(struct_pack(score := score, license := license)) AS own
         FROM scores JOIN line_terms USING (seg) WHERE score >= {THRESHOLD} GROUP BY doc_id),
 located AS (SELECT p.doc_id, p.path, regexp_replace(p.path, '/[^/]*$', '') AS dir, own.own
