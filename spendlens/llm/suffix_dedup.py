@@ -18,7 +18,11 @@ lower-cased hashes.
    and right.  Sorted runs may be cut anywhere: what a partition's ends still
    need (its stacks of nearest earlier places, a few rows) meets in a second,
    small pass.
-5. Matches of one document are merged into spans.
+5. A neighbour shares the most words on the sorted side, perhaps not on the
+   other.  So the first suffix of each surrounding also gives a digest of each
+   passage of MIN_WORDS words that its anchor stands for, and equal digests of different
+   places are matches as well.
+6. Matches of one document are merged into spans.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ from spendlens.llm import common
 MIN_WORDS = 50
 GRAM = 16
 
-ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, ahead array<long>, behind array<long>"
-SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean"
-MATCHES = "doc_id long, start int, stop int, of_doc_id long, of_start int, edge boolean, " \
-          "key long, further binary, other binary, pos int, back boolean"
+ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, shared array<struct<key:long,places:array<int>>>"
+#: ``own``: the least number of words beyond the key (times 64) and how many more, of the passages whose anchor this is.
+SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean, own int"
+MATCHES = "doc_id long, start int, stop int, of_doc_id long, of_start int, edge boolean, first boolean, " \
+          "key long, further binary, other binary, pos int, back boolean, own int"
+WINDOWS = "passage long, doc_id long, start int"
 SPANS = "doc_id long, start int, stop int, of_doc_id long, of_start int"
 
 
@@ -55,8 +61,19 @@ def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
     span = min_words - GRAM + 1
     if len(grams) < span:
         return np.empty(0, np.int64)
+    return np.unique(_anchor_of_windows(grams, span))
+
+
+def _anchor_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
+    """For each passage, by its start, the position of its anchor."""
     windows = sliding_window_view(grams, span)[:, ::-1]
-    return np.unique(np.arange(len(windows)) + span - 1 - windows.argmin(1))
+    return np.arange(len(windows)) + span - 1 - windows.argmin(1)
+
+
+def _own_passages(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the passages that each anchor is chosen by (they follow each other)."""
+    chosen = _anchor_of_windows(common.gram_hashes(words, GRAM), min_words - GRAM + 1)
+    return np.searchsorted(chosen, at), np.searchsorted(chosen, at, side="right") - 1
 
 
 def _keys(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,20 +100,29 @@ def _anchor_rows(min_words: int):
         for batch in common.slices(batches):
             words, at = common.word_hashes(batch.column("text"))
             texts = batch.column("text").to_pylist()
-            rows = []
+            rows, keys, places = [], [], []
             for i in range(batch.num_rows):
                 mine = words[at[i]:at[i + 1]]
-                keys = _keys(mine, anchors(mine, min_words), min_words)
-                rows.append((entry, *_text_hash(texts[i]), len(mine), *map(common.as_signed, keys)))
+                own = _keys(mine, anchors(mine, min_words), min_words)
+                both = np.stack(own, 1).ravel()  # place 2 i is the key ahead of anchor i, 2 i + 1 the one behind
+                place = np.flatnonzero(both)
+                key, first = np.unique(both[place], return_inverse=True)
+                rows.append((entry, *_text_hash(texts[i]), len(mine), len(key)))
+                keys.append(key)
+                if len(place):
+                    order = np.argsort(first, kind="stable")
+                    cuts = np.flatnonzero(np.diff(first[order])) + 1
+                    places += [x.tolist() for x in np.split(place[order], cuts)]
                 entry += 1
-            offsets = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]), pa.int64()))
-                     for k in (4, 5)]
+            structs = pa.StructArray.from_arrays(
+                [pa.array(common.as_signed(np.concatenate(keys)), pa.int64()), pa.array(places, pa.list_(pa.int32()))],
+                names=["key", "places"])
+            offsets = pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), batch.column("doc_id"),
                  *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)),
-                 pa.array([r[3] for r in rows], pa.int32()), *lists],
-                names=["entry", "doc_id", "h1", "h2", "n_words", "ahead", "behind"])
+                 pa.array([r[3] for r in rows], pa.int32()), pa.ListArray.from_arrays(offsets, structs)],
+                names=["entry", "doc_id", "h1", "h2", "n_words", "shared"])
     return run
 
 
@@ -105,6 +131,10 @@ def _suffix_rows(min_words: int):
     reach = _reach(min_words)
     most = min_words - GRAM - reach  # words beyond the key, and on its other side, that a window can still need
 
+    def own(low: int, high: int) -> int:
+        low = max(low, 0)
+        return low * 64 + max(high - low + 1, 0)
+
     def code(words: np.ndarray, lo: int, hi: int, turn: bool) -> bytes:
         part = words[max(lo, 0):max(hi, 0)].astype(np.uint32)
         return (part[::-1] if turn else part).astype(">u4").tobytes()
@@ -121,20 +151,23 @@ def _suffix_rows(min_words: int):
                 mine = words[offsets[i]:offsets[i + 1]]
                 at = anchors(mine, min_words)
                 ahead, behind = map(common.as_signed, _keys(mine, at, min_words))
+                starts, ends = _own_passages(mine, at, min_words)
                 for place in places:
-                    p = int(at[place >> 1])
-                    if place & 1:
+                    p, first, last = (int(x[place >> 1]) for x in (at, starts, ends))
+                    if place & 1:  # passages that reach less than ``reach`` beyond the gram
                         lo = p - reach
                         out.append((int(behind[place >> 1]), code(mine, lo - most, lo, True),
-                                    code(mine, p + GRAM, p + GRAM + most, False), doc_id, p, True))
+                                    code(mine, p + GRAM, p + GRAM + most, False), doc_id, p, True,
+                                    own(lo - last, min(lo - first, most))))
                     else:
                         hi = p + GRAM + reach
                         out.append((int(ahead[place >> 1]), code(mine, hi, hi + most, False),
-                                    code(mine, p - most, p, True), doc_id, p, False))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
-            columns = list(zip(*out)) or [()] * 6
+                                    code(mine, p - most, p, True), doc_id, p, False,
+                                    own(first + min_words - hi, min(last + min_words - hi, most))))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32())
+            columns = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["key", "further", "other", "doc_id", "pos", "back"])
+                                             names=["key", "further", "other", "doc_id", "pos", "back", "own"])
     return run
 
 
@@ -154,31 +187,35 @@ def _neighbours(min_words: int, edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         stack: list[tuple] = []  # rows of the current key, of ascending place
-        key, first_key, firsts = None, None, []
+        key, first_key, firsts, last = None, None, [], ()
 
         def match(late: tuple, early: tuple) -> None:
-            _, further, other, doc_id, pos, back = late
+            _, further, other, doc_id, pos, back, _ = late
             beyond, side = _shared(further, early[1]), _shared(other, early[2])
             if beyond + side + reach + GRAM < min_words:
                 return
             left, right = (beyond + reach, side) if back else (side, beyond + reach)
-            out.append((doc_id, pos - left, pos + GRAM + right, early[3], early[4] - left, False,
-                        None, None, None, None, None))
+            out.append((doc_id, pos - left, pos + GRAM + right, early[3], early[4] - left, False, False,
+                        None, None, None, None, None, None))
 
-        def edge(row: tuple) -> None:
-            out.append((row[3], None, None, None, None, True, row[0], row[1], row[2], row[4], row[5]))
+        def keep(row: tuple, edge: bool) -> None:
+            out.append((row[3], None, None, None, None, edge, not edge, row[0], row[1], row[2], row[4], row[5], row[6]))
 
         def emit() -> pa.RecordBatch:
-            names = ["doc_id", "start", "stop", "of_doc_id", "of_start", "edge", "key", "further", "other", "pos", "back"]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(),
-                     pa.binary(), pa.int32(), pa.bool_())
+            names = ["doc_id", "start", "stop", "of_doc_id", "of_start", "edge", "first", "key", "further", "other", "pos",
+                     "back", "own"]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(),
+                     pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.int32())
             columns = list(zip(*out)) or [()] * len(kinds)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "further", "other", "doc_id", "pos", "back")),
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "further", "other", "doc_id", "pos", "back", "own")),
                            strict=True):
+                if edges and row[:3] != last[:3]:
+                    keep(row, False)  # ties are in order of place, so the first stands for its surrounding
+                last = row
                 if row[0] != key:
                     stack, key = [], row[0]
                     first_key = key if first_key is None else first_key
@@ -195,11 +232,34 @@ def _neighbours(min_words: int, edges: bool):
         if edges and key is not None:
             ends = {(r[0], *r[3:]): r for r in [*firsts, *stack]}
             for row in ends.values():
-                edge(row)
+                keep(row, True)
             yield emit()
     return run
 
 
+def _passages(min_words: int):
+    """A digest of each passage of ``min_words`` words whose anchor the suffix is."""
+    reach = _reach(min_words)
+    need = min_words - GRAM - reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, docs, starts = [], [], []
+            for key, further, other, doc_id, pos, back, own in zip(
+                    *(batch.column(c).to_pylist() for c in ("key", "further", "other", "doc_id", "pos", "back", "own")),
+                    strict=True):
+                head = key.to_bytes(8, "little", signed=True)
+                low, count = divmod(own, 64)
+                for t in range(max(low, need - len(other) // 4), min(low + count - 1, need, len(further) // 4) + 1):
+                    digests.append(xxhash.xxh3_64_intdigest(head + further[:4 * t] + b"|" + other[:4 * (need - t)], seed=t)
+                                   - (1 << 63))
+                    docs.append(doc_id)
+                    starts.append(pos - (reach + t if back else need - t))
+            yield pa.RecordBatch.from_pydict({"passage": pa.array(digests, pa.int64()), "doc_id": pa.array(docs, pa.int64()),
+                                              "start": pa.array(starts, pa.int32())})
+    return run
+
+
 def _merge(rows: pa.Table) -> pa.Table:
     """Overlapping matches of one document as one span, with the source of its first match."""
     rows = rows.sort_by([("start", "ascending"), ("stop", "descending"), ("of_doc_id", "ascending"),
@@ -231,24 +291,31 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
               .where("doc_id != rep").select("doc_id", F.lit(0).alias("start"), F.col("n_words").alias("stop"),
                                              F.col("rep").alias("of_doc_id"), F.lit(0).alias("of_start")).distinct())
     entries = rows.join(classes.select("entry"), "entry")
-    keys = F.concat(F.transform("ahead", lambda k, i: F.struct(k.alias("key"), (2 * i).cast("int").alias("place"))),
-                    F.transform("behind", lambda k, i: F.struct(k.alias("key"), (2 * i + 1).cast("int").alias("place"))))
-    anchor = entries.select("entry", F.explode(keys).alias("k")).select("entry", "k.key", "k.place")
-    anchor = anchor.where("key != 0 and key != -1")
-    by_key = Window.partitionBy("key").orderBy("entry", "place")
-    alike = (anchor.withColumn("above", F.lag("entry").over(by_key)).withColumn("below", F.lead("entry").over(by_key))
-             .where("above is not null or below is not null").groupBy("entry")
-             .agg(F.collect_list("place").alias("places")))  # two a minimiser of one text at most
+    # A key is one row an entry, however often the text repeats it.
+    keyed = entries.select("entry", F.explode("shared").alias("k")).select("entry", "k.key", "k.places")
+    by_key = Window.partitionBy("key").orderBy("entry")
+    alike = (keyed.withColumn("above", F.lag("entry").over(by_key)).withColumn("below", F.lead("entry").over(by_key))
+             .where("above is not null or below is not null or size(places) > 1").groupBy("entry")
+             .agg(F.flatten(F.collect_list("places")).alias("places")))  # two a minimiser of one text at most
     wanted = alike.join(entries.select("entry", "doc_id", "h1", "h2"), "entry").drop("entry")
     suffixes = common.cut(docs.join(wanted, "doc_id").mapInArrow(_suffix_rows(min_words), SUFFIXES))
     order = ["key", "further", "other", "doc_id", "pos"]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = common.cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                        .mapInArrow(_neighbours(min_words, True), MATCHES))
-    ends = (found.where("edge").select("key", "further", "other", "doc_id", "pos", "back").repartition("key")
+    ends = (found.where("edge").select("key", "further", "other", "doc_id", "pos", "back", "own").repartition("key")
             .sortWithinPartitions(*order).mapInArrow(_neighbours(min_words, False), MATCHES))
-    matches = found.where("not edge").unionByName(ends).select("doc_id", "start", "stop", "of_doc_id", "of_start")
-    return matches.unionByName(copies).groupBy("doc_id").applyInArrow(_merge, SPANS)
+    earlier = Window.partitionBy("passage").orderBy("doc_id", "start")
+    windows = (found.where("first").select("key", "further", "other", "doc_id", "pos", "back", "own")
+               .mapInArrow(_passages(min_words), WINDOWS)
+               .withColumn("of", F.lag(F.struct("doc_id", "start")).over(earlier)).where("of is not null")
+               .where("(of.doc_id, of.start) != (doc_id, start)")
+               .select("doc_id", "start", (F.col("start") + min_words).alias("stop"), F.col("of.doc_id").alias("of_doc_id"),
+                       F.col("of.start").alias("of_start")))
+    spans = ["doc_id", "start", "stop", "of_doc_id", "of_start"]
+    matches = found.where("not edge and not first").unionByName(ends).select(*spans).unionByName(windows)
+    return matches.select(*[F.col(c).cast("int") if c in ("start", "stop", "of_start") else F.col(c) for c in spans]
+                          ).unionByName(copies).groupBy("doc_id").applyInArrow(_merge, SPANS)
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +344,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A document that consists of repeated spans keeps its row, with what little is left as text.
     """
     spans = (repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("_span_doc"))
-             .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))  # spans of one text
+             .agg(F.collect_list(F.struct("start", "stop")).alias("_spans")))  # spans of one text
     joined = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").drop("_span_doc")
     return joined.mapInArrow(_cut_text, docs.schema)
 
