@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -60,6 +63,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def release() -> None:
+    """Hand memory that is free again back to the system.
+
+    Python workers live on from task to task; what one stage has freed would
+    else count against the executor while another one runs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``SLICE_BYTES`` of ``column`` (one row at least).
 
@@ -74,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.take(pa.array(np.arange(lo, hi)))
+        release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -256,7 +256,9 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         parts = max(1, round(n / shard_rows))
         shard = F.when(F.col("dim") == dim, F.lit(base) + F.pmod(F.xxhash64("rep"), F.lit(parts))).otherwise(shard)
         base += parts
-    return common.cut(vectors.withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(_build, INDEX))
+    # A task a shard: building one is long work on few bytes, by which Spark would join several.
+    dealt = vectors.withColumn("shard", shard.cast("int")).repartition(max(1, base), "shard")
+    return common.cut(dealt.groupBy("shard").applyInArrow(_build, INDEX))
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:

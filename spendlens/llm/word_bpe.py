@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from spendlens.llm import common
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 
 WORDS = "chunk long, bucket long, words binary"
@@ -148,6 +148,7 @@ def load_model(tokenizer: str):
 def _encode_bucket(tokenizer):
     def run(lists: pa.Table) -> pa.Table:
         """All chunks' words of one bucket: each distinct one is encoded once."""
+        common.release()
         model = load_model(tokenizer.value)
         per_chunk = [_unpack_text(b) for b in lists["words"].to_pylist()]
         distinct = list({w for words in per_chunk for w in words})
@@ -174,6 +175,7 @@ def piece_table(tokenizer: str) -> tuple[pa.Array, pa.Array]:
 def _assemble(tokenizer):
     def run(chunk: pa.Table, lists: pa.Table) -> pa.Table:
         """The documents of one chunk from the ids of its words."""
+        common.release()
         pieces, decimals = piece_table(tokenizer.value)
         ns, flat = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
         for blob in lists.sort_by("bucket")["ids"].to_pylist():
