@@ -238,7 +238,7 @@ def read_sequences(manifest: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)),
                         F.lit(0))  # one short row per 32 MB of text
     offsets = manifest.select("shard", before.alias("before"))
-    rows = (manifest.select("shard", "path").repartition(manifest.rdd.getNumPartitions(), "shard")
+    rows = (manifest.select("shard", "path").repartition(max(1, manifest.rdd.getNumPartitions()), "shard")
             .mapInArrow(_read, "shard long, doc_id long, start long, n long, crc long"))
     return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"),
                                               F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
