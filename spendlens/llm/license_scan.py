@@ -1,10 +1,12 @@
 """License scan: TF-IDF cosine of lines to license templates, then inheritance from ancestor folders.
 
-DataFrame functions only.  Every line of every text is looked at.  A line that
-gives a notice shares two different terms with its template at least, so only
-lines with two template terms, found by a pattern and then counted, are scored.  Equal lines are scored once:
-they are counted first, and document frequencies are sums of those counts over
-all texts.  A text's own license is its best line at ``THRESHOLD`` or above.
+DataFrame functions only.  Every line of every text is looked at; a line shares
+a term with a template or its cosine is zero, so lines without a template term
+are left out by a pattern and nothing is lost.  Document frequencies are counts
+of those lines over all texts.  From the template terms' weights alone follows
+a bound of a line's cosine, as any other word weighs one at least; only lines
+whose bound reaches ``THRESHOLD`` travel, and equal ones are scored once.  A
+text's own license is its best line at ``THRESHOLD`` or above.
 
 A licence file (by its name) declares its license for its folder.  A text
 without a license of its own takes that of the nearest ancestor folder that
@@ -13,6 +15,10 @@ declares one: distinct folders, not files, are joined with their ancestors.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,22 +41,24 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
-STOP_WORDS = ["a", "all", "and", "are", "by", "in", "is", "of", "or", "the", "this", "to", "under", "with"]
+STOP_WORDS = ["a", "all", "and", "are", "in", "is", "of", "or", "the", "this", "to", "under", "with"]
 WORD = "[a-z0-9]+([.+-][a-z0-9]+)*"
 FILE_NAME = "(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 
 
+def _words(text: str) -> list[str]:
+    return [m.group(0) for m in re.finditer(WORD, text)]
+
+
 def template_terms() -> list[str]:
     """Distinct terms of the templates, stop words left out."""
-    import re
-
-    found = {m.group(0) for _, text in TEMPLATES for m in re.finditer(WORD, text.lower())}
+    found = {w for _, text in TEMPLATES for w in _words(text.lower())}
     return sorted(found - set(STOP_WORDS))
 
 
 def line_pattern() -> str:
     words = "|".join(t.replace(".", "[.]").replace("+", "[+]") for t in template_terms())
-    return f"(?i)(^|[^a-z0-9])({words})[^a-z0-9](.*[^a-z0-9])?({words})($|[^a-z0-9])"
+    return f"(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])"
 
 
 def _terms(line: Column) -> Column:
@@ -59,17 +67,43 @@ def _terms(line: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
-def line_scores(lines: DataFrame) -> DataFrame:
+def term_counts(lines: DataFrame) -> DataFrame:
+    """term, df: in how many lines each term occurs; the empty term counts the lines."""
+    terms = F.concat(F.array(F.lit("")), F.array_distinct(_terms(F.col("line"))))
+    return lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
+    """``lines`` without those whose cosine to every template is below the threshold for certain.
+
+    The dot product needs the weights of template terms only, and a word that
+    is no template term adds one to the squared length at least.
+    """
+    notices = [Counter(w for w in _words(text.lower()) if w not in STOP_WORDS) for _, text in TEMPLATES]
+    df = dict(seen.where(F.col("term").isin("", *template_terms())).collect())  # a constant number of terms
+    idf = {t: math.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1 for t in template_terms()}
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in notice.items())) for notice in notices]
+    shares = F.create_map(*[x for t in idf for x in (F.lit(t), F.array(
+        F.lit(idf[t] ** 2), *[F.lit(n[t] * idf[t] ** 2 / norm) for n, norm in zip(notices, norms, strict=True)]))])
+    words = _terms(F.col("line"))
+    known = F.filter(words, lambda w: w.isin(template_terms()))
+    zeros = F.array(*[F.lit(0.0)] * (len(TEMPLATES) + 1))
+    lines = lines.withColumn("known", known).where(F.size("known") > 0).withColumn("others", F.size(words) - F.size("known"))
+    lines = lines.withColumn("sums", F.aggregate(
+        "known", zeros, lambda total, w: F.zip_with(total, F.element_at(shares, w), lambda x, y: x + y)))
+    bound = F.array_max(F.slice("sums", 2, len(TEMPLATES))) / F.sqrt(F.col("sums")[0] + F.col("others"))
+    return lines.where(bound >= THRESHOLD - 1e-5).drop("known", "others", "sums")
+
+
+def line_scores(lines: DataFrame, seen: DataFrame) -> DataFrame:
     """line, license, score of the best template of each distinct line that reaches the threshold.
 
-    ``lines`` has a column ``line``, one row for each occurrence.
+    ``seen`` is ``term_counts`` of all lines, ``lines`` those to be scored.
     """
     spark = lines.sparkSession
-    distinct = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    words = (distinct.select("line", "copies", F.explode(_terms(F.col("line"))).alias("term"))
-             .groupBy("line", "copies", "term").agg(F.count("*").alias("tf")))
-    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total"))
-    seen = words.groupBy("term").agg(F.sum("copies").alias("df"))
+    words = (lines.select("line").distinct().select("line", F.explode(_terms(F.col("line"))).alias("term"))
+             .groupBy("line", "term").agg(F.count("*").alias("tf")))
+    total = seen.agg(F.coalesce(F.sum(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("total"))
     weight = F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1
     templates = spark.createDataFrame(TEMPLATES, "license string, notice string")  # a constant list
     wanted = (templates.select("license", F.explode(_terms(F.col("notice"))).alias("term"))
@@ -81,11 +115,11 @@ def line_scores(lines: DataFrame) -> DataFrame:
             .select("line", "term", (F.col("tf") * weight).alias("w")))
     norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (mine.join(F.broadcast(wanted), "term")  # the templates' terms, a constant number
-           .groupBy("line", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"), F.count("*").alias("shared")))
+           .groupBy("line", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
     score = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
     best = F.max(F.struct("score", F.col("license"))).alias("best")
     return (dot.join(norm, "line").join(F.broadcast(wanted_norm), "license").withColumn("score", score)
-            .where((F.col("score") >= THRESHOLD) & (F.col("shared") >= 2)).groupBy("line").agg(best)
+            .where(F.col("score") >= THRESHOLD).groupBy("line").agg(best)
             .select("line", F.col("best.license").alias("license"), F.col("best.score").alias("score")))
 
 
@@ -108,9 +142,9 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = (docs.where(F.col("text").rlike(line_pattern()))
              .select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
                      F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line")))
-    vocabulary = F.array(*[F.lit(t) for t in template_terms()])
-    lines = common.cut(lines.where(F.size(F.array_intersect(_terms(F.col("line")), vocabulary)) >= 2))
-    own = (lines.join(line_scores(lines.select("line")), "line")
+    seen = common.cut(term_counts(lines))
+    lines = common.cut(hopeful(lines, seen))
+    own = (lines.join(line_scores(lines, seen), "line")
            .groupBy("key").agg(F.max(F.struct("score", "license")).alias("own")))
     rows = docs.select("doc_id", "path", F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
                        folder_of(F.col("path")).alias("at"))
@@ -153,7 +187,6 @@ def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in TEMPLATES)
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     pattern = line_pattern().replace("'", "''")
-    vocabulary = ", ".join(f"'{t}'" for t in template_terms())
     terms = "list_filter(regexp_extract_all(lower({}), '({})', 1), lambda w: w NOT IN ({}))"
     return f"""
 WITH docs AS (
@@ -165,8 +198,7 @@ placed AS (
                             ELSE top || '/' || hundred || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM docs),
 lines AS (
   SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM placed)
-  WHERE regexp_matches(line, '{pattern}')
-    AND len(list_intersect({terms.format('line', WORD, stop)}, [{vocabulary}])) >= 2),
+  WHERE regexp_matches(line, '{pattern}')),
 line_terms AS (
   SELECT doc_id, row_number() OVER () AS seg, line, {terms.format('line', WORD, stop)} AS terms FROM lines),
 tf AS (SELECT seg, term, count(*) AS tf FROM (SELECT seg, unnest(terms) AS term FROM line_terms) GROUP BY seg, term),
@@ -181,7 +213,7 @@ t_vec AS (SELECT license, t_tf.term, tf * (ln((1 + total) / (1 + coalesce(df, 0)
           FROM t_tf LEFT JOIN idf USING (term) CROSS JOIN total),
 t_norm AS (SELECT license, sqrt(sum(t * t)) AS t_norm FROM t_vec GROUP BY license),
 scores AS (SELECT seg, license, round(sum(w * t) / (any_value(norm) * any_value(t_norm)), 6) AS score
-           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (license) GROUP BY seg, license HAVING count(*) >= 2),
+           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (license) GROUP BY seg, license),
 own AS (SELECT doc_id, max(struct_pack(score := score, license := license)) AS own
         FROM scores JOIN line_terms USING (seg) WHERE score >= {THRESHOLD} GROUP BY doc_id),
 located AS (SELECT p.doc_id, p.path, regexp_replace(p.path, '/[^/]*$', '') AS dir, own.own

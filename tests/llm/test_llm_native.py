@@ -63,3 +63,12 @@ def test_offsets_follow_the_records(spark):
     for r in merkle_audit.offsets(recs).orderBy("id").collect():
         assert r.offset == at
         at += r.length
+
+
+def test_lines_of_one_template_term_are_scored(spark):
+    rows = [(1, "a/LICENSE", "Rights"), (2, "a/b/x.txt", "plain words"), (3, "b/x.txt", "MIT")]
+    rows += [(10 + k, f"c/{k}.txt", "some longer line of plain words says version here") for k in range(200)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert (got[1].license, got[1].evidence) == ("Proprietary", "own") and got[1].score >= license_scan.THRESHOLD
+    assert (got[2].license, got[2].evidence, got[2].folder) == ("Proprietary", "inherited", "a")
+    assert got[10].evidence == "none"
