@@ -213,6 +213,8 @@ def _neighbours(min_words: int, edges: bool):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "further", "other", "doc_id", "pos", "back", "own")),
                            strict=True):
+                if row == last:  # the same place again, from a repeated input row
+                    continue
                 if edges and row[:3] != last[:3]:
                     keep(row, False)  # ties are in order of place, so the first stands for its surrounding
                 last = row
@@ -222,8 +224,10 @@ def _neighbours(min_words: int, edges: bool):
                 place = row[3:5]
                 while stack and stack[-1][3:5] > place:
                     match(stack.pop(), row)
-                if stack:
-                    match(row, stack[-1])
+                # Texts that share a doc_id may have suffixes of equal place, which is not an earlier one.
+                above = next((r for r in reversed(stack) if r[3:5] < place), None)
+                if above:
+                    match(row, above)
                 elif key == first_key:
                     firsts.append(row)  # no earlier place above it in this run
                 if not (stack and stack[-1][1:3] == row[1:3]):  # else the one there stands for it

@@ -194,3 +194,16 @@ def test_spans_of_empty_tables(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.repeated_spans(spark.createDataFrame([], "doc_id long, text string"), 10)
+
+
+def test_a_repeated_row_at_the_first_place_keeps_its_passage(spark):
+    rng = random.Random(9)
+    rnd = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    shared = rnd(70)
+    first, later = (" ".join(rnd(20) + shared + rnd(20)) for _ in range(2))
+    rows = [(1, first)] * 5 + [(2, later), (2, later), (3, " ".join(rnd(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.repeated_spans(df).collect()))
+    assert got == [(2, 20, 90, 1, 20)]
+    texts = {(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert (1, first) in texts and len(texts) == 3 and all(" ".join(shared) not in t for i, t in texts if i == 2)
