@@ -13,7 +13,9 @@ enough of the word n-grams of the item's question (all but its last sentence)
 and of its answer (the last sentence) in the passage.
 
 The index is broadcast.  Items beyond ``INDEX_BYTES`` of text go into further
-indexes, each with a pass of its own over the training texts.
+indexes, each with a pass of its own over the training texts.  Document
+frequencies, the number of items, their mean length and the span are those of
+all items, so the rows do not depend on how many indexes there are.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ THRESHOLD = 0.6
 OVERLAP = 0.6
 GRAM = 5
 INDEX_BYTES = 4 << 20
+#: Block maxima or their sums held at once.
+CELLS = 4 << 20
 
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, " \
         "start int, stop int"
@@ -70,6 +74,16 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+@dataclass
+class Stats:
+    """Of all items, whatever the index: how many, their words, the longest one, and items by word."""
+
+    count: int
+    words: int
+    span: int
+    found: dict[str, int]
+
+
 @dataclass
 class Index:
     """Terms, items, impacts as sparse postings, and block maxima as one row a term."""
@@ -80,13 +94,15 @@ class Index:
     span: int
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> Index:
+    def build(cls, items: list[tuple[int, str]], stats: Stats | None = None) -> Index:
+        """An index of ``items``, weighted by ``stats`` (without them, by these items alone)."""
         items = sorted((i, t) for i, t in items if i is not None and words_of(t))
         texts = [words_of(t) for _, t in items]
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        found = Counter(w for t in texts for w in set(t))
-        terms = {w: k for k, w in enumerate(sorted(found))}
-        idf = {w: np.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in found.items()}
+        stats = stats or Stats(len(texts), sum(map(len, texts)), max(map(len, texts), default=1),
+                               Counter(w for t in texts for w in set(t)))
+        mean = stats.words / max(1, stats.count)
+        terms = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+        idf = {w: np.log1p((stats.count - stats.found[w] + 0.5) / (stats.found[w] + 0.5)) for w in terms}
         lists: list[list[tuple[int, float]]] = [[] for _ in terms]
         for k, text in enumerate(texts):
             weight = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(text) / mean))
@@ -95,15 +111,49 @@ class Index:
             for w, x in weight.items():
                 lists[terms[w]].append((k, x / own))
         postings = [(np.array([k for k, _ in p], np.int64), np.array([x for _, x in p])) for p in lists]
-        return cls(terms, items, postings, max(map(len, texts), default=1))
+        return cls(terms, items, postings, stats.span)
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.items) // BLOCK)
 
     @cached_property
-    def maxima(self) -> np.ndarray:
-        """Largest impact of each term in each block; the last row, of no term, is zero."""
-        table = np.zeros((len(self.terms) + 1, -(-len(self.items) // BLOCK)), np.float32)
-        for t, (ids, impacts) in enumerate(self.postings):
-            np.maximum.at(table[t], ids // BLOCK, impacts)
-        return table
+    def block_lists(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each term its blocks and the largest impact in each."""
+        out = []
+        for ids, impacts in self.postings:
+            blocks, first = np.unique(ids // BLOCK, return_index=True)  # ids ascend
+            out.append((blocks, np.maximum.reduceat(impacts, first).astype(np.float32)))
+        return out
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        """``maxima`` of all terms where they are no more than ``CELLS``."""
+        return self._dense(range(len(self.terms))) if len(self.terms) * self.blocks <= CELLS else None
+
+    def _dense(self, terms: Iterable[int]) -> np.ndarray:
+        terms = list(terms)
+        out = np.zeros((len(terms), self.blocks), np.float32)
+        for row, t in zip(out, terms, strict=True):
+            blocks, largest = self.block_lists[t]
+            row[blocks] = largest
+        return out
+
+    def _rows(self, terms: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[terms]
+        distinct, at = np.unique(terms, return_inverse=True)
+        return self._dense(distinct.tolist())[at]
+
+    def sums(self, terms: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """Block maxima added up by group (ascending), about ``CELLS`` at a time."""
+        total = np.zeros((groups, self.blocks), np.float32)
+        step = max(1, CELLS // max(1, self.blocks))
+        for lo in range(0, len(terms), step):
+            some, mine = terms[lo:lo + step], group[lo:lo + step]
+            first = np.flatnonzero(np.diff(mine, prepend=-1))
+            total[mine[first]] += np.add.reduceat(self._rows(some), first, axis=0)
+        return total
 
     @cached_property
     def parts(self) -> list[tuple[list[str], list[str]]]:
@@ -135,20 +185,15 @@ class Index:
         count = np.maximum(1, -(-size // self.span))
         start = np.repeat(at[:-1] - self.span * (np.cumsum(count) - count), count) + self.span * np.arange(count.sum())
         text = np.repeat(np.arange(len(size)), count)
-        known = np.flatnonzero(flat >= 0)
-        edge = np.searchsorted(known, start)
-        total = np.zeros((len(start) + 1, self.maxima.shape[1]), np.float32)
-        if len(known):
-            filled = np.diff(np.concatenate([edge, [len(known)]])) > 0
-            total[:-1][filled] = np.add.reduceat(self.maxima[flat[known]], edge[filled], axis=0)
-        bound = total[:-1]
-        goes_on = text[:-1] == text[1:]
-        bound[:-1] += np.where(goes_on[:, None], total[1:-1], 0)
-        for p in np.flatnonzero((bound >= threshold * 0.999).any(1)).tolist():
+        for p in self._bounded(flat, start, text, threshold * 0.999):
             lo, hi = int(start[p]), int(min(start[p] + 2 * self.span, at[text[p] + 1]))
             terms = np.unique(flat[lo:hi])
             terms = terms[terms >= 0]
-            sure = self.maxima[terms].sum(0) >= threshold * 0.999  # each term once: the query's own bound
+            # Each term once: the query's own bound.
+            if len(terms) * self.blocks <= CELLS:
+                sure = self._rows(terms).sum(0) >= threshold * 0.999
+            else:
+                sure = self.sums(terms, np.zeros(len(terms), np.int64), 1)[0] >= threshold * 0.999
             if not sure.any():
                 continue
             scores = np.zeros(len(self.items))
@@ -159,6 +204,28 @@ class Index:
             for k in np.flatnonzero(scores >= threshold).tolist():
                 yield int(text[p]), lo - int(at[text[p]]), hi - int(at[text[p]]), k, float(scores[k])
 
+    def _bounded(self, flat: np.ndarray, start: np.ndarray, text: np.ndarray, least: float) -> Iterator[int]:
+        """Passages (a span and the next one of the same text) that have a block whose bound is ``least`` or more."""
+        known = np.flatnonzero(flat >= 0)
+        edge = np.append(np.searchsorted(known, start), len(known))
+        span = np.repeat(np.arange(len(start)), np.diff(edge))
+        goes_on = np.append(text[:-1] == text[1:], False)
+        step = max(1, CELLS // max(1, self.blocks))
+        for a in range(0, len(start), step):
+            b = min(a + step, len(start))
+            lo, hi = edge[a], edge[min(b + 1, len(start))]
+            total = self.sums(flat[known[lo:hi]], span[lo:hi] - a, b - a + 1)
+            total[:-1] += np.where(goes_on[a:b, None], total[1:], 0)
+            yield from (np.flatnonzero((total[:-1] >= least).any(1)) + a).tolist()
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.slices(batches):
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({
+            "part": batch.column("part"), "n_words": pa.array(map(len, words), pa.int64()),
+            "words": pa.array([list(set(w)) for w in words], pa.list_(pa.string()))})
+
 
 def _searcher(index, threshold: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +264,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     indexes = max(1, -(-size // INDEX_BYTES))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(indexes)))
+    words = common.cut(items.select("part", "text").mapInArrow(_item_words, "part long, n_words long, words array<string>")
+                       .where("n_words > 0"))
+    count, total, span = words.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)),
+                                   F.coalesce(F.max("n_words"), F.lit(1))).first()
+    each = words.select("part", F.explode("words").alias("word")).groupBy("word", "part").agg(F.count("*").alias("n"))
+    each = common.cut(each)
+    every = common.cut(each.groupBy("word").agg(F.sum("n").alias("n")))
     found = None
     for k in range(indexes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(indexes)) == k).collect()  # INDEX_BYTES of text
-        index = spark.sparkContext.broadcast(Index.build([tuple(r) for r in part]))
+        mine = items.where(F.col("part") == k).select("item_id", "text").collect()  # INDEX_BYTES of text
+        of_part = every.join(each.where(F.col("part") == k).select("word"), "word").select("word", "n").collect()  # their words
+        stats = Stats(count, total, span, dict(map(tuple, of_part)))
+        index = spark.sparkContext.broadcast(Index.build([tuple(r) for r in mine], stats))
         rows = docs.mapInArrow(_searcher(index, threshold, least), LEAKS)
         found = rows if found is None else found.unionByName(rows)
     return found

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,35 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert bm25_leaks.find_leaks(d, empty).count() == 0 and bm25_leaks.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    items = [(r.item_id, r.text) for r in common.read_table(spark, SF, "benchmark").collect()][:40]
+    items.append((999, " ".join(t for _, t in items[:3])))  # the longest: every index has its span
+    noise = [r.text.split() for r in common.read_table(spark, SF, "documents").limit(40).collect()]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        for share in (50, 55, 60, 65, 70, 75, 80, 90, 100):  # scores on both sides of the thresholds
+            docs.append((k * 1000 + share, " ".join(noise[k % 40][:60] + words[-(len(words) * share // 100):] + noise[k % 40][:60])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, bm25_leaks.find_leaks(d, b).collect()))
+    assert {r[0] % 1000 for r in one} > {100} and len(one) < len(docs)
+    monkeypatch.setattr(bm25_leaks, "INDEX_BYTES", 2000)
+    assert sorted(map(tuple, bm25_leaks.find_leaks(d, b).collect())) == one
+
+
+def test_block_sums_in_small_chunks(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(3, 12)))) for k in range(50)]
+    texts = pa.array([" ".join(rng.choices(words, k=n)) for n in (0, 5, 100, 0, 0, 300, 1)] + [items[7][1]])
+    want = bm25_leaks.Index.build(items)
+    want = list(want.retrieve(*want.numbers(texts), 0.6))
+    monkeypatch.setattr(bm25_leaks, "CELLS", 30)
+    got = bm25_leaks.Index.build(items)
+    assert list(got.retrieve(*got.numbers(texts), 0.6)) == want and any(k == 7 for *_, k, _ in want)
+
+
 def test_quality_votes_on_held_out_rows(spark):
     rows = knn_quality.op5_knn_quality(spark, SF).join(common.read_table(spark, SF, "labels"), "doc_id")
     held = rows.where("held_out").collect()
