@@ -20,6 +20,8 @@ BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
+#: Bytes that a worker handles between two calls of ``release``.
+RELEASE_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,22 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_handled = 0
+
+
+def handled(size: int) -> None:
+    """Count bytes that a worker has dealt with; free memory goes back once in ``RELEASE_BYTES``.
+
+    The count lives as long as the worker, so many small groups or batches cost
+    no more calls than a few large ones.
+    """
+    global _handled
+    _handled += size
+    if _handled >= RELEASE_BYTES:
+        _handled = 0
+        release()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``SLICE_BYTES`` of ``column`` (one row at least).
 
@@ -89,7 +107,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.take(pa.array(np.arange(lo, hi)))
-        release()
+        handled(batch.nbytes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -224,7 +224,7 @@ def _sides(column: pa.ChunkedArray) -> np.ndarray | None:
 def _families(num: int, den: int):
     """Pairs of entries whose bitmaps allow a link, as many as connect them."""
     def run(block: pa.Table) -> pa.Table:
-        common.release()
+        common.handled(block.nbytes)
         block = block.sort_by("entry")
         entry, size, side = block["entry"].to_numpy(), block["n"].to_numpy(), block["side"].to_numpy()
         bits = [np.frombuffer(b, np.uint64) for b in block["bits"].to_pylist()]
@@ -260,7 +260,7 @@ def exact_links(ids: list[int], sets: list[np.ndarray], num: int, den: int,
 
 def _linker(n: int, num: int, den: int):
     def run(block: pa.Table) -> pa.Table:
-        common.release()
+        common.handled(block.nbytes)
         table = block.sort_by([("doc_id", "ascending"), ("fp1", "ascending")])
         wanted = table["fp2"].to_pylist()
         sets, keep = [], []
