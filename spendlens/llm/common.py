@@ -65,6 +65,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(columns, name: str) -> str:
+    """``name``, with underscores in front until no column has it (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release() -> None:
     """Hand memory that is free again back to the system.
 

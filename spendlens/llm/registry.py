@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm.arrow_tokens import op9_arrow_tokens
 from spendlens.llm.bm25_leaks import op8_bm25_leaks
+from spendlens.llm.chat_format import op13_chat_format
 from spendlens.llm.hash_ring import op7_hash_ring
 from spendlens.llm.hnsw import op1_hnsw
+from spendlens.llm.importance_resample import op12_importance_resample
 from spendlens.llm.knn_quality import op5_knn_quality
 from spendlens.llm.license_scan import SQL as LICENSE_SQL
 from spendlens.llm.license_scan import op2_license_scan
@@ -20,7 +22,7 @@ from spendlens.llm.suffix_dedup import op10_suffix_dedup
 from spendlens.llm.word_bpe import op4_word_bpe
 
 _QUERIES = [op1_hnsw, op2_license_scan, op3_merkle_audit, op4_word_bpe, op5_knn_quality, op6_signature_tree,
-            op7_hash_ring, op8_bm25_leaks, op9_arrow_tokens, op10_suffix_dedup]
+            op7_hash_ring, op8_bm25_leaks, op9_arrow_tokens, op10_suffix_dedup, op12_importance_resample, op13_chat_format]
 _SQL = {"op2_license_scan": LICENSE_SQL, "op3_merkle_audit": MERKLE_SQL}
 
 
