@@ -18,11 +18,13 @@ from spendlens.llm.license_scan import op2_license_scan
 from spendlens.llm.merkle_audit import SQL as MERKLE_SQL
 from spendlens.llm.merkle_audit import op3_merkle_audit
 from spendlens.llm.signature_tree import op6_signature_tree
+from spendlens.llm.spelling_variants import op11_spelling_variants
 from spendlens.llm.suffix_dedup import op10_suffix_dedup
 from spendlens.llm.word_bpe import op4_word_bpe
 
 _QUERIES = [op1_hnsw, op2_license_scan, op3_merkle_audit, op4_word_bpe, op5_knn_quality, op6_signature_tree,
-            op7_hash_ring, op8_bm25_leaks, op9_arrow_tokens, op10_suffix_dedup, op12_importance_resample, op13_chat_format]
+            op7_hash_ring, op8_bm25_leaks, op9_arrow_tokens, op10_suffix_dedup, op11_spelling_variants,
+            op12_importance_resample, op13_chat_format]
 _SQL = {"op2_license_scan": LICENSE_SQL, "op3_merkle_audit": MERKLE_SQL}
 
 

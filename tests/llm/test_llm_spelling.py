@@ -1,0 +1,135 @@
+"""Spelling variants against deletion neighbourhoods and all pairs."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from spendlens.llm import common, registry, spelling_variants
+
+SMALL = "/root/testdata/sf0.001"
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+@pytest.fixture(autouse=True)
+def small_slices(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 50_000)
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def vocabulary_by_hand(docs, drop_every):
+    counts = Counter()
+    for i, text in docs:
+        for run in RUN.findall(text or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if drop_every and h % drop_every == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+
+def groups_by_hand(vocab, ratio=10):
+    """Words meet by what is left of them when a code point goes, or by a wildcard in its place; edits are tested again."""
+    spots = defaultdict(set)
+    for w in vocab:
+        spots[w].add(w)
+        for k in range(len(w)):
+            spots[w[:k] + w[k + 1:]].add(w)
+            spots[w[:k] + "*" + w[k + 1:]].add(w)
+    near = defaultdict(set)
+    for meet in spots.values():
+        for a in meet:
+            near[a] |= {b for b in meet if one_edit(a, b)}
+    form = {}
+    for w, n in vocab.items():
+        best = min(near[w], key=lambda b: (-vocab[b], b), default=None)
+        form[w] = best if best is not None and vocab[best] >= ratio * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n, len(near[w]), vocab.get(form[w])) for w, n in vocab.items()}
+
+
+def rows(df):
+    return [(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()]
+
+
+def test_query_equals_deletion_neighbourhoods(spark):
+    docs = [(r.doc_id, r.text) for r in common.read_table(spark, SMALL, "documents").collect()]
+    got = registry.queries()["op11_spelling_variants"](spark, SMALL)
+    assert dict(got.dtypes) == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint",
+                                "form_n": "bigint"}
+    found = rows(got)
+    expected = groups_by_hand(vocabulary_by_hand(docs, 31))
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_vocabulary_of_odd_texts(spark):
+    texts = [(1, "Wording wording WORDING; wordings wordings"), (2, None), (3, ""), (None, "Äußerst äußerst äußerst ÄUSSERST"),
+             (4, "x" * 60_000 + " " + "x" * 60_000), (4, "x" * 60_000 + "y"), (5, "short words only"), (6, "naïveté×naïveté " * 3)]
+    texts += [(7, "repeated row of wording")] * 50
+    df = spark.createDataFrame([(*t, "w", 5) for t in texts], "doc_id long, text string, word string, n int")
+    for drop in (0, 2, 31):
+        got = {r.word: r.n for r in spelling_variants.vocabulary(df.repartition(3), drop_every=drop).collect()}
+        assert got == vocabulary_by_hand(texts, drop)
+    assert spelling_variants.vocabulary(df.limit(0)).count() == 0
+
+
+def made_up(seed, letters, size, low=7, high=12):
+    """Words that crowd together: a few stems, each with chains of edits, and most behind one prefix."""
+    rng = random.Random(seed)
+    out = {}
+    while len(out) < size:
+        w = ("prefix" if rng.random() < .6 else "") + "".join(rng.choice(letters) for _ in range(rng.randint(low - 5, high - 5)))
+        for _ in range(rng.randint(1, 6)):
+            if len(w) >= low:
+                out[w] = rng.choice((2, 3, 20, 25, 300, 300, 4000))
+            k, c = rng.randrange(len(w) + 1), rng.choice(letters)
+            w = rng.choice((w[:k] + c + w[k:], w[:k] + c + w[k + 1:], w[:k] + w[k + 1:]))
+    return out
+
+
+@pytest.mark.parametrize("letters, size, block, chunk", [("ab", 400, 50_000, 5000), ("abcé", 1500, 40, 7), ("aÿ", 300, 5, 1000),
+                                                         ("abcdefghij", 1500, 200, 64)])
+def test_groups_equal_deletion_neighbourhoods(spark, monkeypatch, letters, size, block, chunk):
+    monkeypatch.setattr(spelling_variants, "BLOCK_WORDS", block)
+    monkeypatch.setattr(spelling_variants, "QUERY_ROWS", chunk)
+    vocab = made_up(size, letters, size)
+    df = spark.createDataFrame(list(vocab.items()), "word string, n long").repartition(4)
+    found = rows(spelling_variants.variant_groups(df))
+    expected = groups_by_hand(vocab)
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_small_and_odd_vocabularies(spark):
+    schema = "word string, n long"
+    assert spelling_variants.variant_groups(spark.createDataFrame([], schema)).count() == 0
+    long = "z" * 3000
+    vocab = {"aaaaaaa": 2, "aaaaaaaa": 20, "aaaaaaaaa": 200, long: 2, long + "z": 30, long[:-1] + "y": 30, "zzzzzzz": 5,
+             "\U0010ffff" * 7: 3, "\U0010ffff" * 8: 40, "\U0010fffe" + "\U0010ffff" * 6: 3}
+    df = spark.createDataFrame([*vocab.items(), ("short", 9), (None, 4)], schema)
+    assert set(rows(spelling_variants.variant_groups(df))) == groups_by_hand(vocab)
+    twice = spark.createDataFrame([("wording", 1), ("wording", 1), ("wordings", 20)], schema)
+    assert set(rows(spelling_variants.variant_groups(twice))) == groups_by_hand({"wording": 2, "wordings": 20})
+
+
+def test_half_holds_for_all_edits():
+    for m in range(2, 12):
+        for a in ("ab" * m)[:m], "a" * m, "a" * (m - 1) + "b":
+            for k in range(m + 1):
+                for b in {a[:k] + c + a[k:] for c in "abc"} | {a[:k] + c + a[k + 1:] for c in "abc"}:
+                    if one_edit(a, b):
+                        p, s = (spelling_variants._shared_start(*x) for x in ((a, b), (a[::-1], b[::-1])))
+                        assert max(p, s) >= spelling_variants.half(min(len(a), len(b)))
