@@ -13,14 +13,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
-from spendlens.operators.carbon import carbon_report
+from spendlens.operators.carbon import carbon_report, validate_carbon
+from spendlens.operators.monthly import TO_DATE, final_cost_cube, is_cost_cube, monthly_carbon, project_ids
 from spendlens.operators.org import UNIT_COLUMNS, org_unit_costs
+from spendlens.operators.periods import finish, period_predicates, period_sums, valid_key
 from spendlens.operators.report import project_cost_report
+from spendlens.sources.billing import load_billing, usage_between
 
 
 def run_rate(to_date, period_days: int, elapsed_days: int):
@@ -38,6 +41,56 @@ def with_estimates(report: DataFrame, as_of=None) -> DataFrame:
     return report.withColumn(S.CURRENT_FISCAL_ESTIMATED, fiscal).withColumn(S.CURRENT_CALENDAR_ESTIMATED, calendar)
 
 
+#: Sums of usage up to the report date, of the fiscal and the calendar year.
+SPENT = {"_fiscal_spent": "current_fiscal_year", "_calendar_spent": "current_calendar_year"}
+
+
+def spent_sums(as_of, value: str = S.FINAL_COST, valid: Column | None = None) -> list[Column]:
+    """Aggregates over a cube with ``value`` up to the report date: what the estimates scale."""
+    inside = period_predicates(ReportCalendar.for_date(as_of), F.col(S.MONTH))
+    valid = F.lit(True) if valid is None else valid
+    return [F.sum(F.when(valid & inside[p], F.col(value + TO_DATE))).alias(c) for c, p in SPENT.items()]
+
+
+def estimate_columns(as_of) -> list[Column]:
+    """The two estimates from the columns of ``spent_sums``."""
+    cal = ReportCalendar.for_date(as_of)
+    starts = (cal.fy_start, cal.fiscal_days), (dt.date(cal.year, 1, 1), cal.calendar_days)
+    names = (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED)
+    return [run_rate(F.col(c).cast("double"), days, cal.days_elapsed(first)).alias(n)
+            for c, (first, days), n in zip(SPENT, starts, names, strict=True)]
+
+
+def _one_pass(ids: DataFrame, cube: DataFrame, as_of, value: str) -> DataFrame:
+    keys = [S.PROJECT_ID]
+    valid = valid_key(keys)
+    sums = cube.groupBy(*keys).agg(*period_sums(as_of, value, valid), *spent_sums(as_of, value, valid)).where(valid)
+    report = finish(sums, keys, list(SPENT)).select("*", *estimate_columns(as_of)).drop(*SPENT)
+    return ids.join(report, on=keys, how="left")
+
+
+def cost_report_with_estimates(billing: DataFrame, as_of=None) -> DataFrame:
+    """The raw project report with both estimates, in the scans of the report alone.
+
+    The month of the report date is split at that date in the one cube, so the
+    estimates, which count usage up to it, need no pass of their own.
+    """
+    if is_cost_cube(billing):
+        raise ValueError("estimates need usage lines, not an aggregated cube")
+    billing = load_billing(billing)
+    cal = ReportCalendar.for_date(as_of)
+    cube = final_cost_cube(usage_between(billing, *cal.scan_window()), through=cal.as_of)
+    return _one_pass(project_ids(billing), cube, cal.as_of, S.FINAL_COST)
+
+
+def carbon_report_with_estimates(carbon: DataFrame, as_of=None) -> DataFrame:
+    """The same over kilograms."""
+    validate_carbon(carbon)
+    cal = ReportCalendar.for_date(as_of)
+    cube = monthly_carbon(usage_between(carbon, *cal.scan_window()), through=cal.as_of)
+    return _one_pass(project_ids(carbon), cube, cal.as_of, S.CARBON_KG)
+
+
 _ESTIMATES = (S.CURRENT_FISCAL_YEAR, S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_YEAR, S.CURRENT_CALENDAR_ESTIMATED)
 
 

@@ -13,6 +13,8 @@ so a month whose credit sums are all null has a null final cost.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,18 @@ from spendlens.sources.billing import load_billing, project_id_col, usage_date
 _NEXT_LEVEL = "_sum_credits_sum_amount"
 
 
-def monthly_sums(df: DataFrame, sums: dict[str, Column], key: Column | None = None) -> DataFrame:
+#: Suffix of a cube's column that counts usage up to the report date only.
+TO_DATE = "_to_date"
+
+
+def monthly_sums(df: DataFrame, sums: dict[str, Column], key: Column | None = None, month: Column | None = None) -> DataFrame:
     """Group usage lines by (month, key) and sum the given row expressions.
 
     Generic form behind the cost and the carbon cubes.  ``key`` defaults to
-    ``project.id`` and comes out as ``project_id``.
+    ``project.id`` and comes out as ``project_id``, ``month`` to the usage month.
     """
     key = project_id_col() if key is None else key
-    month = month_of(usage_date(df)).alias(S.MONTH)
+    month = (month_of(usage_date(df)) if month is None else month).alias(S.MONTH)
     # Row expressions first: what has no generated code (a fold over credits) then stays out of the aggregates.
     rows = df.select(month, key.alias(S.PROJECT_ID), *[expr.alias(name) for name, expr in sums.items()])
     out = rows.groupBy(S.MONTH, S.PROJECT_ID).agg(*[F.sum(name).alias(name) for name in sums])
@@ -60,7 +66,8 @@ def monthly_cost_partials(billing: DataFrame) -> DataFrame:
 
 def combine_cost_partials(partials: DataFrame) -> DataFrame:
     """Sum partial rows that share (month, project_id) (e.g. from several batches)."""
-    return partials.groupBy(S.MONTH, S.PROJECT_ID).agg(*[F.sum(c).alias(c) for c in PARTIAL_SUMS])
+    keys = [c for c in (S.YEAR, S.MONTH, S.PROJECT_ID) if c in partials.columns]  # a stored year is a partition
+    return partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in PARTIAL_SUMS])
 
 
 def finish_costs(partials: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def finish_costs(partials: DataFrame) -> DataFrame:
 
     return partials.select(
         S.MONTH,
-        F.year(S.MONTH).alias(S.YEAR),
+        F.col(S.YEAR) if S.YEAR in partials.columns else F.year(S.MONTH).alias(S.YEAR),
         S.PROJECT_ID,
         no_credits,
         first,
@@ -83,17 +90,39 @@ def finish_costs(partials: DataFrame) -> DataFrame:
     )
 
 
-def final_cost_cube(billing: DataFrame) -> DataFrame:
+def up_to(df: DataFrame, day: dt.date, value: str) -> Column:
+    """A row's value if it was used on ``day`` (UTC) or before."""
+    return F.when(usage_date(df) <= F.lit(day), F.col(value))
+
+
+def final_cost_cube(billing: DataFrame, through: dt.date | None = None, month: Column | None = None) -> DataFrame:
     """(month, project_id, final_cost) only: the one measure every report reads.
 
     Same numbers as ``monthly_costs(...).final_cost`` (two sums, then added),
-    with a smaller plan to build and analyse.
+    with a smaller plan to build and analyse.  ``through`` adds
+    ``final_cost_to_date``, the same over the lines up to that day: it splits
+    that day's month, so that to-date figures need no scan of their own.
     """
     billing = load_billing(billing)
-    sums = monthly_sums(billing, {S.COST: F.col(S.COST), S.CREDITS_SUM_AMOUNT: F.col(S.CREDITS_SUM_AMOUNT)})
-    total = exact_sum(F.col(S.COST), F.col(S.CREDITS_SUM_AMOUNT), sums.schema[S.COST].dataType,
-                      sums.schema[S.CREDITS_SUM_AMOUNT].dataType)
-    return sums.select(S.MONTH, S.PROJECT_ID, total.alias(S.FINAL_COST))
+    parts = (S.COST, S.CREDITS_SUM_AMOUNT)
+    rows = {c: F.col(c) for c in parts}
+    if through is not None:
+        rows |= {c + TO_DATE: up_to(billing, through, c) for c in parts}
+    sums = monthly_sums(billing, rows, month=month)
+
+    def total(suffix: str) -> Column:
+        kinds = [sums.schema[c + suffix].dataType for c in parts]
+        return exact_sum(*[F.col(c + suffix) for c in parts], *kinds).alias(S.FINAL_COST + suffix)
+
+    return sums.select(S.MONTH, S.PROJECT_ID, *[total(x) for x in (("", TO_DATE) if through is not None else ("",))])
+
+
+def cube_window(cube: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
+    """The months of a cube from ``lo`` until before ``hi``; the year, if it has one, prunes a stored cube's partitions."""
+    inside = (F.col(S.MONTH) >= F.lit(lo)) & (F.col(S.MONTH) < F.lit(hi))
+    if S.YEAR in cube.columns:
+        inside &= F.col(S.YEAR).between(lo.year, (hi - dt.timedelta(days=1)).year)
+    return cube.where(inside)
 
 
 def monthly_costs(billing: DataFrame) -> DataFrame:
@@ -110,9 +139,14 @@ def monthly_costs(billing: DataFrame) -> DataFrame:
     return finish_costs(monthly_cost_partials(billing))
 
 
-def monthly_carbon(carbon: DataFrame) -> DataFrame:
-    """Carbon cube: (month, year, project_id, carbon_kg) with kilograms summed."""
-    return monthly_sums(carbon, {S.CARBON_KG: F.col(S.CARBON_KG)})
+def monthly_carbon(carbon: DataFrame, through: dt.date | None = None) -> DataFrame:
+    """Carbon cube: (month, year, project_id, carbon_kg) with kilograms summed.
+
+    ``through`` adds ``carbon_kg_to_date``, the kilograms up to that day."""
+    sums = {S.CARBON_KG: F.col(S.CARBON_KG)}
+    if through is not None:
+        sums[S.CARBON_KG + TO_DATE] = up_to(carbon, through, S.CARBON_KG)
+    return monthly_sums(carbon, sums)
 
 
 def project_ids(billing: DataFrame) -> DataFrame:

@@ -33,16 +33,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.functions.measures import as_double
-from spendlens.operators.monthly import billed_project_ids, cost_cube, is_cost_cube
+from spendlens.operators.monthly import billed_project_ids, cost_cube, cube_window, is_cost_cube
 from spendlens.operators.periods import add_up, finish, period_sums
-from spendlens.operators.report import project_cost_report
+from spendlens.operators.report import api_flavour, costs_struct, project_cost_report
 from spendlens.sources.billing import load_billing, project_id_col, usage_before, usage_between
 
 #: What identifies a unit: its level and path (null below its own level).
@@ -135,7 +135,7 @@ def org_unit_costs(billing: DataFrame, dim: DataFrame, as_of=None, levels: Seque
     if not prune_history:
         window = cost_cube(billing)
     elif is_cost_cube(billing):
-        window = billing.where((F.col(S.MONTH) >= F.lit(lo)) & (F.col(S.MONTH) < F.lit(hi)))
+        window = cube_window(billing, lo, hi)
     else:
         window = cost_cube(usage_between(load_billing(billing), lo, hi))
     rows = _known(window).groupBy(S.PROJECT_ID).agg(*period_sums(cal.as_of))
@@ -192,6 +192,16 @@ def _named(dim: DataFrame, level: str, name: str) -> DataFrame:
     return project_dimension(dim).where(F.col(level) == F.lit(name))
 
 
+def named_projects(dim: DataFrame, level: str, name: str) -> DataFrame:
+    """The dimension's rows, one per project, of the units of that level and name."""
+    return _named(dim, level, name)
+
+
+def unit_answers(members: DataFrame, rows: DataFrame, aggs: Sequence[Column], extra: Sequence[str] = ()) -> DataFrame:
+    """Unit reports from rows per project: ``aggs`` per unit give the period sums and the ``extra`` columns."""
+    return _report(_per_unit(members, rows, aggs), extra)
+
+
 def unit(billing: DataFrame, dim: DataFrame, level: str, name: str, as_of=None,
          carbon: DataFrame | None = None) -> DataFrame:
     """The record of every unit of that level and name, none when it is unknown.
@@ -225,6 +235,39 @@ def unit_projects(billing: DataFrame, dim: DataFrame, level: str, name: str, as_
     return org_projects(_of_unit(cost_cube(billing), own), own, as_of)
 
 
+#: Projects on one page of a unit's nested project list.
+PAGE_PROJECTS = 1000
+
+
+def unit_project_pages(billing: DataFrame, dim: DataFrame, level: str, as_of=None, name: str | None = None,
+                       page_size: int = PAGE_PROJECTS, flavour: str = "api") -> DataFrame:
+    """Units with their projects nested: path, page, pages, projects array<struct<id, classification, costs>>.
+
+    A unit's projects, in order of id, are cut into pages of ``page_size``,
+    numbered from 1, so that no row grows with the unit.  All units of a level,
+    or those of one ``name``; units without billed projects have no page.
+    """
+    if page_size < 1:
+        raise ValueError("a page has at least one project")
+    _levels([level])
+    own = project_dimension(dim) if name is None else _named(dim, level, name)
+    source = billing if name is None else _of_unit(cost_cube(billing), own)
+    rows = org_projects(source, own, as_of)
+    rows = api_flavour(rows) if flavour == "api" else rows
+    order = list(S.ORG_LEVELS)
+    path = order[:order.index(level) + 1]
+    unit_rows = Window.partitionBy(*path)
+    rows = rows.select(
+        *path, *[F.lit(None).cast("string").alias(lv) for lv in order[len(path):]], F.lit(level).alias("level"),
+        F.min(S.ORG_LEVELS[level][1]).over(unit_rows).alias("acronym"),
+        F.ceil(F.row_number().over(unit_rows.orderBy(S.PROJECT_ID)) / page_size).cast("int").alias("page"),
+        F.ceil(F.count("*").over(unit_rows) / page_size).cast("int").alias("pages"),
+        F.struct(F.col(S.PROJECT_ID).alias("id"), "classification", costs_struct(rows)).alias("project"))
+    pages = rows.groupBy(*UNIT_KEYS, "acronym", "page", "pages").agg(
+        F.sort_array(F.collect_list("project")).alias("projects"))  # a page at most
+    return pages.select(*_shown(), "page", "pages", "projects")
+
+
 def project_totals(billing: DataFrame) -> DataFrame:
     """All-history spend per project (one row per billed project, null id dropped).
 
@@ -281,6 +324,30 @@ def children(dim: DataFrame, level: str, name: str, of_level: str | None = None)
     return members.groupBy(*UNIT_KEYS).agg(F.min("acronym").alias("acronym")).select(*_shown())
 
 
+def department_tree(dim: DataFrame) -> DataFrame:
+    """One row per department: name, acronym, branches, directorates, with the links of each level both ways.
+
+    Assembled from below: directorates into their branch, branches into their
+    department.  A branch names its department, a directorate its branch and
+    department; a department lists its branches and, across them, all its
+    directorates.  Levels without a name are left out, lists are in order of
+    name, an acronym is the least one of its unit.  A row holds the units of one
+    department, never its projects.
+    """
+    units = project_dimension(dim).where(F.col("department").isNotNull())
+    names = list(S.ORG_LEVELS)
+    acronyms = [F.min(a).alias(a) for _, a in S.ORG_LEVELS.values()]
+    low = units.groupBy(*names).agg(*acronyms)
+    directorate_ = F.struct(F.col("directorate").alias("name"), F.col("directorate_acronym").alias("acronym"), "branch", "department")
+    branches = low.groupBy("department", "branch").agg(
+        *acronyms[:2], F.sort_array(F.collect_list(F.when(F.col("directorate").isNotNull(), directorate_))).alias("directorates"))
+    branch_ = F.struct(F.col("branch").alias("name"), F.col("branch_acronym").alias("acronym"), "department", "directorates")
+    tree = branches.groupBy("department").agg(
+        acronyms[0], F.sort_array(F.collect_list(F.when(F.col("branch").isNotNull(), branch_))).alias("branches"))
+    return tree.select(F.col("department").alias("name"), F.col("department_acronym").alias("acronym"), "branches",
+                       F.flatten(F.transform("branches", lambda b: b["directorates"])).alias("directorates"))
+
+
 def classification_spend(billing: DataFrame, dim: DataFrame) -> DataFrame:
     """Project count and all-history spend per classification."""
     rows = project_totals(billing).join(project_dimension(dim).select(S.PROJECT_ID, "classification"), on=S.PROJECT_ID)

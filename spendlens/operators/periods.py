@@ -26,7 +26,8 @@ from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
 from spendlens.functions.measures import as_double, pct_change
 
-_PERIOD_COLUMNS = {
+#: The report columns that are one period's sum, and their periods.
+PERIOD_COLUMNS = {
     S.CURRENT_MONTH: "current_month",
     S.PREVIOUS_MONTH: "previous_month",
     S.CURRENT_CALENDAR_YEAR: "current_calendar_year",
@@ -35,8 +36,8 @@ _PERIOD_COLUMNS = {
     S.PREVIOUS_FISCAL_YEAR: "previous_fiscal_year",
 }
 #: Sum and presence of each of the six months, newest first.
-_MONTH_SUMS = [f"_month_{i}" for i in range(1, 7)]
-_MONTH_SEEN = [f"_seen_{i}" for i in range(1, 7)]
+MONTH_SUMS = [f"_month_{i}" for i in range(1, 7)]
+MONTH_SEEN = [f"_seen_{i}" for i in range(1, 7)]
 
 
 def _lit(d: dt.date) -> Column:
@@ -84,8 +85,8 @@ def period_sums(as_of, value: str = S.FINAL_COST, valid: Column | None = None) -
     month, v = F.col(S.MONTH), F.col(value)
     valid = F.lit(True) if valid is None else valid
     inside = period_predicates(cal, month)
-    aggs = [F.sum(F.when(valid & inside[p], v)).alias(c) for c, p in _PERIOD_COLUMNS.items()]
-    for start, total, seen in zip(cal.six_months, _MONTH_SUMS, _MONTH_SEEN):
+    aggs = [F.sum(F.when(valid & inside[p], v)).alias(c) for c, p in PERIOD_COLUMNS.items()]
+    for start, total, seen in zip(cal.six_months, MONTH_SUMS, MONTH_SEEN):
         here = valid & (month == _lit(start))
         aggs += [F.sum(F.when(here, v)).alias(total), F.max(F.when(here, True)).alias(seen)]
     return aggs
@@ -93,20 +94,20 @@ def period_sums(as_of, value: str = S.FINAL_COST, valid: Column | None = None) -
 
 def add_up() -> list[Column]:
     """Aggregates that combine rows of ``period_sums`` (of projects, say) into one such row."""
-    return [F.sum(c).alias(c) for c in (*_PERIOD_COLUMNS, *_MONTH_SUMS)] + [F.max(c).alias(c) for c in _MONTH_SEEN]
+    return [F.sum(c).alias(c) for c in (*PERIOD_COLUMNS, *MONTH_SUMS)] + [F.max(c).alias(c) for c in MONTH_SEEN]
 
 
 def _series() -> Column:
     """Newest-first array of the months that have rows; null when none has."""
     months = F.array(*[F.when(F.col(seen), F.struct(as_double(F.col(total)).alias("v")))
-                       for total, seen in zip(_MONTH_SUMS, _MONTH_SEEN)])
+                       for total, seen in zip(MONTH_SUMS, MONTH_SEEN)])
     values = F.transform(F.filter(months, lambda m: m.isNotNull()), lambda m: m["v"])
     return F.when(F.size(values) > 0, values)
 
 
 def finish(sums: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """``period_sums`` columns into the nine report metrics, with ``keys`` before and ``extra`` after them."""
-    d = {c: as_double(F.col(c)) for c in _PERIOD_COLUMNS}
+    d = {c: as_double(F.col(c)) for c in PERIOD_COLUMNS}
     metrics = {
         S.CURRENT_MONTH: d[S.CURRENT_MONTH],
         S.PREVIOUS_MONTH: d[S.PREVIOUS_MONTH],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.operators.carbon import carbon_report
-from spendlens.operators.estimates import carbon_estimates, cost_estimates
+from spendlens.operators.estimates import carbon_report_with_estimates, cost_report_with_estimates
 from spendlens.operators.org import project_dimension
 from spendlens.operators.report import api_flavour, project_cost_report
 
@@ -30,22 +30,16 @@ def project_details(billing: DataFrame, as_of=None, dim: DataFrame | None = None
     eleven fields, the two year-end estimates null as the original leaves them
     unless ``estimates`` asks for them; ``nested=False`` gives the same values as
     flat columns (carbon metrics prefixed ``carbon_``).  Fields whose input is
-    not given are null.
+    not given are null.  Estimates come from the report's own scans.
     """
-    def report_of(report: DataFrame, guess) -> DataFrame:
-        if estimates:
-            own = guess.select(F.col(S.PROJECT_ID).alias("_id"), *_ESTIMATED)
-            report = report.join(own, report[S.PROJECT_ID].eqNullSafe(own["_id"]), "left").drop("_id")
-        else:
-            report = report.select("*", *[F.lit(None).cast("double").alias(n) for n in _ESTIMATED])
-        return api_flavour(report) if flavour == "api" and estimates else (
-            api_flavour(report.drop(*_ESTIMATED)).select("*", *[F.lit(None).cast("double").alias(n) for n in _ESTIMATED])
-            if flavour == "api" else report)
+    def shown(report: DataFrame) -> DataFrame:
+        report = api_flavour(report) if flavour == "api" else report
+        return report if estimates else report.select("*", *[F.lit(None).cast("double").alias(n) for n in _ESTIMATED])
 
-    out = report_of(project_cost_report(billing, as_of), cost_estimates(billing, as_of) if estimates else None)
+    out = shown((cost_report_with_estimates if estimates else project_cost_report)(billing, as_of))
     metrics = [c for c in out.columns if c != S.PROJECT_ID]
     if carbon is not None:
-        kg = report_of(carbon_report(carbon, as_of), carbon_estimates(carbon, as_of) if estimates else None)
+        kg = shown((carbon_report_with_estimates if estimates else carbon_report)(carbon, as_of))
         kg = kg.where(F.col(S.PROJECT_ID).isNotNull()).select(
             S.PROJECT_ID, *[F.col(c).alias(_CARBON_PREFIX + c) for c in metrics])
         out = out.join(kg, on=S.PROJECT_ID, how="left")

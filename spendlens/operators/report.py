@@ -17,14 +17,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens import schema as S
 from spendlens.functions.calendar import ReportCalendar
-from spendlens.operators.monthly import final_cost_cube, is_cost_cube, project_ids
+from spendlens.operators.monthly import cube_window, final_cost_cube, is_cost_cube, project_ids
 from spendlens.operators.periods import period_report, period_total, report_over_history
-from spendlens.sources.billing import filter_projects, load_billing, normalize_ids, usage_before, usage_between
+from spendlens.sources.billing import filter_projects, load_billing, may_be_listed, normalize_ids, usage_before, usage_between
 
 
 def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = True,
@@ -60,17 +60,17 @@ def project_cost_report(billing: DataFrame, as_of=None, prune_history: bool = Tr
     return report_over_history(project_ids(billing), cube, cal.as_of)
 
 
-def cube_cost_report(cube: DataFrame, as_of=None) -> DataFrame:
+def cube_cost_report(cube: DataFrame, as_of=None, ids: DataFrame | None = None) -> DataFrame:
     """Raw report from an already aggregated cube (e.g. a stored one).
 
-    The id list comes from every month of the cube; the metrics only from the
-    report's months, a filter that prunes month partitions of a stored cube.
+    The metrics come from the report's months only, a filter that prunes the
+    years and row groups of a stored cube.  ``ids`` (project_id, one row each)
+    says which projects exist, as ``cube_store.read_project_ids`` does; without
+    it they are read from every month of the cube.
     """
     cal = ReportCalendar.for_date(as_of)
-    lo, hi = cal.scan_window()
-    month = F.col(S.MONTH)
-    window = cube.where((month >= F.lit(lo)) & (month < F.lit(hi)))
-    ids = cube.select(S.PROJECT_ID).distinct()
+    window = cube_window(cube, *cal.scan_window())
+    ids = cube.select(S.PROJECT_ID).distinct() if ids is None else ids.select(S.PROJECT_ID)
     return report_over_history(ids, window, cal.as_of)
 
 
@@ -83,8 +83,7 @@ def billing_period_total(billing: DataFrame, as_of, period: str, name: str | Non
     cal = ReportCalendar.for_date(as_of)
     lo, hi = cal.period_window(period)
     if is_cost_cube(billing):
-        month = F.col(S.MONTH)
-        cube = billing.where((month >= F.lit(lo)) & (month < F.lit(hi)))
+        cube = cube_window(billing, lo, hi)
     else:
         cube = final_cost_cube(usage_between(load_billing(billing), lo, hi))
     return period_total(cube, cal.as_of, period, name=name)
@@ -106,6 +105,14 @@ def api_flavour(report: DataFrame, key: str = S.PROJECT_ID) -> DataFrame:
     return report.select(*cols)
 
 
+def costs_struct(report: DataFrame) -> Column:
+    """The API's eleven cost fields of a report as one struct, estimates null unless the report has them."""
+    fields = [F.col(f) for f in S.REPORT_FIELDS if f in report.columns]
+    for name in (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED):
+        fields.append(F.col(name) if name in report.columns else F.lit(None).cast("double").alias(name))
+    return F.struct(*fields).alias("costs")
+
+
 def project_records(report: DataFrame) -> DataFrame:
     """Nested records ``id`` + ``costs`` struct (one per project).
 
@@ -113,10 +120,7 @@ def project_records(report: DataFrame) -> DataFrame:
     estimates, which are null unless computed (``estimates.with_estimates``),
     as the original API leaves them unset.
     """
-    fields = [F.col(f) for f in S.REPORT_FIELDS if f in report.columns]
-    for name in (S.CURRENT_FISCAL_ESTIMATED, S.CURRENT_CALENDAR_ESTIMATED):
-        fields.append(F.col(name) if name in report.columns else F.lit(None).cast("double").alias(name))
-    return report.select(F.col(S.PROJECT_ID).alias("id"), F.struct(*fields).alias("costs"))
+    return report.select(F.col(S.PROJECT_ID).alias("id"), costs_struct(report))
 
 
 def select_fields(report: DataFrame, fields: Sequence[str], key: str = S.PROJECT_ID) -> DataFrame:
@@ -151,14 +155,16 @@ def projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None, as
 
     Python ids (a string, a list, any iterable) are applied before aggregation
     as ``project.id IN (...)``, which reaches the parquet reader.  An id
-    DataFrame, the way for long lists, is applied to the per-project report
-    instead, a left-semi join between two per-project tables: the raw export is
-    never shuffled to meet the ids.  Both give the same rows, since a project's
-    report depends only on its own usage lines.
+    DataFrame, the way for long lists, becomes a Bloom filter on the usage lines
+    (``may_be_listed``), so that few lines of other projects are aggregated, and
+    an exact left-semi join between two per-project tables behind the report:
+    the raw export is never shuffled to meet the ids.  Both give the same rows,
+    since a project's report depends only on its own usage lines.
     """
     if isinstance(ids, DataFrame):
         keys = ids.select(S.PROJECT_ID).where(F.col(S.PROJECT_ID).isNotNull()).distinct()
-        report = project_cost_report(billing, as_of, prune_history)
+        chosen = billing if is_cost_cube(billing) else may_be_listed(load_billing(billing), keys)
+        report = project_cost_report(chosen, as_of, prune_history)
         return _finish(report.join(keys, on=S.PROJECT_ID, how="left_semi"), flavour)
     if is_cost_cube(billing):
         chosen = billing.where(F.col(S.PROJECT_ID).isin(normalize_ids(ids)))

@@ -25,6 +25,7 @@ from spendlens.functions.calendar import fiscal_calendar_columns
 from spendlens.functions.measures import as_double, credit_amount_type, first_credit_amount
 from spendlens.operators import carbon as carbon_ops
 from spendlens.operators import estimates, org
+from spendlens.operators.checks import CHECKS, checked_report
 from spendlens.operators.monthly import monthly_costs, project_ids
 from spendlens.operators.project_details import project_details
 from spendlens.operators.report import (
@@ -38,13 +39,15 @@ from spendlens.operators.report import (
     projects,
     select_fields,
 )
+from spendlens.operators.request import RootField, answer
 from spendlens.operators.suite import spend_reports
 from spendlens.plans import oracle as Q
 from spendlens.plans.views import projects_sql
 from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources import fixtures
 from spendlens.sources.billing import filter_projects, load_billing, usage_date
-from spendlens.sources.cube_store import drop_store, materialize_costs, read_cube
+from spendlens.sources.cube_store import drop_store, materialize_costs, read_cube, stored_report, write_cube
+from spendlens.sources.running_totals import running_report, write_running_totals
 from spendlens.streaming.cube_refresh import billing_stream, refresh_paths, start_cube_refresh
 
 # Fixed parameters of the registered queries.
@@ -239,13 +242,12 @@ def project_by_id(spark, sf):
     return project(_billing(spark, sf), ONE_ID, AS_OF)
 
 
-_RECORDS_SQL = f"""{Q.with_report(AS_OF)}
-SELECT COALESCE(project_id, '') AS id,
-       struct_pack({', '.join(f'{m} := COALESCE({m}, 0.0)' for m in Q.METRICS)},
+_COSTS_SQL = f"""struct_pack({', '.join(f'{m} := COALESCE({m}, 0.0)' for m in Q.METRICS)},
                    lastSixMonths := list_transform(lastSixMonths, lambda x: COALESCE(x, 0.0)),
                    currentFiscalEstimated := CAST(NULL AS DOUBLE),
-                   currentCalendarYearEstimated := CAST(NULL AS DOUBLE)) AS costs
-FROM report"""
+                   currentCalendarYearEstimated := CAST(NULL AS DOUBLE))"""
+_RECORDS_SQL = f"""{Q.with_report(AS_OF)}
+SELECT COALESCE(project_id, '') AS id, {_COSTS_SQL} AS costs FROM report"""
 
 
 def project_records_query(spark, sf):
@@ -498,6 +500,118 @@ def org_units_from_store(spark, sf):
     return reports["org_units"]
 
 
+def report_from_id_table(spark, sf):
+    path = write_cube(_billing(spark, sf), os.path.join(_scratch_root(spark), "cube"))
+    return api_flavour(stored_report(spark, path, AS_OF))
+
+
+def report_from_running_totals(spark, sf):
+    path = write_cube(_billing(spark, sf), os.path.join(_scratch_root(spark), "cube"))
+    write_running_totals(spark, path)
+    return api_flavour(running_report(spark, path, AS_OF))
+
+
+# --- nested units, requests of several root fields, observed checks -----------
+
+def _unit_pages(level: str, page_size: int):
+    def build(spark, sf):
+        return org.unit_project_pages(_billing(spark, sf), _dim(spark, sf), level, AS_OF, page_size=page_size)
+    return build
+
+
+def _unit_pages_sql(level: str, page_size: int) -> str:
+    path = list(S.ORG_LEVELS)[:list(S.ORG_LEVELS).index(level) + 1]
+    names = ", ".join(path)
+    return f"""{Q.with_report(AS_OF)}, {Q.DIM_CTE},
+placed AS (SELECT report.*, d.* EXCLUDE (project_id), row_number() OVER (PARTITION BY {names} ORDER BY report.project_id) AS place,
+                  count(*) OVER (PARTITION BY {names}) AS n
+           FROM report JOIN project_dim d ON report.project_id = d.project_id)
+SELECT '{level}' AS level, {level} AS name, min(min({level}_acronym)) OVER (PARTITION BY {names}) AS acronym,
+       {"department" if len(path) > 1 else "CAST(NULL AS VARCHAR)"} AS parent_department,
+       {"branch" if len(path) > 2 else "CAST(NULL AS VARCHAR)"} AS parent_branch,
+       CAST((place - 1) // {page_size} + 1 AS INTEGER) AS page, CAST((n - 1) // {page_size} + 1 AS INTEGER) AS pages,
+       list(struct_pack(id := project_id, classification := classification, costs := {_COSTS_SQL}) ORDER BY project_id) AS projects
+FROM placed GROUP BY {names}, (place - 1) // {page_size}, n"""
+
+
+def department_tree(spark, sf):
+    return org.department_tree(_dim(spark, sf))
+
+
+_TREE_SQL = f"""WITH {Q.DIM_CTE},
+low AS (SELECT department, branch, directorate, min(directorate_acronym) AS a, min(branch_acronym) AS b, min(department_acronym) AS d
+        FROM project_dim GROUP BY ALL),
+mid AS (SELECT department, branch, min(b) AS b, min(d) AS d,
+               list(struct_pack(name := directorate, acronym := a, branch := branch, department := department) ORDER BY directorate)
+                 AS directorates FROM low GROUP BY department, branch)
+SELECT department AS name, min(d) AS acronym,
+       list(struct_pack(name := branch, acronym := b, department := department, directorates := directorates) ORDER BY branch) AS branches,
+       flatten(list(directorates ORDER BY branch)) AS directorates
+FROM mid GROUP BY department"""
+
+
+_REQUEST = {
+    "everyone": RootField("allProjects", (S.CURRENT_MONTH,)),
+    "some": RootField("projects", (S.LAST_SIX_MONTHS, S.PREVIOUS_FISCAL_YEAR), SAMPLE_IDS),
+    "one": RootField("project", (S.CURRENT_FISCAL_ESTIMATED,), ONE_ID),
+    "unit": RootField("department", (S.CURRENT_FISCAL_YEAR, "projectCount"), name=DEPARTMENT),
+}
+
+
+def report_request(spark, sf):
+    """Four root fields of one request, one under the other, with the fields that each asked for."""
+    found = answer(_billing(spark, sf), _REQUEST, AS_OF, _dim(spark, sf), path=os.path.join(_scratch_root(spark), "cube"))
+    fields = dict.fromkeys(f for root in _REQUEST.values() for f in root.fields)
+    out = None
+    for alias, rows in found.items():
+        id_ = F.col("name" if alias == "unit" else S.PROJECT_ID).alias("id")
+        rows = rows.select(F.lit(alias).alias("alias"), id_, *_REQUEST[alias].fields)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("alias", "id", *fields)
+
+
+_REQUEST_SQL = f"""{Q.with_report(AS_OF)},
+past AS (WITH lines AS (SELECT * FROM lines WHERE used < TIMESTAMP '{AS_OF + dt.timedelta(days=1)} 00:00:00'),
+         {Q.report_cte(name="past_report").strip()} SELECT * FROM past_report),
+{Q.DIM_CTE}, {Q.units_cte()}, {Q.report_cte(Q.UNIT, "(SELECT * FROM unit_lines)", "unit_report")}
+SELECT 'everyone' AS alias, COALESCE(project_id, '') AS id, COALESCE(currentMonthToDate, 0.0) AS currentMonthToDate,
+       CAST(NULL AS DOUBLE[]) AS lastSixMonths, CAST(NULL AS DOUBLE) AS previousFiscalYear,
+       CAST(NULL AS DOUBLE) AS currentFiscalEstimated, CAST(NULL AS DOUBLE) AS currentFiscalToDate, CAST(NULL AS BIGINT) AS projectCount
+FROM report
+UNION ALL SELECT 'some', project_id, NULL, list_transform(lastSixMonths, lambda x: COALESCE(x, 0.0)),
+       COALESCE(previousFiscalYear, 0.0), NULL, NULL, NULL FROM report WHERE project_id IN ({_IDS_SQL})
+UNION ALL SELECT 'one', project_id, NULL, NULL, NULL, COALESCE({_estimated("currentFiscalToDate", dt.date(2000, 4, 1),
+       dt.date(2001, 3, 31), "past")}, 0.0), NULL, NULL FROM past WHERE project_id = '{ONE_ID}'
+UNION ALL SELECT 'unit', u.department, NULL, NULL, NULL, NULL, u.currentFiscalToDate,
+       (SELECT COUNT(DISTINCT project_id) FROM lines WHERE project_id IN (SELECT project_id FROM project_dim
+        WHERE department = '{DEPARTMENT}'))
+FROM unit_report u WHERE u.level = 'department' AND u.department = '{DEPARTMENT}'"""
+
+
+def observed_checks(spark, sf):
+    """The checks taken while the whole report ran, over a dimension with bad classes and a project of each ten listed twice."""
+    dim = fixtures.bad_classes_dim(_dim(spark, sf))
+    number = F.col(S.PROJECT_ID).cast("long")
+    dim = dim.where(number % 10 != 3).unionByName(dim.where(number % 10 == 4))
+    report, checks = checked_report(_billing(spark, sf), dim, AS_OF)
+    report.write.format("noop").mode("overwrite").save()
+    found = checks.metrics()
+    return spark.createDataFrame([tuple(found[c] for c in CHECKS)],
+                                 "invalid_classifications long, duplicate_projects long, null_project_spend double, "
+                                 "projects_without_dimension long")
+
+
+_CHECKS_SQL = f"""WITH {Q.BILLING_CTE}, {Q.BAD_CLASSES_CTE},
+dim AS (SELECT * FROM project_dim WHERE CAST(project_id AS BIGINT) % 10 <> 3
+        UNION ALL SELECT * FROM project_dim WHERE CAST(project_id AS BIGINT) % 10 = 4)
+SELECT (SELECT COUNT(*) FROM dim WHERE classification IS NULL
+        OR classification NOT IN ('PROTECTED_B', 'PROTECTED_A', 'UNCLASSIFIED')) AS invalid_classifications,
+       (SELECT COUNT(*) FROM (SELECT project_id FROM dim GROUP BY project_id HAVING COUNT(*) > 1)) AS duplicate_projects,
+       (SELECT CAST(SUM(cost) + SUM(credits_sum_amount) AS DOUBLE) FROM billing WHERE project_id IS NULL) AS null_project_spend,
+       (SELECT COUNT(DISTINCT project_id) FROM billing WHERE project_id IS NOT NULL
+        AND project_id NOT IN (SELECT project_id FROM dim)) AS projects_without_dimension"""
+
+
 # --- registry ----------------------------------------------------------------
 
 REGISTRY: dict[str, Query] = {
@@ -592,6 +706,14 @@ REGISTRY: dict[str, Query] = {
                                         "E1 G9"),
     "project_details": Query(_project_details(False, False), _details_sql(False, False), "S4 D9 D10 D11"),
     "project_details_nested": Query(_project_details(True, True), _details_sql(True, True), "S4 D9 D10 D11 D13"),
+    "all_projects_from_id_table": Query(report_from_id_table, Q.report_sql(AS_OF), "M7 stored cube"),
+    "all_projects_from_running_totals": Query(report_from_running_totals, Q.report_sql(AS_OF), "P1-P9 stored cube"),
+    "directorate_projects_nested": Query(_unit_pages("directorate", org.PAGE_PROJECTS),
+                                         _unit_pages_sql("directorate", org.PAGE_PROJECTS), "D7"),
+    "department_projects_nested": Query(_unit_pages("department", 7), _unit_pages_sql("department", 7), "D7"),
+    "department_tree": Query(department_tree, _TREE_SQL, "D8"),
+    "report_request": Query(report_request, _REQUEST_SQL, "S6 E1-E3 D1"),
+    "observed_checks": Query(observed_checks, _CHECKS_SQL, "D9 G3"),
     "org_unit_costs_from_store": Query(org_units_from_store, Q.unit_totals_sql(AS_OF), "D4 stored cube"),
 }
 

@@ -180,6 +180,30 @@ def normalize_ids(ids: str | Iterable[str] | None) -> list[str]:
     return out
 
 
+#: Cells of each hash of an id filter: the most rows that one of its broadcasts can have.
+ID_CELLS, ID_HASHES = 1 << 18, 2
+
+
+def _cell(seed: int, key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), key.cast("string")), F.lit(ID_CELLS))
+
+
+def may_be_listed(billing: DataFrame, ids: DataFrame) -> DataFrame:
+    """Billing rows whose project may be among ``ids`` (project_id): a Bloom filter before any aggregate.
+
+    Every hash of the ids marks a cell, and a line stays if all its cells are
+    marked.  The marked cells are at most ``ID_CELLS`` rows of a number each,
+    however many ids there are, so they are broadcast and no line is shuffled.
+    Lines of other projects may stay (a few per cent up to some ten thousand
+    ids, all of them far beyond), so the exact test must follow.
+    """
+    kept = billing.where(project_id_col().isNotNull())
+    for seed in range(ID_HASHES):
+        cells = ids.where(F.col(S.PROJECT_ID).isNotNull()).select(_cell(seed, F.col(S.PROJECT_ID)).alias("_cell")).distinct()
+        kept = kept.join(F.broadcast(cells), _cell(seed, project_id_col()) == F.col("_cell"), "left_semi")
+    return kept
+
+
 def filter_projects(billing: DataFrame, ids: str | Iterable[str] | DataFrame | None) -> DataFrame:
     """Keep the billing rows of the given projects (null ids never match).
 
