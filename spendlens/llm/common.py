@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
 #: Bytes that a worker handles between two calls of ``release``.
-RELEASE_BYTES = 64 << 20
+RELEASE_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,16 +73,20 @@ def fresh(columns, name: str) -> str:
     return name
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+
+
 def release() -> None:
     """Hand memory that is free again back to the system.
 
     Python workers live on from task to task; what one stage has freed would
     else count against the executor while another one runs.
     """
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    if sys.platform.startswith("linux"):
-        ctypes.CDLL(None).malloc_trim(0)
+    if _libc():
+        _libc().malloc_trim(0)
 
 
 _handled = 0
@@ -116,6 +120,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.take(pa.array(np.arange(lo, hi)))
         handled(batch.nbytes)
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

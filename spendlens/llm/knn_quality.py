@@ -104,9 +104,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms and counts of each row, the ones it has only."""
     for part, counts in _counts_of(batches):
-        yield pa.RecordBatch.from_pydict({"label": part.column("label"),
-                                          "counts": [c.astype(np.float32).tobytes() for c in counts]})
+        at = [np.flatnonzero(c) for c in counts]
+        yield pa.RecordBatch.from_pydict({
+            "label": part.column("label"), "terms": pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()),
+            "counts": pa.array([c[a].astype(np.uint32).tobytes() for a, c in zip(at, counts, strict=True)], pa.binary())})
+
+
+def _dense(rows: list) -> np.ndarray:
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for i, row in enumerate(rows):
+        counts[i, np.frombuffer(row["terms"], np.uint16)] = np.frombuffer(row["counts"], np.uint32)
+    return counts
 
 
 @dataclass
@@ -148,8 +158,10 @@ def fold(doc_id=None):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled rows outside the held-out fold.
 
-    A doc_id labelled more than once counts by its smallest label; null ids and
-    null labels are left out.
+    A doc_id labelled more than once counts by its smallest label, one with
+    several texts by the least of them; null ids and null labels are left out.
+    The driver holds the labelled rows' term counts, a few MB, and two square
+    matrices of ``TERMS``.
     """
     common.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -160,21 +172,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         some = (known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL))
         sample = some if sample is None else sample.unionByName(some)
     # PER_LABEL rows a label at most, so that the texts needn't be shuffled to meet them.
-    rows = (texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
-            .mapInArrow(_raw, "label int, counts binary").collect())  # 16 MB a label at most
+    rows = (texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+            .select("text", "label").mapInArrow(_raw, "label int, terms binary, counts binary").collect())  # some MB a label
     found = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies, "term long, n long")
              .groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS + 1 rows
     df = np.array([found.get(t, 0) for t in range(TERMS)], np.float64)
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)).astype(np.float32)
-    rows.sort(key=lambda r: (r["label"], bytes(r["counts"])))
-    labels_of = np.array([r["label"] for r in rows], np.float64)
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
-    weighted = np.log1p(counts) * idf
-    norm = np.linalg.norm(weighted, axis=1, keepdims=True)
-    weighted /= np.where(norm > 0, norm, 1)
-    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    model = Model(idf, np.ascontiguousarray(vectors[:, ::-1][:, :DIMS], np.float32), np.empty((0, DIMS)), labels_of)
-    model.vectors = model.embed(counts).astype(np.float32)
+    rows.sort(key=lambda r: (r["label"], bytes(r["terms"]), bytes(r["counts"])))
+    blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(rows), BLOCK)]
+    gram = np.zeros((TERMS, TERMS))
+    for block in blocks:
+        weighted = np.log1p(_dense(rows[block])) * idf
+        norm = np.linalg.norm(weighted, axis=1, keepdims=True)
+        weighted /= np.where(norm > 0, norm, 1)
+        gram += weighted.T @ weighted
+    axes = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :DIMS], np.float32)
+    model = Model(idf, axes, np.zeros((len(rows), DIMS), np.float32), np.array([r["label"] for r in rows], np.float64))
+    for block in blocks:
+        model.vectors[block] = model.embed(_dense(rows[block]))
+    del rows, gram
+    common.release()
     return model
 
 

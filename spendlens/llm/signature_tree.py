@@ -7,9 +7,9 @@ Jaccard similarity of their sets reaches ``num / den``, tested in integers.
 2. Grams are put in one order for all texts, rare ones first by a counting sketch
    of fixed size (any fixed order is exact; a good one keeps frequent passages
    out of the way).  An entry's prefix in that order is long enough that linked
-   entries share a prefix gram.  Entries that share one are chained by a lag over the gram, and
-   the chains joined into candidate components, so each entry comes into play
-   once however many grams it shares.
+   entries share a prefix gram.  Entries that share one are tied to the least of
+   them, and these stars joined into candidate components, so each entry comes
+   into play once however many grams it shares.
 3. A candidate component becomes a signature tree: entries are leaves, each node
    has the OR of its entries' token bitmaps and their size range.  A dual
    traversal, deepest first, drops node pairs whose largest possible overlap is
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import common
@@ -326,13 +326,15 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))  # CELLS bytes
     sets = common.cut(docs.mapInArrow(_sets(n, num, den, counts), SETS))
     known = sets.where("n > 0 and doc_id is not null")
-    classes = (known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "entry")).alias("first"))
-               .select("fp1", "fp2", F.col("first.doc_id").alias("rep"), F.col("first.entry").alias("entry")))
+    # Tables of their own, so that a join with them can split a digest or gram that very many rows share.
+    classes = common.cut(known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "entry")).alias("first"))
+                         .select("fp1", "fp2", F.col("first.doc_id").alias("rep"), F.col("first.entry").alias("entry")))
     entries = known.join(classes.select("entry"), "entry")
-    shared = Window.partitionBy("gram").orderBy("entry")
-    chain = (entries.select("entry", F.explode("prefix").alias("gram"))
-             .withColumn("before", F.lag("entry").over(shared)).where("before is not null"))
-    candidates = connected_components(chain.select(F.col("entry").alias("a"), F.col("before").alias("b")))
+    grams = entries.select("entry", F.explode("prefix").alias("gram"))
+    shared = common.cut(grams.groupBy("gram").agg(F.min("entry").alias("least"), F.count("*").alias("times"))
+                        .where("times > 1").drop("times"))
+    stars = grams.join(shared, "gram").where("entry != least")
+    candidates = connected_components(stars.select(F.col("entry").alias("a"), F.col("least").alias("b")))
     members = known.select("entry", "n", "bits").join(candidates.withColumnRenamed("node", "entry"), "entry")
     pairs = (_blocks(members, num, den, BITMAP_BLOCK * block_grams).groupBy("component", "block")
              .applyInArrow(_families(num, den), "a long, b long"))

@@ -34,13 +34,15 @@ import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm import common
 
 MIN_WORDS = 50
 GRAM = 16
+#: Suffixes of one sorted range.
+RANGE_SUFFIXES = 100_000
 
 ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, shared array<struct<key:long,places:array<int>>>"
 #: ``own``: the least number of words beyond the key (times 64) and how many more, of the passages whose anchor this is.
@@ -89,9 +91,9 @@ def _keys(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray
     return ahead, behind
 
 
-def _text_hash(text: str | None) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
-    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+def _text_keys() -> dict[str, Column]:
+    """What tells texts apart: two 64-bit hashes of different seeds."""
+    return {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("text"), "text")}
 
 
 def _anchor_rows(min_words: int):
@@ -99,7 +101,6 @@ def _anchor_rows(min_words: int):
         entry = TaskContext.get().partitionId() << 36
         for batch in common.slices(batches):
             words, at = common.word_hashes(batch.column("text"))
-            texts = batch.column("text").to_pylist()
             rows, keys, places = [], [], []
             for i in range(batch.num_rows):
                 mine = words[at[i]:at[i + 1]]
@@ -107,7 +108,7 @@ def _anchor_rows(min_words: int):
                 both = np.stack(own, 1).ravel()  # place 2 i is the key ahead of anchor i, 2 i + 1 the one behind
                 place = np.flatnonzero(both)
                 key, first = np.unique(both[place], return_inverse=True)
-                rows.append((entry, *_text_hash(texts[i]), len(mine), len(key)))
+                rows.append((entry, len(mine), len(key)))
                 keys.append(key)
                 if len(place):
                     order = np.argsort(first, kind="stable")
@@ -117,11 +118,10 @@ def _anchor_rows(min_words: int):
             structs = pa.StructArray.from_arrays(
                 [pa.array(common.as_signed(np.concatenate(keys)), pa.int64()), pa.array(places, pa.list_(pa.int32()))],
                 names=["key", "places"])
-            offsets = pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32())
+            offsets = pa.array(np.cumsum([0, *(r[2] for r in rows)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), batch.column("doc_id"),
-                 *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)),
-                 pa.array([r[3] for r in rows], pa.int32()), pa.ListArray.from_arrays(offsets, structs)],
+                [pa.array([r[0] for r in rows], pa.int64()), *(batch.column(c) for c in ("doc_id", "h1", "h2")),
+                 pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(offsets, structs)],
                 names=["entry", "doc_id", "h1", "h2", "n_words", "shared"])
     return run
 
@@ -142,12 +142,8 @@ def _suffix_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             words, offsets = common.word_hashes(batch.column("text"))
-            texts = batch.column("text").to_pylist()
             out = []
-            for i, (doc_id, h1, h2, places) in enumerate(zip(
-                    *(batch.column(c).to_pylist() for c in ("doc_id", "h1", "h2", "places")), strict=True)):
-                if _text_hash(texts[i]) != (h1, h2):  # another text of a repeated doc_id
-                    continue
+            for i, (doc_id, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places")), strict=True)):
                 mine = words[offsets[i]:offsets[i + 1]]
                 at = anchors(mine, min_words)
                 ahead, behind = map(common.as_signed, _keys(mine, at, min_words))
@@ -288,7 +284,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words must be at least {GRAM + 2}")
     common.bounded_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = common.cut(docs.mapInArrow(_anchor_rows(min_words), ANCHORS).where(F.col("n_words") >= min_words))
+    rows = common.cut(docs.withColumns(_text_keys()).mapInArrow(_anchor_rows(min_words), ANCHORS)
+                      .where(F.col("n_words") >= min_words))
     classes = (rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "entry")).alias("first"))
                .select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.entry").alias("entry")))
     copies = (rows.select("doc_id", "h1", "h2", "n_words").join(classes.drop("entry"), ["h1", "h2"])
@@ -302,9 +299,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
              .where("above is not null or below is not null or size(places) > 1").groupBy("entry")
              .agg(F.flatten(F.collect_list("places")).alias("places")))  # two a minimiser of one text at most
     wanted = alike.join(entries.select("entry", "doc_id", "h1", "h2"), "entry").drop("entry")
-    suffixes = common.cut(docs.join(wanted, "doc_id").mapInArrow(_suffix_rows(min_words), SUFFIXES))
+    suffixes = common.cut(docs.withColumns(_text_keys()).join(wanted, ["doc_id", "h1", "h2"]).mapInArrow(
+        _suffix_rows(min_words), SUFFIXES))
     order = ["key", "further", "other", "doc_id", "pos"]
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-suffixes.count() // RANGE_SUFFIXES))
     found = common.cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                        .mapInArrow(_neighbours(min_words, True), MATCHES))
     ends = (found.where("edge").select("key", "further", "other", "doc_id", "pos", "back", "own").repartition("key")
@@ -322,35 +320,44 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                           ).unionByName(copies).groupBy("doc_id").applyInArrow(_merge, SPANS)
 
 
-def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_text(column: str):
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    for batch in common.slices(batches):
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            if text and spans:
-                at = [m.span() for m in word.finditer(text)]
-                kept, last = [], 0
-                for span in sorted(spans, key=lambda s: s["start"]):
-                    kept.append(text[last:at[span["start"]][0]])
-                    last = at[span["stop"] - 1][1]
-                text = "".join([*kept, text[last:]])
-            texts.append(text)
-        columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "text": pa.array(texts, pa.string())}
-        del columns["_spans"]
-        yield pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                if text and spans:
+                    at = [m.span() for m in word.finditer(text)]
+                    kept, last = [], 0
+                    for span in sorted(spans, key=lambda s: s["start"]):
+                        kept.append(text[last:at[span["start"]][0]])
+                        last = at[span["stop"] - 1][1]
+                    text = "".join([*kept, text[last:]])
+                texts.append(text)
+            names = [c for c in batch.schema.names if c != column]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names],
+                                             names=names)
+    return run
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated span cut out of its text but at its first place; all columns kept.
 
-    A document that consists of repeated spans keeps its row, with what little is left as text.
+    A document that consists of repeated spans keeps its row, with what little
+    is left as text.  A place is a doc_id and a position: rows of one doc_id but
+    different texts keep these whole, as do rows without a doc_id.
     """
-    spans = (repeated_spans(docs, min_words).groupBy(F.col("doc_id").alias("_span_doc"))
-             .agg(F.collect_list(F.struct("start", "stop")).alias("_spans")))  # spans of one text
-    joined = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").drop("_span_doc")
-    return joined.mapInArrow(_cut_text, docs.schema)
+    column, id_ = common.fresh(docs.columns, "spans"), common.fresh(docs.columns, "span_doc")
+    texts = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"),
+                                                                    F.max(F.xxhash64("text")).alias("b")))
+    several = texts.where("a != b").select(F.col("doc_id").cast("long").alias("doc_id"))
+    spans = (repeated_spans(docs, min_words).join(several, "doc_id", "left_anti").groupBy(F.col("doc_id").alias(id_))
+             .agg(F.collect_list(F.struct("start", "stop")).alias(column)))  # spans of one text
+    joined = docs.join(spans, docs["doc_id"] == spans[id_], "left").drop(id_)
+    return joined.mapInArrow(_cut_text(column), docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

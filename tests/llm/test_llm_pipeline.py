@@ -91,6 +91,32 @@ def test_stages_take_odd_rows(spark, stages):
     assert corpus_pipeline.quality(spark, df, SF).columns == df.columns
 
 
+def test_stages_keep_columns_of_any_name(spark, stages):
+    text = " ".join(f"word{k}" for k in range(60))
+    names = ["again", "_again", "row", "quality", "_quality", "spans", "_spans", "span_doc", "_span_doc", "before", "_whole", "entry",
+             "component_id", "score", "h1", "label", "text_crc"]
+    rows = [(i, t, "en", "s", 5, *[f"{n}-{i}" for n in names]) for i, t in
+            [(1, text), (2, text + " more"), (3, "other words " * 9 + text), (4, None), (None, text)]]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        assert all(tuple(r)[5:] == tuple(f"{n}-{r.doc_id}" for n in names) for r in out.collect()), name
+
+
+def test_texts_of_a_repeated_doc_id_stay(spark):
+    one, two = (" ".join(f"{w}{k}" for k in range(70)) for w in "ab")
+    rows = [(3, one, "x"), (3, two, "y"), (3, two, "a"), (3, two, "a"), (9, two, "z"), (4, "", "e"), (4, "", "e"), (4, one + " q", "f")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 7):
+        kept = corpus_pipeline.near_duplicates(spark, df.repartition(parts), SF).collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in kept) == sorted([(3, one, "x"), (3, two, "a")])
+        cut = corpus_pipeline.repeated_passages(spark, df.repartition(parts), SF).collect()
+        assert sorted((r.doc_id, r.text) for r in cut) == sorted((i, t) for i, t, _ in rows if i != 9)
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     copy = tmp_path / "repo"
     copy.mkdir()
