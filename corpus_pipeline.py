@@ -25,45 +25,56 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the nearest-neighbour classifier takes for low quality."""
+    """Drop the documents that the nearest-neighbour classifier takes for low quality.
+
+    A null text is scored as an empty one, a row without a doc_id like any other.
+    """
     model = knn_quality.fit(docs, common.read_table(spark, sf_dir, "labels"))
-    scored = knn_quality.score(docs, model, "_quality")
-    return scored.where(F.col("_quality") >= knn_quality.THRESHOLD).select(docs.columns)
+    column = common.fresh(docs.columns, "quality")
+    scored = knn_quality.score(docs, model, column)
+    return scored.where(F.col(column) >= knn_quality.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each linked group, once where it is repeated.
+    """Keep the document with the least doc_id of each linked group.
 
-    Texts without words are in no group; all of them stay.
+    Rows that share a doc_id are one document; each of its different texts stays,
+    rows that repeat one stay once (the first as JSON).  Texts without words and
+    rows without a doc_id are in no group; all of them stay.
     """
     groups = signature_tree.link_groups(docs, SHINGLE, *SIMILARITY)
     gone = groups.where("component_id != doc_id").select("doc_id").distinct()
+    again, row = (common.fresh(docs.columns, c) for c in ("again", "row"))
     repeated = (groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-                .where("n > 1").select("doc_id", F.lit(True).alias("_again")))
+                .where("n > 1").select("doc_id", F.lit(True).alias(again)))
     kept = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left")
-    once = kept.where("_again").drop("_again").dropDuplicates(["doc_id"])
-    return kept.where("_again is null").drop("_again").unionByName(once).select(docs.columns)
+    twice = F.coalesce(again, F.lit(False)) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    whole = F.struct(*docs.columns)
+    once = (kept.where(twice).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))
+    return kept.where(~F.coalesce(twice, F.lit(False))).select(docs.columns).unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that occur at an earlier place already; a text left empty goes.
 
-    ``n_chars`` follows the text.
+    ``n_chars`` follows the text.  Texts of a doc_id that has several are left
+    whole, and so are null texts and rows without a doc_id.
     """
-    cut = suffix_dedup.remove_repeats(docs.withColumn("_whole", F.xxhash64("text")))
-    changed = ~F.col("_whole").eqNullSafe(F.xxhash64("text"))
+    before = common.fresh(docs.columns, "before")
+    cut = suffix_dedup.remove_repeats(docs.withColumn(before, F.xxhash64("text")))
+    changed = ~F.col(before).eqNullSafe(F.xxhash64("text"))
     cut = cut.where(~(changed & (F.trim(F.col("text")) == "")))
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
         docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that leak a benchmark item."""
+    """Drop the documents that leak a benchmark item; null and empty texts leak none, rows without a doc_id stay."""
     return bm25_leaks.drop_leaks(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left; a null text is coded as an empty one."""
     return word_bpe.encode_decode(docs, word_bpe.load_tokenizer(TOKENIZER))
 
 
