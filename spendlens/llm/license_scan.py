@@ -1,12 +1,16 @@
 """License scan: TF-IDF cosine of lines to license templates, then inheritance from ancestor folders.
 
-DataFrame functions only.  Every line of every text is looked at; a line shares
-a term with a template or its cosine is zero, so lines without a template term
-are left out by a pattern and nothing is lost.  Document frequencies are counts
-of those lines over all texts.  From the template terms' weights alone follows
-a bound of a line's cosine, as any other word weighs one at least; only lines
-whose bound reaches ``THRESHOLD`` travel, and equal ones are scored once.  A
-text's own license is its best line at ``THRESHOLD`` or above.
+DataFrame functions only.  Templates are one-sentence notices, standard file
+headers and whole short licence texts.  The parts of a text that meet them are
+its lines, its paragraphs (headers wrapped over lines; lines of comment marks
+alone are blank), its sentences (a notice inside a long line), all over the
+text, and the whole text of a licence file.  A part shares a term with a
+template or its cosine is zero, so parts without a template term are left out
+by a pattern and nothing is lost.  Document frequencies are counts of lines
+with a template term over all texts.  From the template terms' weights alone
+follows a bound of a part's cosine, as any other word weighs one at least; only
+parts whose bound reaches ``THRESHOLD`` travel, and equal ones are scored once.
+A text's own license is its best part at ``THRESHOLD`` or above.
 
 A licence file (by its name) declares its license for its folder.  A text
 without a license of its own takes that of the nearest ancestor folder that
@@ -26,22 +30,75 @@ from spendlens.llm import common
 
 THRESHOLD = 0.6
 
-# License ids and the notices they are given by.
+# License ids with the notices, standard headers and short licence texts they are given by.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+_GNU = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}
+General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your
+option) any later version."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", _APACHE),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_END}"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", f"{_BSD_2} {_BSD_3} {_BSD_END}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format(kind="", version=2)),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", _GNU.format(kind="", version=3)),
+    ("ISC", _ISC),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _GNU.format(kind="Lesser", version=3)),
     ("MIT", "Released under the MIT License."),
+    ("MIT", _MIT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", _MPL),
     ("Proprietary", "All rights reserved."),
 ]
-STOP_WORDS = ["a", "all", "and", "are", "in", "is", "of", "or", "the", "this", "to", "under", "with"]
+# Function words, which are no terms.
+STOP_WORDS = """a all an and any are as at be but can for from if in is it its may no not of on one or other shall such
+that the this to under was which who whom with without you""".split()
+#: What parts paragraphs, and sentences.
+PARAGRAPH = r"\n([ \t\r#*;%/-]*\n)+"
+SENTENCE = r"[.!?]+[ \t\r\n]+"
 WORD = "[a-z0-9]+([.+-][a-z0-9]+)*"
 FILE_NAME = "(?i)^(licen[cs]e|copying|notice)([.].*)?$"
 
@@ -61,6 +118,18 @@ def line_pattern() -> str:
     return f"(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])"
 
 
+def parts(text: Column, path: Column) -> Column:
+    """The distinct lines, paragraphs and sentences of a text with a template term, and a licence file as a whole."""
+    def with_term(x: Column) -> Column:
+        return x.rlike(line_pattern())
+
+    paragraphs = F.filter(F.split(text, PARAGRAPH), with_term)
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.concat(F.split(p, "\n"), F.split(p, SENTENCE), F.array(p))))
+    name = F.coalesce(F.regexp_extract(path, "[^/]*$", 0), F.lit(""))
+    whole = F.when(name.rlike(FILE_NAME), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.filter(pieces, with_term), whole))
+
+
 def _terms(line: Column) -> Column:
     """Lower-cased words of a line, stop words left out."""
     words = F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
@@ -74,7 +143,7 @@ def term_counts(lines: DataFrame) -> DataFrame:
 
 
 def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """``lines`` without those whose cosine to every template is below the threshold for certain.
+    """The parts ``lines`` without those whose cosine to every template is below the threshold for certain.
 
     The dot product needs the weights of template terms only, and a word that
     is no template term adds one to the squared length at least.
@@ -96,29 +165,30 @@ def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def line_scores(lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """line, license, score of the best template of each distinct line that reaches the threshold.
+    """line, license, score of the best template of each distinct part that reaches the threshold.
 
-    ``seen`` is ``term_counts`` of all lines, ``lines`` those to be scored.
+    ``seen`` is ``term_counts`` of all lines, ``lines`` the parts to be scored.
     """
     spark = lines.sparkSession
     words = (lines.select("line").distinct().select("line", F.explode(_terms(F.col("line"))).alias("term"))
              .groupBy("line", "term").agg(F.count("*").alias("tf")))
     total = seen.agg(F.coalesce(F.sum(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("total"))
     weight = F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    templates = spark.createDataFrame(TEMPLATES, "license string, notice string")  # a constant list
-    wanted = (templates.select("license", F.explode(_terms(F.col("notice"))).alias("term"))
-              .groupBy("license", "term").agg(F.count("*").alias("tf")).join(seen, "term", "left")
+    templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)],
+                                      "template int, license string, notice string")  # a constant list
+    wanted = (templates.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term"))
+              .groupBy("template", "license", "term").agg(F.count("*").alias("tf")).join(seen, "term", "left")
               .join(F.broadcast(total))  # one row
-              .select("license", "term", (F.col("tf") * weight).alias("t")))
-    wanted_norm = wanted.groupBy("license").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
-    mine = (words.join(seen, "term").join(F.broadcast(total))  # one row
+              .select("template", "license", "term", (F.col("tf") * weight).alias("t")))
+    wanted_norm = wanted.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
+    mine = (words.join(seen, "term", "left").join(F.broadcast(total))  # one row
             .select("line", "term", (F.col("tf") * weight).alias("w")))
     norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (mine.join(F.broadcast(wanted), "term")  # the templates' terms, a constant number
-           .groupBy("line", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
+           .groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
     score = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
     best = F.max(F.struct("score", F.col("license"))).alias("best")
-    return (dot.join(norm, "line").join(F.broadcast(wanted_norm), "license").withColumn("score", score)
+    return (dot.join(norm, "line").join(F.broadcast(wanted_norm), "template").withColumn("score", score)
             .where(F.col("score") >= THRESHOLD).groupBy("line").agg(best)
             .select("line", F.col("best.license").alias("license"), F.col("best.score").alias("score")))
 
@@ -132,17 +202,18 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, path, license, evidence, score, folder for every row of ``docs`` (doc_id, path, text).
 
     ``evidence`` is own, inherited or none; ``folder`` is where an inherited
-    license comes from.  Of several lines, or several licence files of one
+    license comes from.  Of several parts, or several licence files of one
     folder, the best score wins, then the last license by name.  Null and empty
     texts have no license of their own; a null path inherits nothing; rows that
-    share doc_id and path share their lines.  Other columns are not read.
+    share doc_id and path share their parts.  Other columns are not read.
     """
     docs = docs.select("doc_id", "path", "text")
     keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("path", F.lit(""))]
-    lines = (docs.where(F.col("text").rlike(line_pattern()))
-             .select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
-                     F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line")))
-    seen = common.cut(term_counts(lines))
+    able = docs.where(F.col("text").rlike(line_pattern()))
+    seen = common.cut(term_counts(able.select(
+        F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line"))))
+    lines = able.select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
+                        F.explode(parts(F.col("text"), F.col("path"))).alias("line"))
     lines = common.cut(hopeful(lines, seen))
     own = (lines.join(line_scores(lines, seen), "line")
            .groupBy("key").agg(F.max(F.struct("score", "license")).alias("own")))
@@ -151,9 +222,9 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = common.cut(rows.join(own, "key", "left").drop("key"))
     files = rows.where(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME) & F.col("own").isNotNull())
     declared = files.groupBy(F.col("at").alias("folder")).agg(F.max("own").alias("given"))
-    parts = F.split("folder_path", "/")
-    above = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)),
-                                 lambda n: F.array_join(F.slice(parts, 1, n), "/")), F.array(F.lit("")))
+    names = F.split("folder_path", "/")
+    above = F.concat(F.transform(F.sequence(F.lit(1), F.size(names)),
+                                 lambda n: F.array_join(F.slice(names, 1, n), "/")), F.array(F.lit("")))
     folders = rows.where(F.col("own").isNull() & F.col("at").isNotNull()).select(F.col("at").alias("folder_path")).distinct()
     nearest = (folders.select("folder_path", F.explode(F.array_distinct(above)).alias("folder")).join(declared, "folder")
                .groupBy("folder_path").agg(F.max_by(F.struct("folder", "given"), F.length("folder")).alias("near")))
@@ -184,7 +255,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in TEMPLATES)
+    values = ", ".join("({}, '{}', '{}')".format(k, i, t.replace("'", "''")) for k, (i, t) in enumerate(TEMPLATES))
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     pattern = line_pattern().replace("'", "''")
     terms = "list_filter(regexp_extract_all(lower({}), '({})', 1), lambda w: w NOT IN ({}))"
@@ -199,21 +270,32 @@ placed AS (
 lines AS (
   SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM placed)
   WHERE regexp_matches(line, '{pattern}')),
+paragraphs AS (
+  SELECT doc_id, paragraph FROM (SELECT doc_id, unnest(string_split_regex(text, '{PARAGRAPH}')) AS paragraph FROM placed)
+  WHERE regexp_matches(paragraph, '{pattern}')),
+pieces AS (
+  SELECT doc_id, unnest(string_split(paragraph, chr(10))) AS piece FROM paragraphs
+  UNION SELECT doc_id, unnest(string_split_regex(paragraph, '{SENTENCE}')) FROM paragraphs
+  UNION SELECT doc_id, paragraph FROM paragraphs
+  UNION SELECT doc_id, text FROM placed WHERE regexp_matches(path, '(^|/)LICENSE$')),
 line_terms AS (
-  SELECT doc_id, row_number() OVER () AS seg, line, {terms.format('line', WORD, stop)} AS terms FROM lines),
+  SELECT doc_id, row_number() OVER () AS seg, {terms.format('piece', WORD, stop)} AS terms FROM pieces
+  WHERE regexp_matches(piece, '{pattern}')),
 tf AS (SELECT seg, term, count(*) AS tf FROM (SELECT seg, unnest(terms) AS term FROM line_terms) GROUP BY seg, term),
-idf AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, count(*) AS df FROM
+        (SELECT unnest(list_distinct({terms.format('line', WORD, stop)})) AS term FROM lines) GROUP BY term),
 total AS (SELECT count(*) AS total FROM lines),
-vec AS (SELECT seg, tf.term, tf * (ln((1 + total) / (1 + df)) + 1) AS w FROM tf JOIN idf USING (term) CROSS JOIN total),
+vec AS (SELECT seg, tf.term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS w
+        FROM tf LEFT JOIN idf USING (term) CROSS JOIN total),
 norm AS (SELECT seg, sqrt(sum(w * w)) AS norm FROM vec GROUP BY seg),
-templates(license, notice) AS (VALUES {values}),
-t_tf AS (SELECT license, term, count(*) AS tf FROM
-         (SELECT license, unnest({terms.format('notice', WORD, stop)}) AS term FROM templates) GROUP BY license, term),
-t_vec AS (SELECT license, t_tf.term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS t
+templates(template, license, notice) AS (VALUES {values}),
+t_tf AS (SELECT template, license, term, count(*) AS tf FROM
+         (SELECT template, license, unnest({terms.format('notice', WORD, stop)}) AS term FROM templates) GROUP BY ALL),
+t_vec AS (SELECT template, license, t_tf.term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS t
           FROM t_tf LEFT JOIN idf USING (term) CROSS JOIN total),
-t_norm AS (SELECT license, sqrt(sum(t * t)) AS t_norm FROM t_vec GROUP BY license),
+t_norm AS (SELECT template, sqrt(sum(t * t)) AS t_norm FROM t_vec GROUP BY template),
 scores AS (SELECT seg, license, round(sum(w * t) / (any_value(norm) * any_value(t_norm)), 6) AS score
-           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (license) GROUP BY seg, license),
+           FROM vec JOIN t_vec USING (term) JOIN norm USING (seg) JOIN t_norm USING (template) GROUP BY seg, template, license),
 own AS (SELECT doc_id, max(struct_pack(score := score, license := license)) AS own
         FROM scores JOIN line_terms USING (seg) WHERE score >= {THRESHOLD} GROUP BY doc_id),
 located AS (SELECT p.doc_id, p.path, regexp_replace(p.path, '/[^/]*$', '') AS dir, own.own

@@ -137,3 +137,20 @@ def test_lines_of_one_template_term_are_scored(spark):
     assert (got[1].license, got[1].evidence) == ("Proprietary", "own") and got[1].score >= license_scan.THRESHOLD
     assert (got[2].license, got[2].evidence, got[2].folder) == ("Proprietary", "inherited", "a")
     assert got[10].evidence == "none"
+
+
+def test_wrapped_headers_bodies_and_sentences_are_found(spark):
+    filler = [" ".join(f"w{k * j % 997}x" for j in range(30)) for k in range(60)]
+    texts = {t: [x for i, x in license_scan.TEMPLATES if i == t][-1] for t in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC")}
+    gnu = [x for i, x in license_scan.TEMPLATES if i == "GPL-3.0"][-1].replace("\n", " ").split()
+    wrapped = "\n".join(" * " + " ".join(gnu[k:k + 8]) for k in range(0, len(gnu), 8))
+    rows = [(k, f"d{k}/LICENSE", f"Copyright 2020 somebody\n\n{x}\n") for k, x in enumerate(texts.values())]
+    rows += [(10 + k, f"d{k}/a/b.txt", filler[k]) for k in range(4)]
+    rows += [(20, "e/x.c", f"/*\n{wrapped}\n *\n * {filler[5]}\n */\n" + "\n".join(filler)),
+             (21, "e/y.c", " ".join(filler) + ". Licensed under the Apache License, Version 2.0. " + " ".join(filler)),
+             (22, "e/z.c", "\n".join(filler)), (23, "e/LICENSE", None), (24, "f/LICENSE", "")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[k].license for k in range(4)] == list(texts) == [got[10 + k].license for k in range(4)]
+    assert {got[10 + k].evidence for k in range(4)} == {"inherited"}
+    assert (got[20].license, got[20].evidence) == ("GPL-3.0", "own") and (got[21].license, got[21].evidence) == ("Apache-2.0", "own")
+    assert {got[k].evidence for k in (22, 23, 24)} == {"none"}
