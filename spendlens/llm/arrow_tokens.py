@@ -193,21 +193,24 @@ def write_sequences(docs: DataFrame, tokenizer: str, root: str, seq_len: int = S
     """Write ``docs`` (doc_id, text) under ``root`` and return the manifest, one row per shard.
 
     Null texts count as empty (the end id alone); null doc_ids come first;
-    repeated doc_ids are ordered by text.  An empty table gives an empty shard.
+    rows of one doc_id are ordered by a hash of the text, which also spreads the
+    texts of a hot doc_id, or of none, over shards.  An empty table gives an
+    empty shard.
     """
     common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fs, folder = pafs.FileSystem.from_uri(root)
     fs.create_dir(folder, recursive=True)
-    ordered = (docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    ordered = (docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id", "mark")
+               .sortWithinPartitions("doc_id", "mark", "text"))
     return common.cut(ordered.mapInArrow(_writer(tokenizer, root, seq_len), MANIFEST))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+        for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
             reader, index = open_file(f"{path}.arrow"), open_file(f"{path}.docs.arrow")
             number, view = -1, ()
             at = 0  # ids of the shard before ``view``
@@ -228,20 +231,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         done += len(piece)
                     sums.append(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(part.num_rows, shard)), part.column("doc_id"), part.column("start"),
-                     part.column("n"), pa.array(sums, pa.int64())],
-                    names=["shard", "doc_id", "start", "n", "crc"])
+                    [part.column("doc_id"), pc.add(part.column("start"), before), part.column("n"),
+                     pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_sequences(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a manifest."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)),
                         F.lit(0))  # one short row per 32 MB of text
-    offsets = manifest.select("shard", before.alias("before"))
-    rows = (manifest.select("shard", "path").repartition(max(1, manifest.rdd.getNumPartitions()), "shard")
-            .mapInArrow(_read, "shard long, doc_id long, start long, n long, crc long"))
-    return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"),
-                                              F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    shards = manifest.select("shard", "path", before.cast("long").alias("before"))
+    return (shards.repartition(max(1, manifest.rdd.getNumPartitions()), "shard")
+            .mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

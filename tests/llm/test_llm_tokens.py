@@ -3,6 +3,7 @@
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +98,25 @@ def test_arrow_tokens_empty_repeated_and_null(spark):
         arrow_tokens.SequenceWriter(None, 100)
 
 
+def test_a_hot_doc_id_spans_shards(spark, monkeypatch):
+    monkeypatch.setattr(arrow_tokens, "SHARD_BYTES", 4_000)
+    rows = [(i, "left " * i) for i in range(20)] + [(None, f"none {k}") for k in range(900)] + [(30, f"w {k}") for k in range(900)]
+    root = f"{common.shared_dir(spark)}/{uuid.uuid4().hex}"
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, mark int, before int").repartition(4)
+    manifest = arrow_tokens.write_sequences(df, word_bpe.load_tokenizer("byte_bpe_50k.json"), root)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 3 and max(sizes) < 900
+    result = arrow_tokens.read_sequences(manifest)
+    assert "Join" not in result._jdf.queryExecution().executedPlan().toString()
+    got = sorted(result.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    library = _library("byte_bpe_50k.json")
+    texts = Counter((i, zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()))
+                    for i, t in rows)
+    assert texts == Counter((r.doc_id, r.ids_crc32) for r in got)
+
+
 def test_slices_are_compact_and_whole(spark):
     import pyarrow as pa
 
