@@ -114,8 +114,14 @@ def template_terms() -> list[str]:
 
 
 def line_pattern() -> str:
-    words = "|".join(t.replace(".", "[.]").replace("+", "[+]") for t in template_terms())
-    return f"(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])"
+    """Any template term as a word; terms are grouped by their first two characters, so few are tried at a place."""
+    groups: dict[str, dict[str, list[str]]] = {}
+    for t in template_terms():
+        rest = t[2:].replace(".", "[.]").replace("+", "[+]")
+        groups.setdefault(t[0], {}).setdefault(t[1:2], []).append(rest)
+    first = [c + "(?:" + "|".join(f"{d}(?:{'|'.join(ends)})" for d, ends in seconds.items()) + ")"
+             for c, seconds in groups.items()]
+    return f"(?i)(?:^|[^a-z0-9])(?:{'|'.join(first)})(?:$|[^a-z0-9])"
 
 
 def parts(text: Column, path: Column) -> Column:
@@ -124,10 +130,11 @@ def parts(text: Column, path: Column) -> Column:
         return x.rlike(line_pattern())
 
     paragraphs = F.filter(F.split(text, PARAGRAPH), with_term)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.concat(F.split(p, "\n"), F.split(p, SENTENCE), F.array(p))))
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.concat(F.filter(
+        F.array_distinct(F.concat(F.split(p, "\n"), F.split(p, SENTENCE))), with_term), F.array(p))))
     name = F.coalesce(F.regexp_extract(path, "[^/]*$", 0), F.lit(""))
     whole = F.when(name.rlike(FILE_NAME), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.filter(pieces, with_term), whole))
+    return F.array_distinct(F.concat(pieces, whole))
 
 
 def _terms(line: Column) -> Column:
@@ -145,8 +152,8 @@ def term_counts(lines: DataFrame) -> DataFrame:
 def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
     """The parts ``lines`` without those whose cosine to every template is below the threshold for certain.
 
-    The dot product needs the weights of template terms only, and a word that
-    is no template term adds one to the squared length at least.
+    The dot product and a part of the squared length need the counts and weights
+    of template terms only; a word that is none adds one to the length at least.
     """
     notices = [Counter(w for w in _words(text.lower()) if w not in STOP_WORDS) for _, text in TEMPLATES]
     df = dict(seen.where(F.col("term").isin("", *template_terms())).collect())  # a constant number of terms
@@ -158,8 +165,14 @@ def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
     known = F.filter(words, lambda w: w.isin(template_terms()))
     zeros = F.array(*[F.lit(0.0)] * (len(TEMPLATES) + 1))
     lines = lines.withColumn("known", known).where(F.size("known") > 0).withColumn("others", F.size(words) - F.size("known"))
-    lines = lines.withColumn("sums", F.aggregate(
-        "known", zeros, lambda total, w: F.zip_with(total, F.element_at(shares, w), lambda x, y: x + y)))
+
+    def add(total: Column, w: Column) -> Column:
+        n = F.size(F.filter("known", lambda x: x == w)).cast("double")
+        return F.zip_with(F.zip_with(total, F.element_at(shares, w), lambda x, y: x + n * y), square,
+                          lambda x, own: x + (n * n - n) * own * F.element_at(shares, w)[0])
+
+    square = F.array(F.lit(1.0), *[F.lit(0.0)] * len(TEMPLATES))  # the first sum is of squares
+    lines = lines.withColumn("sums", F.aggregate(F.array_distinct("known"), zeros, add))
     bound = F.array_max(F.slice("sums", 2, len(TEMPLATES))) / F.sqrt(F.col("sums")[0] + F.col("others"))
     return lines.where(bound >= THRESHOLD - 1e-5).drop("known", "others", "sums")
 
