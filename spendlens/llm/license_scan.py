@@ -19,6 +19,7 @@ declares one: distinct folders, not files, are joined with their ancestors.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -149,32 +150,47 @@ def term_counts(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def hopeful(lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """The parts ``lines`` without those whose cosine to every template is below the threshold for certain.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hopeful(found: Column, seen: DataFrame) -> Column:
+    """The array ``found`` of parts without those whose cosine to every template is below the threshold for certain.
 
     The dot product and a part of the squared length need the counts and weights
     of template terms only; a word that is none adds one to the length at least.
+    All of it is one expression: as columns of their own, the steps would be
+    copied into the filter that follows and run anew for each word.
     """
     notices = [Counter(w for w in _words(text.lower()) if w not in STOP_WORDS) for _, text in TEMPLATES]
-    df = dict(seen.where(F.col("term").isin("", *template_terms())).collect())  # a constant number of terms
-    idf = {t: math.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1 for t in template_terms()}
+    terms = template_terms()
+    df = dict(seen.where(F.col("term").isin("", *terms)).collect())  # a constant number of terms
+    idf = {t: math.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1 for t in terms}
     norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in notice.items())) for notice in notices]
-    shares = F.create_map(*[x for t in idf for x in (F.lit(t), F.array(
-        F.lit(idf[t] ** 2), *[F.lit(n[t] * idf[t] ** 2 / norm) for n, norm in zip(notices, norms, strict=True)]))])
-    words = _terms(F.col("line"))
-    known = F.filter(words, lambda w: w.isin(template_terms()))
-    zeros = F.array(*[F.lit(0.0)] * (len(TEMPLATES) + 1))
-    lines = lines.withColumn("known", known).where(F.size("known") > 0).withColumn("others", F.size(words) - F.size("known"))
+    weights = {t: [idf[t] ** 2, *(n[t] * idf[t] ** 2 / norm for n, norm in zip(notices, norms, strict=True))] for t in terms}
+    weights = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")  # one literal, not thousands
+    none = F.array_repeat(F.lit(0.0), len(TEMPLATES) + 1)
+
+    def counted(known: Column) -> Column:
+        """Each distinct template term's number of times, squared weight and shares of the dot products."""
+        return F.transform(F.array_distinct(known), lambda w: F.struct(
+            (F.size(known) - F.size(F.array_remove(known, w))).cast("double").alias("n"),
+            F.element_at(weights, w).alias("weights")))
+
+    def reaches(terms: Column, others: Column) -> Column:
+        length = F.aggregate(terms, F.lit(0.0), lambda x, t: x + t["n"] * t["n"] * t["weights"][0])
+        dots = F.aggregate(terms, none, lambda total, t: F.zip_with(total, t["weights"], lambda x, y: x + t["n"] * y))
+        best = F.array_max(F.slice(dots, 2, len(TEMPLATES)))  # the first sum is none
+        least = THRESHOLD - 1e-5
+        return _let(length, lambda known: (known >= least * least * (known + others))
+                    & (best >= least * F.sqrt(known + others)))
 
-    def add(total: Column, w: Column) -> Column:
-        n = F.size(F.filter("known", lambda x: x == w)).cast("double")
-        return F.zip_with(F.zip_with(total, F.element_at(shares, w), lambda x, y: x + n * y), square,
-                          lambda x, own: x + (n * n - n) * own * F.element_at(shares, w)[0])
+    def hope(part: Column) -> Column:
+        return _let(_terms(part), lambda words: _let(F.filter(words, lambda w: w.isin(terms)), lambda known: _let(
+            counted(known), lambda each: reaches(each, F.size(words) - F.size(known)))))
 
-    square = F.array(F.lit(1.0), *[F.lit(0.0)] * len(TEMPLATES))  # the first sum is of squares
-    lines = lines.withColumn("sums", F.aggregate(F.array_distinct("known"), zeros, add))
-    bound = F.array_max(F.slice("sums", 2, len(TEMPLATES))) / F.sqrt(F.col("sums")[0] + F.col("others"))
-    return lines.where(bound >= THRESHOLD - 1e-5).drop("known", "others", "sums")
+    return F.filter(found, hope)
 
 
 def line_scores(lines: DataFrame, seen: DataFrame) -> DataFrame:
@@ -225,9 +241,8 @@ def scan(docs: DataFrame) -> DataFrame:
     able = docs.where(F.col("text").rlike(line_pattern()))
     seen = common.cut(term_counts(able.select(
         F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line"))))
-    lines = able.select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
-                        F.explode(parts(F.col("text"), F.col("path"))).alias("line"))
-    lines = common.cut(hopeful(lines, seen))
+    lines = common.cut(able.select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
+                                   F.explode(hopeful(parts(F.col("text"), F.col("path")), seen)).alias("line")))
     own = (lines.join(line_scores(lines, seen), "line")
            .groupBy("key").agg(F.max(F.struct("score", "license")).alias("own")))
     rows = docs.select("doc_id", "path", F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
