@@ -37,11 +37,16 @@ BATCH_SEQS = 128
 SHARD_BYTES = 32 << 20
 #: Words a task remembers; then it starts anew.
 CACHE_WORDS = 800_000
+#: Distinct words that go through the tokenizer as one text.
+JOINED = 1024
 END_ID = 0
 
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 #: A space next to other white space: there the words can't be cut one by one.
 _TANGLED = r" [\p{Z}\x{85}\t-\r]|[\p{Z}\x{85}\t-\r] "
+#: How a byte-level vocabulary writes a space.
+_SPACE = "\u0120"
+_WHITE = r"[\p{Z}\x{85}\t-\r]"
 
 
 class Encoder:
@@ -54,7 +59,10 @@ class Encoder:
 
     def __init__(self, tokenizer: str):
         self.model = load_model(tokenizer)
-        self.width = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.width = np.uint16 if size <= 1 << 16 else np.uint32
+        pieces = (self.model.id_to_token(i) or "" for i in range(size))
+        self.spaced = np.fromiter((p.startswith(_SPACE) for p in pieces), bool, size)
         self._forget()
 
     def _forget(self) -> None:
@@ -63,24 +71,47 @@ class Encoder:
         self.flat = np.array([END_ID], self.width)
         self.start = np.array([0, 1], np.int64)
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Numbers of newly encoded words."""
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words on end, and how many each has."""
         found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), self.width, int(size.sum()))
+        return np.fromiter(itertools.chain.from_iterable(found), self.width, int(size.sum())), size
+
+    def _encoded_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, of words that begin with their only white space: ``JOINED`` of them go as one text.
+
+        No id spans two such words and the first id of each is one that begins with a space.
+        """
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        made = []
+        for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups],
+                                                                 add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.width)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(group) and first[0] == 0:
+                made.append((ids, np.diff(first, append=len(ids))))
+            else:  # an added token that takes a space, for one
+                made.append(self._encoded(group))
+        return np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
+
+    def _learn(self, words: list[str], joined: bool = False) -> np.ndarray:
+        """Numbers of newly encoded words."""
+        ids, size = (self._encoded_joined if joined and words else self._encoded)(words)
         first = len(self.start) - 1
         self.flat = np.concatenate([self.flat, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
         return np.arange(first, first + len(words))
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words, known or new."""
+    def _numbers(self, words: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words, known or new; ``odd`` ones don't begin with their only white space."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
         numbers = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(numbers < 0)
-        fresh = [words[i] for i in new.tolist()]
-        numbers[new] = self._learn(fresh)
+        new = np.concatenate([new[~odd[new]], new[odd[new]]])
+        fresh = words[new].tolist()
+        plain = len(new) - np.count_nonzero(odd[new])
+        numbers[new] = np.concatenate([self._learn(fresh[:plain], joined=True), self._learn(fresh[plain:])])
         self.known.update(zip(fresh, numbers[new].tolist(), strict=True))
         return numbers
 
@@ -93,7 +124,10 @@ class Encoder:
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
-        numbers = self._numbers([" " + w for w in coded.dictionary.to_pylist()])
+        empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        words = pc.binary_join_element_wise(empty, coded.dictionary, space)  # a space before each
+        odd = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.match_substring_regex(coded.dictionary, _WHITE))
+        numbers = self._numbers(words.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False))
         # The first word of a text has no space before it; a tangled text is one such word.
         firsts = [t if k else t.partition(" ")[0] for t, k in zip(texts.to_pylist(), tangled.to_pylist(), strict=True)]
         index = numbers[index]
