@@ -194,13 +194,14 @@ def hopeful(found: Column, seen: DataFrame) -> Column:
 
 
 def line_scores(lines: DataFrame, seen: DataFrame) -> DataFrame:
-    """line, license, score of the best template of each distinct part that reaches the threshold.
+    """mark, license, score of the best template of each distinct part that reaches the threshold.
 
-    ``seen`` is ``term_counts`` of all lines, ``lines`` the parts to be scored.
+    ``seen`` is ``term_counts`` of all lines, ``lines`` the parts to be scored,
+    each with its digest as ``mark``: terms and sums travel with that, not with the text.
     """
     spark = lines.sparkSession
-    words = (lines.select("line").distinct().select("line", F.explode(_terms(F.col("line"))).alias("term"))
-             .groupBy("line", "term").agg(F.count("*").alias("tf")))
+    words = (lines.select("mark", "line").distinct().select("mark", F.explode(_terms(F.col("line"))).alias("term"))
+             .groupBy("mark", "term").agg(F.count("*").alias("tf")))
     total = seen.agg(F.coalesce(F.sum(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("total"))
     weight = F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1
     templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)],
@@ -211,15 +212,15 @@ def line_scores(lines: DataFrame, seen: DataFrame) -> DataFrame:
               .select("template", "license", "term", (F.col("tf") * weight).alias("t")))
     wanted_norm = wanted.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
     mine = (words.join(seen, "term", "left").join(F.broadcast(total))  # one row
-            .select("line", "term", (F.col("tf") * weight).alias("w")))
-    norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            .select("mark", "term", (F.col("tf") * weight).alias("w")))
+    norm = mine.groupBy("mark").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (mine.join(F.broadcast(wanted), "term")  # the templates' terms, a constant number
-           .groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
+           .groupBy("mark", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot")))
     score = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
     best = F.max(F.struct("score", F.col("license"))).alias("best")
-    return (dot.join(norm, "line").join(F.broadcast(wanted_norm), "template").withColumn("score", score)
-            .where(F.col("score") >= THRESHOLD).groupBy("line").agg(best)
-            .select("line", F.col("best.license").alias("license"), F.col("best.score").alias("score")))
+    return (dot.join(norm, "mark").join(F.broadcast(wanted_norm), "template").withColumn("score", score)
+            .where(F.col("score") >= THRESHOLD).groupBy("mark").agg(best)
+            .select("mark", F.col("best.license").alias("license"), F.col("best.score").alias("score")))
 
 
 def folder_of(path: Column) -> Column:
@@ -242,8 +243,9 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = common.cut(term_counts(able.select(
         F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(line_pattern()))).alias("line"))))
     lines = common.cut(able.select(F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
-                                   F.explode(hopeful(parts(F.col("text"), F.col("path")), seen)).alias("line")))
-    own = (lines.join(line_scores(lines, seen), "line")
+                                   F.explode(hopeful(parts(F.col("text"), F.col("path")), seen)).alias("line"))
+                       .withColumn("mark", F.unhex(F.sha2("line", 256))))
+    own = (lines.select("key", "mark").join(line_scores(lines, seen), "mark")
            .groupBy("key").agg(F.max(F.struct("score", "license")).alias("own")))
     rows = docs.select("doc_id", "path", F.struct(*(k.alias(n) for k, n in zip(keys, "ip", strict=True))).alias("key"),
                        folder_of(F.col("path")).alias("at"))
