@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -142,3 +143,17 @@ def test_queries_return_the_contract_columns(spark):
     got = registry.queries()["op9_arrow_tokens"](spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert got.where(F.col("n_tokens") < 1).count() == 0
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_joined_words_equal_single_ones(fallback, monkeypatch):
+    monkeypatch.setattr(arrow_tokens, "JOINED", 3)
+    library = _library("byte_bpe_50k.json")
+    texts = ["", " ", "a", " a b", "one\ttwo three\n", "x y z", "end <|endoftext|> of </s> it", "Ġ Ġw 12ab c!d",
+             "two  spaces", "a b c d e f g a b", None]
+    encoder = arrow_tokens.Encoder(word_bpe.load_tokenizer("byte_bpe_50k.json"))
+    if fallback:  # no id seems to begin with a space, so every group goes word by word
+        encoder.spaced[:] = False
+    ids, n = encoder.encode(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
