@@ -453,6 +453,10 @@ def _value(table: str, metric: str) -> str:
 
 # --- stored cube and its streaming refresh ------------------------------------
 
+#: Lines of one landing file, and the batches that all files make: a task that writes a file reads no more on larger tables.
+FILE_LINES, LANDING_BATCHES = 1_000_000, 4
+
+
 def _scratch_root(spark) -> str:
     """Fresh folder under the session's shared folder, deleted when Python ends."""
     root = os.path.join(ensure_checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
@@ -465,9 +469,9 @@ def _drop_quietly(spark, root: str) -> None:
         drop_store(spark, root)
 
 
-def _refreshed(spark, root: str, files: str, schema):
+def _refreshed(spark, root: str, files: str, schema, files_per_batch: int = 1):
     store, checkpoint = refresh_paths(root)
-    stream = billing_stream(spark, files, schema, max_files_per_trigger=1)
+    stream = billing_stream(spark, files, schema, max_files_per_trigger=files_per_batch)
     query = start_cube_refresh(fixtures.billing_from_lineitem(stream), store, checkpoint)
     query.awaitTermination()
     if query.exception() is not None:
@@ -481,12 +485,22 @@ def monthly_costs_incremental(spark, sf):
     return _refreshed(spark, _scratch_root(spark), os.path.join(sf, "lineitem*.parquet"), lineitem.schema)
 
 
+def _land(lineitem: DataFrame, folder: str) -> int:
+    """Write the lines as files of ``FILE_LINES`` at most on average; returns how many files make a batch.
+
+    Lines are dealt by all their columns, so an order (or the null one) of very many lines is in several files.
+    """
+    per_batch = max(1, -(-lineitem.count() // (LANDING_BATCHES * FILE_LINES)))
+    lineitem.repartition(LANDING_BATCHES * per_batch, *lineitem.columns).write.parquet(folder)
+    return per_batch
+
+
 def monthly_costs_many_files(spark, sf):
     """The same lines landing as several files, every month in each: several batches add up."""
     root = _scratch_root(spark)
     lineitem = fixtures.read_table(spark, sf, "lineitem")
-    lineitem.repartition(4, "l_orderkey").write.parquet(os.path.join(root, "landing"))
-    return _refreshed(spark, root, os.path.join(root, "landing"), lineitem.schema)
+    landing = os.path.join(root, "landing")
+    return _refreshed(spark, root, landing, lineitem.schema, _land(lineitem, landing))
 
 
 def report_from_store(spark, sf):

@@ -168,3 +168,24 @@ def test_a_cluster_session_must_name_the_shared_folder(spark, monkeypatch):
         session.ensure_checkpoint_dir(spark)
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(spark)
+
+
+def test_landing_files_grow_with_the_lines(spark, monkeypatch):
+    """Lines of one order and of none land in files of a bounded size; four batches add up to the batch cube."""
+    from spendlens.plans import catalog
+
+    folder = tempfile.mkdtemp(prefix="spendlens-landing-")
+    rows = [(7 if i % 2 else None, i, i % 5, i % 7, float(i % 9), float(i), 0.01, 0.02, "RAN"[i % 3], "O",
+             dt.datetime(1995 + i % 3, 1 + i % 12, 3)) for i in range(1200)]
+    spark.createDataFrame(rows, fixtures.TABLE_SCHEMAS["lineitem"]).write.parquet(os.path.join(folder, "lineitem.parquet"))
+    roots = []
+    monkeypatch.setattr(catalog, "FILE_LINES", 50)
+    monkeypatch.setattr(catalog, "_scratch_root", lambda _: roots.append(os.path.join(folder, "run")) or roots[-1])
+    got = catalog.monthly_costs_many_files(spark, folder)
+    landed = spark.read.parquet(os.path.join(roots[0], "landing"))
+    sizes = [r["n"] for r in landed.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 24 and sum(sizes) == 1200 and max(sizes) <= 100
+    batches = spark.read.parquet(os.path.join(roots[0], "cube")).select(cube_store.BATCH_ID).distinct().count()
+    assert batches == catalog.LANDING_BATCHES
+    want = monthly_costs(fixtures.billing(spark, folder)).select(*[F.col(c).cast(kind) for c, kind in got.dtypes])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
