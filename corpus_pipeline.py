@@ -42,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that repeat one stay once (the first as JSON).  Texts without words and
     rows without a doc_id are in no group; all of them stay.
     """
-    groups = signature_tree.link_groups(docs, SHINGLE, *SIMILARITY)
+    # Used four times below; three numbers a row, cut so that its joins are planned and run once.
+    groups = common.cut(signature_tree.link_groups(docs, SHINGLE, *SIMILARITY))
     gone = groups.where("component_id != doc_id").select("doc_id").distinct()
     again, row = (common.fresh(docs.columns, c) for c in ("again", "row"))
     repeated = (groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -102,7 +102,12 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     rows = docs.mapInArrow(_count_cells(n), schema).groupBy("part").applyInArrow(_add_cells, schema).collect()
     if not rows:
         return np.zeros(CELLS, np.uint8)
-    return np.frombuffer(b"".join(bytes(r["counts"]) for r in sorted(rows, key=lambda r: r["part"])), np.uint8)
+    counts, size = np.empty(CELLS, np.uint8), CELLS // CELL_PARTS
+    for row in rows:  # a row for each part
+        counts[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["counts"], np.uint8)
+    del rows, row
+    common.release()
+    return counts
 
 
 def prefix_of(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:

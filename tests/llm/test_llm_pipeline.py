@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from spendlens.llm import bm25_leaks, common
+from spendlens.plans.inspect import count_nodes
 from test_llm_dedup import covered_by_brute_force, groups_by_brute_force
 from test_llm_search import leaks_by_brute_force
 
@@ -131,3 +132,9 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     (copy / "__spark_entry__.py").write_text(open(f"{ROOT}/__spark_entry__.py").read())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'all_projects' in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
+
+
+def test_groups_are_planned_once(spark):
+    """The driver plans the joins behind the groups once, not for each of their uses."""
+    out = corpus_pipeline.near_duplicates(spark, common.read_table(spark, SF, "documents"), SF)
+    assert count_nodes(out, r"Join\b") <= 6
