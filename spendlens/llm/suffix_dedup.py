@@ -44,7 +44,9 @@ GRAM = 16
 #: Suffixes of one sorted range.
 RANGE_SUFFIXES = 100_000
 
-ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, shared array<struct<key:long,places:array<int>>>"
+#: ``places`` holds those of all ``keys`` on end, the ones of key i from ``at[i]`` to before ``at[i + 1]``: a flat
+#: row takes a third of the room that a struct and a list for each key do.
+ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, keys array<long>, at array<int>, places array<int>"
 #: ``own``: the least number of words beyond the key (times 64) and how many more, of the passages whose anchor this is.
 SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean, own int"
 MATCHES = "doc_id long, start int, stop int, of_doc_id long, of_start int, edge boolean, first boolean, " \
@@ -96,33 +98,33 @@ def _text_keys() -> dict[str, Column]:
     return {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("text"), "text")}
 
 
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()),
+                                    pa.array(np.concatenate(arrays).astype(kind)))
+
+
 def _anchor_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 36
         for batch in common.slices(batches):
             words, at = common.word_hashes(batch.column("text"))
-            rows, keys, places = [], [], []
+            rows, keys, starts, places = [], [], [], []
             for i in range(batch.num_rows):
                 mine = words[at[i]:at[i + 1]]
                 own = _keys(mine, anchors(mine, min_words), min_words)
                 both = np.stack(own, 1).ravel()  # place 2 i is the key ahead of anchor i, 2 i + 1 the one behind
                 place = np.flatnonzero(both)
                 key, first = np.unique(both[place], return_inverse=True)
-                rows.append((entry, len(mine), len(key)))
-                keys.append(key)
-                if len(place):
-                    order = np.argsort(first, kind="stable")
-                    cuts = np.flatnonzero(np.diff(first[order])) + 1
-                    places += [x.tolist() for x in np.split(place[order], cuts)]
+                rows.append((entry, len(mine)))
+                keys.append(common.as_signed(key))
+                starts.append(np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(key)))]))
+                places.append(place[np.argsort(first, kind="stable")])
                 entry += 1
-            structs = pa.StructArray.from_arrays(
-                [pa.array(common.as_signed(np.concatenate(keys)), pa.int64()), pa.array(places, pa.list_(pa.int32()))],
-                names=["key", "places"])
-            offsets = pa.array(np.cumsum([0, *(r[2] for r in rows)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), *(batch.column(c) for c in ("doc_id", "h1", "h2")),
-                 pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(offsets, structs)],
-                names=["entry", "doc_id", "h1", "h2", "n_words", "shared"])
+                 pa.array([r[1] for r in rows], pa.int32()), _lists(keys, np.int64), _lists(starts, np.int32),
+                 _lists(places, np.int32)],
+                names=["entry", "doc_id", "h1", "h2", "n_words", "keys", "at", "places"])
     return run
 
 
@@ -293,7 +295,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                              F.col("rep").alias("of_doc_id"), F.lit(0).alias("of_start")).distinct())
     entries = rows.join(classes.select("entry"), "entry")
     # A key is one row an entry, however often the text repeats it.
-    keyed = entries.select("entry", F.explode("shared").alias("k")).select("entry", "k.key", "k.places")
+    at = F.col("at")
+    keyed = entries.select("entry", F.explode(F.transform("keys", lambda key, i: F.struct(
+        key.alias("key"), F.slice("places", at[i] + 1, at[i + 1] - at[i]).alias("places")))).alias("k")
+    ).select("entry", "k.key", "k.places")
     by_key = Window.partitionBy("key").orderBy("entry")
     alike = (keyed.withColumn("above", F.lag("entry").over(by_key)).withColumn("below", F.lead("entry").over(by_key))
              .where("above is not null or below is not null or size(places) > 1").groupBy("entry")

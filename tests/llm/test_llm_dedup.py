@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spendlens.llm import common, signature_tree, suffix_dedup
@@ -207,3 +208,21 @@ def test_a_repeated_row_at_the_first_place_keeps_its_passage(spark):
     assert got == [(2, 20, 90, 1, 20)]
     texts = {(r.doc_id, r.text) for r in suffix_dedup.remove_repeats(df).collect()}
     assert (1, first) in texts and len(texts) == 3 and all(" ".join(shared) not in t for i, t in texts if i == 2)
+
+
+def test_anchor_rows_are_flat(spark):
+    """A key takes 16 bytes of an anchor row, not a struct and a list of its own, and has all its places."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=2000)) for _ in range(40)]
+    texts.append(" ".join(f"p{k}" for k in range(60)) + " " + texts[0] + " " + " ".join(f"p{k}" for k in range(60)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).withColumns(suffix_dedup._text_keys())
+    rows = docs.mapInArrow(suffix_dedup._anchor_rows(50), suffix_dedup.ANCHORS)
+    hashed, at = common.word_hashes(pa.array(texts))
+    own = [suffix_dedup._keys(w, suffix_dedup.anchors(w, 50), 50) for w in (hashed[a:b] for a, b in zip(at, at[1:]))]
+    keys = [np.unique(np.concatenate(k)[np.concatenate(k) != 0]) for k in own]
+    got = rows.orderBy("doc_id").collect()
+    for row, key, (ahead, behind) in zip(got, keys, own, strict=True):
+        assert row["keys"] == common.as_signed(key).tolist()
+        for i, k in enumerate(key):
+            places = [p for a in range(len(ahead)) for p, x in ((2 * a, ahead[a]), (2 * a + 1, behind[a])) if x == k]
+            assert row["places"][row["at"][i]:row["at"][i + 1]] == places
