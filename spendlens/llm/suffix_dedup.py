@@ -45,7 +45,7 @@ GRAM = 16
 RANGE_SUFFIXES = 100_000
 
 #: ``places`` holds those of all ``keys`` on end, the ones of key i from ``at[i]`` to before ``at[i + 1]``: a flat
-#: row takes a third of the room that a struct and a list for each key do.
+#: row takes two thirds of the room that a struct and a list for each key do.
 ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, keys array<long>, at array<int>, places array<int>"
 #: ``own``: the least number of words beyond the key (times 64) and how many more, of the passages whose anchor this is.
 SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean, own int"
