@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +42,8 @@ MIN_WORDS = 50
 GRAM = 16
 #: Suffixes of one sorted range.
 RANGE_SUFFIXES = 100_000
+#: Bits of the sketch of the texts that travel: broadcast, 8 MB whatever the input.
+SKETCH_BITS = 1 << 26
 
 #: ``places`` holds those of all ``keys`` on end, the ones of key i from ``at[i]`` to before ``at[i + 1]``: a flat
 #: row takes two thirds of the room that a struct and a list for each key do.
@@ -69,9 +70,17 @@ def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
 
 
 def _anchor_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
-    """For each passage, by its start, the position of its anchor."""
-    windows = sliding_window_view(grams, span)[:, ::-1]
-    return np.arange(len(windows)) + span - 1 - windows.argmin(1)
+    """For each passage, by its start, the position of its anchor.
+
+    Least values of 2, 4, 8 .. grams in a row, the last of equal ones; two such runs cover a passage.
+    """
+    least, at, width = grams, np.arange(len(grams)), 1
+    while width < span:
+        step = min(width, span - width)
+        later = least[step:] <= least[:-step]
+        least, at = np.minimum(least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        width += step
+    return at
 
 
 def _own_passages(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +115,7 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
 def _anchor_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 36
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, share=common.WORDS_SHARE):
             words, at = common.word_hashes(batch.column("text"))
             rows, keys, starts, places = [], [], [], []
             for i in range(batch.num_rows):
@@ -142,7 +151,7 @@ def _suffix_rows(min_words: int):
         return (part[::-1] if turn else part).astype(">u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, share=common.WORDS_SHARE):
             words, offsets = common.word_hashes(batch.column("text"))
             out = []
             for i, (doc_id, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places")), strict=True)):
@@ -262,6 +271,22 @@ def _passages(min_words: int):
     return run
 
 
+def _sketched(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """Rows whose ``columns`` may be among those of ``wanted``; the join that follows drops the few others.
+
+    A bit for each wanted row's hash, ``bits`` of them in all, so that texts
+    without a wanted suffix aren't shuffled only to find that.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # Spark counts them from 1
+    bucket, at, map_ = (common.fresh(rows.columns, c) for c in ("bucket", "bit", "map"))
+    sketch = (wanted.select(F.bitmap_bucket_number(bit).alias(bucket), F.bitmap_bit_position(bit).alias(at))
+              .repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(at).alias(map_)))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substr(map_, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return (rows.withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(sketch), bucket)
+            .where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns))
+
+
 def _merge(rows: pa.Table) -> pa.Table:
     """Overlapping matches of one document as one span, with the source of its first match."""
     rows = rows.sort_by([("start", "ascending"), ("stop", "descending"), ("of_doc_id", "ascending"),
@@ -303,8 +328,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     alike = (keyed.withColumn("above", F.lag("entry").over(by_key)).withColumn("below", F.lead("entry").over(by_key))
              .where("above is not null or below is not null or size(places) > 1").groupBy("entry")
              .agg(F.flatten(F.collect_list("places")).alias("places")))  # two a minimiser of one text at most
-    wanted = alike.join(entries.select("entry", "doc_id", "h1", "h2"), "entry").drop("entry")
-    suffixes = common.cut(docs.withColumns(_text_keys()).join(wanted, ["doc_id", "h1", "h2"]).mapInArrow(
+    wanted = common.cut(alike.join(entries.select("entry", "doc_id", "h1", "h2"), "entry").drop("entry"))
+    text = ["doc_id", "h1", "h2"]
+    suffixes = common.cut(_sketched(docs.withColumns(_text_keys()), wanted, text).join(wanted, text).mapInArrow(
         _suffix_rows(min_words), SUFFIXES))
     order = ["key", "further", "other", "doc_id", "pos"]
     parts = max(1, -(-suffixes.count() // RANGE_SUFFIXES))

@@ -226,3 +226,26 @@ def test_anchor_rows_are_flat(spark):
         for i, k in enumerate(key):
             places = [p for a in range(len(ahead)) for p, x in ((2 * a, ahead[a]), (2 * a + 1, behind[a])) if x == k]
             assert row["places"][row["at"][i]:row["at"][i + 1]] == places
+
+
+def test_only_texts_with_wanted_suffixes_travel(spark):
+    """Every wanted row passes the sketch, whatever its size; of the others few do."""
+    rows = [(k - 1000, k * k, -k) for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, h1 long, bucket long").repartition(5)
+    wanted = table.where("doc_id % 40 = 0").select("doc_id", "h1")
+    own = {r[:2] for r in rows if r[0] % 40 == 0}
+    for bits, most in ((suffix_dedup.SKETCH_BITS, 55), (1 << 16, 60), (32, 2000)):
+        passed = suffix_dedup._sketched(table, wanted, ["doc_id", "h1"], bits)
+        got = list(map(tuple, passed.collect()))
+        assert passed.columns == table.columns and set(got) <= set(rows) and len(got) == len(set(got))
+        assert own <= {r[:2] for r in got} and len(got) <= most
+    assert suffix_dedup._sketched(table, wanted.where("false"), ["doc_id", "h1"]).count() == 0
+
+
+def test_anchors_are_the_last_least_grams():
+    rng = np.random.default_rng(4)
+    for n, most in ((16, 3), (50, 2), (51, 4), (400, 5), (400, 1 << 60)):
+        grams = rng.integers(0, most, n).astype(np.uint64)
+        for span in (1, 2, 3, 15, 16):
+            want = [max(range(i, i + span), key=lambda k: (-int(grams[k]), k)) for i in range(n - span + 1)]
+            assert suffix_dedup._anchor_of_windows(grams, span).tolist() == want
