@@ -76,14 +76,14 @@ def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
 def _count_cells(n: int):
     """A task's gram counts, one row for each part of the cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint16)
-        for batch in common.slices(batches):
+        counts = np.zeros(CELLS, np.uint8)
+        for batch in common.slices(batches, share=common.WORDS_SHARE):
             words, at = common.word_hashes(batch.column("text"))
             cells = [common.shingle_set(words[a:b], n) % np.uint64(CELLS) for a, b in zip(at, at[1:])]
             cell, count = np.unique(np.concatenate(cells), return_counts=True)
             cell = cell.astype(np.int64)
-            counts[cell] = np.minimum(counts[cell] + count, 255)
-        parts = counts.astype(np.uint8).reshape(CELL_PARTS, -1)
+            counts[cell] = np.minimum(counts[cell] + count, 255)  # added as 64-bit numbers
+        parts = counts.reshape(CELL_PARTS, -1)
         blobs = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(CELL_PARTS), pa.int64()), "counts": pa.array(blobs, pa.binary())})
     return run
@@ -123,7 +123,7 @@ def prefix_of(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.n
 def _sets(n: int, num: int, den: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 36
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, share=common.WORDS_SHARE):
             words, at = common.word_hashes(batch.column("text"))
             rows = []
             for i in range(batch.num_rows):
@@ -269,7 +269,7 @@ def _linker(n: int, num: int, den: int):
         table = block.sort_by([("doc_id", "ascending"), ("fp1", "ascending")])
         wanted = table["fp2"].to_pylist()
         sets, keep = [], []
-        for batch in common.slices(table.select(["text"]).to_batches()):
+        for batch in common.slices(table.select(["text"]).to_batches(), share=common.WORDS_SHARE):
             words, at = common.word_hashes(batch.column("text"))
             for i in range(batch.num_rows):
                 grams = common.shingle_set(words[at[i]:at[i + 1]], n)
@@ -346,7 +346,7 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     families = connected_components(pairs).withColumnRenamed("node", "entry")
     members = common.cut(known.drop("prefix", "bits").join(families, "entry"))
     placed = _blocks(members, num, den, block_grams).select("component", "block", "side", "doc_id", "fp1", "fp2")
-    links = (docs.join(placed, "doc_id").groupBy("component", "block")
+    links = (common.sketched(docs, members, ["doc_id"]).join(placed, "doc_id").groupBy("component", "block")
              .applyInArrow(_linker(n, num, den), "a long, b long"))
     rows = known.join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"])
     twice = (rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b != most"))

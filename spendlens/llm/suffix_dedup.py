@@ -42,8 +42,6 @@ MIN_WORDS = 50
 GRAM = 16
 #: Suffixes of one sorted range.
 RANGE_SUFFIXES = 100_000
-#: Bits of the sketch of the texts that travel: broadcast, 8 MB whatever the input.
-SKETCH_BITS = 1 << 26
 
 #: ``places`` holds those of all ``keys`` on end, the ones of key i from ``at[i]`` to before ``at[i + 1]``: a flat
 #: row takes two thirds of the room that a struct and a list for each key do.
@@ -271,22 +269,6 @@ def _passages(min_words: int):
     return run
 
 
-def _sketched(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = SKETCH_BITS) -> DataFrame:
-    """Rows whose ``columns`` may be among those of ``wanted``; the join that follows drops the few others.
-
-    A bit for each wanted row's hash, ``bits`` of them in all, so that texts
-    without a wanted suffix aren't shuffled only to find that.
-    """
-    bit = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1  # Spark counts them from 1
-    bucket, at, map_ = (common.fresh(rows.columns, c) for c in ("bucket", "bit", "map"))
-    sketch = (wanted.select(F.bitmap_bucket_number(bit).alias(bucket), F.bitmap_bit_position(bit).alias(at))
-              .repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(at).alias(map_)))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substr(map_, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return (rows.withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(sketch), bucket)
-            .where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns))
-
-
 def _merge(rows: pa.Table) -> pa.Table:
     """Overlapping matches of one document as one span, with the source of its first match."""
     rows = rows.sort_by([("start", "ascending"), ("stop", "descending"), ("of_doc_id", "ascending"),
@@ -330,7 +312,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
              .agg(F.flatten(F.collect_list("places")).alias("places")))  # two a minimiser of one text at most
     wanted = common.cut(alike.join(entries.select("entry", "doc_id", "h1", "h2"), "entry").drop("entry"))
     text = ["doc_id", "h1", "h2"]
-    suffixes = common.cut(_sketched(docs.withColumns(_text_keys()), wanted, text).join(wanted, text).mapInArrow(
+    suffixes = common.cut(common.sketched(docs.withColumns(_text_keys()), wanted, text).join(wanted, text).mapInArrow(
         _suffix_rows(min_words), SUFFIXES))
     order = ["key", "further", "other", "doc_id", "pos"]
     parts = max(1, -(-suffixes.count() // RANGE_SUFFIXES))

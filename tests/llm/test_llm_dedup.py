@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -234,12 +235,12 @@ def test_only_texts_with_wanted_suffixes_travel(spark):
     table = spark.createDataFrame(rows, "doc_id long, h1 long, bucket long").repartition(5)
     wanted = table.where("doc_id % 40 = 0").select("doc_id", "h1")
     own = {r[:2] for r in rows if r[0] % 40 == 0}
-    for bits, most in ((suffix_dedup.SKETCH_BITS, 55), (1 << 16, 60), (32, 2000)):
-        passed = suffix_dedup._sketched(table, wanted, ["doc_id", "h1"], bits)
+    for bits, most in ((common.SKETCH_BITS, 55), (1 << 16, 60), (32, 2000)):
+        passed = common.sketched(table, wanted, ["doc_id", "h1"], bits)
         got = list(map(tuple, passed.collect()))
         assert passed.columns == table.columns and set(got) <= set(rows) and len(got) == len(set(got))
         assert own <= {r[:2] for r in got} and len(got) <= most
-    assert suffix_dedup._sketched(table, wanted.where("false"), ["doc_id", "h1"]).count() == 0
+    assert common.sketched(table, wanted.where("false"), ["doc_id", "h1"]).count() == 0
 
 
 def test_anchors_are_the_last_least_grams():
@@ -249,3 +250,32 @@ def test_anchors_are_the_last_least_grams():
         for span in (1, 2, 3, 15, 16):
             want = [max(range(i, i + span), key=lambda k: (-int(grams[k]), k)) for i in range(n - span + 1)]
             assert suffix_dedup._anchor_of_windows(grams, span).tolist() == want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_word_steps_is_small(monkeypatch):
+    """No copy of each passage's grams; gram counts are held once; a batch is taken in quarters of a slice."""
+    grams = np.random.default_rng(1).integers(0, 1 << 60, 500_000).astype(np.uint64)
+    assert peak_of(lambda: suffix_dedup._anchor_of_windows(grams, 35)) < 10 * grams.nbytes
+    batch = pa.RecordBatch.from_pydict({"text": ["some few words"] * 3})
+    assert peak_of(lambda: list(signature_tree._count_cells(2)(iter([batch])))) < 1.5 * signature_tree.CELLS
+    monkeypatch.setattr(common, "SLICE_BYTES", 400)
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 50] * 80, "doc_id": range(80), "h1": range(80), "h2": range(80)})
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    for module in (suffix_dedup, signature_tree):
+        monkeypatch.setattr(module.TaskContext, "get", staticmethod(Task))
+    counts = type("Counts", (), {"value": np.zeros(signature_tree.CELLS, np.uint8)})
+    for step in (suffix_dedup._anchor_rows(50), signature_tree._sets(4, 85, 100, counts)):
+        assert max(b.num_rows for b in step(iter([batch]))) <= 2
