@@ -16,6 +16,8 @@ is run again after a lost executor leaves one whole file.
 from __future__ import annotations
 
 import itertools
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,9 +37,9 @@ from spendlens.llm.word_bpe import load_model, load_tokenizer
 SEQ_LEN = 2048
 BATCH_SEQS = 128
 SHARD_BYTES = 32 << 20
-#: Words a task remembers; then it starts anew.
+#: Pieces of words a task remembers; then it starts anew.
 CACHE_WORDS = 800_000
-#: Distinct words that go through the tokenizer as one text.
+#: Distinct pieces that go through the tokenizer as one text.
 JOINED = 1024
 END_ID = 0
 
@@ -46,15 +48,35 @@ MANIFEST = "shard long, path string, n_docs long, n_ids long"
 _TANGLED = r" [\p{Z}\x{85}\t-\r]|[\p{Z}\x{85}\t-\r] "
 #: How a byte-level vocabulary writes a space.
 _SPACE = "\u0120"
-_WHITE = r"[\p{Z}\x{85}\t-\r]"
+#: A piece that begins with its only white space.
+_PLAIN = r"\A [^\p{Z}\x{85}\t-\r]+\z"
+#: Stands where a word is cut; among words that hold it, none is cut.
+_CUT = "\ufdd0"
+#: White space behind a word's first space, but a line end alone.
+_LONG_WHITE = r"(?s:.)[\p{Z}\x{85}\t\v\f\r]|\n\n"
+#: Letters to every version of Unicode, Latin, Cyrillic and CJK; words of other scripts are cut less.
+_LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}\x{4e00}-\x{9fa5}"
+#: Behind letters; behind marks but an apostrophe, which may begin the run behind it; behind a single line end.
+_EDGES = [(rf"([{_LETTER}])([!-@\[-`{{-~\n])", rf"\1{_CUT}\2"),
+          (rf"([!-&(-/:-@\[-`{{-~])([{_LETTER}0-9\n])", rf"\1{_CUT}\2"),
+          (rf"\n([{_LETTER}!-@\[-`{{-~])", f"\n{_CUT}\\1")]
+
+
+def _on_end(flat: np.ndarray, start: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the numbered entries of ``flat`` on end, and the end of each behind a 0."""
+    each = np.diff(start)[index]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    return flat[np.repeat(start[index] - ends[:-1], each) + np.arange(ends[-1])], ends
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file's contents, each distinct word of a slice once.
+    """Encodes texts with a tokenizer file's contents, each distinct piece of a word once.
 
     This kind of tokenizer joins a single space to the word behind it, so a text
     may be cut before each space that stands between two other characters.
-    Texts with tangled white space go through the tokenizer whole.
+    Texts with tangled white space go through the tokenizer whole.  Where it
+    takes runs of letters, of digits, of marks and of white space apart, words
+    are cut between such runs too: far fewer pieces than words are distinct.
     """
 
     def __init__(self, tokenizer: str):
@@ -63,13 +85,23 @@ class Encoder:
         self.width = np.uint16 if size <= 1 << 16 else np.uint32
         pieces = (self.model.id_to_token(i) or "" for i in range(size))
         self.spaced = np.fromiter((p.startswith(_SPACE) for p in pieces), bool, size)
+        self.whole = self._kept_whole()
         self._forget()
 
+    def _kept_whole(self) -> str | None:
+        """Pattern of the words that mustn't be cut; None if none may."""
+        config = json.loads(self.model.to_str())
+        before = config["pre_tokenizer"] or {}
+        if config["normalizer"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            return None
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values() if t.content]
+        return "|".join([_LONG_WHITE, *added])
+
     def _forget(self) -> None:
-        """Start with no words but the end id, as word 0."""
+        """Start with no pieces."""
         self.known: dict[str, int] = {}
-        self.flat = np.array([END_ID], self.width)
-        self.start = np.array([0, 1], np.int64)
+        self.flat = np.empty(0, self.width)
+        self.start = np.zeros(1, np.int64)
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words on end, and how many each has."""
@@ -95,7 +127,7 @@ class Encoder:
         return np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
 
     def _learn(self, words: list[str], joined: bool = False) -> np.ndarray:
-        """Numbers of newly encoded words."""
+        """Numbers of newly encoded pieces."""
         ids, size = (self._encoded_joined if joined and words else self._encoded)(words)
         first = len(self.start) - 1
         self.flat = np.concatenate([self.flat, ids])
@@ -103,7 +135,7 @@ class Encoder:
         return np.arange(first, first + len(words))
 
     def _numbers(self, words: np.ndarray, odd: np.ndarray) -> np.ndarray:
-        """Numbers of distinct words, known or new; ``odd`` ones don't begin with their only white space."""
+        """Numbers of distinct pieces, known or new; ``odd`` ones don't begin with their only white space."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
         numbers = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -115,6 +147,15 @@ class Encoder:
         self.known.update(zip(fresh, numbers[new].tolist(), strict=True))
         return numbers
 
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """The pieces of each word, which begins with a space."""
+        if self.whole is None or pc.any(pc.match_substring(words, _CUT)).as_py():
+            return pa.LargeListArray.from_arrays(pa.array(range(len(words) + 1), pa.int64()), words)
+        cut = words
+        for pattern, apart in _EDGES:
+            cut = pc.replace_substring_regex(cut, pattern, apart)
+        return pc.split_pattern(pc.if_else(pc.match_substring_regex(words, self.whole), words, cut), _CUT)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, the end id behind each, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -123,21 +164,22 @@ class Encoder:
         offsets = np.asarray(lists.offsets, np.int64)
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
         empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
-        words = pc.binary_join_element_wise(empty, coded.dictionary, space)  # a space before each
-        odd = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.match_substring_regex(coded.dictionary, _WHITE))
-        numbers = self._numbers(words.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False))
+        lists = self._pieces(pc.binary_join_element_wise(empty, coded.dictionary, space))  # a space before each word
+        pieces = lists.flatten().dictionary_encode()
+        odd = pc.invert(pc.match_substring_regex(pieces.dictionary, _PLAIN))
+        numbers = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False))
+        flat, ends = _on_end(self.flat, self.start, numbers[pieces.indices.to_numpy()])
+        start = ends[np.asarray(lists.offsets, np.int64)]
         # The first word of a text has no space before it; a tangled text is one such word.
-        firsts = [t if k else t.partition(" ")[0] for t, k in zip(texts.to_pylist(), tangled.to_pylist(), strict=True)]
-        index = numbers[index]
-        index[offsets[:-1]] = self._learn(firsts)
-        index = np.insert(index, offsets[1:], 0)
-        each = np.diff(self.start)[index]
-        before = np.concatenate([[0], np.cumsum(each)])
-        ids = self.flat[np.repeat(self.start[index] - before[:-1], each) + np.arange(before[-1])]
-        edges = before[offsets + np.arange(len(offsets))]
-        return ids, np.diff(edges)
+        firsts, size = self._encoded([t if k else t.partition(" ")[0]
+                                      for t, k in zip(texts.to_pylist(), tangled.to_pylist(), strict=True)])
+        flat = np.concatenate([flat, firsts, np.array([END_ID], self.width)])
+        start = np.concatenate([start, start[-1] + np.cumsum(size), [len(flat)]])
+        index = coded.indices.to_numpy().astype(np.int64)
+        index[offsets[:-1]] = len(coded.dictionary) + np.arange(len(texts))
+        ids, before = _on_end(flat, start, np.insert(index, offsets[1:], len(start) - 2))
+        return ids, np.diff(before[offsets + np.arange(len(offsets))])
 
 
 class SequenceWriter:

@@ -157,3 +157,18 @@ def test_joined_words_equal_single_ones(fallback, monkeypatch):
     ids, n = encoder.encode(pa.array(texts, pa.string()))
     want = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_pieces_of_words_are_encoded_once_and_equal_the_library():
+    encoder = arrow_tokens.Encoder(word_bpe.load_tokenizer("byte_bpe_50k.json"))
+    encoder.encode(pa.array(["x alpha, alpha. alpha; alpha) alpha!\nalpha"]))
+    assert [p for p in encoder.known if "alpha" in p and p[0] == " "] == [" alpha"]
+    rng = np.random.default_rng(3)
+    parts = ["a", "Z", "é", "Ж", "中", "ª", "𝒜", "́", "1", "²", ".", ",", "'", "'s", "'re", "…", "<|endoftext|>", "|", "<", "\n",
+             "\t", "\v", "\x85", " ", " ", "\x1c", "\x00", " ", " ", " ", "the", "don't", "_", "\\", "~"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)] + ["a, ﷐b,c"]
+    library = _library("byte_bpe_50k.json")
+    for some in (texts[:1000], texts[1000:]):
+        ids, n = encoder.encode(pa.array(some))
+        want = [library.encode(t, add_special_tokens=False).ids + [0] for t in some]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
