@@ -45,14 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Used four times below; three numbers a row, cut so that its joins are planned and run once.
     groups = common.cut(signature_tree.link_groups(docs, SHINGLE, *SIMILARITY))
     gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    again, row = (common.fresh(docs.columns, c) for c in ("again", "row"))
+    again, row, met = (common.fresh(docs.columns, c) for c in ("again", "row", "met"))
     repeated = (groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
                 .where("n > 1").select("doc_id", F.lit(True).alias(again)))
-    kept = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left")
+    # Most rows are in neither table; their texts needn't be shuffled to find that.
+    marked = common.told(docs, gone.unionByName(repeated.select("doc_id")), ["doc_id"], met)
+    kept = marked.where(met).select(docs.columns).join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left")
     twice = F.coalesce(again, F.lit(False)) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     whole = F.struct(*docs.columns)
     once = (kept.where(twice).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))
-    return kept.where(~F.coalesce(twice, F.lit(False))).select(docs.columns).unionByName(once)
+    return (marked.where(~F.col(met)).select(docs.columns)
+            .unionByName(kept.where(~F.coalesce(twice, F.lit(False))).select(docs.columns)).unionByName(once))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

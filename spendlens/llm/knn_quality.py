@@ -39,6 +39,8 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 BLOCK = 256
 THRESHOLD = 0.3
+#: What a model gets from the labelled sample.
+LEARNT = ("axes", "vectors", "labels")
 
 
 @cache
@@ -114,8 +116,8 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dense(rows: list) -> np.ndarray:
     counts = np.zeros((len(rows), TERMS), np.float32)
-    for i, row in enumerate(rows):
-        counts[i, np.frombuffer(row["terms"], np.uint16)] = np.frombuffer(row["counts"], np.uint32)
+    for i, (_, terms, count) in enumerate(rows):
+        counts[i, np.frombuffer(terms, np.uint16)] = np.frombuffer(count, np.uint32)
     return counts
 
 
@@ -150,6 +152,27 @@ class Model:
         return np.where(total > 0, vote / np.where(total > 0, total, 1), self.labels.mean())
 
 
+def _learn(idf: np.ndarray):
+    """The projection and the labelled vectors, from all labelled rows (``PER_LABEL`` a label at most)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(rows), BLOCK)]
+        gram = np.zeros((TERMS, TERMS))
+        for block in blocks:
+            weighted = np.log1p(_dense(rows[block])) * idf
+            norm = np.linalg.norm(weighted, axis=1, keepdims=True)
+            weighted /= np.where(norm > 0, norm, 1)
+            gram += weighted.T @ weighted
+        axes = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :DIMS], np.float32)
+        model = Model(idf, axes, np.zeros((len(rows), DIMS), np.float32), np.array([r[0] for r in rows], np.float64))
+        for block in blocks:
+            model.vectors[block] = model.embed(_dense(rows[block]))
+        yield pa.RecordBatch.from_pydict({k: pa.array([getattr(model, k).tobytes()], pa.binary()) for k in LEARNT})
+        del rows, gram
+        common.release()
+    return run
+
+
 def fold(doc_id=None):
     """0 for held-out rows: crc32 of the id as text, modulo 5."""
     return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 5
@@ -160,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     A doc_id labelled more than once counts by its smallest label, one with
     several texts by the least of them; null ids and null labels are left out.
-    The driver holds the labelled rows' term counts, a few MB, and two square
-    matrices of ``TERMS``.
+    One task holds the labelled rows' term counts, a few MB, and some square
+    matrices of ``TERMS``; the driver gets the model alone.
     """
     common.bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -173,26 +196,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         sample = some if sample is None else sample.unionByName(some)
     # PER_LABEL rows a label at most, so that the texts needn't be shuffled to meet them.
     rows = (texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-            .select("text", "label").mapInArrow(_raw, "label int, terms binary, counts binary").collect())  # some MB a label
+            .select("text", "label").mapInArrow(_raw, "label int, terms binary, counts binary"))  # some MB a label
     found = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(_frequencies, "term long, n long")
              .groupBy("term").agg(F.sum("n").alias("n")).collect()}  # TERMS + 1 rows
     df = np.array([found.get(t, 0) for t in range(TERMS)], np.float64)
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)).astype(np.float32)
-    rows.sort(key=lambda r: (r["label"], bytes(r["terms"]), bytes(r["counts"])))
-    blocks = [slice(lo, lo + BLOCK) for lo in range(0, len(rows), BLOCK)]
-    gram = np.zeros((TERMS, TERMS))
-    for block in blocks:
-        weighted = np.log1p(_dense(rows[block])) * idf
-        norm = np.linalg.norm(weighted, axis=1, keepdims=True)
-        weighted /= np.where(norm > 0, norm, 1)
-        gram += weighted.T @ weighted
-    axes = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :DIMS], np.float32)
-    model = Model(idf, axes, np.zeros((len(rows), DIMS), np.float32), np.array([r["label"] for r in rows], np.float64))
-    for block in blocks:
-        model.vectors[block] = model.embed(_dense(rows[block]))
-    del rows, gram
-    common.release()
-    return model
+    learnt = rows.repartition(1).mapInArrow(_learn(idf), ", ".join(f"{k} binary" for k in LEARNT)).first()
+    if learnt is None:
+        return Model(idf, np.zeros((TERMS, DIMS), np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0))
+    return Model(idf, np.frombuffer(learnt["axes"], np.float32).reshape(TERMS, DIMS),
+                 np.frombuffer(learnt["vectors"], np.float32).reshape(-1, DIMS), np.frombuffer(learnt["labels"], np.float64))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

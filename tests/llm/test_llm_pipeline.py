@@ -138,3 +138,28 @@ def test_groups_are_planned_once(spark):
     """The driver plans the joins behind the groups once, not for each of their uses."""
     out = corpus_pipeline.near_duplicates(spark, common.read_table(spark, SF, "documents"), SF)
     assert count_nodes(out, r"Join\b") <= 6
+
+
+def _shuffled_texts(plan):
+    """Rows with a text that the exchanges of an executed plan wrote."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled_texts(plan.executedPlan())
+    if "QueryStage" in name:
+        return _shuffled_texts(plan.plan())
+    own = name == "Exchange" and "text#" in plan.output().mkString(",")
+    below = plan.children()
+    return (plan.metrics().apply("shuffleRecordsWritten").value() if own else 0) + sum(
+        _shuffled_texts(below.apply(i)) for i in range(below.size()))
+
+
+def test_texts_without_near_duplicates_are_not_shuffled(spark):
+    """Those that go, and those of a repeated doc_id, are met in joins; the rest pass, a null and an odd doc_id type too."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)]
+    rows += [(400 + i, rows[i][1]) for i in range(8)] + [(7, rows[7][1]), (9, "another text of this document")]
+    rows += [(None, rows[0][1]), (500, None), (501, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([*rows[:300], (9, "another text of this document"), *rows[-3:]], key=str)
+    assert _shuffled_texts(kept._jdf.queryExecution().executedPlan()) <= 50

@@ -224,3 +224,15 @@ def test_ring_moves_little():
     a, b = home(16), home(17)
     assert len(a) == len(b) == 40_000
     assert sum(a[k] != b[k] for k in a) < 0.5 * len(a)  # a modulo would move 94 of 100
+
+
+def test_quality_model_is_learnt_off_the_driver(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("on the driver")
+
+    monkeypatch.setattr(np.linalg, "eigh", fail)
+    docs, labels = (common.read_table(spark, SF, t) for t in ("documents", "labels"))
+    model = knn_quality.fit(docs, labels)
+    assert len(model.vectors) == len(model.labels) > 0 and np.isfinite(model.axes).all()
+    norms = np.linalg.norm(model.vectors, axis=1)
+    assert np.allclose(norms[norms > 0], 1, atol=1e-5)
