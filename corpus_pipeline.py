@@ -42,15 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that repeat one stay once (the first as JSON).  Texts without words and
     rows without a doc_id are in no group; all of them stay.
     """
-    # Used four times below; three numbers a row, cut so that its joins are planned and run once.
+    # Used more than once below; three numbers a row, cut so that its joins are planned and run once.
     groups = common.cut(signature_tree.link_groups(docs, SHINGLE, *SIMILARITY))
-    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    again, row, met = (common.fresh(docs.columns, c) for c in ("again", "row", "met"))
-    repeated = (groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-                .where("n > 1").select("doc_id", F.lit(True).alias(again)))
-    # Most rows are in neither table; their texts needn't be shuffled to find that.
-    marked = common.told(docs, gone.unionByName(repeated.select("doc_id")), ["doc_id"], met)
-    kept = marked.where(met).select(docs.columns).join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left")
+    gone, again, row, met = (common.fresh(docs.columns, c) for c in ("gone", "again", "row", "met"))
+    fates = (groups.where("doc_id is not null").groupBy("doc_id")
+             .agg(F.bool_or(F.col("component_id") != F.col("doc_id")).alias(gone), (F.count_if(F.col("n_shingles") > 0) > 1).alias(again))
+             .where(F.col(gone) | F.col(again)))
+    # Most rows have none; their texts needn't be shuffled to find that.
+    marked = common.told(docs, fates, ["doc_id"], met)
+    kept = (marked.where(met).select(docs.columns).join(fates, "doc_id", "left").where(~F.coalesce(gone, F.lit(False))))
     twice = F.coalesce(again, F.lit(False)) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
     whole = F.struct(*docs.columns)
     once = (kept.where(twice).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*"))
