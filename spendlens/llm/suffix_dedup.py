@@ -11,7 +11,8 @@ lower-cased hashes.
 3. Around an anchor, a repeated passage reaches at least ``REACH`` words on to
    the right or to the left of the gram.  So the suffix at the anchor (or, read
    backwards, the prefix) shares its first GRAM + REACH words with its
-   counterpart; suffixes whose key is alone are dropped.
+   counterpart; suffixes whose key is alone are dropped.  A text that repeats a
+   line over and over has one row for all places of the same surrounding.
 4. The rest are sorted: by key, the words beyond it, the words on the other
    side.  In this sparse suffix array each suffix is compared with its nearest
    neighbours of earlier place, above and below, and the match extended left
@@ -47,7 +48,8 @@ RANGE_SUFFIXES = 100_000
 #: row takes two thirds of the room that a struct and a list for each key do.
 ANCHORS = "entry long, doc_id long, h1 long, h2 long, n_words int, keys array<long>, at array<int>, places array<int>"
 #: ``own``: the least number of words beyond the key (times 64) and how many more, of the passages whose anchor this is.
-SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean, own int"
+#: ``more``: the further places of the same surrounding in the same text.
+SUFFIXES = "key long, further binary, other binary, doc_id long, pos int, back boolean, own int, more array<int>"
 MATCHES = "doc_id long, start int, stop int, of_doc_id long, of_start int, edge boolean, first boolean, " \
           "key long, further binary, other binary, pos int, back boolean, own int"
 WINDOWS = "passage long, doc_id long, start int"
@@ -60,11 +62,21 @@ def _reach(min_words: int) -> int:
 
 def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
     """Positions of the minimisers: least gram hash of each window, the last of equal ones."""
-    grams = common.gram_hashes(words, GRAM)
-    span = min_words - GRAM + 1
-    if len(grams) < span:
-        return np.empty(0, np.int64)
-    return np.unique(_anchor_of_windows(grams, span))
+    return _minimisers(words, np.array([0, len(words)]), min_words)[0]
+
+
+def _minimisers(words: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the texts between ``offsets``; first and last start of the passages that each is chosen by.
+
+    All texts at once: most are short, and a call for each costs more than its words.
+    """
+    if len(words) < min_words:
+        return (np.empty(0, np.int64),) * 3
+    chosen = _anchor_of_windows(common.gram_hashes(words, GRAM), min_words - GRAM + 1)
+    ends = np.repeat(offsets[1:], np.diff(offsets))[:len(chosen)]
+    start = np.flatnonzero(np.arange(min_words, min_words + len(chosen)) <= ends)  # no passage runs into the next text
+    new = np.flatnonzero(np.diff(chosen[start], prepend=-1))
+    return chosen[start[new]], start[new], start[np.concatenate([new[1:], [len(start)]])[:len(new)] - 1]
 
 
 def _anchor_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
@@ -81,22 +93,15 @@ def _anchor_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def _own_passages(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start of the passages that each anchor is chosen by (they follow each other)."""
-    chosen = _anchor_of_windows(common.gram_hashes(words, GRAM), min_words - GRAM + 1)
-    return np.searchsorted(chosen, at), np.searchsorted(chosen, at, side="right") - 1
-
-
-def _keys(words: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the gram and the reach to its right, and to its left; 0 where the text ends before."""
+def _keys(words: np.ndarray, at: np.ndarray, min_words: int, low=0, high=None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the gram and the reach to its right, and to its left; 0 where the text (``low`` to ``high``) ends before."""
     size = GRAM + _reach(min_words)
-    runs = common.gram_hashes(words, size)
     ahead, behind = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    fits = at < len(runs)
-    ahead[fits] = runs[at[fits]]
+    fits = at + size <= (len(words) if high is None else high)
+    ahead[fits] = common.gram_hashes(words, size, at[fits])
     first = at + GRAM - size
-    fits = first >= 0
-    behind[fits] = ~runs[first[fits]]  # another key space
+    fits = first >= low
+    behind[fits] = ~common.gram_hashes(words, size, first[fits])  # another key space
     return ahead, behind
 
 
@@ -105,84 +110,107 @@ def _text_keys() -> dict[str, Column]:
     return {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("text"), "text")}
 
 
-def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()),
-                                    pa.array(np.concatenate(arrays).astype(kind)))
+def _lists(counts: np.ndarray, values: np.ndarray, kind: type) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.astype(kind)))
 
 
 def _anchor_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = TaskContext.get().partitionId() << 36
         for batch in common.slices(batches, share=common.WORDS_SHARE):
-            words, at = common.word_hashes(batch.column("text"))
-            rows, keys, starts, places = [], [], [], []
-            for i in range(batch.num_rows):
-                mine = words[at[i]:at[i + 1]]
-                own = _keys(mine, anchors(mine, min_words), min_words)
-                both = np.stack(own, 1).ravel()  # place 2 i is the key ahead of anchor i, 2 i + 1 the one behind
-                place = np.flatnonzero(both)
-                key, first = np.unique(both[place], return_inverse=True)
-                rows.append((entry, len(mine)))
-                keys.append(common.as_signed(key))
-                starts.append(np.concatenate([[0], np.cumsum(np.bincount(first, minlength=len(key)))]))
-                places.append(place[np.argsort(first, kind="stable")])
-                entry += 1
+            words, offsets = common.word_hashes(batch.column("text"))
+            n = batch.num_rows
+            anchor = _minimisers(words, offsets, min_words)[0]
+            text = np.searchsorted(offsets, anchor, side="right") - 1
+            both = np.stack(_keys(words, anchor, min_words, offsets[text], offsets[text + 1]), 1).ravel()
+            # place 2 i is the key ahead of anchor i, 2 i + 1 the one behind
+            place = np.flatnonzero(both)
+            key, text = both[place], np.repeat(text, 2)[place]
+            order = np.lexsort((key, text))  # a stable sort
+            place, key, text = place[order], key[order], text[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(new)
+            n_keys, n_places = np.bincount(text[first], minlength=n), np.bincount(text, minlength=n)
+            before = np.cumsum(n_places) - n_places
+            starts = np.insert(first - before[text[first]], np.cumsum(n_keys), n_places)
+            place = place - 2 * np.searchsorted(anchor, offsets)[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *(batch.column(c) for c in ("doc_id", "h1", "h2")),
-                 pa.array([r[1] for r in rows], pa.int32()), _lists(keys, np.int64), _lists(starts, np.int32),
-                 _lists(places, np.int32)],
+                [pa.array(np.arange(entry, entry + n)), *(batch.column(c) for c in ("doc_id", "h1", "h2")),
+                 pa.array(np.diff(offsets), pa.int32()), _lists(n_keys, common.as_signed(key[first]), np.int64),
+                 _lists(n_keys + 1, starts, np.int32), _lists(n_places, place, np.int32)],
                 names=["entry", "doc_id", "h1", "h2", "n_words", "keys", "at", "places"])
+            entry += n
     return run
 
 
+def _codes(words: np.ndarray, start: np.ndarray, step: np.ndarray, low: np.ndarray, high: np.ndarray, most: int
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` words from ``start`` on, forwards or backwards, within a text; 4 bytes each, 0 beyond it, and how many."""
+    at = start[:, None] + step[:, None] * np.arange(most)
+    there = (at >= low[:, None]) & (at < high[:, None])
+    return np.where(there, words.astype(np.uint32)[np.clip(at, 0, len(words) - 1)], 0).astype(np.uint32), there.sum(1)
+
+
+def _binary(codes: np.ndarray, n: np.ndarray) -> pa.Array:
+    data = codes.astype(">u4")[np.arange(codes.shape[1]) < n[:, None]]
+    ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _suffix_rows(min_words: int):
-    """Suffixes of the wanted anchors (``places``: the anchor's number doubled, odd for the backward one)."""
+    """Suffixes of the wanted anchors (``places``: the anchor's number doubled, odd for the backward one).
+
+    Those of one text that have the same surrounding are one row, however often the text repeats it.
+    """
     reach = _reach(min_words)
     most = min_words - GRAM - reach  # words beyond the key, and on its other side, that a window can still need
-
-    def own(low: int, high: int) -> int:
-        low = max(low, 0)
-        return low * 64 + max(high - low + 1, 0)
-
-    def code(words: np.ndarray, lo: int, hi: int, turn: bool) -> bytes:
-        part = words[max(lo, 0):max(hi, 0)].astype(np.uint32)
-        return (part[::-1] if turn else part).astype(">u4").tobytes()
+    weights = common.mix(np.arange(1, 2 * most + 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, share=common.WORDS_SHARE):
             words, offsets = common.word_hashes(batch.column("text"))
-            out = []
-            for i, (doc_id, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places")), strict=True)):
-                mine = words[offsets[i]:offsets[i + 1]]
-                at = anchors(mine, min_words)
-                ahead, behind = map(common.as_signed, _keys(mine, at, min_words))
-                starts, ends = _own_passages(mine, at, min_words)
-                for place in places:
-                    p, first, last = (int(x[place >> 1]) for x in (at, starts, ends))
-                    if place & 1:  # passages that reach less than ``reach`` beyond the gram
-                        lo = p - reach
-                        out.append((int(behind[place >> 1]), code(mine, lo - most, lo, True),
-                                    code(mine, p + GRAM, p + GRAM + most, False), doc_id, p, True,
-                                    own(lo - last, min(lo - first, most))))
-                    else:
-                        hi = p + GRAM + reach
-                        out.append((int(ahead[place >> 1]), code(mine, hi, hi + most, False),
-                                    code(mine, p - most, p, True), doc_id, p, False,
-                                    own(first + min_words - hi, min(last + min_words - hi, most))))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int32())
-            columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["key", "further", "other", "doc_id", "pos", "back", "own"])
+            anchor, first, last = _minimisers(words, offsets, min_words)
+            places = batch.column("places")
+            place = places.flatten().to_numpy()
+            text = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            mine, back = np.searchsorted(anchor, offsets)[text] + (place >> 1), place % 2 == 1
+            order = np.lexsort((anchor[mine], back, text))
+            text, mine, back = text[order], mine[order], back[order]
+            p, first, last, low, high = anchor[mine], first[mine], last[mine], offsets[text], offsets[text + 1]
+            key = np.where(back, *_keys(words, p, min_words, low, high)[::-1])
+            step = np.where(back, -1, 1)
+            edge = np.where(back, p - reach, p + GRAM + reach)  # passages of a backward one reach less than ``reach`` beyond the gram
+            further, n_further = _codes(words, np.where(back, edge - 1, edge), step, low, high, most)
+            other, n_other = _codes(words, np.where(back, p + GRAM, p - 1), -step, low, high, most)
+            least = np.maximum(np.where(back, edge - last, first + min_words - edge), 0)
+            own = least * 64 + np.maximum(
+                np.minimum(np.where(back, edge - first, last + min_words - edge), most) - least + 1, 0)
+            # Equal ones of a text, of ascending place: brought together by a hash, then compared.
+            whole = np.column_stack([further, other, n_further, n_other])
+            order = np.lexsort(((whole.astype(np.uint64) * weights).sum(1), key, text))
+            same = np.ones(max(len(order) - 1, 0), bool)
+            for column in (text, key, own, whole):
+                equal = column[order[1:]] == column[order[:-1]]
+                same &= equal if equal.ndim == 1 else equal.all(1)
+            new = np.flatnonzero(np.concatenate([[True], ~same])[:len(order)])
+            pos, keep = (p - low)[order], order[new]
+            counts = np.diff(new, append=len(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(common.as_signed(key[keep])), _binary(further[keep], n_further[keep]), _binary(other[keep], n_other[keep]),
+                 batch.column("doc_id").take(pa.array(text[keep])), pa.array(pos[new], pa.int32()), pa.array(back[keep]),
+                 pa.array(own[keep], pa.int32()), _lists(counts - 1, np.delete(pos, new), np.int32)],
+                names=["key", "further", "other", "doc_id", "pos", "back", "own", "more"])
     return run
 
 
 def _shared(a: bytes, b: bytes) -> int:
     """Words that two codes have in common from the start."""
-    if a == b:
-        return len(a) // 4
     low = min(len(a), len(b))
-    i = next((i for i in range(low) if a[i] != b[i]), low)
-    return i // 4
+    if a[:low] == b[:low]:
+        return low // 4
+    differ = int.from_bytes(a[:low], "big") ^ int.from_bytes(b[:low], "big")
+    return (low - (differ.bit_length() + 7) // 8) // 4
 
 
 def _neighbours(min_words: int, edges: bool):
@@ -192,19 +220,30 @@ def _neighbours(min_words: int, edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         stack: list[tuple] = []  # rows of the current key, of ascending place
-        key, first_key, firsts, last = None, None, [], ()
+        key, first_key, firsts, last = None, None, [], (None,) * 6
 
-        def match(late: tuple, early: tuple) -> None:
-            _, further, other, doc_id, pos, back, _ = late
+        def match(late: tuple, early: tuple, more: list[int] | None = None) -> None:
+            _, further, other, (doc_id, pos), back, _ = late
             beyond, side = _shared(further, early[1]), _shared(other, early[2])
             if beyond + side + reach + GRAM < min_words:
                 return
             left, right = (beyond + reach, side) if back else (side, beyond + reach)
-            out.append((doc_id, pos - left, pos + GRAM + right, early[3], early[4] - left, False, False,
-                        None, None, None, None, None, None))
+            of_doc_id, of_start = early[3][0], early[3][1] - left
+            if more is None:
+                more = [pos]
+            # Of spans that overlap the first gives the source; the others are one row.
+            i = 0
+            while i < len(more):
+                end = i + 1
+                while end < len(more) and more[end] - left <= more[end - 1] + GRAM + right:
+                    end += 1
+                for a, b in ((i, i), (i + 1, end - 1))[:min(end - i, 2)]:
+                    out.append((doc_id, more[a] - left, more[b] + GRAM + right, of_doc_id, of_start, False, False,
+                                None, None, None, None, None, None))
+                i = end
 
         def keep(row: tuple, edge: bool) -> None:
-            out.append((row[3], None, None, None, None, edge, not edge, row[0], row[1], row[2], row[4], row[5], row[6]))
+            out.append((row[3][0], None, None, None, None, edge, not edge, row[0], row[1], row[2], row[3][1], row[4], row[5]))
 
         def emit() -> pa.RecordBatch:
             names = ["doc_id", "start", "stop", "of_doc_id", "of_start", "edge", "first", "key", "further", "other", "pos",
@@ -216,33 +255,39 @@ def _neighbours(min_words: int, edges: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "further", "other", "doc_id", "pos", "back", "own")),
-                           strict=True):
-                if row == last:  # the same place again, from a repeated input row
-                    continue
-                if edges and row[:3] != last[:3]:
-                    keep(row, False)  # ties are in order of place, so the first stands for its surrounding
-                last = row
-                if row[0] != key:
-                    stack, key = [], row[0]
-                    first_key = key if first_key is None else first_key
-                place = row[3:5]
-                while stack and stack[-1][3:5] > place:
-                    match(stack.pop(), row)
-                # Texts that share a doc_id may have suffixes of equal place, which is not an earlier one.
-                above = next((r for r in reversed(stack) if r[3:5] < place), None)
-                if above:
-                    match(row, above)
-                elif key == first_key:
-                    firsts.append(row)  # no earlier place above it in this run
-                if not (stack and stack[-1][1:3] == row[1:3]):  # else the one there stands for it
-                    stack.append(row)
+            column = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            rows = zip(column["key"], column["further"], column["other"], zip(column["doc_id"], column["pos"]), column["back"],
+                       column["own"])
+            for row, more in zip(rows, column.get("more") or [None] * batch.num_rows, strict=True):
+                place = row[3]
+                again = row[0] == last[0] and row == last  # the same place again, from a repeated input row
+                if not again:
+                    if edges and (row[0] != last[0] or row[1] != last[1] or row[2] != last[2]):
+                        keep(row, False)  # ties are in order of place, so the first stands for its surrounding
+                    last = row
+                    if row[0] != key:
+                        stack, key = [], row[0]
+                        first_key = key if first_key is None else first_key
+                    while stack and stack[-1][3] > place:
+                        match(stack.pop(), row)
+                    # Texts that share a doc_id may have suffixes of equal place, which is not an earlier one.
+                    above = next((r for r in reversed(stack) if r[3] < place), None) if stack else None
+                    if above:
+                        match(row, above)
+                    elif key == first_key:
+                        firsts.append(row)  # no earlier place above it in this run
+                    if not (stack and stack[-1][1] == row[1] and stack[-1][2] == row[2]):  # else the one there stands for it
+                        stack.append(row)
+                if more:
+                    match(row, stack[-1], more)
+            common.handled(batch.nbytes)
             yield emit()
         if edges and key is not None:
             ends = {(r[0], *r[3:]): r for r in [*firsts, *stack]}
             for row in ends.values():
                 keep(row, True)
             yield emit()
+        common.release()
     return run
 
 

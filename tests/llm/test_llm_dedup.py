@@ -279,3 +279,29 @@ def test_memory_of_word_steps_is_small(monkeypatch):
     counts = type("Counts", (), {"value": np.zeros(signature_tree.CELLS, np.uint8)})
     for step in (suffix_dedup._anchor_rows(50), signature_tree._sets(4, 85, 100, counts)):
         assert max(b.num_rows for b in step(iter([batch]))) <= 2
+
+
+def test_places_of_one_surrounding_travel_as_one_row(spark, monkeypatch):
+    """A line that texts repeat over and over makes a few suffixes and matches a text, not some for each time."""
+    rng = random.Random(8)
+    line, tail = ([f"w{rng.randrange(3000)}" for _ in range(n)] for n in (11, 60))
+    rows = [(k, " ".join([f"a{k}"] + line * (40 + k) + [f"b{k}"] + tail + line * 9)) for k in range(30)]
+    rows += [(7, " ".join(line * 80)), (7, " ".join(["c"] + line * 50)), (40, rows[3][1]), (41, " ".join(["x"] * 700))]
+    made, whole = [], common.cut
+
+    def cut(df):
+        made.append(whole(df))
+        return made[-1]
+
+    monkeypatch.setattr(common, "cut", cut)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = defaultdict(set)
+    for r in suffix_dedup.repeated_spans(docs).collect():
+        got[r.doc_id].update(range(r.start, r.stop))
+    assert {k: v for k, v in got.items() if k != 7} == {
+        k: v for k, v in covered_by_brute_force(rows, 50).items() if k != 7}
+    suffixes, found = made[-2:]
+    places = suffixes.selectExpr("count(*) as n", "sum(1 + size(more)) as places").first()
+    assert places.places > 2500 and places.n < 33 * 60
+    assert found.count() < 33 * 120
+    assert suffixes.groupBy("doc_id", "key", "further", "other").count().where("count > 1 and doc_id != 7").count() == 0
