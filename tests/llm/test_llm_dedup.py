@@ -305,3 +305,24 @@ def test_places_of_one_surrounding_travel_as_one_row(spark, monkeypatch):
     assert places.places > 2500 and places.n < 33 * 60
     assert found.count() < 33 * 120
     assert suffixes.groupBy("doc_id", "key", "further", "other").count().where("count > 1 and doc_id != 7").count() == 0
+
+
+def test_words_are_hashed_once_a_slice(monkeypatch):
+    """Grams and keys of all texts of a slice are made in three calls, not five a text, and are those of each text alone."""
+    rng = np.random.default_rng(6)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.integers(0, 40, n)) for n in (3, 49, 50, 51, 0, 80, 300, 50, 700)), None]
+    hashed, at = common.word_hashes(pa.array(texts))
+    whole, first, last = suffix_dedup._minimisers(hashed, at, 50)
+    for a, b in zip(at, at[1:]):
+        mine = (whole >= a) & (whole < b)
+        alone = suffix_dedup._minimisers(hashed[a:b], np.array([0, b - a]), 50)
+        assert [(x[mine] - a).tolist() for x in (whole, first, last)] == [x.tolist() for x in alone]
+    places = np.array([5, 0, 17])
+    assert common.gram_hashes(hashed, 33, places).tolist() == common.gram_hashes(hashed, 33)[places].tolist()
+    calls, grams = [], common.gram_hashes
+    monkeypatch.setattr(common, "gram_hashes", lambda *a: calls.append(1) or grams(*a))
+    monkeypatch.setattr(suffix_dedup.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda _: 0})()))
+    ids = range(len(texts))
+    batch = pa.RecordBatch.from_pydict({"text": texts, "doc_id": ids, "h1": ids, "h2": ids})
+    rows = pa.Table.from_batches(suffix_dedup._anchor_rows(50)(iter([batch])))
+    assert rows["n_words"].to_pylist() == np.diff(at).tolist() and len(calls) == 3
