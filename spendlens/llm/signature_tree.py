@@ -4,18 +4,22 @@ A text's set are its distinct word n-grams.  Two texts are linked when the
 Jaccard similarity of their sets reaches ``num / den``, tested in integers.
 
 1. Equal sets are one entry, found by a digest of the set.
-2. Grams are put in one order for all texts, rare ones first by a counting sketch
-   of fixed size (any fixed order is exact; a good one keeps frequent passages
-   out of the way).  An entry's prefix in that order is long enough that linked
-   entries share a prefix gram.  Entries that share one are tied to the least of
-   them, and these stars joined into candidate components, so each entry comes
+2. A text stands alone if it has more grams that no other text holds than a link
+   leaves over.  To find that, the grams of a zone, a fixed part of all hashes,
+   meet as packed numbers; most texts of most corpora go no further.
+3. Grams are put in one order for the texts left: those of a wider zone first, rare
+   ones first by exact counts, then the others by a counting sketch of fixed size
+   (any fixed order is exact; a good one keeps frequent passages out of the way,
+   however large the corpus).  An entry's prefix in that order is long enough that
+   linked entries share a prefix gram.  Entries that share one are tied to the least
+   of them, and these stars joined into candidate components, so each entry comes
    into play once however many grams it shares.
-3. A candidate component becomes a signature tree: entries are leaves, each node
+4. A candidate component becomes a signature tree: entries are leaves, each node
    has the OR of its entries' token bitmaps and their size range.  A dual
    traversal, deepest first, drops node pairs whose largest possible overlap is
    too small or whose entries are all connected already.  The pairs left
    connect entries into narrow families; no linked pair falls between two.
-4. Only the texts of families travel.  The same traversal over a family's sets
+5. Only the texts of families travel.  The same traversal over a family's sets
    compares the pairs left exactly, and the links found (a spanning forest) are
    joined into components.
 
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import common
@@ -44,9 +48,15 @@ FAN = 64
 #: Most bits of a stored bitmap.
 WIDEST = 1 << 17
 
+#: Parts of the zone, zone grams that a task packs and a group of parts meets at once, and most texts of a pack.
+ZONE_PARTS, ZONE_GRAMS, PACK_TEXTS = 1 << 10, 1 << 20, 1 << 16
+#: Times the grams of a prefix in the zone of the texts left.
+WIDE = 4
+
 #: Cells of the gram counts (a byte each, broadcast) and the parts they are added up in.
 CELLS, CELL_PARTS = 1 << 24, 64
 
+TEXTS = "entry long, doc_id long, fp1 long, fp2 long, n long, alone long, part int, size long, keys binary, owners binary, twice binary"
 SETS = "entry long, doc_id long, fp1 long, fp2 long, n long, prefix array<long>, bits binary"
 
 
@@ -54,6 +64,15 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def zone_top(num: int, den: int, times: int = 2) -> int:
+    """The last hash of the zone: it holds about ``times`` the grams of a prefix."""
+    return min(times * (den - num) * (1 << 64) // den, (1 << 64) - 1)
+
+
+def zone_of(grams: np.ndarray, num: int, den: int, times: int = 2) -> np.ndarray:
+    return grams[:np.searchsorted(grams, np.uint64(zone_top(num, den, times)), "right")]
+
+
 def set_digest(grams: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_intdigest(grams.tobytes())
     return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
@@ -73,6 +92,106 @@ def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(row, bitorder="little").view(np.uint64)
 
 
+def _pack(first: int, zones: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """For texts ``first``, ``first`` + 1 ...: how many grams of its zone each has alone here, and all of these grams.
+
+    A part of the zone is a row: 32 bits of each gram that one text has here with
+    the text's number, and of each gram that several have, once.
+    """
+    size = [len(z) for z in zones]
+    grams, owner = np.concatenate(zones), np.repeat(np.arange(len(zones), dtype=np.uint32), size)
+    order = np.argsort(grams)
+    grams, owner = grams[order], owner[order]
+    begins = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.empty(0, bool)
+    single = begins & np.append(begins[1:], True)[:len(grams)]
+    alone = np.bincount(owner[single], minlength=len(zones))
+    twice, grams, owner = grams[begins & ~single], grams[single], owner[single]
+    step = zone_top(num, den) // ZONE_PARTS + 1
+    bounds = np.array([k * step for k in range(ZONE_PARTS)], np.uint64)
+    shift = np.uint64(max(step.bit_length() - 32, 0))
+    at, at2 = (np.append(np.searchsorted(g, bounds), len(g)) for g in (grams, twice))
+
+    def keys(g: np.ndarray, part: int) -> bytes:
+        return ((g - bounds[part]) >> shift).astype(np.uint32).tobytes()
+
+    rows = [(first, k, b - a + d - c, keys(grams[a:b], k), pa.compress(owner[a:b].tobytes(), codec="zstd", asbytes=True), keys(twice[c:d], k))
+            for k, (a, b, c, d) in enumerate(zip(at, at[1:], at2, at2[1:])) if b - a + d - c]
+    columns = zip(("entry", "part", "size", "keys", "owners", "twice"), zip(*rows) if rows else [()] * 6)
+    return alone, _texts_batch(dict(columns), len(rows))
+
+
+def _texts_batch(columns: dict, rows: int) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in TEXTS.split(", ")]
+    return pa.RecordBatch.from_pydict({name: pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(rows, kinds[kind])
+                                       for name, kind in fields})
+
+
+def _texts(n: int, num: int, den: int):
+    """A row for each text (``part`` is null), and rows with the packed zones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry = TaskContext.get().partitionId() << 36
+        rows, zones, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            alone, packed = _pack(rows[0][0], zones, num, den)
+            columns = dict(zip(("entry", "doc_id", "fp1", "fp2", "n"), zip(*rows)))
+            yield _texts_batch(columns | {"alone": alone}, len(rows))
+            if packed.num_rows:
+                yield packed
+            rows.clear()
+            zones.clear()
+
+        for batch in common.slices(batches, share=common.WORDS_SHARE):
+            words, at = common.word_hashes(batch.column("text"))
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                grams = common.shingle_set(words[at[i]:at[i + 1]], n)
+                rows.append((entry, doc_id, *set_digest(grams), len(grams)))
+                zones.append(zone_of(grams, num, den).copy() if doc_id is not None else grams[:0])  # such a row links nothing
+                held += len(zones[-1])
+                entry += 1
+            if held >= ZONE_GRAMS or len(rows) >= PACK_TEXTS:
+                yield from out()
+                held = 0
+        if rows:
+            yield from out()
+    return run
+
+
+def _met(parts: pa.Table) -> pa.Table:
+    """How many grams, of those that it has alone in its pack, a text shares with texts of other packs."""
+    common.handled(parts.nbytes)
+    keys, owners = [], []
+    for first, part, own, owner, twice in zip(*(parts[c].to_pylist() for c in ("entry", "part", "keys", "owners", "twice")), strict=True):
+        own, twice = np.frombuffer(own, np.uint32), np.frombuffer(twice, np.uint32)
+        owner = np.frombuffer(pa.decompress(owner, decompressed_size=own.nbytes, codec="zstd", asbytes=True), np.uint32)
+        keys += [own.astype(np.uint64) | np.uint64(part << 32), twice.astype(np.uint64) | np.uint64(part << 32)]
+        owners += [owner.astype(np.int64) + first, np.full(len(twice), -1)]
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0
+    shared = np.append(same, False) | np.concatenate([[False], same])
+    entry, times = np.unique(owners[order[shared]], return_counts=True)
+    known = entry >= 0
+    return pa.table({"entry": pa.array(entry[known], pa.int64()), "times": pa.array(times[known], pa.int64())})
+
+
+def _prefix_length(num: int, den: int) -> Column:
+    return F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
+
+
+def not_alone(texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Texts that may be linked: fewer grams of theirs are held by no other text than a link leaves over."""
+    packed = texts.where("part is not null")
+    total = packed.agg(F.sum("size")).first()[0] or 0
+    groups = min(1 << (total // ZONE_GRAMS).bit_length(), ZONE_PARTS)
+    met = (packed.withColumn("group", F.floor(F.col("part") * groups / ZONE_PARTS).cast("int")).groupBy("group")
+           .applyInArrow(_met, "entry long, times long").groupBy("entry").agg(F.sum("times").alias("times")))
+    known = texts.where("part is null and n > 0 and doc_id is not null").select("entry", "doc_id", "fp1", "fp2", "n", "alone")
+    return (known.join(met, "entry", "left").where(F.col("alone") - F.coalesce("times", F.lit(0)) < _prefix_length(num, den))
+            .drop("alone", "times"))
+
+
 def _count_cells(n: int):
     """A task's gram counts, one row for each part of the cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +230,33 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def prefix_of(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first grams of a set in the common order: by the count of the cell, then by hash."""
+    """The grams of a set that its prefix is taken from: a zone twice as wide, and what that lacks by the count of the cell, then by hash."""
     if not len(grams):
         return grams
-    size = prefix_length(len(grams), num, den)
-    rank = (counts[(grams % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
-    order = np.lexsort((grams, rank))
-    return grams[order[:size]]
+    zone = zone_of(grams, num, den, WIDE)
+    lacks = prefix_length(len(grams), num, den) - len(zone)
+    if lacks <= 0:
+        return zone
+    rest = grams[len(zone):]
+    rank = (counts[(rest % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (rest >> np.uint64(8))
+    return np.concatenate([zone, rest[np.lexsort((rest, rank))[:lacks]]])
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """entry, gram: of the prefix of each of ``sets`` (entry, n, prefix), the grams that others have there too.
+
+    ``prefix`` has the whole zone, so counts over it are the same for all that
+    hold a gram; where it has more, it is the prefix.  Grams that one entry has
+    alone come first and are left out.
+    """
+    grams = sets.select("entry", F.explode("prefix").alias("gram"))
+    shared = common.cut(grams.groupBy("gram").agg(F.min("entry").alias("least"), F.max("entry").alias("most"), F.count("*").alias("times"))
+                        .where("least != most").select("gram", "times"))
+    found = grams.join(shared, "gram").groupBy("entry").agg(F.sort_array(F.collect_set(F.struct("times", "gram"))).alias("found"))
+    sizes = sets.select("entry", (F.size("prefix") - _prefix_length(num, den)).cast("int").alias("over")).distinct()
+    # Of a list that is ``over`` longer than the prefix, the last ``over`` are none of the prefix.
+    taken = F.slice("found", 1, F.greatest(F.size("found") - F.col("over"), F.lit(0)))
+    return found.join(sizes, "entry").select("entry", F.explode(taken).alias("taken")).select("entry", "taken.gram")
 
 
 def _sets(n: int, num: int, den: int, counts):
@@ -328,23 +467,27 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     """
     common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, n))  # CELLS bytes
-    sets = common.cut(docs.mapInArrow(_sets(n, num, den, counts), SETS))
-    known = sets.where("n > 0 and doc_id is not null")
+    texts = common.cut(docs.mapInArrow(_texts(n, num, den), TEXTS))
+    known = texts.where("part is null and n > 0 and doc_id is not null").select("entry", "doc_id", "fp1", "fp2", "n")
+    left = common.cut(not_alone(texts, num, den))
     # Tables of their own, so that a join with them can split a digest or gram that very many rows share.
     classes = common.cut(known.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "entry")).alias("first"))
                          .select("fp1", "fp2", F.col("first.doc_id").alias("rep"), F.col("first.entry").alias("entry")))
-    entries = known.join(classes.select("entry"), "entry")
-    grams = entries.select("entry", F.explode("prefix").alias("gram"))
+    entries = common.cut(left.join(classes.select("entry"), "entry").select("entry", "doc_id", "fp1", "fp2"))
+    own = common.sketched(docs, entries, ["doc_id"])
+    counts = docs.sparkSession.sparkContext.broadcast(gram_counts(own, n))  # CELLS bytes
+    # Rows that repeat a text of a doc_id give an entry more than one row; all steps allow for it.
+    sets = common.cut(own.mapInArrow(_sets(n, num, den, counts), SETS).drop("entry").join(entries, ["doc_id", "fp1", "fp2"]))
+    grams = common.cut(prefixes(sets, num, den))
     shared = common.cut(grams.groupBy("gram").agg(F.min("entry").alias("least"), F.count("*").alias("times"))
                         .where("times > 1").drop("times"))
     stars = grams.join(shared, "gram").where("entry != least")
     candidates = connected_components(stars.select(F.col("entry").alias("a"), F.col("least").alias("b")))
-    members = known.select("entry", "n", "bits").join(candidates.withColumnRenamed("node", "entry"), "entry")
+    members = sets.select("entry", "n", "bits").join(candidates.withColumnRenamed("node", "entry"), "entry")
     pairs = (_blocks(members, num, den, BITMAP_BLOCK * block_grams).groupBy("component", "block")
              .applyInArrow(_families(num, den), "a long, b long"))
     families = connected_components(pairs).withColumnRenamed("node", "entry")
-    members = common.cut(known.drop("prefix", "bits").join(families, "entry"))
+    members = common.cut(known.join(families, "entry"))
     placed = _blocks(members, num, den, block_grams).select("component", "block", "side", "doc_id", "fp1", "fp2")
     links = (common.sketched(docs, members, ["doc_id"]).join(placed, "doc_id").groupBy("component", "block")
              .applyInArrow(_linker(n, num, den), "a long, b long"))
@@ -354,7 +497,7 @@ def link_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     found = connected_components(links.unionByName(again))
     linked = rows.join(found, F.col("rep") == F.col("node"), "left").select(
         "entry", F.coalesce("component", "rep").alias("component_id"))
-    return (sets.select("entry", "doc_id", "n").join(linked, "entry", "left")
+    return (texts.where("part is null").select("entry", "doc_id", "n").join(linked, "entry", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 

@@ -126,6 +126,62 @@ def test_bitmaps_never_hide_a_link():
                     assert allowed[i, j] or den * inter < num * (len(a) + len(b) - inter)
 
 
+def test_only_texts_that_share_most_grams_go_on(spark, monkeypatch):
+    """Texts with one common line are no candidates: bitmaps and prefixes are made of the others only."""
+    rng = random.Random(11)
+    line = " ".join(f"c{k}" for k in range(15))
+    rows = [(k, " ".join([line] + [f"w{rng.randrange(5000)}" for _ in range(120)])) for k in range(200)]
+    rows += [(1000 + k, f"{line} {t}") for k, t in enumerate([*family(rng, 150, 6, 2), *family(rng, 40, 4, 0)])]
+    rows += [(None, rows[0][1]), (3000, "")]
+    made, whole = [], common.cut
+
+    def cut(df):
+        made.append(whole(df))
+        return made[-1]
+
+    monkeypatch.setattr(common, "cut", cut)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = signature_tree.link_groups(docs).collect()
+    assert Counter(map(tuple, got)) == groups_by_brute_force(rows, 4, 85, 100)
+    assert [{r.doc_id for r in t.select("doc_id").collect()} <= {*range(1000, 1010)} for t in made if "bits" in t.columns] == [True]
+
+
+@pytest.mark.parametrize("num, den", [(85, 100), (80, 100), (1, 2)])
+def test_grams_held_alone_are_counted_over_all_packs(num, den):
+    rng = np.random.default_rng(7)
+    texts = [np.unique(rng.integers(0, 2**64, 30, np.uint64)) for _ in range(60)]
+    texts += [np.unique(np.concatenate([texts[k][::2], texts[-1][:5]])) for k in range(0, 60, 3)] + [texts[0], texts[0][:0]]
+    held = Counter(g for t in texts for g in t.tolist())
+    zones = [signature_tree.zone_of(t, num, den) for t in texts]
+    assert [z.tolist() for z in zones] == [[g for g in t.tolist() if g <= signature_tree.zone_top(num, den)] for t in texts]
+    alone, packed = [], []
+    for a, b in ((0, 25), (25, 26), (26, 70), (70, len(texts))):
+        own, rows = signature_tree._pack(100 + a, zones[a:b], num, den)
+        alone += own.tolist()
+        packed.append(rows)
+    met = signature_tree._met(pa.Table.from_batches(packed))
+    for entry, times in zip(met["entry"].to_pylist(), met["times"].to_pylist(), strict=True):
+        alone[entry - 100] -= times
+    assert alone == [sum(held[g] == 1 for g in z.tolist()) for z in zones] and sum(map(len, zones)) == sum(
+        sum(p["size"].to_pylist()) for p in packed) + sum(
+        n - 1 for a, b in ((0, 25), (25, 26), (26, 70), (70, len(texts))) for n in Counter(g for z in zones[a:b] for g in z.tolist()).values())
+
+
+def test_prefixes_go_by_exact_counts(spark):
+    """The rarest grams of a list come first, whatever the sketch says; those that one entry has alone aren't given."""
+    rng = random.Random(4)
+    lists = {e: sorted({rng.randrange(30) ** 2 - 200 for _ in range(14)} | {1000 + e, 2000 + e}) for e in range(25)}
+    rows = [(e, 10, g) for e, g in lists.items()] + [(0, 10, lists[0])]  # a row that repeats
+    times = Counter(g for _, _, grams in rows for g in grams)
+    held = Counter(g for grams in lists.values() for g in grams)
+    want = set()
+    for e, grams in lists.items():
+        first = sorted(grams, key=lambda g: (held[g] > 1, times[g], g))[:signature_tree.prefix_length(10, 1, 2)]
+        want |= {(e, g) for g in first if held[g] > 1}
+    got = signature_tree.prefixes(spark.createDataFrame(rows, "entry long, n long, prefix array<long>"), 1, 2).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 500)] + [(1000, 1001), (1001, 1000), (1002, 1001), (5000, 5000)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long").repartition(7)).collect()))
