@@ -159,7 +159,7 @@ def _texts(n: int, num: int, den: int):
 
 
 def _met(parts: pa.Table) -> pa.Table:
-    """How many grams, of those that it has alone in its pack, a text shares with texts of other packs."""
+    """For each pack, how many grams of those that it has alone there a text shares with texts of other packs."""
     common.handled(parts.nbytes)
     keys, owners = [], []
     for first, part, own, owner, twice in zip(*(parts[c].to_pylist() for c in ("entry", "part", "keys", "owners", "twice")), strict=True):
@@ -172,8 +172,17 @@ def _met(parts: pa.Table) -> pa.Table:
     same = np.diff(keys[order]) == 0
     shared = np.append(same, False) | np.concatenate([[False], same])
     entry, times = np.unique(owners[order[shared]], return_counts=True)
-    known = entry >= 0
-    return pa.table({"entry": pa.array(entry[known], pa.int64()), "times": pa.array(times[known], pa.int64())})
+    first = np.unique(parts["entry"].to_numpy())
+    at = np.append(np.searchsorted(entry, first), len(entry))  # one row a pack, not a text
+    return pa.table({"entry": pa.array(first, pa.int64()), "texts": pa.array([entry[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()),
+                     "times": pa.array([times[a:b].astype(np.uint32).tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+
+
+def _add_met(pack: pa.Table) -> pa.Table:
+    common.handled(pack.nbytes)
+    texts, times = (np.frombuffer(b"".join(pack[c].to_pylist()), kind) for c, kind in (("texts", np.int64), ("times", np.uint32)))
+    entry, at = np.unique(texts, return_inverse=True)
+    return pa.table({"entry": pa.array(entry, pa.int64()), "times": pa.array(np.bincount(at, times, len(entry)).astype(np.int64))})
 
 
 def _prefix_length(num: int, den: int) -> Column:
@@ -186,7 +195,7 @@ def not_alone(texts: DataFrame, num: int, den: int) -> DataFrame:
     total = packed.agg(F.sum("size")).first()[0] or 0
     groups = min(1 << (total // ZONE_GRAMS).bit_length(), ZONE_PARTS)
     met = (packed.withColumn("group", F.floor(F.col("part") * groups / ZONE_PARTS).cast("int")).groupBy("group")
-           .applyInArrow(_met, "entry long, times long").groupBy("entry").agg(F.sum("times").alias("times")))
+           .applyInArrow(_met, "entry long, texts binary, times binary").groupBy("entry").applyInArrow(_add_met, "entry long, times long"))
     known = texts.where("part is null and n > 0 and doc_id is not null").select("entry", "doc_id", "fp1", "fp2", "n", "alone")
     return (known.join(met, "entry", "left").where(F.col("alone") - F.coalesce("times", F.lit(0)) < _prefix_length(num, den))
             .drop("alone", "times"))
